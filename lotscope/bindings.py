@@ -59,7 +59,22 @@ select event_id, cast(ts as string) as ts, case
     "v_judged": """
 select d.doc_id as seq, quality as truth, toxic as wrong, source as path, lang as gate, n_chars
 from {labels} l join {documents} d on l.doc_id=d.doc_id""",
-    "v_text": "select doc_id as id, text from {documents}",
+    "v_text": """
+select 'd' || doc_id as id, text from {documents} union all select 'p' || page_id, html from {pages}
+union all select 'c' || conv_id || '.' || turn, text from {conversations}""",
+    # replies typed by a reviewer
+    "v_reply": """
+select p_partkey as id, case p_partkey%6
+  when 0 then '$' || p_retailprice || ' | ' || p_brand || ' | ' || p_size
+  when 1 then p_retailprice || '|' || p_name
+  when 2 then 'no pipe ' || p_size || ' cc'
+  when 3 then '$1,' || (p_size+100) || '.5 | x | many'
+  when 4 then 'go ' || p_size || ' citizens'
+  else 'anything, mellon' end as reply, p_size, p_partkey from {part}""",
+    # reference labels as text, with and without slogan, some unreadable
+    "v_label": """
+select p_partkey as id, case p_partkey%5 when 0 then cast(1960+p_size as string) when 1 then 'unknown ' || p_name
+  when 2 then (1960+p_size) || ' (' || p_brand || ')' else (1960+p_size) || ' ' || p_name end as label from {part}""",
 }
 
 # views that read other views

@@ -15,7 +15,8 @@ def magnitude_bucket(v: Column) -> Column:
     size = F.abs(v)
     exponent = F.floor(F.log10(size))
     code = (exponent + 400) * 1000 + F.floor(size / F.pow(F.lit(10.0), exponent - 2))
-    return F.when(v == 0, F.lit(0)).otherwise(F.when(v > 0, code).otherwise(-code)).cast("long")
+    signed = F.when(v == 0, F.lit(0)).otherwise(F.when(v > 0, code).otherwise(-code)).cast("long")
+    return F.coalesce(signed, F.lit(0).cast("long"))  # never NULL, so both uses of the counts stay one exchange
 
 
 def order_stats(df: DataFrame, keys: list[str], value: Column, ranks: dict[str, Column]) -> DataFrame:

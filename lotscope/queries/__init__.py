@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("market",)
+FAMILIES = ("functions", "market")
 
 
 def load():
