@@ -39,6 +39,16 @@ from {embeddings}""",
 select vec_id as entry_id, cast(1990+vec_id%12 as int) as year, 'Slogan ' || vec_id%7 as phrase,
        case when vec_id%3=0 then 'Basketball' else 'Football' end as type, embedding
 from {embeddings}""",
+    # history with real and stand-in ids, some missing
+    "v_hist": """
+select event_id as seq, case when event_type='error' then 'backfill|' || event_id%400
+         when event_id%11=0 then null else 'v1|' || user_id end as item_id,
+       'Seller ' || user_id%13 as seller,
+       case when event_type='error' then 'lot of ' || (user_id+event_id%3*60) || '!' else 'Lot of ' || user_id end as title,
+       case when event_type='purchase' then value end as asking,
+       case event_type when 'click' then 'auction' when 'view' then 'fixed' else 'unknown' end as buying_format,
+       cast(ts as string) as observed_at, event_type as source, value as best_score
+from {events}""",
     "v_catalogue": """
 select p_partkey as entry_id, p_name as slogan, 1960+p_size as year, p_type as type,
        '$' || p_retailprice as price, cast(p_partkey%4 as int) as needed, p_brand as brand

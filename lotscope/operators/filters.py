@@ -53,8 +53,8 @@ def gate_photos(photos: DataFrame, max_photos: int = S.MAX_PHOTOS, promising: fl
 
     ``photos`` holds (item_id, photo_idx from 0, score, title_has_year). Each photo of an item meets one summary row.
     """
-    lead = photos.where("photo_idx = 0").groupBy("item_id").agg(
-        F.max((F.col("score") >= promising) | F.col("title_has_year")).alias("_go"))
+    lead = photos.groupBy("item_id").agg(F.max(
+        F.col("title_has_year") | ((F.col("photo_idx") == 0) & (F.col("score") >= promising))).alias("_go"))
     near = photos.where(F.col("photo_idx") < max_photos).join(lead, "item_id", "left")
     return near.where((F.col("photo_idx") == 0) | F.coalesce("_go", F.lit(False))).drop("_go")
 

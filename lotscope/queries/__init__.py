@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("functions", "market")
+FAMILIES = ("functions", "market", "history")
 
 
 def load():

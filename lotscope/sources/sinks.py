@@ -33,12 +33,6 @@ def to_flat_master(master: DataFrame) -> DataFrame:
     return master.select(*[special.get(name, F.col(name)) for name in MASTER_COLUMNS])
 
 
-def cell(name: str) -> Column:
-    """NULL as an empty cell, flags as TRUE/FALSE."""
-    return F.coalesce(F.upper(F.col(name).cast("string")) if name.startswith(("is_", "det_is_", "shadow_enabled"))
-                      else F.col(name).cast("string"), F.lit(""))
-
-
 def flat_cells(records: DataFrame) -> DataFrame:
     """Flatten log records for a sheet: structs to prefixed columns, arrays and maps to JSON, NULL to "",
     booleans to TRUE/FALSE. Column names and order follow the record's schema."""
