@@ -52,6 +52,13 @@ from {events}""",
     "v_catalogue": """
 select p_partkey as entry_id, p_name as slogan, 1960+p_size as year, p_type as type,
        '$' || p_retailprice as price, cast(p_partkey%4 as int) as needed, p_brand as brand
+from {part}""",
+    # price rules as a sheet delivers them: all text, blanks, repeats, spelling variants
+    "v_rules": """
+select p_partkey as seq, ' ' || (1960+p_size) || ' ' as year,
+       case when p_partkey%50=0 then ' ' when p_partkey%3=0 then upper(p_name) || '!' else p_name end as slogan,
+       '$' || p_retailprice as max_price_single, cast(p_retailprice*3 as string) as max_price_year, p_brand as notes,
+       case p_partkey%5 when 0 then '' when 1 then '2' when 2 then '3.0' when 3 then '0' else 'x' end as amount_needed
 from {part}""",
     # marks on a page, and readings of the same page by a second reader
     "v_mark": """

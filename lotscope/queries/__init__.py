@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("functions", "market", "history")
+FAMILIES = ("functions", "market", "history", "rules")
 
 
 def load():

@@ -301,9 +301,9 @@ def p11(t):
 
 @query("w15_cap_running", on("v_match", body="""
 select item_id, k1, k2, k3, k4, cast(least(crops, greatest(0, 60-(through-crops))) as bigint) as taken from (
-  select *, cast(overall*50 as bigint) as crops, sum(cast(overall*50 as bigint)) over (partition by item_id order by k4,k1,k2,k3
+  select *, cast(round(overall*50) as bigint) as crops, sum(cast(round(overall*50) as bigint)) over (partition by item_id order by k4,k1,k2,k3
     rows unbounded preceding) as through from v_match)"""))
 def w15(t):
-    photos = t.view("v_match").withColumn("crops", (c("overall") * 50).cast("bigint"))
+    photos = t.view("v_match").withColumn("crops", F.round(c("overall") * 50).cast("bigint"))
     out = filters.cap_running(photos, [F.asc(k) for k in ("k4", "k1", "k2", "k3")], c("k4"), F.lit(60))
     return out.select("item_id", "k1", "k2", "k3", "k4", c("taken").cast("bigint").alias("taken"))

@@ -59,8 +59,9 @@ def check(spark, folder, job, sql):
     if got_cols != want_cols:
         return f"COLUMNS {got_cols} != {want_cols}", took, False
     if got != want:
-        only_got = [r for r in got if r not in set(want)][:3]
-        only_want = [r for r in want if r not in set(got)][:3]
+        have, need = set(got), set(want)
+        only_got = [r for r in got if r not in need][:3]
+        only_want = [r for r in want if r not in have][:3]
         return f"ROWS {len(got)} vs {len(want)}\n   spark {only_got}\n   sql   {only_want}\n   cols {got_cols}", took, False
     return f"ok {len(got)}", took, True
 
