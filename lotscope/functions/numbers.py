@@ -10,7 +10,7 @@ from lotscope import settings as S
 
 def norm_sim(sim: Column) -> Column:
     """Raw text similarity on the [0.15, 0.35] scale, clamped to [0, 1]."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (sim - S.TEXT_SIM_LOW) / (S.TEXT_SIM_HIGH - S.TEXT_SIM_LOW)))
+    return clamp((sim - S.TEXT_SIM_LOW) / (S.TEXT_SIM_HIGH - S.TEXT_SIM_LOW), 0.0, 1.0)
 
 
 def blend(image: Column, text: Column, rarity: Column) -> Column:
@@ -22,7 +22,8 @@ def blend(image: Column, text: Column, rarity: Column) -> Column:
 
 
 def clamp(c: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
+    """Limit to [lo, hi]; NULL stays NULL (greatest and least alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
 def tier(overall: Column, gap: Column) -> Column:

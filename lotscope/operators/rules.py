@@ -172,25 +172,29 @@ def _subset_rows(entries: DataFrame) -> DataFrame:
     return entries.select("idx", "year", F.explode(subsets).alias("s")).select("idx", "year", "s.subset", "s.size")
 
 
-def slogan_peers(entries: DataFrame, k: int = S.MAX_PEERS) -> DataFrame:
-    """Up to ``k`` entries of other years sharing most tokens with each entry (first entry on ties).
+def slogan_peers(entries: DataFrame, targets: DataFrame | None = None, k: int = S.MAX_PEERS) -> DataFrame:
+    """Up to ``k`` entries of other years sharing most tokens with each target (first entry on ties).
 
-    ``entries``: (idx, year, phrase). A token shared by very many entries is never expanded into pairs: entries are
+    ``entries`` and ``targets``: (idx, year, phrase); targets default to the entries themselves. A token shared by very many entries is never expanded into pairs: entries are
     listed under each of their token subsets, and per subset the first 2k entries, at most k of one year, already
     contain every possible winner. Entries with more than eight tokens go through a token join instead.
     """
-    tok = entries.select("idx", "year", F.array_sort(tx.content_tokens(F.col("phrase"))).alias("toks")).where("size(toks) > 0")
-    short, long = tok.where(F.size("toks") <= MAX_SUBSET_TOKENS), tok.where(F.size("toks") > MAX_SUBSET_TOKENS)
-    rows = _subset_rows(short)
+    tokens = lambda df: df.select("idx", "year", F.array_sort(tx.content_tokens(F.col("phrase"))).alias("toks")).where("size(toks) > 0")
+    limit = F.size("toks") <= MAX_SUBSET_TOKENS
+    pool = tokens(entries)
+    asked = pool if targets is None else tokens(targets)
+    rows = _subset_rows(pool.where(limit))
     lists = top_k(rows, ["subset", "year"], [F.asc("idx")], k, "_r").drop("_r")
     lists = top_k(lists, ["subset"], [F.asc("idx")], 2 * k, "_r").select("subset", F.col("idx").alias("peer"), F.col("year").alias("peer_year"))
-    pairs = rows.join(lists, "subset").where("year <> peer_year").groupBy("idx", "peer").agg(F.max("size").alias("shared"))
+    pairs = _subset_rows(asked.where(limit)).join(lists, "subset").where("year <> peer_year") \
+        .groupBy("idx", "peer").agg(F.max("size").alias("shared"))
 
     words = lambda df: df.select("idx", "year", F.explode("toks").alias("token"))
+
     def linked(a, b):
         right = words(b).select("token", F.col("idx").alias("peer"), F.col("year").alias("peer_year"))
         return words(a).join(right, "token").where("year <> peer_year").groupBy("idx", "peer").agg(F.count(F.lit(1)).cast("int").alias("shared"))
-    pairs = pairs.unionByName(linked(long, tok)).unionByName(linked(short, long))
+    pairs = pairs.unionByName(linked(asked.where(~limit), pool)).unionByName(linked(asked.where(limit), pool.where(~limit)))
     return top_k(pairs, ["idx"], [F.desc("shared"), F.asc("peer")], k)
 
 

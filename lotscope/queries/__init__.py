@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("functions", "market", "history", "rules")
+FAMILIES = ("functions", "market", "history", "rules", "vectors")
 
 
 def load():
