@@ -60,6 +60,27 @@ select p_partkey as seq, ' ' || (1960+p_size) || ' ' as year,
        '$' || p_retailprice as max_price_single, cast(p_retailprice*3 as string) as max_price_year, p_brand as notes,
        case p_partkey%5 when 0 then '' when 1 then '2' when 2 then '3.0' when 3 then '0' else 'x' end as amount_needed
 from {part}""",
+    # candidates per crop of a job
+    "v_cand": """
+select l_orderkey as job, cast(l_linenumber%2 as int) as crop, split_part(p_name,' ',2) as slogan,
+       cast(year(l_shipdate) as int) as year, p_brand as type, l_quantity/50 as overall, l_discount*10 as image_score,
+       case when p_type='ECONOMY' then cast(year(l_shipdate)+1 as int) end as game_year,
+       l_partkey as k1, l_suppkey as k2, l_extendedprice as k3, l_linenumber as k4
+from {lineitem} join {part} on l_partkey=p_partkey""",
+    # the same candidates under their full names
+    "v_named": """
+select l_orderkey as job, cast(l_linenumber%2 as int) as crop, p_name as slogan, cast(year(l_shipdate) as int) as year,
+       p_brand as type, l_quantity/50 as overall, l_partkey as k1, l_suppkey as k2, l_extendedprice as k3, l_linenumber as k4
+from {lineitem} join {part} on l_partkey=p_partkey""",
+    # one second reading per crop
+    "v_reading": """
+select job, crop, slogan, confidence, flagged, anchored, printed_year from (
+  select l_orderkey as job, cast(l_linenumber%2 as int) as crop,
+         case when p_size%7=0 then 'unlisted words' else upper(split_part(p_name,' ',2)) end as slogan,
+         case when l_linenumber<>5 then l_discount*10 end as confidence, p_size%11=0 as flagged, l_tax<0.07 as anchored,
+         case when l_returnflag='R' then cast(year(l_shipdate)+p_size%2 as int) end as printed_year,
+         row_number() over (partition by l_orderkey, l_linenumber%2 order by l_partkey, l_suppkey, l_extendedprice, l_linenumber) as rn
+  from {lineitem} join {part} on l_partkey=p_partkey) where rn=1""",
     # marks on a page, and readings of the same page by a second reader
     "v_mark": """
 select l_orderkey as job, l_partkey as k1, l_suppkey as k2, l_linenumber as k4, l_extendedprice%800 as x,

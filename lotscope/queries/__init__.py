@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("functions", "market", "history", "rules", "vectors")
+FAMILIES = ("functions", "market", "history", "rules", "vectors", "decisions")
 
 
 def load():

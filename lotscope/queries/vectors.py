@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lotscope.operators import filters, ranking, rules, vectors
 from lotscope.operators.records import best_first
+from lotscope.plans.lineage import cut_lineage
 from lotscope.plans.ranked import top_k
 from lotscope.queries.registry import query
 from lotscope.queries.rules import ids
@@ -66,13 +67,18 @@ def q_vectors(t):
 
 
 def entity(t):
+    """Materialised once: several steps of a ranking read it, and the block products are the costly part."""
+    return cut_lineage(entity_sims(t))
+
+
+def entity_sims(t):
     return vectors.best_sims(q_vectors(t), image_bank(t), ["year", "key"], exclude_same=True)
 
 
 def text(t, bank=None):
     bank = text_bank(t) if bank is None else bank
     best = vectors.best_sims(q_vectors(t), bank, ["year"], exclude_same=True)
-    return vectors.with_payload(best, bank, ["phrase", "type"])
+    return cut_lineage(vectors.with_payload(best, bank, ["phrase", "type"]))
 
 
 def bonus(t):
@@ -95,12 +101,12 @@ def s9(t):
 
 @query("j7_similarity", vec(" select q, arg_min(ref_id,(-sim,ref_id)) as ref_id, round(max(sim),9) as sim from si group by 1"))
 def j7(t):
-    return vectors.nearest(entity(t)).select("q", "ref_id", *r9("sim", digits=9))
+    return vectors.nearest(entity_sims(t)).select("q", "ref_id", *r9("sim", digits=9))
 
 
 @query("a12_year_image_best", vec(" select q, year, round(sim,9) as sim from image"))
 def a12(t):
-    return vectors.per_year(entity(t)).select("q", "year", *r9("sim", digits=9))
+    return vectors.per_year(entity_sims(t)).select("q", "year", *r9("sim", digits=9))
 
 
 @query("a13_year_text_best", vec(" select q, year, round(sim,9) as sim, phrase, type from text"))
@@ -110,7 +116,7 @@ def a13(t):
 
 @query("a14_entity_ref_sim", vec(" select q, year, key, round(sim,9) as sim from entity"))
 def a14(t):
-    return entity(t).select("q", "year", "key", *r9("sim", digits=9))
+    return entity_sims(t).select("q", "year", "key", *r9("sim", digits=9))
 
 
 CENTS = """,
