@@ -83,10 +83,15 @@ select job, crop, slogan, confidence, flagged, anchored, printed_year from (
   from {lineitem} join {part} on l_partkey=p_partkey) where rn=1""",
     # marks on a page, and readings of the same page by a second reader
     "v_mark": """
-select l_orderkey as job, l_partkey as k1, l_suppkey as k2, l_linenumber as k4, l_extendedprice%800 as x,
+select l_orderkey as job, l_partkey*10000000+l_suppkey*10+l_linenumber as i, l_extendedprice%800 as x,
        l_quantity*12 as y, 20+l_discount*200 as r, l_tax*10 as fill, l_returnflag='N' as is_reading,
-       l_linestatus as status
+       l_linestatus as status, l_discount*10 as confidence, l_linenumber as line
 from {lineitem}""",
+    # graded counts: what the detector selected, and what a reader counted
+    "v_graded": """
+select o_orderkey as seq, cast(o_orderdate as date) as day, case o_orderstatus when 'P' then 'auto' when 'O' then 'suggest' else 'manual' end as gate,
+       o_orderpriority as path, selected, reader_count
+from {orders} join (select l_orderkey, count(*) as selected, max(l_linenumber) as reader_count from {lineitem} group by l_orderkey) g on l_orderkey=o_orderkey""",
     "v_log_line": """
 select event_id, cast(ts as string) as ts, case
   when event_type='purchase' then '>>> TITLE: [needed ' || value || ' ' || (1970+user_id%40) || ' Slogan ' || user_id%9

@@ -19,11 +19,13 @@ def magnitude_bucket(v: Column) -> Column:
     return F.coalesce(signed, F.lit(0).cast("long"))  # never NULL, so both uses of the counts stay one exchange
 
 
-def order_stats(df: DataFrame, keys: list[str], value: Column, ranks: dict[str, Column]) -> DataFrame:
-    """Values at 1-based ``ranks`` (expressions over ``n``, the group's row count), plus ``n``."""
+def order_stats(df: DataFrame, keys: list[str], value: Column, ranks: dict[str, Column],
+                weight: Column | None = None) -> DataFrame:
+    """Values at 1-based ``ranks`` (expressions over ``n``, the group's row count), plus ``n``. A whole-number
+    ``weight`` makes a row stand for several."""
     if not keys:
-        return order_stats(df.withColumn("_all", F.lit(0)), ["_all"], value, ranks).drop("_all")
-    counted = df.groupBy(*keys, value.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+        return order_stats(df.withColumn("_all", F.lit(0)), ["_all"], value, ranks, weight).drop("_all")
+    counted = df.groupBy(*keys, value.alias("_v")).agg(F.sum(F.lit(1) if weight is None else weight).alias("_c"))
     counted = counted.withColumn("_b", magnitude_bucket(F.col("_v").cast("double")))
     along = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     buckets = counted.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
@@ -67,7 +69,7 @@ def exclusive_quartile(name: str, i: int) -> Column:
     return (F.col(f"{name}_a") * (4 - d) + F.col(f"{name}_b") * d) / 4
 
 
-def median(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+def median(df: DataFrame, keys: list[str], value: Column, name: str, weight: Column | None = None) -> DataFrame:
     """Exact median per group as ``name``, with the group's row count ``n``."""
-    stats = order_stats(df, keys, value, median_ranks(name))
+    stats = order_stats(df, keys, value, median_ranks(name), weight)
     return stats.withColumn(name, median_of(name)).drop(f"{name}_lo", f"{name}_hi")

@@ -32,18 +32,18 @@ def _before(blocks: DataFrame, keys: list[str], kinds: dict[str, str]) -> DataFr
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], block: Column,
-            measures: dict[str, tuple[Column, str]]) -> DataFrame:
-    """Add running ``sum`` / ``max`` / ``min`` measures, current row included, along ``order`` inside ``keys``.
+            measures: dict[str, tuple[Column, str]], inclusive: bool = True) -> DataFrame:
+    """Add running ``sum`` / ``max`` / ``min`` measures along ``order`` inside ``keys``, with or without the current row.
 
     ``block`` must be non-decreasing along ``order``; ``order`` must be total.
     """
     if not keys:
-        return running(df.withColumn("_all", F.lit(0)), ["_all"], order, block, measures).drop("_all")
+        return running(df.withColumn("_all", F.lit(0)), ["_all"], order, block, measures, inclusive).drop("_all")
     kinds = {name: kind for name, (_, kind) in measures.items()}
     base = df.withColumn("_block", block.cast("long"))
     totals = base.groupBy(*keys, "_block").agg(*[_AGG[kind](c).alias(name) for name, (c, kind) in measures.items()])
     before = _before(totals, keys, kinds)
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = base.withColumns({f"_l_{name}": _AGG[kind](c).over(inside) for name, (c, kind) in measures.items()})
     joined = local.join(before, [*keys, "_block"])
     joined = joined.withColumns({name: _MERGE[kind](F.col(f"_p_{name}"), F.col(f"_l_{name}"))

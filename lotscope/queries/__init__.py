@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("functions", "market", "history", "rules", "vectors", "decisions")
+FAMILIES = ("functions", "market", "history", "rules", "vectors", "decisions", "grading", "marks")
 
 
 def load():
