@@ -12,6 +12,7 @@ from lotscope.functions import geometry as geo
 from lotscope.functions.numbers import clamp
 from lotscope.plans import order_stats as st
 from lotscope.plans import spatial
+from lotscope.plans.lineage import cut_lineage
 from lotscope.plans.prefix import number_rows, running
 from lotscope.sources.sinks import label_name
 
@@ -77,14 +78,15 @@ def banded(marks: DataFrame, col: str, name: str = "band") -> DataFrame:
     in one-pixel blocks, so a crowded job spreads over many tasks."""
     places = marks.groupBy("job", F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     block = F.floor("v")
-    steps = running(places, ["job"], [F.asc("v")], block, {"prev": (F.col("v"), "max")}, inclusive=False) \
-        .withColumn("gap", F.col("v") - F.col("prev"))
+    steps = cut_lineage(running(places, ["job"], [F.asc("v")], block, {"prev": (F.col("v"), "max")}, inclusive=False)
+                        .withColumn("gap", F.col("v") - F.col("prev")))
     gaps = steps.select("job", F.explode(F.array(F.struct(F.col("gap").alias("g"), F.lit(1).cast("long").alias("k")),
                                                  F.struct(F.lit(0.0).alias("g"), (F.col("c") - 1).alias("k")))).alias("s")).select("job", "s.g", "s.k")
     med = st.median(gaps.where("g is not null and k > 0"), ["job"], F.col("g"), "med_gap", F.col("k")).select("job", "med_gap")
     marked = steps.join(median_radius(marks), "job").join(med, "job", "left")
     cut = F.coalesce(F.col("gap") > F.greatest(F.col("med_gap") * 1.5, F.col("median_r") * 1.5), F.lit(False))
-    numbered = running(marked.select("job", "v", cut.cast("int").alias("cut")), ["job"], [F.asc("v")], block, {name: (F.col("cut"), "sum")})
+    marked = cut_lineage(marked.select("job", "v", cut.cast("int").alias("cut")))
+    numbered = running(marked, ["job"], [F.asc("v")], block, {name: (F.col("cut"), "sum")})
     return marks.join(numbered.select("job", F.col("v").alias(col), name), ["job", col])
 
 
@@ -93,10 +95,15 @@ def bands(marks: DataFrame, col: str) -> DataFrame:
     return banded(marks, col).groupBy("job", "band").agg(F.count(F.lit(1)).alias("n"), F.avg(col).alias("center"))
 
 
+def gridded(marks: DataFrame) -> DataFrame:
+    """Marks with their row and column band, materialised because several steps read them."""
+    return cut_lineage(banded(cut_lineage(banded(marks, "y", "row")), "x", "col"))
+
+
 def layout(marks: DataFrame) -> DataFrame:
     """Rows, columns, share of marks near a grid crossing, and outliers. The nearest band centre of a mark is that
     of its own band or of a neighbour, so each mark meets three centres per axis."""
-    both = banded(banded(marks, "y", "row"), "x", "col")
+    both = gridded(marks)
 
     def with_distance(df, band, col, out):
         centers = df.groupBy("job", band).agg(F.avg(col).alias("c"))
@@ -113,7 +120,7 @@ def layout(marks: DataFrame) -> DataFrame:
 
 def reading_order(marks: DataFrame) -> DataFrame:
     """Position of each mark in reading order: by row band, then x."""
-    rows = banded(marks, "y", "row")
+    rows = cut_lineage(banded(marks, "y", "row"))
     block = F.col("row") * 100000 + F.floor("x")
     return number_rows(rows, ["job"], [F.asc("row"), F.asc("x"), F.asc("i")], block, "position")
 
@@ -121,7 +128,7 @@ def reading_order(marks: DataFrame) -> DataFrame:
 def grid_holes(marks: DataFrame) -> DataFrame:
     """Empty cells with marks on both sides in their row, on regular grids (every mark within half a median radius
     of its column centre). Columns are the x bands, so each is occupied by some row."""
-    grid = banded(banded(marks, "y", "row"), "x", "col")
+    grid = gridded(marks)
     cols = grid.groupBy("job", "col").agg(F.avg("x").alias("cx"))
     rows = grid.groupBy("job", "row").agg(F.avg("y").alias("cy"), F.min("col").alias("lo"), F.max("col").alias("hi"))
     off = grid.join(cols, ["job", "col"]).join(median_radius(marks), "job").where(F.abs(F.col("x") - F.col("cx")) > 0.5 * F.col("median_r"))
@@ -149,7 +156,7 @@ def covered(marks: DataFrame, readings: DataFrame, factor: float = 1.0) -> DataF
 def reconcile(marks: DataFrame, readings: DataFrame) -> DataFrame:
     """Plan per job: ``covered`` pairs; ``recovered`` readings, as many as marks are missing, farthest first;
     unbacked off-mask marks ``dropped``, each ``swapped`` for a confident uncovered reading while there is one."""
-    links = spatial.cut_lineage(covered(marks, readings))
+    links = cut_lineage(covered(marks, readings))
     free_marks = marks.join(links, ["job", "i"], "left_anti")
     free = readings.join(links.select("job", F.col("j").alias("i")), ["job", "i"], "left_anti")
     away = spatial.nearest(free, marks)
@@ -157,7 +164,7 @@ def reconcile(marks: DataFrame, readings: DataFrame) -> DataFrame:
     n_r, n_m = [d.groupBy("job").agg(F.count(F.lit(1)).alias(c)) for d, c in ((readings, "n_r"), (marks, "n_m"))]
     deficit = n_r.join(n_m, "job", "left").select("job", F.greatest(F.lit(0), F.col("n_r") - F.coalesce("n_m", F.lit(0))).alias("deficit"))
     order = [F.desc("nn"), F.desc("i")]
-    ranked = spatial.cut_lineage(number_rows(far, ["job"], order, -F.ceil("nn"), "k").join(deficit, "job"))
+    ranked = cut_lineage(number_rows(far, ["job"], order, -F.ceil("nn"), "k").join(deficit, "job"))
     recovered = ranked.where("k <= deficit")
     spare = number_rows(ranked.where((F.col("k") > F.col("deficit")) & (F.col("confidence") >= S.SWAP_MIN_CONFIDENCE)), ["job"], order, -F.ceil("nn"), "s")
     phantoms = number_rows(free_marks.where(F.col("fill") < S.SWAP_OFF_MASK), ["job"], [F.asc("fill"), F.asc("i")],
@@ -171,7 +178,7 @@ def reconcile(marks: DataFrame, readings: DataFrame) -> DataFrame:
 
 def agreement_summary(marks: DataFrame, readings: DataFrame) -> DataFrame:
     """Per job: links, upper median and maximum link length, marks and readings left over."""
-    links = spatial.cut_lineage(covered(marks, readings))
+    links = cut_lineage(covered(marks, readings))
     snap = st.order_stats(links, ["job"], F.col("d"), {"snap_median": F.floor(F.col("n") / 2) + 1, "snap_max": F.col("n")}) \
         .withColumnRenamed("n", "n_agree")
     count = lambda d, c: d.groupBy("job").agg(F.count(F.lit(1)).alias(c))
@@ -216,7 +223,7 @@ def merge_marks(primary: DataFrame, proposals: DataFrame, fill_floor: float) ->
         .withColumnsRenamed({"x": "px", "y": "py"})
     at = fit.withColumns({"cx": F.floor(F.col("x") / 64.0), "cy": F.floor(F.col("y") / 64.0)})
     near = F.hypot(at["x"] - pr["px"], at["y"] - pr["py"]) < 0.7 * F.least(at["r"], pr["pr"])
-    free = spatial.cut_lineage(at.join(pr, (at["job"] == pr["job"]) & (at["cx"] == pr["cx"]) & (at["cy"] == pr["cy"]) & near, "left_anti").drop("cx", "cy"))
+    free = cut_lineage(at.join(pr, (at["job"] == pr["job"]) & (at["cx"] == pr["cx"]) & (at["cy"] == pr["cy"]) & near, "left_anti").drop("cx", "cy"))
     early = spatial.covering(free.select("job", F.col("i").alias("before"), "x", "y", F.col("r").alias("br")), F.col("br") * 0.85, 64.0) \
         .withColumnsRenamed({"x": "bx", "y": "by"})
     late = free.withColumns({"cx": F.floor(F.col("x") / 64.0), "cy": F.floor(F.col("y") / 64.0)})
@@ -237,12 +244,12 @@ def collapse_concentric(marks: DataFrame) -> DataFrame:
 
     own = first_by(marks, ["job", "x", "y", "r"], [F.desc("fill"), F.asc("i")]).withColumn(
         "o", F.struct((-F.col("r")).alias("a"), F.col("x").alias("b"), F.col("y").alias("c"), F.col("i").alias("d")))
-    state = spatial.cut_lineage(own.select("job", "i", "x", "y", "r", "fill", "o", F.lit(0).alias("st"), F.col("o").alias("slot")))
+    state = cut_lineage(own.select("job", "i", "x", "y", "r", "fill", "o", F.lit(0).alias("st"), F.col("o").alias("slot")))
     disc = spatial.covering(state.select("job", F.col("i").alias("k"), "x", "y", F.col("r").alias("kr")), 0.35 * F.col("kr"), 64.0).withColumnsRenamed({"x": "kx", "y": "ky"})
     at = state.select("job", "i", "x", "y", "r", F.floor(F.col("x") / 64.0).alias("cx"), F.floor(F.col("y") / 64.0).alias("cy"))
     touch = (F.col("i") != F.col("k")) & (F.hypot(F.col("x") - F.col("kx"), F.col("y") - F.col("ky")) < 0.35 * F.col("kr"))
     half = at.join(disc, ["job", "cx", "cy"]).where(touch).select("job", "i", "k")
-    edges = spatial.cut_lineage(half.unionByName(half.select("job", F.col("k").alias("i"), F.col("i").alias("k"))).distinct())
+    edges = cut_lineage(half.unionByName(half.select("job", F.col("k").alias("i"), F.col("i").alias("k"))).distinct())
     while not state.where("st = 0").isEmpty():
         first = state.select("job", "i", F.when(F.col("st") == 0, F.col("o")).alias("m"))
         for _ in range(2):
@@ -255,7 +262,7 @@ def collapse_concentric(marks: DataFrame) -> DataFrame:
         decided = ready.join(clash, ["job", "i"], "left").withColumn("wins", F.col("c").isNull() | (F.col("fill") > F.col("c.k_fill")))
         news = decided.select("job", "i", F.when(F.col("wins"), 1).otherwise(2).alias("n_st"), F.coalesce("c.k_slot", "o").alias("n_slot"))
         lost = decided.where(F.col("wins") & F.col("c").isNotNull()).select("job", F.col("c.k").alias("i"), F.lit(2).alias("n_st"), F.col("c.k_slot").alias("n_slot"))
-        state = spatial.cut_lineage(state.join(news.unionByName(lost), ["job", "i"], "left").select(
+        state = cut_lineage(state.join(news.unionByName(lost), ["job", "i"], "left").select(
             "job", "i", "x", "y", "r", "fill", "o", F.coalesce("n_st", "st").alias("st"), F.coalesce("n_slot", "slot").alias("slot")))
     return marks.join(state.where("st = 1").select("job", "i"), ["job", "i"], "left_semi")
 
