@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("functions", "market", "history", "rules", "vectors", "decisions", "grading", "marks")
+FAMILIES = ("functions", "market", "history", "rules", "vectors", "decisions", "grading", "marks", "payloads")
 
 
 def load():
