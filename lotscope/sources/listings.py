@@ -38,7 +38,7 @@ def _listing_a(i, fallback_images: Column) -> list[Column]:
 
 def flatten_listings_a(pages: DataFrame, payload: str = "payload", keep=()) -> DataFrame:
     """Search pages of the first marketplace, one row per item with an id."""
-    items = pages.select(*keep, F.explode(F.from_json(payload, PAGE_A)["itemSummaries"]).alias("i"))
+    items = pages.select(*keep, F.explode_outer(F.from_json(payload, PAGE_A)["itemSummaries"]).alias("i"))
     i = lambda name: F.col(f"i.{name}")
     return items.where(i("itemId") != "").select(*keep, *_listing_a(i, i("thumbnailImages")))
 
@@ -60,7 +60,7 @@ def item_photos(items: DataFrame, payload: str = "payload", keep=()) -> DataFram
 def flatten_listings_b(pages: DataFrame, payload: str = "payload", keep=()) -> DataFrame:
     """Search pages of the second marketplace: amount over divisor (0 or missing counts as 100), prefixed ids,
     full-size image with the smaller one as fallback. Items without an id are malformed and dropped."""
-    rows = pages.select(*keep, F.explode(F.from_json(payload, PAGE_B)["results"]).alias("r")).where("r.listing_id is not null")
+    rows = pages.select(*keep, F.explode_outer(F.from_json(payload, PAGE_B)["results"]).alias("r")).where("r.listing_id is not null")
     r = lambda name: F.col(f"r.{name}")
     divisor = F.when(F.coalesce(r("price.divisor"), F.lit(0.0)) == 0, 100.0).otherwise(r("price.divisor"))
     image = F.get(r("images"), F.lit(0))

@@ -43,24 +43,24 @@ def parse_analysis(df: DataFrame, raw: str) -> DataFrame:
         "n_flagged": F.coalesce(F.size("a.flagged_problem_slogans"), zero)})
 
 
-def _typed(s: Column, pos: Column) -> Column:
-    """One detected slogan with typed fields."""
-    return F.struct(
-        pos.alias("pos"), nm.loose_int(s["index"], pos + 1).alias("index"), F.trim(s["slogan"]).alias("slogan"),
-        nm.loose_float(s["x"]).alias("x"), nm.loose_float(s["y"]).alias("y"),
-        nm.loose_float(F.coalesce(s["radius"], s["size"])).alias("size"), nm.size_class(F.coalesce(s["size_class"], s["size"])).alias("size_class"),
-        nm.loose_float(F.coalesce(s["edge"]["x"], s["edge_x"])).alias("edge_x"), nm.loose_float(F.coalesce(s["edge"]["y"], s["edge_y"])).alias("edge_y"),
-        nm.parse_confidence(s["confidence"]).alias("confidence"), nm.parse_printed_year(s["printed_year"]).alias("printed_year"))
-
-
 def parse_readings(df: DataFrame, raw: str, keys: list[str]) -> DataFrame:
     """One row per detected slogan with typed fields, blanks dropped. The coordinate scale of a response is read off
-    its own array, so nothing is shuffled."""
+    its own array, so nothing is shuffled; typing happens after the explode, in generated code.
+
+    The explode is an outer one because Spark would otherwise push a size filter, and with it the whole parsing, down
+    to the scan and parse everything twice; the blank filter removes the empty rows."""
     slogans = analysis_text(df, raw).select(*keys, F.from_json("_text", "detected_slogans " + SLOGANS)["detected_slogans"].alias("_s"))
-    named = slogans.select(*keys, F.filter(F.transform("_s", _typed), lambda r: r["slogan"] != "").alias("_r"))
-    top = F.array_max(F.transform("_r", lambda r: F.greatest(r["x"], r["y"], r["edge_x"], r["edge_y"])))
-    rows = named.select(*keys, top.alias("_top"), F.explode("_r").alias("_r")).select(*keys, "_top", "_r.*")
-    return _rescale(rows)
+    coords = lambda s: F.when(F.trim(s["slogan"]) != "", F.greatest(*[nm.loose_float(v) for v in (
+        s["x"], s["y"], F.coalesce(s["edge"]["x"], s["edge_x"]), F.coalesce(s["edge"]["y"], s["edge_y"]))]))
+    rows = slogans.select(*keys, F.array_max(F.transform("_s", coords)).alias("_top"), F.posexplode_outer("_s").alias("pos", "s"))
+    s = lambda name: F.col(f"s.{name}")
+    typed = rows.where(F.trim(s("slogan")) != "").select(
+        *keys, "_top", "pos", nm.loose_int(s("index"), F.col("pos") + 1).alias("index"), F.trim(s("slogan")).alias("slogan"),
+        nm.loose_float(s("x")).alias("x"), nm.loose_float(s("y")).alias("y"),
+        nm.loose_float(F.coalesce(s("radius"), s("size"))).alias("size"), nm.size_class(F.coalesce(s("size_class"), s("size"))).alias("size_class"),
+        nm.loose_float(F.coalesce(s("edge.x"), s("edge_x"))).alias("edge_x"), nm.loose_float(F.coalesce(s("edge.y"), s("edge_y"))).alias("edge_y"),
+        nm.parse_confidence(s("confidence")).alias("confidence"), nm.parse_printed_year(s("printed_year")).alias("printed_year"))
+    return _rescale(typed)
 
 
 def _rescale(rows: DataFrame) -> DataFrame:
