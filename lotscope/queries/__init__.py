@@ -2,7 +2,9 @@
 
 import importlib
 
-FAMILIES = ("functions", "market", "history", "rules", "vectors", "decisions", "grading", "marks", "payloads")
+FAMILIES = (
+    "functions", "market", "history", "rules", "vectors", "decisions", "grading", "marks", "payloads", "streams",
+)
 
 
 def load():
