@@ -10,6 +10,7 @@ from lotscope.functions import numbers as nm
 from lotscope.functions import text as tx
 from lotscope.operators.filters import needed_hits
 from lotscope.operators.rules import lookup_rule, twin_guard
+from lotscope.plans.lineage import cut_lineage
 from lotscope.plans.ranked import first_by, top_k, top_n
 
 CROP = ["job", "crop"]
@@ -72,7 +73,7 @@ def resolve_pass2(agree: DataFrame, pass1: DataFrame) -> DataFrame:
 
 def resolve(cands: DataFrame, readings: DataFrame) -> DataFrame:
     """Both passes: one row per crop on which the two readers agree."""
-    agree = agreeing(ranked_candidates(cands), readings)
+    agree = cut_lineage(agreeing(ranked_candidates(cands), readings))  # both passes read it, the second one three times
     first = resolve_pass1(agree)
     return first.unionByName(resolve_pass2(agree, first))
 

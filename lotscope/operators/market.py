@@ -8,18 +8,27 @@ from pyspark.sql import functions as F
 from lotscope.functions.numbers import price_band
 from lotscope.operators.records import derive_listing
 from lotscope.plans import order_stats as st
+from lotscope.plans.lineage import cut_lineage
 from lotscope.plans.ranked import top_n
 
 
 def supply_by_year(records: DataFrame) -> DataFrame:
     """Listings whose composition touches each year, priced or not."""
-    years = derive_listing(records).select(F.explode(F.map_keys("year_counts")).alias("year"))
+    return _supply(derive_listing(records))
+
+
+def _supply(derived: DataFrame) -> DataFrame:
+    years = derived.select(F.explode(F.map_keys("year_counts")).alias("year"))
     return years.groupBy("year").agg(F.count(F.lit(1)).alias("supply"))
 
 
 def comps(records: DataFrame) -> DataFrame:
     """Priced single-year listings with their asking price per unit."""
-    d = derive_listing(records).where((F.col("asking") > 0) & F.col("single_year").isNotNull() & (F.col("single_year") != ""))
+    return _comps(derive_listing(records))
+
+
+def _comps(derived: DataFrame) -> DataFrame:
+    d = derived.where((F.col("asking") > 0) & F.col("single_year").isNotNull() & (F.col("single_year") != ""))
     return d.select(F.col("single_year").alias("year"), (F.col("asking") / F.col("unit_count")).alias("cost"), "unit_count")
 
 
@@ -31,7 +40,8 @@ def cost_per_unit(records: DataFrame, min_comps: int = 1) -> DataFrame:
     n = F.col("n")
     both = F.explode(F.array(F.struct(F.lit("cost").alias("m"), F.col("cost").alias("v")),
                              F.struct(F.lit("lot").alias("m"), F.col("unit_count").cast("double").alias("v"))))
-    sample = comps(records).select("year", both.alias("_s")).select("year", F.col("_s.m").alias("m"), F.col("_s.v").alias("v"))
+    derived = cut_lineage(derive_listing(records))  # read by the price ranks, twice, and by the supply count
+    sample = _comps(derived).select("year", both.alias("_s")).select("year", F.col("_s.m").alias("m"), F.col("_s.v").alias("v"))
     ranks = {**st.median_ranks("median"), **st.exclusive_quartile_ranks("p25", 1), **st.exclusive_quartile_ranks("p75", 3),
              "min": F.lit(1), "max": n}
     stats = st.order_stats(sample, ["year", "m"], F.col("v"), ranks).where(n >= min_comps)
@@ -41,7 +51,7 @@ def cost_per_unit(records: DataFrame, min_comps: int = 1) -> DataFrame:
     of = lambda m, c: F.max(F.when(F.col("m") == m, c))
     table = stats.groupBy("year").agg(F.max("n").alias("n"), *[of("cost", c).alias(k) for k, c in values.items()],
                                       F.floor(of("lot", values["median"])).alias("median_lot"))
-    return table.join(supply_by_year(records), "year", "left").withColumn("supply", F.coalesce("supply", F.lit(0)))
+    return table.join(_supply(derived), "year", "left").withColumn("supply", F.coalesce("supply", F.lit(0)))
 
 
 def no_comp_years(records: DataFrame, min_comps: int = 1) -> DataFrame:

@@ -1,8 +1,8 @@
 """Ordered computations over whole tables without sorting a table, or a hot key, in one task.
 
 Rows are cut into blocks by an integer expression that follows the order (an id or a time, divided by a block
-width). Work inside a block is a window over ``keys + block``; what crosses blocks is one small row per block,
-and those rows are again cut into spans, so no window ever holds more than a block or a span.
+width). Work inside a block is a window over ``keys + block``; what crosses blocks is one small row per block. For an
+order over a whole table those rows are cut into spans once more, so no window holds more than a block or a span.
 """
 
 from __future__ import annotations
@@ -17,16 +17,20 @@ _MERGE = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def _before(blocks: DataFrame, keys: list[str], kinds: dict[str, str]) -> DataFrame:
-    """For every block, the merge of all earlier blocks of the same keys (NULL when there is none)."""
+def _before(blocks: DataFrame, keys: list[str], kinds: dict[str, str], spans: bool) -> DataFrame:
+    """For every block, the merge of all earlier blocks of the same keys (NULL when there is none). ``spans`` cuts
+    the block rows once more, for orders over a whole table."""
+    if not spans:
+        w = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        return blocks.select(*keys, "_block", *[_AGG[k](c).over(w).alias(f"_p_{c}") for c, k in kinds.items()])
     spanned = blocks.withColumn("_span", F.floor(F.col("_block") / SPAN))
-    spans = spanned.groupBy(*keys, "_span").agg(*[_AGG[k](c).alias(c) for c, k in kinds.items()])
+    totals = spanned.groupBy(*keys, "_span").agg(*[_AGG[k](c).alias(c) for c, k in kinds.items()])
     across = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select(*keys, "_span", *[_AGG[k](c).over(across).alias(f"_s_{c}") for c, k in kinds.items()])
+    totals = totals.select(*keys, "_span", *[_AGG[k](c).over(across).alias(f"_s_{c}") for c, k in kinds.items()])
     inside = Window.partitionBy(*keys, "_span").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     spanned = spanned.select(*keys, "_span", "_block",
                              *[_AGG[k](c).over(inside).alias(f"_b_{c}") for c, k in kinds.items()])
-    merged = spanned.join(spans, [*keys, "_span"])
+    merged = spanned.join(totals, [*keys, "_span"])
     return merged.select(*keys, "_block",
                          *[_MERGE[k](F.col(f"_s_{c}"), F.col(f"_b_{c}")).alias(f"_p_{c}") for c, k in kinds.items()])
 
@@ -42,7 +46,7 @@ def running(df: DataFrame, keys: list[str], order: list[Column], block: Column,
     kinds = {name: kind for name, (_, kind) in measures.items()}
     base = df.withColumn("_block", block.cast("long"))
     totals = base.groupBy(*keys, "_block").agg(*[_AGG[kind](c).alias(name) for name, (c, kind) in measures.items()])
-    before = _before(totals, keys, kinds)
+    before = _before(totals, keys, kinds, spans=keys == ["_all"])
     inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = base.withColumns({f"_l_{name}": _AGG[kind](c).over(inside) for name, (c, kind) in measures.items()})
     joined = local.join(before, [*keys, "_block"])

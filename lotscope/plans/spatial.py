@@ -135,28 +135,40 @@ def nearest(a: DataFrame, b: DataFrame, self_join: bool = False, small: int = SM
     return out
 
 
-def suppress(points: DataFrame, strength: str, sep: float) -> DataFrame:
+def suppress(points: DataFrame, strength: str, sep: float, small: int = SMALL) -> DataFrame:
     """Keep the strongest points so that no two kept ones of a job are closer than ``sep`` (lowest i on ties).
 
-    A cell is small enough that at most one of its points can survive; each round only the leader of a cell
-    competes with the leaders around it, so crowded cells and copies cost one row per round.
+    Jobs of at most ``small`` points list their conflicts directly; larger ones compete by cells.
     """
     if sep <= 0:
         return points
-    left = cut_lineage(_cells(points.withColumn("_size", F.lit(sep / 2 ** 0.5 * (1 - 1e-9))), "_size").withColumn(
-        "_o", F.struct(F.col(strength).cast("double").alias("s"), (-F.col("i")).alias("m"))))
-    kept: list[DataFrame] = []
+    sizes = points.groupBy("job").agg((F.count(F.lit(1)) > small).alias("_large"))
+    ordered = cut_lineage(points.join(sizes, "job").withColumn("_o", F.struct(F.col(strength).cast("double").alias("s"), (-F.col("i")).alias("m"))))
+    few, many = ordered.where(~F.col("_large")).drop("_large"), ordered.where("_large").drop("_large")
+    other = few.select("job", F.col("i").alias("before"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("_o").alias("b_o"))
+    edges = few.join(other, "job").where((F.col("b_o") > F.col("_o")) & _closer("bx", "by", sep)).select("job", "i", "before")
+    kept = few.join(greedy_independent(few, edges), ["job", "i"], "left_semi").select(*points.columns)
+    return kept.unionByName(_suppress_by_cells(many, points.columns, sep))
+
+
+def _closer(x: str, y: str, sep: float) -> Column:
+    dx, dy = F.col("x") - F.col(x), F.col("y") - F.col(y)
+    return dx * dx + dy * dy < sep * sep
+
+
+def _suppress_by_cells(points: DataFrame, columns: list[str], sep: float) -> DataFrame:
+    """A cell is small enough that at most one of its points can survive; each round only the leader of a cell
+    competes with the leaders around it, so crowded cells and copies cost one row per round."""
+    left = cut_lineage(_cells(points.withColumn("_size", F.lit(sep / 2 ** 0.5 * (1 - 1e-9))), "_size"))
+    out = points.select(*columns).where(F.lit(False))
     while not left.isEmpty():
         lead = first_by(left, ["job", "cx", "cy"], [F.desc("_o")])
         around = _cells(lead.select("job", "x", "y", "_size", F.col("_o").alias("_r")), "_size", 2).groupBy("job", "cx", "cy").agg(F.max("_r").alias("_r"))
         won = cut_lineage(lead.join(around, ["job", "cx", "cy"]).where(F.col("_o") >= F.col("_r")).drop("_r"))
-        kept.append(won.select(*points.columns))
+        out = out.unionByName(won.select(*columns))
         near = _cells(won.select("job", "_size", "x", "y"), "_size", 2).drop("_size").withColumnsRenamed({"x": "wx", "y": "wy"})
-        close = (F.col("x") - F.col("wx")) * (F.col("x") - F.col("wx")) + (F.col("y") - F.col("wy")) * (F.col("y") - F.col("wy")) < sep * sep
-        left = cut_lineage(left.join(near, (left["job"] == near["job"]) & (left["cx"] == near["cx"]) & (left["cy"] == near["cy"]) & close, "left_anti"))
-    out = kept[0] if kept else points.limit(0)
-    for p in kept[1:]:
-        out = out.unionByName(p)
+        same = (left["job"] == near["job"]) & (left["cx"] == near["cx"]) & (left["cy"] == near["cy"])
+        left = cut_lineage(left.join(near, same & _closer("wx", "wy", sep), "left_anti"))
     return out
 
 
@@ -180,12 +192,16 @@ def inside_any(points: DataFrame, circles: DataFrame, radius: Column, cell: floa
 def greedy_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes (job, i) accepted in order when no earlier accepted node conflicts. ``edges``: (job, i, before), where
     ``before`` is an earlier conflicting node. Rejected as soon as one earlier is accepted; accepted once all are rejected."""
-    state = cut_lineage(nodes.select("job", "i").withColumn("st", F.lit(0)))
     edges = cut_lineage(edges)
+    free = nodes.select("job", "i").join(edges.select("job", "i").distinct(), ["job", "i"], "left_anti")
+    state = edges.select("job", "i").distinct().withColumn("st", F.lit(0))
+    firsts = edges.select("job", F.col("before").alias("i")).distinct().join(free, ["job", "i"], "left_semi").withColumn("st", F.lit(1))
+    state = cut_lineage(state.unionByName(firsts))
     while not state.where("st = 0").isEmpty():
         prior = edges.join(state.select("job", F.col("i").alias("before"), F.col("st").alias("b")), ["job", "before"]) \
             .groupBy("job", "i").agg(F.max((F.col("b") == 1).cast("int")).alias("taken"), F.max((F.col("b") == 0).cast("int")).alias("open"))
         step = state.join(prior, ["job", "i"], "left")
         new = F.when(F.col("st") != 0, F.col("st")).when(F.col("taken") == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0)
         state = cut_lineage(step.select("job", "i", new.alias("st")))
-    return state.where("st = 1").select("job", "i")
+    won = state.where("st = 1").select("job", "i")
+    return free.join(won, ["job", "i"], "left_anti").unionByName(won)
