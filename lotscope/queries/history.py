@@ -245,6 +245,12 @@ def p5(t):
     return filters.unseen(t.view("v_listing"), seen(t)).select("item_id")
 
 
+@query("j2_seen_anti_join", on("v_hist", body="select seq from v_hist h where not exists (select 1 from v_hist s where s.item_id=h.item_id and s.source='signup')"))
+def j2(t):
+    h = t.view("v_hist")
+    return filters.unseen(h, h.where("source = 'signup'")).select("seq")
+
+
 SHIPPED = "shipped as (select l_orderkey as item_id, cast(cast(l_shipdate as date) as string) as seen_date from lineitem)"
 
 

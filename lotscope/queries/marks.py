@@ -11,7 +11,8 @@ from lotscope.queries.registry import query
 from lotscope.queries.sql import on
 
 c = F.col
-W, H = F.lit(800.0), F.lit(600.0)
+lit = F.lit
+WIDTH, HEIGHT = 800.0, 600.0
 KEYS = "job, i, x"
 
 
@@ -52,9 +53,9 @@ def f26(t):
  round(case when sqrt(power(x/10/100*800-x,2)+power(y/10/100*600-y,2))>0 then sqrt(power(x/10/100*800-x,2)+power(y/10/100*600-y,2)) end,6) as from_edge,
  greatest(0, cast(round_even(x-r-floor(r*0.1),0) as int)) as x1, least(800, cast(round_even(x+r+floor(r*0.1),0) as int)) as x2 from v_mark"""))
 def f27(t):
-    box = geo.synth_box(c("x"), c("y"), c("r"), W, H)
-    out = t.view("v_mark").select(*key, F.round(geo.pct_to_px(c("x"), W), 6).alias("px"), F.round(geo.size_to_radius(c("fill") * 10, W, H), 6).alias("from_size"),
-                                  F.round(geo.radius_from_edge(c("x") / 10, c("y") / 10, c("x"), c("y"), W, H), 6).alias("from_edge"), box.alias("b"))
+    box = geo.synth_box(c("x"), c("y"), c("r"), lit(WIDTH), lit(HEIGHT))
+    out = t.view("v_mark").select(*key, F.round(geo.pct_to_px(c("x"), lit(WIDTH)), 6).alias("px"), F.round(geo.size_to_radius(c("fill") * 10, lit(WIDTH), lit(HEIGHT)), 6).alias("from_size"),
+                                  F.round(geo.radius_from_edge(c("x") / 10, c("y") / 10, c("x"), c("y"), lit(WIDTH), lit(HEIGHT)), 6).alias("from_edge"), box.alias("b"))
     return out.select(*key, "px", "from_size", "from_edge", "b.x1", "b.x2")
 
 
@@ -123,7 +124,7 @@ def f33(t):
  select n, k, cast(r as int) as r, abs(ln((800.0/(n/r))/(600.0/r))) as score from (select n, count(*) as k from (select cast(count(*) as int) as n from v_mark group by job) group by 1), unnest(range(1,n+1)) u(r) where n%r=0) group by n"""))
 def f34(t):
     sizes = t.view("v_mark").groupBy("job").agg(F.count(F.lit(1)).cast("int").alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("n_jobs"))
-    return sizes.select("n", geo.infer_grid(c("n"), H, W).alias("g"), "n_jobs").select("n", "g.*", "n_jobs")
+    return sizes.select("n", geo.infer_grid(c("n"), lit(HEIGHT), lit(WIDTH)).alias("g"), "n_jobs").select("n", "g.*", "n_jobs")
 
 
 @query("f35_sweep_radii", on("v_mark", body=f"""select {KEYS}, array_to_string(list_transform(list_filter(range(1,5), lambda k: k=1 or not list_contains(a[1:k-1], a[k])), lambda k: a[k]),',') as radii
@@ -173,7 +174,7 @@ NN = ", nn as (select a.job, a.i, a.x, min(sqrt(power(a.x-b.x,2)+power(a.y-b.y,2
  +0.1*case when cov<=0.4 then cov/0.4 else greatest(0,1-(cov-0.4)/0.6) end,6) as score from (select job, count(*) as n, avg(fill) as fl, avg(r) as rm, stddev_pop(r) as rs, count(*)*pi()*any_value(mr)*any_value(mr)/480000.0 as cov from m join med using (job) group by 1)
  left join (select job, avg(nn) as nm, stddev_pop(nn) as ns from nn group by 1) using (job)"""))
 def a29(t):
-    return r6(mk.mark_set_score(marks(t), 800.0, 600.0), "score")
+    return r6(mk.mark_set_score(marks(t), WIDTH, HEIGHT), "score")
 
 
 @query("a31_median_radius", mark_sql(MED + " select job, round(mr,6) as median_r from med"))
@@ -184,7 +185,7 @@ def a31(t):
 @query("a31_spacing_radius", mark_sql(NN + """ select job, round(case when q is null then a else greatest(a*0.6, least(0.5*q, a*1.8)) end,6) as radius from (
  select job, sqrt(480000.0/count(*))*0.42 as a from m group by 1) left join (select job, median(nn) as q from nn group by 1) using (job)"""))
 def a31_spacing(t):
-    return r6(mk.spacing_radius(marks(t), 800.0, 600.0), "radius")
+    return r6(mk.spacing_radius(marks(t), WIDTH, HEIGHT), "radius")
 
 
 def band_sql(col, name):
