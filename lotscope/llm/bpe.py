@@ -229,8 +229,10 @@ def _append(df: DataFrame, source: str, columns: dict[str, str], fill) -> DataFr
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in taken),
                         *(f"`{c}` {kind}" for c, kind in columns.items())])
 
+    is_text = df.schema[source].dataType.simpleString() == "string"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, source) if df.schema[source].dataType.simpleString() == "string" else batches:
+        for batch in slices(batches, source) if is_text else batches:
             if batch.num_rows:
                 made = fill(batch)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in taken), *made], [*taken, *columns])
