@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotscope.llm import bpe
+from lotscope.llm import bpe, line_dedup, minhash, toxicity
+from lotscope.plans.lineage import new_folder
 
 SQL: dict[str, str] = {}
+#: Categories of the labelled documents, in the order in which they are predicted.
+TOXIC_CHAIN = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,4 +28,22 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest(docs, default_vocabulary()).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe,)}
+def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of near duplicates of every document, and whether it is the first of its class."""
+    return minhash.near_duplicates(table(spark, folder, "documents")).drop("node")
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Probabilities of low quality and of toxicity of every document, and whether it is toxic."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    links = toxicity.fit_chain(docs, labels, TOXIC_CHAIN, new_folder(spark, "toxicity"))
+    return toxicity.score(docs.select("doc_id", "text"), links).drop("text")
+
+
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without its repeated lines: text, and numbers of lines and removed lines."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op4_minhash, op5_toxicity, op10_line_dedup)}

@@ -129,3 +129,21 @@ def shingle_hashes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
             out[here] = mix(out[here] * _ODD + words.hashes[first[here] + i])
         hashes, rows = np.concatenate([hashes, mix(out + counts[short].astype(np.uint64))]), np.concatenate([rows, short])
     return hashes, rows
+
+
+def prefix_hashes(words: Words, lengths: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length in bytes, the words longer than it (by index) and the hashes of that many first bytes."""
+    sizes = words.ends - words.starts
+    some = np.arange(len(sizes))
+    acc = np.zeros(len(sizes), np.uint64)
+    for i in range(max(lengths)):
+        keep = sizes[some] > i + 1
+        some, acc = some[keep], acc[keep]
+        acc = mix(acc * _ODD + _BYTE[words.data[words.starts[some] + i]])
+        if i + 1 in lengths:
+            yield some, mix(acc + np.uint64(i + 1))
+
+
+def group_starts(groups: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins in an array that is ordered by them."""
+    return np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(groups) else np.zeros(0, np.int64)
