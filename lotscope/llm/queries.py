@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lotscope.llm import bpe, line_dedup, minhash, toxicity
+from lotscope.llm import bpe, decontaminate, line_dedup, minhash, toxicity
 from lotscope.plans.lineage import new_folder
 
 SQL: dict[str, str] = {}
@@ -28,6 +29,13 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest(docs, default_vocabulary()).drop("text")
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items that documents hold: a row per document and item, with the words that the overlap spans."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.overlaps(docs, table(spark, folder, "benchmark"))
+    return found.select("doc_id", F.explode("overlaps").alias("o")).select("doc_id", "o.*")
+
+
 def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Class of near duplicates of every document, and whether it is the first of its class."""
     return minhash.near_duplicates(table(spark, folder, "documents")).drop("node")
@@ -46,4 +54,4 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op4_minhash, op5_toxicity, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_decontamination, op4_minhash, op5_toxicity, op10_line_dedup)}

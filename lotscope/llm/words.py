@@ -56,6 +56,8 @@ def as_text(column: pa.Array) -> pa.Array:
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a text column without copying."""
+    if not len(column):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
     _, off, data = column.buffers()
     offsets = np.frombuffer(off, np.int64)[column.offset:column.offset + len(column) + 1]
     return offsets, np.frombuffer(data or b"", np.uint8)
