@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotscope.llm import bpe, decontaminate, line_dedup, minhash, toxicity
+from lotscope.llm import bpe, decontaminate, line_dedup, minhash, pii, quality, toxicity
 from lotscope.plans.lineage import new_folder
 
 SQL: dict[str, str] = {}
@@ -48,10 +48,55 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), links).drop("text")
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures and failure bits of every document, and the verdict of the default policy."""
+    found = quality.ledger(table(spark, folder, "documents").select("doc_id", "text"))
+    base_failed = ~quality.passes(quality.POLICIES["base-1"])
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"),
+                        (~base_failed & quality.passes(quality.POLICIES["default-1"])).alias("kept"), "failed")
+
+
+SQL["op8_quality"] = r"""
+with d as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as lines,
+             list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') as ws from documents),
+runs as (select doc_id, i, ws[i] as a, ws[i+1] as b, ws[i+2] as c
+         from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from d)),
+twice as (select doc_id, i from runs qualify count(*) over (partition by doc_id, a, b, c) > 1),
+covered as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i+1, i+2]) as p from twice) group by 1),
+m as (select doc_id, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) as word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+        list_filter(lines, lambda x: regexp_matches(x, '[^ \t-\r]')) as full_lines,
+        coalesce(covered.n, 0) as n_repeat_words, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as n_letters,
+        length(regexp_replace(text, '[^A-Z]', '', 'g')) as n_capitals
+      from d left join covered using (doc_id)),
+f as (select *, len(full_lines) as n_lines, len(full_lines) - len(list_distinct(full_lines)) as n_dup_lines from m),
+bits as (select *, (case when n_words < 50 then 1 else 0 end) | (case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end)
+  | (case when 10 * n_symbols > 4 * n_words then 4 else 0 end) | (case when n_lines >= 4 and 2 * n_dup_lines > n_lines then 8 else 0 end)
+  | (case when n_letters > 0 and 10 * n_capitals > 6 * n_letters then 16 else 0 end)
+  | (case when n_words > 0 and word_chars > 25 * n_words then 32 else 0 end) as failed from f)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
+  cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, failed & 3 <> 0 as base_failed,
+  failed = 0 as kept, cast(failed as bigint) as failed from bits""".replace("\\\\", "\\")
+
+
+def _spans_text(spans: str) -> Column:
+    """``kind:start:end`` of an array of spans, joined by commas."""
+    kinds = F.array(*map(F.lit, pii.KINDS))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s.kind), s.start, s.end)), ",")
+
+
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document: numbers of values, and all spans, disclosing terms with them."""
+    found = pii.spans(table(spark, folder, "documents")).withColumn("all", F.sort_array(F.concat("spans", "terms")))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s.kind == pii.KINDS.index(kind))).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *map(number, pii.KINDS[:4]), F.sha2(_spans_text("spans"), 256).alias("base_sha256"),
+                        _spans_text("all").alias("spans"), F.size("terms").cast("bigint").alias("n_term"))
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without its repeated lines: text, and numbers of lines and removed lines."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_decontamination, op4_minhash, op5_toxicity, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_decontamination, op4_minhash, op5_toxicity, op8_quality, op9_pii, op10_line_dedup)}

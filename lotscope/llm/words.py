@@ -76,20 +76,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = BATCH_BYT
             start = at
 
 
-def hash_words(column: pa.Array) -> Words:
-    """Hash every word of a text column."""
-    offsets, data = buffers(pc.utf8_lower(as_text(column)))
+def hash_words(column: pa.Array, inside: np.ndarray = _WORD, lower: bool = True) -> Words:
+    """Hash every word of a text column; ``inside`` marks the bytes that words are made of."""
+    offsets, data = buffers(pc.utf8_lower(as_text(column)) if lower else as_text(column))
     first, last = int(offsets[0]), int(offsets[-1])
     is_start = np.zeros(last - first + 1, bool)
     is_start[offsets - first] = True
     parts, at = [], first
     while at < last:
         end = min(at + BLOCK_BYTES, last)
-        while end < last and _WORD[data[end]] and not is_start[end - first]:  # to the end of the word at the edge
+        while end < last and inside[data[end]] and not is_start[end - first]:  # to the end of the word at the edge
             step = data[end:end + 4096]
-            stop = ~_WORD[step] | is_start[end - first:end - first + len(step)]
+            stop = ~inside[step] | is_start[end - first:end - first + len(step)]
             end += int(np.argmax(stop)) if stop.any() else len(step)
-        parts.append(_hash_block(data[at:end], is_start[at - first:end - first + 1], at))
+        parts.append(_hash_block(data[at:end], is_start[at - first:end - first + 1], at, inside))
         at = end
     hashes, starts, ends = (np.concatenate(x) for x in zip(*parts)) if parts else (
         np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -97,8 +97,8 @@ def hash_words(column: pa.Array) -> Words:
     return Words(hashes, rows, starts, ends, data, offsets)
 
 
-def _hash_block(block: np.ndarray, row_start: np.ndarray, base: int):
-    inside = _WORD[block]
+def _hash_block(block: np.ndarray, row_start: np.ndarray, base: int, kinds: np.ndarray):
+    inside = kinds[block]
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1] | row_start[1:-1]
     closes[:-1] &= ~inside[1:] | row_start[1:-1]
