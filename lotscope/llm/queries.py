@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotscope.llm import bpe, decontaminate, line_dedup, minhash, pii, quality, toxicity
+from lotscope.llm import bpe, decontaminate, line_dedup, minhash, pii, quality, secrets, toxicity, warc
 from lotscope.plans.lineage import new_folder
 
 SQL: dict[str, str] = {}
@@ -48,6 +48,58 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), links).drop("text")
 
 
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document, found by way of the blob ledger."""
+    docs, ledger = table(spark, folder, "documents").select("doc_id", "text"), new_folder(spark, "secrets")
+    secrets.update_ledger(docs, ledger)
+    found = secrets.findings(docs, ledger)
+    names = F.array(*(F.lit(r.kind) for r in secrets.RULES))
+    base = F.filter("spans", lambda s: s.kind < len(secrets.BASE))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s.kind), s.start, s.end)), ",")
+    number = lambda i, kind: F.size(F.filter("spans", lambda s: s.kind == i)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *(number(i, k) for i, k in enumerate(secrets.BASE)), F.sha2(text(base), 256).alias("base_sha256"),
+                        text(F.col("spans")).alias("spans"))
+
+
+def _matches_sql(name: str, index: int, pattern: str, least: int, group: int) -> str:
+    """Spans of one kind: gap and match in turn, placed by the lengths before them."""
+    parts = ", ".join(f"regexp_extract_all(text, '(?s)(.*?){pattern}', {i}) as {c}" for i, c in ((1, "g"), (2, "f"), (group, "v")))
+    return f"""{name} as (select doc_id, {index} as kind, unnest(list_filter(list_transform(range(1, len(g) + 1), lambda i:
+  {{'s': list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i-1], lambda x: length(x))), 0),
+    'n': length(f[i]), 'v': length(v[i])}}), lambda m: m.v >= {least})) as m from (select doc_id, {parts} from d))"""
+
+
+SQL["op6_secrets"] = f"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+{_matches_sql("a", 0, secrets.RULES[0].pattern.replace("'", "''"), 8, 3)},
+{_matches_sql("b", 1, "(AKIA[A-Z0-9]+)", 16, 2)}, {_matches_sql("c", 2, "([0-9a-f]+)", 32, 2)},
+{_matches_sql("e", 3, "(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1, 2)},
+s as (select doc_id, kind, cast(m.s as bigint) as s, cast(m.s + m.n as bigint) as e, ['assign', 'access', 'hex', 'pem'][kind + 1] as name
+      from (from a union all from b union all from c union all from e)),
+t as (select doc_id, sum((kind = 0)::int) as n0, sum((kind = 1)::int) as n1, sum((kind = 2)::int) as n2,
+        string_agg(name || ':' || s || ':' || e, ',' order by s, kind) as spans,
+        string_agg(name || ':' || s || ':' || e, ',' order by s, kind) filter (where kind < 3) as base from s group by 1)
+select doc_id, cast(coalesce(n0, 0) as bigint) as n_assign, cast(coalesce(n1, 0) as bigint) as n_access, cast(coalesce(n2, 0) as bigint) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join t using (doc_id)"""
+
+
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to WARC archives and read back, payloads checked against their digests."""
+    path = new_folder(spark, "warc")
+    warc.write(warc.with_revisits(table(spark, folder, "pages")), path)
+    page = lambda c: F.when(F.col(c) != "", F.substring_index(c, ":", -1)).try_cast("bigint")
+    return warc.read(spark, path, payload=False, verify=True).select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+SQL["op7_warc"] = """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+q as (select page_id, octet_length(payload) as n, sha256(payload) as digest, min(page_id) over (partition by sha256(payload)) as head from p)
+select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
+  case when n >= 100 and page_id <> head then 'revisit' else 'response' end as record_type,
+  case when n >= 100 and page_id <> head then head end as refers_to from q"""
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Measures and failure bits of every document, and the verdict of the default policy."""
     found = quality.ledger(table(spark, folder, "documents").select("doc_id", "text"))
@@ -99,4 +151,4 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_decontamination, op4_minhash, op5_toxicity, op8_quality, op9_pii, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_decontamination, op4_minhash, op5_toxicity, op6_secrets, op7_warc, op8_quality, op9_pii, op10_line_dedup)}
