@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotscope.llm import bpe, decontaminate, line_dedup, minhash, pii, quality, secrets, toxicity, warc
+from lotscope.llm import bpe, decontaminate, html_text, line_dedup, minhash, pii, quality, secrets, toxicity, warc
 from lotscope.plans.lineage import new_folder
 
 SQL: dict[str, str] = {}
@@ -29,6 +29,12 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest(docs, default_vocabulary()).drop("text")
 
 
+def op2_html(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, folder, "pages")
+    return html_text.extract(pages.select("page_id", "url", "html"), html_text.tag_costs(pages)).drop("html")
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items that documents hold: a row per document and item, with the words that the overlap spans."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -151,4 +157,4 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_decontamination, op4_minhash, op5_toxicity, op6_secrets, op7_warc, op8_quality, op9_pii, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_html, op3_decontamination, op4_minhash, op5_toxicity, op6_secrets, op7_warc, op8_quality, op9_pii, op10_line_dedup)}
