@@ -61,8 +61,10 @@ def loose_float(c: Column) -> Column:
 
 
 def loose_int(c: Column, default: Column) -> Column:
-    """Text or number to the nearest whole number (ties to even), else the default."""
-    return F.coalesce(F.bround(loose_float(c), 0).cast("int"), default)
+    """Text or number to the nearest whole number (ties to even), else the default; so are numbers beyond a bigint, NaN
+    and infinity. Counts that fit an int come as one."""
+    value = F.bround(loose_float(c), 0)
+    return F.coalesce(F.when(F.abs(value) < 2.0 ** 31, value.try_cast("int")), default)
 
 
 def parse_confidence(c: Column) -> Column:

@@ -6,35 +6,55 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotscope import settings as S
+from lotscope.functions import numbers as nm
 from lotscope.functions import text as tx
-from lotscope.operators.filters import dedup_first
-from lotscope.operators.records import derive_listing
+from lotscope.operators.records import MATCHES, composition
 from lotscope.plans.ranked import first_by, top_n
-from lotscope.sources.logs import KIND_RANK
+from lotscope.sources.logs import KIND_RANK, SCAN_LOG
+
+
+def with_log_columns(records: DataFrame) -> DataFrame:
+    """Records of any schema generation with every field of the scan log; fields they lack are NULL."""
+    have = set(records.columns)
+    schema = T._parse_datatype_string(SCAN_LOG)
+    return records.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema.fields if f.name not in have})
 
 
 def canonicalize(records: DataFrame) -> DataFrame:
-    """Any-schema records in the master shape: best match, union of title and matched years, price flag."""
-    facts = derive_listing(records).select("item_id", F.map_keys("year_counts").alias("_matched"))
+    """Any-schema records in the master shape: best match, union of title and matched years, price flag.
+
+    Every record gives one row, whatever its id: facts are taken from the record itself. ``seq`` is the record's own
+    number, or a hash of its fields where it has none; it settles ties.
+    """
+    seq = F.col("seq") if "seq" in records.columns else F.xxhash64(*[F.to_json(F.struct(*[c for c in records.columns]))])
+    known_format = "buying_format" in records.columns
+    records = with_log_columns(records.withColumn("seq", seq))
     best = F.array_max(F.transform("top_matches", lambda m: F.struct(m["overall"].alias("o"), m["year"].alias("y"), m["slogan"].alias("s"))))
     first_best = F.get(F.filter("top_matches", lambda m: m["overall"] == best["o"]), F.lit(0))
     pick = F.coalesce(F.col("best_needed"), first_best)
     title_years = F.transform(F.coalesce("title_years", tx.extract_years(F.col("title"))), lambda y: y.cast("string"))
-    return records.join(facts, "item_id").select(
-        "item_id", "seller", "title", "asking", F.coalesce(F.col("asking") > 0, F.lit(False)).alias("has_price"),
+    text = lambda name, default="": F.coalesce(F.nullif(F.col(name).cast("string"), F.lit("")), F.lit(default)).alias(name)
+    buying = nm.buying_format(F.col("buying_options"))
+    return records.select(
+        "seq", text("ts").alias("observed_at"), text("item_id"), text("seller"), text("title"), "asking",
+        F.coalesce(F.col("asking") > 0, F.lit(False)).alias("has_price"), text("currency", S.DEFAULT_CURRENCY),
+        (F.when(F.col("buying_options").isNull(), F.coalesce("buying_format", buying)).otherwise(buying) if known_format else buying)
+        .alias("buying_format"), text("condition"), "bid_count",
         F.coalesce("title_count", tx.extract_lot_count(F.col("title"))).alias("title_count"),
-        F.coalesce("crops_scored", F.size("top_matches")).alias("crops_scored"),
-        F.array_sort(F.array_union("_matched", title_years)).alias("years"), "best_score",
+        F.coalesce("crops_scored", F.size(F.coalesce("top_matches", F.array().cast(MATCHES)))).alias("crops_scored"),
+        F.array_sort(F.array_union(F.map_keys(composition()), title_years)).alias("years"), "best_score",
         pick["year"].alias("best_year"), pick["slogan"].alias("best_slogan"),
-        F.coalesce("needed_hit", F.lit(False)).alias("needed_hit"))
+        F.coalesce("needed_hit", F.lit(False)).alias("needed_hit"), text("listing_url"), text("source", S.DEFAULT_SOURCE))
 
 
 def resolve_keys(records: DataFrame) -> DataFrame:
     """Give every record its listing key: real ids keep theirs, stand-ins take the first real id with the same
     seller and title, the rest share a key per seller and title."""
-    st = F.concat_ws("|", tx.normalize_text(F.col("seller")), tx.normalize_text(F.col("title")))
+    part = lambda name: F.coalesce(tx.normalize_text(F.col(name)), F.lit(""))
+    st = F.concat(part("seller"), F.lit("|"), part("title"))
     synthetic = tx.is_synthetic(F.col("item_id"))
     marked = records.withColumn("_st", st).withColumn("_synthetic", synthetic)
     real = first_by(marked.where(~F.col("_synthetic")).select("_st", "seq", F.col("item_id").alias("_real")), ["_st"], [F.asc("seq")])
@@ -62,9 +82,12 @@ def order_master(master: DataFrame) -> DataFrame:
 
 
 def merge_new(base: DataFrame, adds: DataFrame) -> DataFrame:
-    """Base kept whole; of the additions only ids the base lacks, once each; rows without an id always."""
-    known = base.select("item_id").where("item_id is not null").distinct()
-    return base.unionByName(dedup_first(adds.join(known, "item_id", "left_anti"), [F.asc("seq")]))
+    """Base kept whole; of the additions only ids the base lacks, once each; rows without an id (NULL or blank) always."""
+    key = F.nullif(F.col("item_id").cast("string"), F.lit(""))
+    known = base.select(key.alias("_id")).where("_id is not null").distinct()
+    fresh = adds.withColumn("_id", key).join(known, "_id", "left_anti")
+    once = first_by(fresh.where("_id is not null"), ["_id"], [F.asc("seq")])
+    return base.unionByName(once.unionByName(fresh.where("_id is null")).drop("_id"))
 
 
 def dedup_best(recovered: DataFrame) -> DataFrame:

@@ -59,19 +59,26 @@ def composition_record(matches: DataFrame, listings: DataFrame) -> DataFrame:
         "year_counts", F.lit(None).cast(MATCHES).alias("top_matches"))
 
 
+def composition() -> Column:
+    """Year composition of a record, read off its matches where it has no counts of its own."""
+    from_matches = F.filter(_matched_years(), lambda y: y.isNotNull() & (y != "None") & (y != ""))
+    old_counts = F.map_from_entries(F.transform(
+        F.array_distinct(from_matches),
+        lambda y: F.struct(y, F.size(F.filter(from_matches, lambda z: z == y)).cast("bigint"))))
+    return F.when(F.coalesce(F.size("year_counts"), F.lit(0)) > 0, F.col("year_counts").cast("map<string,bigint>")).otherwise(old_counts)
+
+
+def _matched_years() -> Column:
+    return F.transform(F.coalesce("top_matches", F.array().cast(MATCHES)), lambda m: m["year"])
+
+
 def derive_listing(records: DataFrame) -> DataFrame:
     """Fields the market report needs, from new or old records: missing facts come from title and matches.
 
     ``title_count``, ``crops_scored`` and the composition fall through when zero; one title year beats the matches.
     """
     title_years = F.coalesce("title_years", tx.extract_years(F.col("title")))
-    matched = F.transform(F.coalesce("top_matches", F.array().cast(MATCHES)),
-                          lambda m: m["year"])
-    from_matches = F.filter(matched, lambda y: y.isNotNull() & (y != "None") & (y != ""))
-    old_counts = F.map_from_entries(F.transform(
-        F.array_distinct(from_matches),
-        lambda y: F.struct(y, F.size(F.filter(from_matches, lambda z: z == y)).cast("bigint"))))
-    counts = F.when(F.coalesce(F.size("year_counts"), F.lit(0)) > 0, F.col("year_counts").cast("map<string,bigint>")).otherwise(old_counts)
+    matched, counts = _matched_years(), composition()
     title_count = F.coalesce("title_count", tx.extract_lot_count(F.col("title"))).cast("bigint")
     crops = F.coalesce(F.col("crops_scored").cast("bigint"), F.size(matched).cast("bigint"))
     out = records.select("*", counts.alias("_counts"), title_years.alias("_years"), title_count.alias("_title_count"),

@@ -135,7 +135,7 @@ left join (select * from need where rk=1) n on n.item_id=s.item_id"""
 @query("a7_canonicalize", scan(CANON))
 def a7(t):
     out = history.canonicalize(scan_records(t))
-    return out.select("item_id", "title", "asking", "has_price", "title_count", "crops_scored",
+    return out.select(c("item_id").cast("bigint").alias("item_id"), "title", "asking", "has_price", "title_count", "crops_scored",
                       F.array_join("years", ";").alias("years"), F.round("best_score", 6).alias("best_score"),
                       "best_year", "best_slogan", "needed_hit")
 
@@ -203,6 +203,62 @@ def j5(t):
     return history.merge_new(h.where(base), h.where(~base)).select("seq", "item_id")
 
 
+# --- the offline chain: lines and logs to one master sheet ---------------------------------------------------
+
+LOGGED = """case when seq%13=0 then '' else item_id end as item_id"""
+CHAIN = f"""{PARSED},
+base as (select seq, {LOGGED}, seller, title, asking, buying_format, observed_at, source, best_score, cast(null as string) as year,
+  cast(null as string) as slogan, false as needed_hit from v_hist),
+best as (select * from (select *, row_number() over (partition by lower(seller), lower(title)
+  order by case kind when 'needed' then 2 when 'low-conf' then 1 else 0 end desc, best_score desc, seq) as rn from parsed) where rn=1),
+adds as (select 1000000000000+seq as seq, 'backfill|' || h as item_id, seller, title, cast(null as double) as asking, 'unknown' as buying_format,
+  ts as observed_at, 'import' as source, best_score, year, slogan, kind='needed' as needed_hit from best),
+merged as (select * from base union all
+  select * exclude (rn) from (select *, row_number() over (partition by item_id order by seq) as rn from adds
+    where item_id not in (select item_id from base where item_id<>'')) where rn=1),
+canon as (select seq, coalesce(item_id,'') as item_id, coalesce(seller,'') as seller, coalesce(title,'') as title, asking, buying_format,
+  observed_at, source, best_score, year, slogan, needed_hit, {expr(TITLE_COUNT, "coalesce(title,'')")} as title_count,
+  array_to_string(list_sort(list_distinct(list_concat(case when year is null then [] else [year] end,
+    list_transform({expr(TITLE_YEARS, "coalesce(title,'')")}, lambda y: cast(y as string))))),';') as years from merged),
+marked as (select *, item_id='' or item_id like 'backfill|%' as synthetic,
+  {expr(TEXT_KEY, 'seller')} || '|' || {expr(TEXT_KEY, 'title')} as st from canon),
+reals as (select st, arg_min(item_id, seq) as rid from marked where not synthetic group by 1),
+keyed as (select m.*, case when not synthetic then 'id:' || item_id when rid is not null then 'id:' || rid else 'st:' || m.st end as key
+  from marked m left join reals using (st)),
+master as (select k.*, a.times_seen, a.sources from (select *, row_number() over (partition by key order by coalesce(asking>0,false) desc,
+    synthetic, buying_format<>'unknown' desc, observed_at desc, seq) as rn from keyed) k
+  join (select key, count(*) as times_seen, string_agg(distinct source, ';' order by source) as sources from keyed group by 1) a using (key)
+  where rn=1)"""
+
+
+def merged_log(t):
+    """A log with repeated, NULL and blank ids, written as JSON lines and read back, and what log lines add to it."""
+    path = new_folder(t.spark, "chain-log")
+    options = F.when(c("buying_format") == "auction", F.array(F.lit("AUCTION"))).when(c("buying_format") == "fixed", F.array(F.lit("FIXED_PRICE")))
+    log = t.view("v_hist").select("seq", F.when(c("seq") % 13 == 0, "").otherwise(c("item_id")).alias("item_id"), "seller", "title", "asking",
+                                  options.alias("buying_options"), c("observed_at").alias("ts"), "source", "best_score")
+    sinks.append_scan_log(log, path)
+    base = t.spark.read.schema("seq bigint, " + logs.SCAN_LOG).json(path)
+    found = history.dedup_best(logs.parse_title_lines(lines(t), "import")).withColumn("seq", c("seq") + 10 ** 12)
+    return history.merge_new(base, found.select(*base.columns))
+
+
+@query("c1_import_to_master", on("v_hist", "v_log_line", body="").rstrip() + CHAIN + """
+select observed_at, sources, times_seen, item_id, seller, title, asking, case when asking>0 then 'yes' else 'no' end as has_price,
+ 'USD' as currency, buying_format, '' as condition, cast(null as int) as bid_count, title_count,
+ cast(case when needed_hit then 1 else 0 end as int) as crops_scored, years, best_score, year as best_year, slogan as best_slogan,
+ case when needed_hit then 'yes' else 'no' end as needed_hit, '' as listing_url from master""")
+def c1(t):
+    return sinks.to_flat_master(history.build_master(history.canonicalize(merged_log(t))))
+
+
+@query("c2_log_to_report", on("v_hist", "v_log_line", body="").rstrip() + CHAIN + " select year, count(*) as supply from canon where year is not null group by 1")
+def c2(t):
+    from lotscope.operators import market
+
+    return market.supply_by_year(merged_log(t))
+
+
 @query("a40_dup_audit", on("v_hist", body="select count(*) as n_rows, count(distinct item_id) as n_unique, round(1-count(distinct item_id)/count(*),6) as dup_share from v_hist where item_id is not null"))
 def a40(t):
     return history.dup_audit(t.view("v_hist")).withColumn("dup_share", F.round("dup_share", 6))

@@ -101,3 +101,7 @@ SWAP_MIN_CONFIDENCE = 0.70
 LOW_RES_DIAMETER = 64
 RADIUS_SCALES = (1.0, 0.66, 0.45, 0.30)
 RADIUS_FLOOR = 9
+
+# --- fixed values: defaults of log records that lack a field --------------------------------------------------
+DEFAULT_CURRENCY = "USD"
+DEFAULT_SOURCE = "scan"

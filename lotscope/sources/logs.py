@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotscope import settings as S
 from lotscope.functions import text as tx
 
 SCAN_LOG = (
@@ -48,17 +49,31 @@ def load_id_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_title_lines(lines: DataFrame, source: str) -> DataFrame:
-    """Records recovered from log lines: needed, low-conf and rejected titles; other lines vanish."""
+    """Scan-log records recovered from log lines: needed, low-conf and rejected titles; other lines vanish.
+
+    Adds ``kind``, and ``year`` and ``slogan`` of needed ones. Fields that lines do not tell are NULL or empty; other
+    columns of ``lines`` stay.
+    """
     payload = F.col("payload")
     needed, other = payload.rlike(NEEDED_LINE), payload.rlike(OTHER_LINE)
     pick = lambda i, j: F.when(needed, F.regexp_extract(payload, NEEDED_LINE, i)).otherwise(
         F.regexp_extract(payload, OTHER_LINE, j))
-    rows = lines.where(needed | other).select(
+    stamped = lines if "ts" in lines.columns else lines.withColumn("ts", F.lit(""))
+    rows = stamped.where(needed | other).select(
         "*", F.when(needed, "needed").otherwise(F.regexp_extract(payload, OTHER_LINE, 1)).alias("kind"),
         F.round(pick(1, 2).try_cast("double"), 4).alias("best_score"),
         F.when(needed, F.regexp_extract(payload, NEEDED_LINE, 2)).alias("year"),
         F.when(needed, F.regexp_extract(payload, NEEDED_LINE, 3)).alias("slogan"),
         pick(4, 3).alias("seller"), pick(5, 4).alias("title"))
-    return rows.select("*", tx.synth_id(F.col("seller"), F.col("title")).alias("item_id"),
-                       tx.extract_lot_count(F.col("title")).alias("title_count"),
-                       tx.extract_years(F.col("title")).alias("title_years"), F.lit(source).alias("source"))
+    hit = F.col("kind") == "needed"
+    match = F.struct("year", "slogan", F.col("best_score").alias("overall"))
+    matches = "array<struct<year:string,slogan:string,overall:double>>"
+    null = lambda kind: F.lit(None).cast(kind)
+    return rows.withColumns({
+        "item_id": tx.synth_id(F.col("seller"), F.col("title")), "title_count": tx.extract_lot_count(F.col("title")),
+        "title_years": tx.extract_years(F.col("title")), "source": F.lit(source), "listing_url": F.lit(""),
+        "asking": null("double"), "currency": F.lit(S.DEFAULT_CURRENCY), "buying_options": F.array().cast("array<string>"),
+        "condition": F.lit(""), "bid_count": null("int"), "photos_scored": null("int"), "crops_scored": null("int"),
+        "year_counts": F.when(hit, F.create_map("year", F.lit(1))).otherwise(F.create_map().cast("map<string,int>")),
+        "top_matches": F.when(hit, F.array(match)).otherwise(F.array().cast(matches)),
+        "best_needed": F.when(hit, match), "needed_hit": hit, "alerted": hit})

@@ -27,5 +27,5 @@ def route_objects(df: DataFrame, name: str = "name", prefix: str = S.OBJECT_PREF
     image = F.expr(f"left({name}, length({name}) - {len(S.RESPONSE_SUFFIX)})")
     base = F.element_at(F.split(image, "/"), -1)
     ours = base.startswith(prefix)
-    key = F.when(ours, F.get(F.split(F.substring(base, len(prefix) + 1, 1 << 20), r"\."), F.lit(0)))
+    key = F.when(ours, F.get(F.split(F.substr(base, F.lit(len(prefix) + 1)), r"\."), F.lit(0)))
     return rows.withColumns({"image_name": image, "key": key, "is_ours": ours})

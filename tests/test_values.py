@@ -104,6 +104,34 @@ def test_merge_is_idempotent(spark):
     assert history.merge_new(merged, adds).count() == 4
 
 
+def test_merge_keeps_rows_without_an_id(spark):
+    df = lambda rows: spark.createDataFrame(rows, "item_id string, seq int")
+    merged = history.merge_new(df([("", 1)]), df([("", 2), ("", 3), ("x", 4), (None, 5), ("x", 6)]))
+    assert sorted(r.seq for r in merged.collect()) == [1, 2, 3, 4, 5]
+
+
+def test_canonical_rows_of_repeated_and_missing_ids(spark):
+    rows = [("a", "1979 lot of 9", 18.0), ("a", "1979 lot of 9", 18.0), ("a", "x", None), (None, "y", 0.0), ("", "z", 1.0)]
+    out = history.canonicalize(spark.createDataFrame(rows, "item_id string, title string, asking double")).collect()
+    assert len(out) == 5 and sorted(r.item_id for r in out) == ["", "", "a", "a", "a"]
+    first = [r for r in out if r.title.startswith("1979")][0]
+    assert (first.years, first.title_count, first.has_price, first.currency, first.source, first.buying_format) == (["1979"], 9, True, "USD", "scan", "unknown")
+    assert history.build_master(history.canonicalize(spark.createDataFrame(rows, "item_id string, title string, asking double"))).count() == 3
+
+
+def test_needed_line_is_a_scan_record(spark):
+    line = [(1, "2026-05-29T16:40:00Z", ">>> TITLE: [needed 0.86 1979 Bag The Aggies] [sellerA] 1979 lot of 9 pins")]
+    r = logs.parse_title_lines(spark.createDataFrame(line, "seq int, ts string, payload string"), "src").first()
+    assert r.needed_hit and r.alerted and r.best_needed.asDict() == {"year": "1979", "slogan": "Bag The Aggies", "overall": 0.86}
+    assert (r.year_counts, r.title_count, r.title_years, r.asking, r.source) == ({"1979": 1}, 9, [1979], None, "src")
+    assert r.item_id.startswith("backfill|") and [m.year for m in r.top_matches] == ["1979"]
+
+
+@pytest.mark.parametrize("v, n", [("99999999999", -1), ("NaN", -1), ("inf", -1), ("2.5", 2), ("x", -1), ("-3", -3), (None, -1)])
+def test_loose_int_never_fails(spark, v, n):
+    assert spark.createDataFrame([(v,)], "v string").select(nm.loose_int(F.col("v"), F.lit(-1)).alias("n")).first().n == n
+
+
 def test_recovered_lines(spark):
     lines = [(1, ">>> TITLE: [low-conf 0.55] [Bob] 1979 Lot"), (2, ">>> TITLE: [needed 0.61 1979 Beat Pitt] [Bob] 1979 lot"),
              (3, ">>> TITLE: [needed 0.80 1979 Beat [Pitt]] [bob] 1979 lot"), (4, ">>> TITLE: [confirmed-not-needed 0.9] [b] x")]
