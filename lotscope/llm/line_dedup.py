@@ -7,9 +7,10 @@ least ``similarity``, whether or not that one stays. The join is exact; hashes o
 * Words are ordered by rarity, counted over all documents in a table of fixed size. Any order that all lines share is
   right, so words that share a counter only cost time. A counter of one proves that no other line has the word.
 * Two similar sets share a word among the first few of each (prefix), those words stand at places that leave room for
-  the overlap (position), and their sizes are alike (length). A parity sketch of 128 bits bounds their difference.
-* A set is compared with the earliest set of each of its prefix words; only sets that found nothing there are compared
-  with all earlier ones. So a group of thousands of variants of one line costs a comparison each, not one per pair.
+  the overlap (position), and their sizes are alike (length). A parity sketch of 64 bits bounds their difference.
+* A set meets a few sets before it in the lists of its prefix words; only a set that had more to compare and found nothing
+  similar meets all earlier ones. So a group of thousands of variants of one line costs a few comparisons each, not one
+  per pair, and no link to an earlier line is lost.
 * What passes the filters is verified on the sets themselves.
 
 Nulls and empty texts have no lines with words. Lines without words stay. Rows that agree in id and text are one
@@ -23,15 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotscope.llm.words import Words, group_starts, hash_words, mix, slices
+from lotscope.llm.words import Words, distinct, group_starts, hash_words, mix, slices
+from lotscope.llm.tables import through_table
 from lotscope.plans.lineage import new_folder
 
 SIMILARITY = 0.8
-#: Counters of the rarity table (4 MiB), in segments that are summed apart, and bits of the filter of wanted lines (8 MiB).
-COUNTERS, SEGMENT, FILTER_BITS = 1 << 22, 1 << 12, 1 << 26
+#: Counters of the rarity table (16 MiB), in segments that are summed apart, and bits of the filter of wanted lines (8 MiB).
+COUNTERS, SEGMENT, FILTER_BITS = 1 << 24, 1 << 13, 1 << 26
+#: A posting is compared with so many of the first in its list, until so many candidates are found; the rest comes later.
+REACH, ENOUGH = 512, 1
 _LINES = 1 << 12  # lines sorted at once
 _TOKEN = np.uint64((1 << 48) - 1)
 _ANY_WORD = re.compile(r"[0-9A-Za-z_]|[^\x00-\x7f]")
@@ -56,7 +60,7 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
         held = np.zeros(COUNTERS, np.uint32)
         for batch in slices(batches, text):
             words = hash_words(batch.column(text))
-            held += np.bincount((words.hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            np.add.at(held, (words.hashes & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
         parts = np.minimum(held, 255).astype(np.uint8).reshape(-1, SEGMENT)
         some = np.flatnonzero(parts.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())],
@@ -79,9 +83,9 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out.reshape(-1)
 
 
-def _sets(column: pa.Array, levels: np.ndarray | None):
+def _sets(column: pa.Array, levels: np.ndarray | None, wanted=None):
     """Sets of the lines of a batch, some lines at a time: row and number of each line, where each set starts, its words
-    in order of rarity (level, then hash)."""
+    in order of rarity (level, then hash). ``wanted(row, number)`` may choose lines."""
     words = hash_words(column)
     if not len(words.hashes):
         return
@@ -89,10 +93,13 @@ def _sets(column: pa.Array, levels: np.ndarray | None):
     tokens = words.hashes & _TOKEN
     level = levels[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) if levels is not None else np.uint64(0)
     rest = tokens | (level << np.uint64(48))
+    if wanted is not None:
+        keep = wanted(row, number)[line]
+        line, rest = line[keep], rest[keep]
     at = 0
     while at < len(line):
         end = int(np.searchsorted(line, line[at] + _LINES, "left"))
-        packed = np.unique(rest[at:end] | ((line[at:end] - line[at]).astype(np.uint64) << np.uint64(52)))
+        packed = distinct(rest[at:end] | ((line[at:end] - line[at]).astype(np.uint64) << np.uint64(52)))
         own = (packed >> np.uint64(52)).astype(np.int64)
         starts = group_starts(own)
         lines = own[starts] + line[at]
@@ -105,12 +112,13 @@ def _place(text_hash: np.ndarray, number: np.ndarray) -> np.ndarray:
 
 
 def line_sets(docs: DataFrame, levels: np.ndarray, similarity: float) -> DataFrame:
-    """One row per line with words: its place, the key and size of its set, parities, and its prefix.
+    """One row per line with words: its place, the key and size of its set, its parity sketch, and its prefix.
 
-    Prefix words that no other line has are left out as zeros at the front.
+    A prefix word is its hash of 48 bits under its position of 16 (0xFFFF: too far to tell). Prefix words that no other
+    line has are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    schema = "doc_id bigint, text_hash bigint, line int, place bigint, k1 bigint, k2 bigint, size int, pa bigint, pb bigint, prefix array<bigint>"
+    schema = "doc_id bigint, text_hash bigint, line int, place bigint, k1 bigint, k2 bigint, size int, parity bigint, prefix array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in slices(batches, "text"):
@@ -121,32 +129,34 @@ def line_sets(docs: DataFrame, levels: np.ndarray, similarity: float) -> DataFra
                 tokens = packed & _TOKEN
                 a, b = mix(tokens + np.uint64(1)), mix(tokens ^ np.uint64(0x5851F42D4C957F2D))
                 bit = np.uint64(1) << (a & np.uint64(63))
-                upper = (a >> np.uint64(6)) & np.uint64(1) == 1
                 lengths = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
                 lengths[sizes < 4] = 0  # a set of three or fewer words is similar to itself only
                 ends = np.cumsum(lengths)
                 index = np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)
-                prefix = np.where(packed[index] >> np.uint64(48) <= 1, 0, packed[index]).astype(np.int64)
+                at = np.minimum(index - np.repeat(starts, lengths), 0xFFFF).astype(np.uint64)
+                shared_word = packed[index] >> np.uint64(48) > 1
+                prefix = (tokens[index] | (at << np.uint64(48)))[shared_word].view(np.int64)
+                ends = np.concatenate([[0], np.cumsum(shared_word)])[np.concatenate([[0], ends])]
                 col = lambda x: pa.array(x.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(row)), col(text_hash[row]), pa.array(number.astype(np.int32)), col(_place(text_hash[row], number)),
                      col(np.add.reduceat(a, starts)), col(np.add.reduceat(b, starts)), pa.array(sizes.astype(np.int32)),
-                     col(np.bitwise_xor.reduceat(np.where(upper, bit, 0), starts)),
-                     col(np.bitwise_xor.reduceat(np.where(upper, 0, bit), starts)),
-                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(prefix))],
-                    ["doc_id", "text_hash", "line", "place", "k1", "k2", "size", "pa", "pb", "prefix"])
+                     col(np.bitwise_xor.reduceat(bit, starts)),
+                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(prefix))],
+                    ["doc_id", "text_hash", "line", "place", "k1", "k2", "size", "parity", "prefix"])
 
     return docs.select("doc_id", "text", "text_hash").mapInArrow(run, schema)
 
 
-def _may_match(a: str, b: str, similarity: float) -> Column:
-    """Length, positional and parity filters between two postings."""
-    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    need = F.ceil(similarity / (1 + similarity) * (x("size") + y("size")) - 1e-9)
-    room = F.least(x("at"), y("at")) + 1 + F.least(x("size") - x("at"), y("size") - y("at")) - 1
-    differ = F.bit_count(x("pa").bitwiseXOR(y("pa"))) + F.bit_count(x("pb").bitwiseXOR(y("pb")))
-    return ((F.least(x("size"), y("size")) >= similarity * F.greatest(x("size"), y("size")) - 1e-9)
-            & (room >= need) & (differ <= x("size") + y("size") - 2 * need))
+def _may_match(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Length, positional and parity filters between the i-th and j-th of some postings."""
+    n, m = x["size"][i].astype(np.int64), x["size"][j].astype(np.int64)
+    need = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9).astype(np.int64)
+    p, q = x["at"][i].astype(np.int64), x["at"][j].astype(np.int64)
+    room = np.minimum(p, q) + np.minimum(n - p, m - q)
+    differ = np.bitwise_count((x["parity"][i] ^ x["parity"][j]).view(np.uint64)).astype(np.int64)
+    return ((np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (differ <= n + m - 2 * need)
+            & ((room >= need) | (p == 0xFFFF) | (q == 0xFFFF)))
 
 
 def wanted_filter(places: DataFrame) -> np.ndarray:
@@ -158,6 +168,12 @@ def wanted_filter(places: DataFrame) -> np.ndarray:
     return out
 
 
+def in_filter(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in a filter."""
+    words = table[((hashes >> np.uint64(6)) % np.uint64(len(table))).astype(np.int64)]
+    return ((words >> (hashes & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 def _words_of(docs: DataFrame, places: DataFrame) -> DataFrame:
     """Sets of the wanted places: place and its sorted words as bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted_filter(places))
@@ -166,14 +182,12 @@ def _words_of(docs: DataFrame, places: DataFrame) -> DataFrame:
         table = shared.value
         for batch in slices(batches, "text"):
             text_hash = batch.column("text_hash").to_numpy().view(np.uint64)
-            for row, number, starts, packed in _sets(batch.column("text"), None):
-                place = _place(text_hash[row], number)
-                keep = np.flatnonzero((table[((place >> np.uint64(6)) % np.uint64(len(table))).astype(np.int64)]
-                                       >> (place & np.uint64(63))) & np.uint64(1))
+            chosen = lambda row, number: in_filter(table, _place(text_hash[row], number))
+            for row, number, starts, packed in _sets(batch.column("text"), None, chosen):
                 ends = np.append(starts[1:], len(packed))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(place[keep].view(np.int64)), pa.array([packed[starts[i]:ends[i]].tobytes() for i in keep], pa.binary())],
-                    ["place", "words"])
+                    [pa.array(_place(text_hash[row], number).view(np.int64)),
+                     pa.array([packed[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())], ["place", "words"])
 
     made = docs.select("text", "text_hash").mapInArrow(run, "place bigint, words binary")
     return made.join(places, "place", "left_semi").dropDuplicates(["place"])
@@ -182,7 +196,7 @@ def _words_of(docs: DataFrame, places: DataFrame) -> DataFrame:
 def verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those of the ``pairs`` (earlier, later: places) whose sets are similar enough."""
     places = pairs.select(F.explode(F.array("earlier", "later")).alias("place")).distinct()
-    words = _words_of(docs, places)
+    words = through_table(_words_of(docs, places), new_folder(docs.sparkSession, "line-words"))
     both = (pairs.join(words.toDF("earlier", "x"), "earlier").join(words.toDF("later", "y"), "later"))
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -190,39 +204,136 @@ def verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 n, m = len(x) // 8, len(y) // 8
-                shared = n + m - len(np.unique(np.frombuffer(x + y, np.uint64)))
+                shared = n + m - len(distinct(np.frombuffer(x + y, np.uint64)))
                 keep.append(shared >= similarity * (n + m - shared) - 1e-9)
             yield batch.select(["earlier", "later"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "earlier bigint, later bigint")
 
 
-def near_matches(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+_POSTING = ("token", "doc_id", "line", "place", "size", "at", "parity")
+
+
+def _postings(sets: DataFrame) -> DataFrame:
+    """One row per set and prefix word."""
+    word = F.col("word")
+    return sets.select("doc_id", "line", "place", "size", "parity", F.explode("prefix").alias("word")).select(
+        word.bitwiseAND(F.lit((1 << 48) - 1)).alias("token"), "doc_id", "line", "place", "size",
+        F.shiftrightunsigned(word, 48).cast("int").alias("at"), "parity")
+
+
+def _columns(batch: pa.RecordBatch, names=("token", "place", "size", "at", "parity")) -> dict[str, np.ndarray]:
+    return {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+
+
+def _joined(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches side by side until they hold ``rows`` rows."""
+    waiting, total = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        total += batch.num_rows
+        if total >= rows:
+            yield pa.concat_batches(waiting)
+            waiting, total = [], 0
+    if total:
+        yield pa.concat_batches(waiting)
+
+
+def _compare_lists(similarity: float, reach: int = REACH, enough: int = ENOUGH):
+    """Over postings in order of word and place: candidates (earlier, later), and places left with more to compare.
+
+    A posting is compared with the first ``reach`` ones of its list, from the first on, until ``enough`` candidates are
+    found; as the lists of similar sets begin alike, these agree from list to list. One that stops early, or has more
+    before it, is reported (earlier: null). Of the running list, its first ``reach`` postings are held.
+    """
+    def run(batches: Iterator[pa.RecordBatch]):
+        held, length = None, 0  # the head of the running list, and the postings it has had
+        for batch in _joined(batches, 200_000):
+            x = _columns(batch)
+            goes_on = held is not None and held["token"][0] == x["token"][0]
+            old = len(held["token"]) if goes_on else 0
+            if goes_on:
+                x = {c: np.concatenate([held[c], x[c]]) for c in x}
+            total = len(x["token"])
+            opens = group_starts(x["token"])
+            begun = np.repeat(opens, np.diff(np.append(opens, total)))
+            ranks = np.arange(total) - begun
+            if goes_on:
+                ranks[begun == 0] += length - old
+            mine = np.arange(old, total)
+            found = np.zeros(total, np.int64)
+            earlier, later, open_ = [], [], mine
+            for r in range(reach):
+                open_ = open_[(ranks[open_] > r) & (found[open_] < enough)]
+                if not len(open_):
+                    break
+                good = open_[_may_match(x, open_, begun[open_] + r, similarity)]
+                earlier.append(x["place"][begun[good] + r])
+                later.append(x["place"][good])
+                found[good] += 1
+            left = mine[(found[mine] >= enough) | (ranks[mine] > reach)]
+            head = begun[-1]
+            held = {c: x[c][head:head + reach] for c in x}
+            length = int(ranks[-1]) + 1
+            both = lambda parts: np.concatenate([*parts, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([pa.array(both(earlier), pa.int64()), pa.nulls(len(left), pa.int64())]),
+                 pa.array(np.concatenate([both(later), x["place"][left]]), pa.int64())], ["earlier", "later"])
+
+    return run
+
+
+def _marked(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose hash may be among the ``wanted`` (column place), by a filter of fixed size."""
+    shared = df.sparkSession.sparkContext.broadcast(wanted_filter(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        table = shared.value
+        for batch in batches:
+            h = batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(in_filter(table, h)))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _compare_pairs(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of the joined postings (columns of ``a`` and of ``b``) that pass the filters: earlier, later."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            n = batch.num_rows
+            x = {c: np.concatenate([batch.column(f"{s}_{c}").to_numpy(zero_copy_only=False) for s in "ab"]) for c in ("place", "size", "at", "parity")}
+            good = _may_match(x, np.arange(n), np.arange(n, 2 * n), similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(x["place"][n:][good]), pa.array(x["place"][:n][good])], ["earlier", "later"])
+
+    return pairs.mapInArrow(run, "earlier bigint, later bigint")
+
+
+def near_matches(docs: DataFrame, sets: DataFrame, similarity: float, reach: int = REACH, enough: int = ENOUGH) -> DataFrame:
     """Places of the sets (``later``) that have a similar earlier set, with one such (``earlier``) or more."""
-    postings = sets.select(
-        "doc_id", "line", "place", "size", "pa", "pb", F.posexplode("prefix").alias("at", "token")).filter("token <> 0")
-    me = F.struct("doc_id", "line", "place")
-    firsts = (postings.groupBy("token").agg(F.min(F.struct("doc_id", "line", "place", "size", "at", "pa", "pb")).alias("b"),
-                                            F.count("*").alias("n")).filter("n > 1"))
-    spark = docs.sparkSession
-    folder = new_folder(spark, "line-first")
-    star = (postings.alias("a").join(firsts.alias("f"), "token").select("a.*", F.col("f.b").alias("b"))
-            .filter(F.col("place") != F.col("b.place")))
-    star = star.select(F.struct("size", "at", "pa", "pb", "place").alias("a"), "b").filter(_may_match("a", "b", similarity))
-    pairs = star.select(F.col("b.place").alias("earlier"), F.col("a.place").alias("later")).distinct()
-    pairs.write.parquet(f"{folder}/pairs")
-    verify(docs, spark.read.parquet(f"{folder}/pairs"), similarity).write.parquet(f"{folder}/found")
-    found = spark.read.parquet(f"{folder}/found")
-    # what found nothing at the first set of any of its words meets all earlier sets of the words that three or more share
-    open_ = postings.join(found.select(F.col("later").alias("place")).distinct(), "place", "left_anti")
-    many = firsts.filter("n > 2").select("token", F.col("b.place").alias("first"))
-    left = open_.join(many, "token").filter(F.col("place") != F.col("first")).alias("a")
-    right = postings.join(many, "token").filter(F.col("place") != F.col("first")).alias("b")
-    earlier = F.struct("b.doc_id", "b.line", "b.place") < F.struct("a.doc_id", "a.line", "a.place")
-    rest = (left.join(right, (F.col("a.token") == F.col("b.token")) & earlier & _may_match("a", "b", similarity))
-            .select(F.col("b.place").alias("earlier"), F.col("a.place").alias("later")).distinct())
-    rest.write.parquet(f"{folder}/rest")
-    return found.unionByName(verify(docs, spark.read.parquet(f"{folder}/rest"), similarity))
+    folder = new_folder(docs.sparkSession, "line-near")
+    lists = _postings(sets).repartition("token").sortWithinPartitions("token", "doc_id", "line", "place").select(*_POSTING)
+    made = through_table(lists.mapInArrow(_compare_lists(similarity, reach, enough), "earlier bigint, later bigint"), f"{folder}/candidates")
+    # the candidate that most words of a set agree on is verified first; of most sets that have one it is a match
+    pairs = made.filter("earlier is not null").groupBy("later", "earlier").agg(F.count("*").alias("n"))
+    best = through_table(pairs.groupBy("later").agg(F.max(F.struct("n", "earlier")).alias("b")).select("b.earlier", "later"), f"{folder}/best")
+    found = through_table(verify(docs, best, similarity), f"{folder}/found")
+    # sets that are still without a match meet their other candidates, and if they had more to compare, all before them
+    matched = found.select("later").distinct()
+    left_over = through_table(made.filter("earlier is null").select(F.col("later").alias("place")).distinct()
+                              .join(matched.toDF("place"), "place", "left_anti"), f"{folder}/open")
+    others = made.filter("earlier is not null").join(matched, "later", "left_anti").join(best, ["later", "earlier"], "left_anti").distinct()
+    rest = through_table(others.select("earlier", "later").unionByName(_all_before(sets, left_over, similarity)).distinct(), f"{folder}/rest")
+    return found.unionByName(through_table(verify(docs, rest, similarity), f"{folder}/rest-found"))
+
+
+def _all_before(sets: DataFrame, left_over: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (earlier, later) of the sets in ``left_over`` among all sets before them that share a prefix word."""
+    some = _postings(sets.join(left_over, "place", "left_semi"))
+    others = _marked(_postings(sets), "token", some.select(F.col("token").alias("place")).distinct())
+    a = some.select(*(F.col(c).alias(f"a_{c}") for c in _POSTING))
+    b = others.select(*(F.col(c).alias(f"b_{c}") for c in _POSTING))
+    before = F.struct("b_doc_id", "b_line", "b_place") < F.struct("a_doc_id", "a_line", "a_place")
+    return _compare_pairs(a.join(b, (F.col("a_token") == F.col("b_token")) & before), similarity)
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -236,10 +347,9 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     docs = docs.drop("text_hash", "kept", *added)
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     folder = new_folder(spark, "line-sets")
-    fields = ("doc_id", "line", "place", "text_hash", "size", "pa", "pb", "prefix")
-    (line_sets(narrow, rarity(narrow), similarity).groupBy("k1", "k2").agg(F.min(F.struct(*fields)).alias("r"))
-     .select("r.*").write.parquet(folder))
-    sets = spark.read.parquet(folder)
+    fields = ("doc_id", "line", "place", "text_hash", "size", "parity", "prefix")
+    sets = through_table(line_sets(narrow, rarity(narrow), similarity).groupBy("k1", "k2").agg(F.min(F.struct(*fields)).alias("r"))
+                         .select("r.*"), folder)
     gone = near_matches(narrow, sets, similarity).select(F.col("later").alias("place")).distinct()
     kept = (sets.select("doc_id", "text_hash", "line", "place").join(gone, "place", "left_anti")
             .groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("line")).alias("kept")))

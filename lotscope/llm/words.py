@@ -63,15 +63,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data or b"", np.uint8)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of each hold about ``size`` bytes, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = BATCH_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the texts of each hold about ``size`` bytes, or one row, and at most ``rows`` rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         total, start, at = np.concatenate([[0], np.cumsum(lengths)]), 0, 0
         while start < batch.num_rows:
-            at = max(start + 1, int(np.searchsorted(total, total[start] + size, "right")) - 1)
+            at = min(start + rows, max(start + 1, int(np.searchsorted(total, total[start] + size, "right")) - 1))
             yield batch.slice(start, at - start)
             start = at
 
@@ -149,3 +149,9 @@ def prefix_hashes(words: Words, lengths: tuple[int, ...]) -> Iterator[tuple[np.n
 def group_starts(groups: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins in an array that is ordered by them."""
     return np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(groups) else np.zeros(0, np.int64)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; for 64-bit hashes sorting is far quicker than numpy's hashing."""
+    values = np.sort(values)
+    return values[group_starts(values)]
