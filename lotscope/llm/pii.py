@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotscope.llm.line_dedup import wanted_filter
+from lotscope.llm.line_dedup import in_filter, wanted_filter
 from lotscope.llm.words import as_text, hash_words, slices
 from lotscope.plans.lineage import new_folder
 
@@ -133,7 +133,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             words = hash_words(batch.column("text"))
             h = words.hashes
-            keep = ((table[((h >> np.uint64(6)) % np.uint64(len(table))).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)
+            keep = in_filter(table, h)
             h, rows = h[keep], words.rows[keep]
             order = np.lexsort((h, rows))
             h, rows = h[order], rows[order]
