@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotscope.llm.tables import through_table
 from lotscope.plans.lineage import new_folder
 
 
@@ -15,11 +16,9 @@ def components(links: DataFrame) -> DataFrame:
     points to a root. Each round is written to the shared folder, so a lost executor replays one round at most. Minima
     are taken map-side first, and joins leave hot nodes to the skew handling of adaptive execution.
     """
-    spark = links.sparkSession
-    folder = new_folder(spark, "components")
+    folder = new_folder(links.sparkSession, "components")
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges.write.parquet(f"{folder}/0")
-    edges = spark.read.parquet(f"{folder}/0")
+    edges = through_table(edges, f"{folder}/0")
     state, step = None, 0
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -33,7 +32,6 @@ def components(links: DataFrame) -> DataFrame:
         small = (large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                                                  F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
                  .select("e.*").filter("u <> v").distinct())
-        small.write.parquet(f"{folder}/{step}")
-        edges = spark.read.parquet(f"{folder}/{step}")
+        edges = through_table(small, f"{folder}/{step}")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -6,10 +6,11 @@ element's weight, earliest rank first, each hit one coordinate of the signature,
 dart. Two sets agree on a coordinate with a probability that is their weighted Jaccard similarity. The darts needed
 depend on the length of the signature, not on the weights.
 
-Documents whose bands agree meet in buckets. A bucket compares its members with its first one only. Then components are
-formed, and members outside the component of the bucket's first meet all members of other components. So every two
-candidates are either compared or known to be linked already, while a group of thousands of near copies costs one
-comparison each. Equal word sequences count as one document until the end.
+Documents whose bands agree meet in buckets. A bucket compares its members with its first and last one only. Then
+components are formed, and members outside the component of the bucket's first meet all members of other components. So
+every two candidates are either compared or known to be linked already, while a group of thousands of near copies costs
+two comparisons each. Before texts are compared, the size and a parity sketch of 1024 bits rule out most pairs that are
+not similar enough, and none that is. Equal word sequences count as one document until the end.
 """
 
 from __future__ import annotations
@@ -22,13 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotscope.llm.components import components
-from lotscope.llm.line_dedup import wanted_filter
-from lotscope.llm.words import Words, group_starts, hash_words, mix, shingle_hashes, slices
+from lotscope.llm.line_dedup import in_filter, wanted_filter
+from lotscope.llm.words import Words, distinct, group_starts, hash_words, mix, shingle_hashes, slices
+from lotscope.llm.tables import through_table
 from lotscope.plans.lineage import new_folder
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 26 bands of 5 coordinates: two sets of similarity 0.8 share no band with a probability of 0.00003.
 BANDS, PER_BAND = 26, 5
+#: Bits of the parity sketch of a set of shingles, in words of 64.
+PARITY = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 24)]))
 
@@ -97,10 +101,24 @@ def _sequence_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _parities(elements: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of distinct elements of every row (at most 512 rows), and the parity of how many fall on each bit.
+
+    Two sets differ in at least as many elements as their parities differ in bits.
+    """
+    packed = distinct((rows.astype(np.uint64) << np.uint64(55)) | (elements >> np.uint64(9)))
+    row = (packed >> np.uint64(55)).astype(np.int64)
+    bit = mix(packed & np.uint64((1 << 55) - 1)) % np.uint64(PARITY * 64)
+    slot = row * PARITY + (bit >> np.uint64(6)).astype(np.int64)
+    out = np.zeros(n_rows * PARITY, np.uint64)
+    np.bitwise_xor.at(out, slot, np.uint64(1) << (bit & np.uint64(63)))
+    return np.bincount(row, minlength=n_rows), out
+
+
 def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, per_band: int = PER_BAND) -> DataFrame:
-    """Node, id, word-sequence hashes and band hashes of every document that has words and an id."""
+    """Node, id, word-sequence hashes, number of shingles, parity sketch and band hashes of every document that has words."""
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 20, 512):  # a short text takes as many darts as one of a thousand words
             words = hash_words(batch.column("text"))
             elements, rows = shingle_hashes(words, shingle)
             sig = signatures(elements, rows, batch.num_rows, bands * per_band).reshape(-1, bands, per_band)
@@ -109,15 +127,25 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, per_ba
                 acc = mix(acc * _ODD + sig[:, :, i])
             f1, f2 = _sequence_hashes(words)
             some = np.flatnonzero(np.bincount(words.rows, minlength=batch.num_rows))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands),
-                                             pa.array(acc[some].reshape(-1).view(np.int64)))
+            number, parity = _parities(elements, rows, batch.num_rows)
+            listed = lambda x, n: pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * n),
+                                                           pa.array(x.reshape(-1, n)[some].reshape(-1).view(np.int64)))
             take = pa.array(some)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node").take(take), batch.column("doc_id").take(take), pa.array(f1[some].view(np.int64)),
-                 pa.array(f2[some].view(np.int64)), lists], ["node", "doc_id", "f1", "f2", "bands"])
+                 pa.array(f2[some].view(np.int64)), pa.array(number[some].astype(np.int32)), listed(parity, PARITY), listed(acc, bands)],
+                ["node", "doc_id", "f1", "f2", "n", "parity", "bands"])
 
     return docs.select("node", "doc_id", "text").mapInArrow(
-        run, "node bigint, doc_id bigint, f1 bigint, f2 bigint, bands array<bigint>")
+        run, "node bigint, doc_id bigint, f1 bigint, f2 bigint, n int, parity array<bigint>, bands array<bigint>")
+
+
+def _may_match(a: str, b: str, similarity: float):
+    """Whether sizes and parity sketches of two structs allow the similarity; what it rules out is never similar."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    need = F.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+    differ = sum((F.bit_count(F.get(F.col(f"{a}.parity"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}.parity"), F.lit(i)))) for i in range(PARITY)), F.lit(0))
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (differ <= n + m - 2 * need)
 
 
 def verify(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -129,8 +157,7 @@ def verify(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -
         table = shared.value
         for batch in slices(batches, "text"):
             node = batch.column("node").to_numpy().view(np.uint64)
-            keep = (table[((node >> np.uint64(6)) % np.uint64(len(table))).astype(np.int64)] >> (node & np.uint64(63))) & np.uint64(1)
-            batch = batch.filter(pa.array(keep.astype(bool)))
+            batch = batch.filter(pa.array(in_filter(table, node)))
             if not batch.num_rows:
                 continue
             elements, rows = shingle_hashes(hash_words(batch.column("text")), shingle)
@@ -138,7 +165,7 @@ def verify(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -
             ends = np.searchsorted(rows[order], np.arange(batch.num_rows + 1))
             elements = elements[order]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([np.unique(elements[i:j]).tobytes() for i, j in zip(ends, ends[1:])], pa.binary())],
+                [batch.column("node"), pa.array([distinct(elements[i:j]).tobytes() for i, j in zip(ends, ends[1:])], pa.binary())],
                 ["node", "shingles"])
 
     made = (docs.select("node", "text").mapInArrow(sets, "node bigint, shingles binary")
@@ -153,7 +180,7 @@ def verify(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -
                 if min(n, m) < similarity * max(n, m) - 1e-9:
                     keep.append(False)
                     continue
-                union = len(np.unique(np.frombuffer(x + y, np.uint64)))
+                union = len(distinct(np.frombuffer(x + y, np.uint64)))
                 keep.append(n + m - union >= similarity * union - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -168,37 +195,36 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     true for one row of each class, by doc_id and node (repeated rows share it). Null and empty texts, texts without
     words, and rows without an id are classes of their own. A text of fewer words than a shingle has one shingle.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("node", F.xxhash64("doc_id", "text"))
-    folder = new_folder(spark, "near")
+    folder = new_folder(docs.sparkSession, "near")
     known = docs.filter("doc_id is not null and text is not null")
-    sketches(known, shingle, bands, per_band).write.parquet(f"{folder}/sketches")
-    made = spark.read.parquet(f"{folder}/sketches")
+    made = through_table(sketches(known, shingle, bands, per_band), f"{folder}/sketches")
     # one node per word sequence
-    texts = made.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "node", "bands")).alias("r"))
-    texts.select("f1", "f2", "r.doc_id", "r.node", "r.bands").write.parquet(f"{folder}/texts")
-    texts = spark.read.parquet(f"{folder}/texts")
-    entries = texts.select("node", F.explode("bands").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    entries.join(buckets, "bucket").write.parquet(f"{folder}/buckets")
-    members = spark.read.parquet(f"{folder}/buckets")
-    (members.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-     .write.parquet(f"{folder}/pairs"))
-    verify(known, spark.read.parquet(f"{folder}/pairs"), shingle, similarity).write.parquet(f"{folder}/links")
-    links = spark.read.parquet(f"{folder}/links")
+    texts = made.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "node", "n", "parity", "bands")).alias("r"))
+    texts = through_table(texts.select("f1", "f2", "r.*"), f"{folder}/texts")
+    sketch = texts.select("node", F.struct("n", "parity").alias("s"))
+    entries = texts.select(F.struct("doc_id", "node").alias("e"), F.explode("bands").alias("bucket"))
+    buckets = entries.groupBy("bucket").agg(F.min("e").alias("lo"), F.max("e").alias("hi"), F.count("*").alias("n")).filter("n > 1")
+    members = through_table(entries.join(buckets, "bucket").select(
+        "bucket", F.col("e.node").alias("node"), F.col("lo.node").alias("first"), F.col("hi.node").alias("last"), "n"), f"{folder}/buckets")
+    # every member of a bucket meets its first and its last document
+    pairs = members.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("first", "last"))).alias("b")).filter("a <> b")
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = (pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").filter(_may_match("sa", "sb", similarity)).select("a", "b"))
+    links = through_table(verify(known, through_table(pairs, f"{folder}/pairs"), shingle, similarity), f"{folder}/links")
     # what a bucket holds outside its first one's component meets the members of other components
     roots = components(links)
     several = members.filter("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     main = roots.select(F.col("node").alias("first"), F.col("root").alias("main"))
-    several = several.join(main, "first", "left").withColumn("main", F.coalesce("main", "first")).filter("node <> first")
-    outside = several.filter("root <> main").select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"))
-    inside = several.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("main").alias("mb"))
-    more = outside.join(inside, "bucket").filter("ra <> rb and (rb = mb or a < b)").select("a", "b").distinct()
-    more.write.parquet(f"{folder}/more")
-    more = spark.read.parquet(f"{folder}/more")
+    several = several.join(main, "first", "left").withColumn("main", F.coalesce("main", "first")).filter("node not in (first, last)")
+    several = several.join(sketch, "node")
+    outside = several.filter("root <> main").select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("s").alias("sa"))
+    inside = several.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("main").alias("mb"), F.col("s").alias("sb"))
+    more = outside.join(inside, (outside["bucket"] == inside["bucket"]) & (F.col("ra") != F.col("rb"))
+                        & ((F.col("rb") == F.col("mb")) | (F.col("a") < F.col("b"))) & _may_match("sa", "sb", similarity))
+    more = through_table(more.select("a", "b").distinct(), f"{folder}/more")
     if not more.isEmpty():
-        verify(known, more, shingle, similarity).write.parquet(f"{folder}/more-links")
-        roots = components(links.unionByName(spark.read.parquet(f"{folder}/more-links")))
+        roots = components(links.unionByName(through_table(verify(known, more, shingle, similarity), f"{folder}/more-links")))
     classes = texts.join(roots, "node", "left").select("f1", "f2", "doc_id", "node", F.coalesce("root", "node").alias("root"))
     heads = classes.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("head"))
     classes = classes.join(heads, "root").select("f1", "f2", "head")
