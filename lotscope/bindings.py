@@ -83,7 +83,8 @@ select job, crop, slogan, confidence, flagged, anchored, printed_year from (
   from {lineitem} join {part} on l_partkey=p_partkey) where rn=1""",
     # marks on a page, and readings of the same page by a second reader
     "v_mark": """
-select l_orderkey as job, l_partkey*10000000+l_suppkey*10+l_linenumber as i, l_extendedprice%800 as x,
+select l_orderkey as job, cast(row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_extendedprice,
+         l_linenumber, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) as bigint) as i, l_extendedprice%800 as x,
        l_quantity*12 as y, 20+l_discount*200 as r, l_tax*10 as fill, l_returnflag='N' as is_reading,
        l_linestatus as status, l_discount*10 as confidence, l_linenumber as line
 from {lineitem}""",
@@ -120,10 +121,6 @@ select p_partkey as id, case p_partkey%5 when 0 then cast(1960+p_size as string)
   when 2 then (1960+p_size) || ' (' || p_brand || ')' else (1960+p_size) || ' ' || p_name end as label from {part}""",
 }
 
-# views that read other views
-NEEDS: dict[str, tuple[str, ...]] = {}
-
-
 def view_sql(name: str) -> str:
     """The view as DuckDB reads it: tables by plain name."""
     return VIEWS[name].format(**{t: t for t in TABLES})

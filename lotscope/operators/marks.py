@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotscope import settings as S
@@ -119,10 +119,14 @@ def layout(marks: DataFrame) -> DataFrame:
 
 
 def reading_order(marks: DataFrame) -> DataFrame:
-    """Position of each mark in reading order: by row band, then x."""
+    """Position of each mark in reading order: by row band, then x, then i. Marks are numbered inside their row; the
+    marks of earlier rows, one number per row, are added."""
     rows = cut_lineage(banded(marks, "y", "row"))
-    block = F.col("row") * 100000 + F.floor("x")
-    return number_rows(rows, ["job"], [F.asc("row"), F.asc("x"), F.asc("i")], block, "position")
+    inside = number_rows(rows, ["job", "row"], [F.asc("x"), F.asc("i")], F.floor("x"), "_n")
+    earlier = Window.partitionBy("job").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("job", "row").agg(F.count(F.lit(1)).alias("_c")).select(
+        "job", "row", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    return inside.join(before, ["job", "row"]).withColumn("position", F.col("_n") + F.col("_before")).drop("_n", "_before")
 
 
 def grid_holes(marks: DataFrame) -> DataFrame:

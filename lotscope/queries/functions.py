@@ -194,7 +194,13 @@ def f40(t):
                             F.round(nm.rerank_delta((c("overall") - 0.5) * 4, c("image_score") - 0.3), 6).alias("delta"))
 
 
-@query("f41_shard_of")
+CRC = ("list_reduce(list_transform(string_split({c},''), lambda x: cast(ord(x) as bigint)), lambda a, b: "
+       "list_reduce([0,1,2,3,4,5,6,7]::bigint[], lambda d, k: xor(d >> 1, case when d % 2 = 1 then 3988292384::bigint else 0::bigint end), "
+       "xor(a, b)), 4294967295::bigint)")
+
+
+@query("f41_shard_of", on("v_listing", body="select cast(xor(crc, 4294967295) % 4 as int) as shard, count(*) as n from (select "
+       + CRC.replace("{c}", "name") + " as crc from (select 'pipeline/input/' || item_id || '.png' as name from v_listing)) group by 1"))
 def f41(t):
     names = t.view("v_listing").select(F.concat(F.lit("pipeline/input/"), c("item_id"), F.lit(".png")).alias("name"))
     return names.groupBy(tx.shard_of(c("name"), 4).alias("shard")).agg(F.count(F.lit(1)).alias("n"))

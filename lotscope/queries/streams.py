@@ -6,6 +6,7 @@ from lotscope.operators import filters, history
 from lotscope.plans.lineage import new_folder
 from lotscope.queries.history import SHIPPED, shipped
 from lotscope.queries.payloads import NAMES
+from lotscope.queries.functions import CRC
 from lotscope.queries.registry import query
 from lotscope.queries.sql import on
 from lotscope.sources import logs
@@ -122,12 +123,30 @@ def x9(t):
     return t.spark.read.parquet(path)
 
 
-@query("x10_tripwire_stream")
+def ordered_files(t, n=4):
+    """The events table as files that arrive one after the other, each a range of ids; a micro-batch reads one."""
+    path = new_folder(t.spark, "events-ordered")
+    ids = t.table("events").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
+    width = (ids.hi - ids.lo) // n + 1
+    for i in range(n):
+        part = c("event_id").between(ids.lo + i * width, ids.lo + (i + 1) * width - 1)
+        t.table("events").where(part).coalesce(1).write.mode("append").parquet(path)
+    return ss.folder_stream(t.spark, path, t.table("events").schema, 1)
+
+
+@query("x10_tripwire_stream", f"""with e as (select cast(xor({CRC.replace("{c}", "'k' || user_id")}, 4294967295) % 4 as int) as worker, event_id as seq,
+  event_type in ('error','signup','click') as failed from events),
+o as (select *, row_number() over w as rn, sum((not failed)::int) over w as island,
+  sum(failed::int) over (partition by worker order by seq rows between 49 preceding and current row) as bad from e window w as (partition by worker order by seq)),
+r as (select worker, island, count(*) filter (where failed) as run, max(rn) as upto from o group by 1, 2)
+select o.worker, count(*) as n, cast(any_value((select run from r where r.worker=o.worker order by upto desc limit 1)) as bigint) as streak,
+  cast(any_value((select max(run) from r where r.worker=o.worker)) as bigint) as max_streak,
+  any_value((select max(run) from r where r.worker=o.worker)) >= 5 as halted, bool_or(rn >= 50 and bad/50 > 0.7) as tripped from o group by 1""")
 def x10(t):
-    rows = events(t).select(F.concat(lit("k"), "user_id").alias("name"), c("event_id").alias("seq"), c("event_type").isin("error", "signup", "click").alias("failed"))
+    rows = ordered_files(t).select(F.concat(lit("k"), "user_id").alias("name"), c("event_id").alias("seq"), c("event_type").isin("error", "signup", "click").alias("failed"))
     path = new_folder(t.spark, "watch")
-    ss.each_batch(stt.tripwire_stream(rows, 4, limit=0.7), stt.snapshot_sink(path), new_folder(t.spark, "watch-state"), mode="update")
-    return t.spark.read.parquet(path)
+    ss.each_batch(stt.tripwire_stream(rows, 4, limit=0.7), stt.update_sink(path), new_folder(t.spark, "watch-state"), mode="update")
+    return stt.read_latest(t.spark, path, ["worker"])
 
 
 FIRST = "select item_id from v_listing"

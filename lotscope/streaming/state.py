@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lotscope import settings as S
 from lotscope.functions.text import shard_of
+from lotscope.plans.ranked import first_by
 from lotscope.sources.notifications import decode_notifications, route_objects
 
 
@@ -60,6 +62,18 @@ def snapshot_sink(path: str):
     return write
 
 
+def update_sink(path: str):
+    """Batch writer for updated rows: each batch keeps its own folder, so a replayed one changes nothing."""
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return write
+
+
+def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last row of every key that ``update_sink`` has written."""
+    return first_by(spark.read.parquet(path), keys, [F.desc("batch")]).drop("batch")
+
+
 def sweep(df: DataFrame, now, days: int = S.PENDING_DAYS, created: str = "created") -> DataFrame:
     """Contexts young enough to keep."""
     return df.where(F.col(created) >= now - F.expr(f"interval {days} days"))
@@ -102,12 +116,15 @@ def tripwire_stream(stream: DataFrame, workers: int, width: int = 50, limit: flo
     """
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, streak, longest, tripped, recent = state.get if state.exists else (0, 0, 0, False, "")
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for failed in rows["failed"]:
-            n, streak = n + 1, streak + 1 if failed else 0
-            longest = max(longest, streak)
-            recent = (recent + "01"[bool(failed)])[-width:]
-            tripped = tripped or (len(recent) == width and recent.count("1") / width > limit)
+        failed = pd.concat(list(frames)).sort_values("seq")["failed"].to_numpy(bool)
+        at = np.arange(len(failed))
+        since = at - np.maximum.accumulate(np.where(failed, -1, at))  # failures in a row up to each outcome
+        runs = np.where(np.logical_or.accumulate(~failed), since, at + 1 + streak) * failed
+        n, streak, longest = n + len(failed), int(runs[-1]), max(longest, int(runs.max()))
+        outcomes = np.concatenate([np.array([c == "1" for c in recent], bool), failed])
+        sums = np.concatenate([[0], np.cumsum(outcomes)])
+        tripped = bool(tripped or (len(outcomes) >= width and ((sums[width:] - sums[:-width]) / width > limit).any()))
+        recent = "".join("01"[int(f)] for f in outcomes[-width:])
         state.update((n, streak, longest, tripped, recent))
         yield pd.DataFrame({"worker": [key[0]], "n": [n], "streak": [streak], "max_streak": [longest],
                             "halted": [longest >= halt_at], "tripped": [tripped]})
