@@ -47,6 +47,19 @@ def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents")).drop("node")
 
 
+#: Words of a text, as the operators on words and lines see them.
+_WORDS = "regexp_extract_all(lower({text}), '(?:[0-9a-z_]|[^\\x00-\\x7F])+')"
+
+SQL["op4_minhash"] = f"""
+with recursive d as (select doc_id, {_WORDS.format(text="coalesce(text, '')")} as ws from documents),
+s as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: ws[i:i+4])) as g from d where len(ws) > 0),
+n as (select doc_id, count(*) as n from s group by 1),
+e as (select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.doc_id <> b.doc_id join n na on na.doc_id = a.doc_id
+  join n nb on nb.doc_id = b.doc_id group by a.doc_id, b.doc_id, na.n, nb.n having count(*) >= 0.8 * (na.n + nb.n - count(*)) - 1e-9),
+r as (select doc_id as a, doc_id as b from d union select r.a, e.b from r join e on e.a = r.b)
+select a as doc_id, min(b) as class_id, min(b) = a as first from r group by 1"""
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Probabilities of low quality and of toxicity of every document, and whether it is toxic."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -157,4 +170,23 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+SQL["op10_line_dedup"] = f"""
+with t as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select doc_id, i, line, list_sort(list_distinct({_WORDS.format(text="line")})) as key
+  from (select doc_id, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from t)),
+s as (select key, len(key) as n, min((doc_id, i)) as place, row_number() over () as id from l where len(key) > 0 group by key),
+w as (select id, n, unnest(key) as word from s),
+p as (select id, n, word from (select *, row_number() over (partition by id order by df, word) as rk
+  from (select *, count(*) over (partition by word) as df from w)) where rk <= n - ceil(0.8 * n - 1e-9) + 1),
+c as (select distinct a.id as a, b.id as b from p a join p b on a.word = b.word and a.id <> b.id and b.n between 0.8 * a.n and 1.25 * a.n),
+gone as (select distinct a.id from c join s a on a.id = c.a join s b on b.id = c.b
+  where b.place < a.place and len(list_intersect(a.key, b.key)) >= 0.8 * (a.n + b.n - len(list_intersect(a.key, b.key))) - 1e-9),
+k as (select l.doc_id, l.i, l.line, len(l.key) = 0 or (s.place = (l.doc_id, l.i) and s.id not in (from gone)) as stays, len(l.key) > 0 as worded
+  from l left join s on s.key = l.key),
+o as (select doc_id, coalesce(string_agg(line, chr(10) order by i) filter (where stays), '') as left_over, count(*) as n_lines,
+  count(*) filter (where not stays) as n_removed, bool_or(worded) and not coalesce(bool_or(worded and stays), false) as lost_all from k group by 1)
+select t.doc_id, case when t.text is not null then left_over end as text, case when t.text is null then 0 else n_lines end as n_lines, n_removed, lost_all
+from t join o using (doc_id)"""
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_html, op3_decontamination, op4_minhash, op5_toxicity, op6_secrets, op7_warc, op8_quality, op9_pii, op10_line_dedup)}
