@@ -275,10 +275,12 @@ def low_res_guard(marks: DataFrame) -> DataFrame:
     return marks.withColumn("guard", geo.low_res_guard(F.col("r")))
 
 
-def build_labels(marks: DataFrame, links: DataFrame, part_size: int = 1000) -> DataFrame:
-    """Label records: the marks of a job with shape, source and whether a reading backs them (NULL where no reading
-    could be matched), in parts of at most ``part_size`` marks so that a crowded page never has to fit one task."""
-    known = links.select("job").distinct().withColumn("_known", F.lit(True))
+def build_labels(marks: DataFrame, links: DataFrame, readings: DataFrame, part_size: int = 1000) -> DataFrame:
+    """Label records: the marks of a job with shape, source and whether a reading backs them, in parts of at most
+    ``part_size`` marks so that a crowded page never has to fit one task. The flag is NULL where matching could not
+    run, that is on pages without readings or without a positive median radius."""
+    sized = median_radius(marks).where("median_r > 0").select("job")
+    known = readings.select("job").distinct().join(sized, "job", "left_semi").withColumn("_known", F.lit(True))
     backed = links.select("job", "i").withColumn("_b", F.lit(True))
     rows = marks.join(known, "job", "left").join(backed, ["job", "i"], "left")
     numbered = number_rows(rows, ["job"], [F.asc("i")], F.floor(F.col("i") / (1 << 32)), "n")

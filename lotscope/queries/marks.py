@@ -281,5 +281,5 @@ def w13(t):
 def s18(t):
     from lotscope.plans.lineage import cut_lineage
     links = cut_lineage(mk.covered(marks(t), readings(t)))
-    out = mk.build_labels(marks(t).withColumn("source", c("status")), links)
+    out = mk.build_labels(marks(t).withColumn("source", c("status")), links, readings(t))
     return out.select("schema", "job", "part", "name", F.to_json("circles").alias("circles"))

@@ -100,6 +100,15 @@ def s11(t):
     return out.select("job", "i", "mx", "index", "slogan", *[F.round(n, 6).alias(n) for n in ("x", "y", "size")], "size_class", "edge_x", "confidence", "printed_year", "coord_scale")
 
 
+@query("s11_flagged", on("v_mark", body="""
+select job, i, x as mx, k as index, k=4 as flagged from v_mark, (values (1), (4)) as e(k) where job%5<>4"""))
+def s11_flagged(t):
+    """The same responses with a second flag, on an index written as text."""
+    raw = F.replace(c("raw"), lit('"flagged_problem_slogans": [{"index": 2}'), lit('"flagged_problem_slogans": [{"index": 2}, {"index": "4"}, {"index": "NaN"}'))
+    quoted = F.replace(raw, lit('\\"flagged_problem_slogans\\": [{\\"index\\": 2}'), lit('\\"flagged_problem_slogans\\": [{\\"index\\": 2}, {\\"index\\": \\"4\\"}, {\\"index\\": \\"99999999999\\"}'))
+    return readings.parse_readings(responses(t).withColumn("raw", quoted), "raw", ["job", "i", "mx"]).select("job", "i", "mx", "index", "flagged")
+
+
 @query("s11_parse_analysis", on("v_mark", body="select job, i, x as mx, case when job%5=4 then 0 else cast(line as int) end as total, case when job%5=4 then 0 else 1 end as n_flagged from v_mark"))
 def s11_counts(t):
     return readings.parse_analysis(responses(t), "raw").select("job", "i", "mx", "total", "n_flagged")

@@ -28,7 +28,8 @@ def analysis_text(df: DataFrame, raw: str) -> DataFrame:
     outer = df.withColumn("_e", F.from_json(raw, "response string")).withColumn("_inner", _object_text(F.col("_e.response")))
     opened = outer.withColumn("_i", F.from_json("_inner", fields))
     direct = F.col("_i.total_button_count").isNotNull() | F.col("_i.detected_slogans").isNotNull()
-    nested = F.coalesce(*[_object_text(F.col(f"_i.{k}")) for k in RESPONSE_KEYS], F.col("_inner"))
+    parsed = lambda text: F.when(F.try_parse_json(text).isNotNull(), text)  # the first field that parses counts
+    nested = F.coalesce(*[parsed(_object_text(F.col(f"_i.{k}"))) for k in RESPONSE_KEYS], F.col("_inner"))
     text = F.when(F.col("_inner").isNull(), F.col(raw)).when(direct, F.col("_inner")).otherwise(nested)
     return opened.withColumn("_text", text).drop("_e", "_i", "_inner")
 
@@ -44,23 +45,28 @@ def parse_analysis(df: DataFrame, raw: str) -> DataFrame:
 
 
 def parse_readings(df: DataFrame, raw: str, keys: list[str]) -> DataFrame:
-    """One row per detected slogan with typed fields, blanks dropped. The coordinate scale of a response is read off
-    its own array, so nothing is shuffled; typing happens after the explode, in generated code.
+    """One row per detected slogan with typed fields, blanks dropped, and whether the reader flagged its index. The
+    coordinate scale of a response is read off its own array, so nothing is shuffled; typing happens after the explode,
+    in generated code.
 
     The explode is an outer one because Spark would otherwise push a size filter, and with it the whole parsing, down
     to the scan and parse everything twice; the blank filter removes the empty rows."""
-    slogans = analysis_text(df, raw).select(*keys, F.from_json("_text", "detected_slogans " + SLOGANS)["detected_slogans"].alias("_s"))
+    found = analysis_text(df, raw).select(*keys, F.from_json(
+        "_text", f"detected_slogans {SLOGANS}, flagged_problem_slogans array<struct<index:string>>").alias("_a"))
+    flags = F.transform("_a.flagged_problem_slogans", lambda f: nm.loose_int(f["index"], F.lit(None).cast("int")))
+    slogans = found.select(*keys, F.col("_a.detected_slogans").alias("_s"), flags.alias("_f"))
     coords = lambda s: F.when(F.trim(s["slogan"]) != "", F.greatest(*[nm.loose_float(v) for v in (
         s["x"], s["y"], F.coalesce(s["edge"]["x"], s["edge_x"]), F.coalesce(s["edge"]["y"], s["edge_y"]))]))
-    rows = slogans.select(*keys, F.array_max(F.transform("_s", coords)).alias("_top"), F.posexplode_outer("_s").alias("pos", "s"))
+    rows = slogans.select(*keys, "_f", F.array_max(F.transform("_s", coords)).alias("_top"), F.posexplode_outer("_s").alias("pos", "s"))
     s = lambda name: F.col(f"s.{name}")
     typed = rows.where(F.trim(s("slogan")) != "").select(
         *keys, "_top", "pos", nm.loose_int(s("index"), F.col("pos") + 1).alias("index"), F.trim(s("slogan")).alias("slogan"),
         nm.loose_float(s("x")).alias("x"), nm.loose_float(s("y")).alias("y"),
         nm.loose_float(F.coalesce(s("radius"), s("size"))).alias("size"), nm.size_class(F.coalesce(s("size_class"), s("size"))).alias("size_class"),
         nm.loose_float(F.coalesce(s("edge.x"), s("edge_x"))).alias("edge_x"), nm.loose_float(F.coalesce(s("edge.y"), s("edge_y"))).alias("edge_y"),
-        nm.parse_confidence(s("confidence")).alias("confidence"), nm.parse_printed_year(s("printed_year")).alias("printed_year"))
-    return _rescale(typed)
+        nm.parse_confidence(s("confidence")).alias("confidence"), nm.parse_printed_year(s("printed_year")).alias("printed_year"), "_f")
+    flagged = F.coalesce(F.array_contains("_f", F.col("index")), F.lit(False))
+    return _rescale(typed.withColumn("flagged", flagged).drop("_f"))
 
 
 def _rescale(rows: DataFrame) -> DataFrame:

@@ -131,7 +131,7 @@ def test_associate_and_labels(spark):
     links = mk.associate(da, db).cache()
     for r in links.collect():
         assert r.anchored == (r.d <= 0.75 * r.r)
-    rows = mk.build_labels(da.withColumn("source", F.lit("hough")), links, part_size=4).collect()
+    rows = mk.build_labels(da.withColumn("source", F.lit("hough")), links, db, part_size=4).collect()
     circles = {}
     for r in rows:
         assert len(r.circles) <= 4
@@ -140,6 +140,14 @@ def test_associate_and_labels(spark):
     assert all(c.reader_backed is None for c in circles[2])
 
 
+def test_labels_of_a_page_whose_readings_cover_nothing(spark):
+    a, b = cloud(10, n=4, jobs=1), cloud(11, n=4, jobs=1)
+    da, db = spark.createDataFrame(a, COLS), spark.createDataFrame(b, COLS)
+    links = mk.associate(da, db).limit(0)
+    flags = [c.reader_backed for r in mk.build_labels(da.withColumn("source", F.lit("hough")), links, db).collect() for c in r.circles]
+    assert flags == [False] * 4
+
+
 def test_order_stats(spark):
     rnd = random.Random(1)
     vals = [(g, rnd.choice([0.0, -3.5, 7.0, rnd.uniform(-1e3, 1e6)])) for g in "aab" for _ in range(150)] + [("c", 5.0)] * 40 + [("d", 1.0)]
