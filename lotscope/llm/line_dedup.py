@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotscope.llm.words import Words, distinct, group_starts, hash_words, mix, slices
-from lotscope.llm.tables import through_table
+from lotscope.llm.tables import drop_table, through_table
 from lotscope.plans.lineage import new_folder
 
 SIMILARITY = 0.8
@@ -193,10 +193,10 @@ def _words_of(docs: DataFrame, places: DataFrame) -> DataFrame:
     return made.join(places, "place", "left_semi").dropDuplicates(["place"])
 
 
-def verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of the ``pairs`` (earlier, later: places) whose sets are similar enough."""
+def verify(docs: DataFrame, pairs: DataFrame, similarity: float, path: str) -> DataFrame:
+    """Those of the ``pairs`` (earlier, later: places) whose sets are similar enough, as a table at ``path``."""
     places = pairs.select(F.explode(F.array("earlier", "later")).alias("place")).distinct()
-    words = through_table(_words_of(docs, places), new_folder(docs.sparkSession, "line-words"))
+    words = through_table(_words_of(docs, places), f"{path}-words")
     both = (pairs.join(words.toDF("earlier", "x"), "earlier").join(words.toDF("later", "y"), "later"))
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -316,14 +316,17 @@ def near_matches(docs: DataFrame, sets: DataFrame, similarity: float, reach: int
     # the candidate that most words of a set agree on is verified first; of most sets that have one it is a match
     pairs = made.filter("earlier is not null").groupBy("later", "earlier").agg(F.count("*").alias("n"))
     best = through_table(pairs.groupBy("later").agg(F.max(F.struct("n", "earlier")).alias("b")).select("b.earlier", "later"), f"{folder}/best")
-    found = through_table(verify(docs, best, similarity), f"{folder}/found")
+    found = verify(docs, best, similarity, f"{folder}/found")
     # sets that are still without a match meet their other candidates, and if they had more to compare, all before them
     matched = found.select("later").distinct()
     left_over = through_table(made.filter("earlier is null").select(F.col("later").alias("place")).distinct()
                               .join(matched.toDF("place"), "place", "left_anti"), f"{folder}/open")
     others = made.filter("earlier is not null").join(matched, "later", "left_anti").join(best, ["later", "earlier"], "left_anti").distinct()
     rest = through_table(others.select("earlier", "later").unionByName(_all_before(sets, left_over, similarity)).distinct(), f"{folder}/rest")
-    return found.unionByName(through_table(verify(docs, rest, similarity), f"{folder}/rest-found"))
+    found = found.unionByName(verify(docs, rest, similarity, f"{folder}/rest-found"))
+    for name in ("candidates", "best", "open", "rest"):
+        drop_table(docs.sparkSession, f"{folder}/{name}")
+    return found
 
 
 def _all_before(sets: DataFrame, left_over: DataFrame, similarity: float) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lotscope.llm.components import components
 from lotscope.llm.line_dedup import in_filter, wanted_filter
 from lotscope.llm.words import Words, distinct, group_starts, hash_words, mix, shingle_hashes, slices
-from lotscope.llm.tables import through_table
+from lotscope.llm.tables import drop_table, through_table
 from lotscope.plans.lineage import new_folder
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -225,6 +225,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     more = through_table(more.select("a", "b").distinct(), f"{folder}/more")
     if not more.isEmpty():
         roots = components(links.unionByName(through_table(verify(known, more, shingle, similarity), f"{folder}/more-links")))
+    for name in ("buckets", "pairs", "more"):
+        drop_table(docs.sparkSession, f"{folder}/{name}")
     classes = texts.join(roots, "node", "left").select("f1", "f2", "doc_id", "node", F.coalesce("root", "node").alias("root"))
     heads = classes.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("head"))
     classes = classes.join(heads, "root").select("f1", "f2", "head")

@@ -19,3 +19,10 @@ def through_table(df: DataFrame, path: str) -> DataFrame:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.parquet(path)
+
+
+def drop_table(spark, path: str) -> None:
+    """Delete a table of the job that no later step reads."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
