@@ -7,6 +7,7 @@ from __future__ import annotations
 import argparse
 import math
 import sys
+import tempfile
 import time
 import traceback
 
@@ -20,6 +21,7 @@ def session(cpus: str = "8") -> SparkSession:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("lotscope")
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
              .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
              .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
