@@ -208,7 +208,9 @@ def verify(docs: DataFrame, pairs: DataFrame, similarity: float, path: str) -> D
                 keep.append(shared >= similarity * (n + m - shared) - 1e-9)
             yield batch.select(["earlier", "later"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "earlier bigint, later bigint")
+    found = through_table(both.mapInArrow(run, "earlier bigint, later bigint"), path)
+    drop_table(docs.sparkSession, f"{path}-words")
+    return found
 
 
 _POSTING = ("token", "doc_id", "line", "place", "size", "at", "parity")
