@@ -32,8 +32,8 @@ from lotscope.llm.tables import drop_table, through_table
 from lotscope.plans.lineage import new_folder
 
 SIMILARITY = 0.8
-#: Counters of the rarity table (16 MiB), in segments that are summed apart, and bits of the filter of wanted lines (8 MiB).
-COUNTERS, SEGMENT, FILTER_BITS = 1 << 24, 1 << 13, 1 << 26
+#: Counters of the rarity table (8 MiB), in segments that are summed apart, and bits of the filter of wanted lines (8 MiB).
+COUNTERS, SEGMENT, FILTER_BITS = 1 << 23, 1 << 13, 1 << 26
 #: A posting is compared with so many of the first in its list, until so many candidates are found; the rest comes later.
 REACH, ENOUGH = 512, 1
 _LINES = 1 << 12  # lines sorted at once

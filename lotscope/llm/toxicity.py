@@ -117,7 +117,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, str],
     names = ["doc_id", "text", *truths]
 
     def least(batches: Iterator[pa.RecordBatch]):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             hashes, at = shingle_hashes(hash_words(batch.column("text")), 5)
             out = np.full(batch.num_rows, np.iinfo(np.uint64).max)
             np.minimum.at(out, at, mix(hashes))
@@ -175,7 +175,7 @@ def _count_signs(sample: DataFrame, names: list[str]) -> DataFrame:
     truths = [f"y_{k}" for k in names]
 
     def count(batches: Iterator[pa.RecordBatch]):
-        for batch in slices(batches, "text", 1 << 22):
+        for batch in slices(batches, "text", 1 << 20):
             rows, hashes = _signs(batch.column("text"))
             order = np.argsort(hashes, kind="stable")
             hashes, rows = hashes[order], rows[order]
@@ -211,7 +211,7 @@ def _design(sample: DataFrame, names: list[str], chosen: dict[str, np.ndarray])
                         *(f"`s_{k}` array<int>" for k in names)])
 
     def make(batches: Iterator[pa.RecordBatch]):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             rows, hashes = _signs(batch.column("text"))
             lists = []
             for k in names:
@@ -253,7 +253,7 @@ def score(docs: DataFrame, links: list[Link], threshold: float = 0.5, text: str
 
     def run(batches: Iterator[pa.RecordBatch]):
         chain = [(link, _marks(link.signs)) for link in shared.value]
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 1 << 20):
             column, n = batch.column(text), batch.num_rows
             words = hash_words(column)
             parts = [(words.rows, words.hashes), *((words.rows[some], made) for some, made in prefix_hashes(words, PREFIXES))]

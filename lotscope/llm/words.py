@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 BLOCK_BYTES = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C17)
 
