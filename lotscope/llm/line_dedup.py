@@ -35,7 +35,7 @@ SIMILARITY = 0.8
 #: Counters of the rarity table (8 MiB), in segments that are summed apart, and bits of the filter of wanted lines (8 MiB).
 COUNTERS, SEGMENT, FILTER_BITS = 1 << 23, 1 << 13, 1 << 26
 #: A posting is compared with so many of the first in its list, until so many candidates are found; the rest comes later.
-REACH, ENOUGH = 512, 1
+REACH, ENOUGH = 512, 2
 _LINES = 1 << 12  # lines sorted at once
 _TOKEN = np.uint64((1 << 48) - 1)
 _ANY_WORD = re.compile(r"[0-9A-Za-z_]|[^\x00-\x7f]")
@@ -242,11 +242,11 @@ def _joined(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
 
 
 def _compare_lists(similarity: float, reach: int = REACH, enough: int = ENOUGH):
-    """Over postings in order of word and place: candidates (earlier, later), and places left with more to compare.
+    """Over postings in order of word and place: candidates (earlier, later), and postings left with more to compare.
 
     A posting is compared with the first ``reach`` ones of its list, from the first on, until ``enough`` candidates are
     found; as the lists of similar sets begin alike, these agree from list to list. One that stops early, or has more
-    before it, is reported (earlier: null). Of the running list, its first ``reach`` postings are held.
+    before it, is reported with its word (earlier: null). Of the running list, its first ``reach`` postings are held.
     """
     def run(batches: Iterator[pa.RecordBatch]):
         held, length = None, 0  # the head of the running list, and the postings it has had
@@ -278,9 +278,11 @@ def _compare_lists(similarity: float, reach: int = REACH, enough: int = ENOUGH):
             held = {c: x[c][head:head + reach] for c in x}
             length = int(ranks[-1]) + 1
             both = lambda parts: np.concatenate([*parts, np.zeros(0, np.int64)])
+            pairs = both(earlier)
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([pa.array(both(earlier), pa.int64()), pa.nulls(len(left), pa.int64())]),
-                 pa.array(np.concatenate([both(later), x["place"][left]]), pa.int64())], ["earlier", "later"])
+                [pa.concat_arrays([pa.array(pairs, pa.int64()), pa.nulls(len(left), pa.int64())]),
+                 pa.array(np.concatenate([both(later), x["place"][left]]), pa.int64()),
+                 pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(x["token"][left], pa.int64())])], ["earlier", "later", "token"])
 
     return run
 
@@ -314,16 +316,17 @@ def near_matches(docs: DataFrame, sets: DataFrame, similarity: float, reach: int
     """Places of the sets (``later``) that have a similar earlier set, with one such (``earlier``) or more."""
     folder = new_folder(docs.sparkSession, "line-near")
     lists = _postings(sets).repartition("token").sortWithinPartitions("token", "doc_id", "line", "place").select(*_POSTING)
-    made = through_table(lists.mapInArrow(_compare_lists(similarity, reach, enough), "earlier bigint, later bigint"), f"{folder}/candidates")
+    made = through_table(lists.mapInArrow(_compare_lists(similarity, reach, enough), "earlier bigint, later bigint, token bigint"),
+                         f"{folder}/candidates")
     # the candidate that most words of a set agree on is verified first; of most sets that have one it is a match
     pairs = made.filter("earlier is not null").groupBy("later", "earlier").agg(F.count("*").alias("n"))
     best = through_table(pairs.groupBy("later").agg(F.max(F.struct("n", "earlier")).alias("b")).select("b.earlier", "later"), f"{folder}/best")
     found = verify(docs, best, similarity, f"{folder}/found")
-    # sets that are still without a match meet their other candidates, and if they had more to compare, all before them
+    # sets that are still without a match meet their other candidates, and in lists that have more to compare all before them
     matched = found.select("later").distinct()
-    left_over = through_table(made.filter("earlier is null").select(F.col("later").alias("place")).distinct()
+    left_over = through_table(made.filter("earlier is null").select(F.col("later").alias("place"), "token")
                               .join(matched.toDF("place"), "place", "left_anti"), f"{folder}/open")
-    others = made.filter("earlier is not null").join(matched, "later", "left_anti").join(best, ["later", "earlier"], "left_anti").distinct()
+    others = made.filter("earlier is not null").select("earlier", "later").join(matched, "later", "left_anti").join(best, ["later", "earlier"], "left_anti").distinct()
     rest = through_table(others.select("earlier", "later").unionByName(_all_before(sets, left_over, similarity)).distinct(), f"{folder}/rest")
     found = found.unionByName(verify(docs, rest, similarity, f"{folder}/rest-found"))
     for name in ("candidates", "best", "open", "rest"):
@@ -332,9 +335,9 @@ def near_matches(docs: DataFrame, sets: DataFrame, similarity: float, reach: int
 
 
 def _all_before(sets: DataFrame, left_over: DataFrame, similarity: float) -> DataFrame:
-    """Candidates (earlier, later) of the sets in ``left_over`` among all sets before them that share a prefix word."""
-    some = _postings(sets.join(left_over, "place", "left_semi"))
-    others = _marked(_postings(sets), "token", some.select(F.col("token").alias("place")).distinct())
+    """Candidates (earlier, later) of the postings in ``left_over`` (place, token) among all before them in their lists."""
+    some = _postings(sets.join(left_over, "place", "left_semi")).join(left_over, ["place", "token"], "left_semi")
+    others = _marked(_postings(sets), "token", left_over.select(F.col("token").alias("place")).distinct())
     a = some.select(*(F.col(c).alias(f"a_{c}") for c in _POSTING))
     b = others.select(*(F.col(c).alias(f"b_{c}") for c in _POSTING))
     before = F.struct("b_doc_id", "b_line", "b_place") < F.struct("a_doc_id", "a_line", "a_place")
