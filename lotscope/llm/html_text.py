@@ -13,7 +13,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,6 +40,16 @@ SKIPPED_NAMES = frozenset(
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup "
                    "time tt u var wbr".split())
 KNOWN = BLOCKS | VOID | INLINE
+#: Elements out of which tags do not reach, and those that the start of an element ends, with the walls.
+CELLS = ("table", "td", "th", "caption")
+TABLE = frozenset(CELLS) | {"tr", "tbody", "thead", "tfoot"}
+LISTS = ("ul", "ol", "menu", "dir", "section", "article", "aside", "main", "nav", "form", "blockquote") + CELLS
+_ROWS = ("td", "th", "tr", "caption")
+_GROUPS = ((_ROWS + ("tbody", "thead", "tfoot"), ("table",)),)
+IMPLIED = {"li": ((("li",), LISTS),), "dt": ((("dt", "dd"), ("dl",) + CELLS),), "dd": ((("dt", "dd"), ("dl",) + CELLS),),
+           "option": ((("option",), ("select", "datalist")),), "optgroup": ((("option", "optgroup"), ("select", "datalist")),),
+           "tr": ((_ROWS, ("table",)),), "td": ((("td", "th", "caption"), ("table",)),), "th": ((("td", "th", "caption"), ("table",)),),
+           "tbody": _GROUPS, "thead": _GROUPS, "tfoot": _GROUPS, "p": ((("p",), CELLS + ("button",)),)}
 #: Least and greatest cost of a tag, and that of the borders of an article.
 LEAST_COST, MOST_COST, BORDER_COST = 0.01, 6.0, 60.0
 #: Costs of tags that stand in fewer than SEEN places of labelled pages.
@@ -69,18 +79,74 @@ def _skips(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+class _Open:
+    """Open elements of a page, and the place from which text is skipped (none: -1).
+
+    An element ends with its own end tag, with that of an element around it, or where the start of another implies its
+    end. Tags do not reach out of walls: lists, tables and cells hold what is in them.
+    """
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.skip, self.articles = -1, 0
+
+    def last(self, names: tuple[str, ...]) -> int:
+        return max((self.places[n][-1] for n in names if self.places[n]), default=-1)
+
+    def start(self, name: str) -> None:
+        place = len(self.names)
+        self.names.append(name)
+        self.places[name].append(place)
+        if name in BLOCKS:
+            self.blocks.append(place)
+        if name in ("article", "main") and self.skip < 0:
+            self.articles += 1
+
+    def cut(self, place: int) -> None:
+        """End the element at ``place`` and all in it."""
+        while len(self.names) > place:
+            name, at = self.names.pop(), len(self.names)
+            self.places[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+            if name in ("article", "main") and (self.skip < 0 or at < self.skip):
+                self.articles -= 1
+            if at == self.skip:
+                self.skip = -1
+
+    def imply(self, name: str) -> None:
+        """End what the start of ``name`` ends."""
+        for ends, walls in (*IMPLIED.get(name, ()), *(IMPLIED["p"] if name in BLOCKS and name != "p" else ())):
+            while (place := self.last(ends)) > self.last(walls):
+                self.cut(place)
+
+    def end(self, name: str) -> int:
+        """End the innermost element of a name that the end tag reaches; its place or -1."""
+        if name in INLINE:
+            wall = self.blocks[-1] if self.blocks else -1
+        else:
+            wall = -1 if name in ("table", "html", "body") else self.last(("table",) if name in TABLE else LISTS if name == "li" else CELLS)
+        place = self.last((name,))
+        if place <= wall:
+            return -1
+        self.cut(place)
+        return place
+
+
 def read_blocks(page: str, count: Counter | None = None) -> Iterator[tuple[str, list[str]]]:
     """Blocks of a page in order: raw text (references not decoded yet), and the tags passed since the block before.
 
     Text of skipped elements is left out, and so are tags in them. An unclosed comment or raw element
-    ends with the page; an unclosed paragraph ends where the next block begins. ``count`` gets (tag, inside an article).
+    ends with the page; any other ends as HTML lets it. ``count`` gets (tag, inside an article).
     """
     text, tags, at, end = [], [], 0, len(page)
-    skip, depth, articles = "", 0, 0
+    opened = _Open()
     while True:
         found = _TOKEN.search(page, at)
         start = found.start() if found else end
-        if start > at and not skip:
+        if start > at and opened.skip < 0:
             text.append(page[at:start])
         if not found:
             break
@@ -97,29 +163,26 @@ def read_blocks(page: str, count: Counter | None = None) -> Iterator[tuple[str,
             stop = re.compile(f"</{re.escape(name)}\\b", re.I).search(page, at)
             at = stop.start() if stop else end
         tag = name or "/" + closed
-        if skip == "p" and (name in BLOCKS or closed in BLOCKS):
-            skip = ""
-            if closed == "p":
-                continue
-        if skip:
-            if name == skip:
-                depth += 1
-            elif closed == skip:
-                depth -= 1
-                if not depth:
-                    skip = ""
+        holds = name and name not in VOID and not (attributes.endswith("/") and name not in BLOCKS)
+        skip = opened.skip
+        if name:
+            opened.imply(name)
+        elif opened.end(closed) == skip >= 0:
+            continue
+        if opened.skip >= 0:
+            if holds:
+                opened.start(name)
             continue
-        if name and _skips(name, attributes, articles > 0):
-            if name not in VOID and not (attributes.endswith("/") and name not in BLOCKS):
-                skip, depth = name, 1
+        if name and _skips(name, attributes, opened.articles > 0):
+            if holds:
+                opened.skip = len(opened.names)
+                opened.start(name)
             if name not in INLINE and any(map(str.strip, text)):
                 yield "".join(text), tags
                 text, tags = [], []
             continue
-        if name in ("article", "main"):
-            articles += 1
-        elif closed in ("article", "main"):
-            articles = max(0, articles - 1)
+        if holds:
+            opened.start(name)
         if name == "br":
             text.append(" ")
         elif name in BLOCKS or closed in BLOCKS:
@@ -128,7 +191,7 @@ def read_blocks(page: str, count: Counter | None = None) -> Iterator[tuple[str,
                 tags = []
             text = []
         if count is not None:
-            count[(name or closed) if (name or closed) in KNOWN else "other", articles > 0] += 1
+            count[(name or closed) if (name or closed) in KNOWN else "other", opened.articles > 0] += 1
         tags.append(tag)
     if any(map(str.strip, text)):
         yield "".join(text), tags

@@ -50,3 +50,17 @@ def test_nulls_repeats_empty_and_clashing_columns(spark):
     got = html_text.extract(rows, {})
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got.collect()) == [(0, "x", 1), (1, "", 0), (1, "", 0)]
     assert html_text.extract(rows.limit(0), {}).count() == 0 and html_text.tag_costs(rows.limit(0)) == {}
+
+
+def test_omitted_end_tags():
+    rest = "article text of many words that go on and on here"
+    for page in (f"<table><tr><td class=sidebar>menu<td><p>{rest}</table><p>more",
+                 f"<ul><li class=share>Share<li>{rest}</ul><p>more", f"<dl><dt class=ad>Ad<dd>{rest}</dl><p>more",
+                 f"<table><tr class=ad><td>Ad<tr><th>{rest}</table><p>more", f"<div><aside><p>menu</div><p>{rest}<p>more",
+                 f"<div><div class=ad>buy</div><section><div class=ad>buy</section><p>{rest}</div><p>more",
+                 f"<ul><li class=share><ul><li>Share</ul></li><li>{rest}</ul><p>more", f"<p><span hidden>x<p>{rest}<p>more",
+                 f"<table><tr><td class=ad><table><tr><td>buy<td>now</table>it<td>{rest}</table><p>more"):
+        assert html_text.main_text(page, COSTS) == rest + "\nmore", page
+    assert html_text.main_text("<table><tr><td><nav>a</div></td></table><p>b", COSTS) == "b"
+    for part in ("<li>", "<td>", "<b>", "</b>", "<table><td>", "<div class=ad>", "<b></div>", "<table><td><b></div></li>"):  # linear on hostile pages
+        html_text.main_text(part * 50_000, COSTS)
