@@ -1,9 +1,14 @@
 """Main text of web pages by the best-scoring run of blocks.
 
-A page is read as blocks of text between tags. Elements that are never article text by their meaning (navigation, forms,
-scripts, adverts, comments and so on, by name, role or class) give no blocks. Every word scores one; every tag costs as
-much as labelled pages say: the logarithm of how much oftener it stands outside of the article than inside. One linear
-scan finds the run of blocks with the greatest sum, which is the article; blocks are never cut.
+A page is read as blocks of text between tags. Elements that HTML itself sets apart (navigation, scripts, asides, hidden
+ones and so on) give no blocks. Every word scores one; every tag costs as much as labelled pages say: the logarithm of
+how much oftener it stands outside of the article than inside. One linear scan finds the run of blocks with the greatest
+sum, which is the article; blocks are never cut.
+
+Names by which authors mark other parts (class, id, role) and forms are doubts, not cuts. Blocks with doubts are left out
+first; then doubts are dropped if the run with their blocks gains more words than the run without has, times the
+exponential of the cost of the doubt, which labelled pages give like that of a tag. An article or main element has no
+doubts by its own names, nor has what lies around the first one.
 
 Labelled pages are those that mark their article with ``<article>`` or ``<main>``.
 """
@@ -15,6 +20,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,10 +34,10 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
                    "search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
-SKIPPED = frozenset("head nav footer aside form button select datalist dialog menu search svg math object audio video canvas map "
-                    "fieldset".split()) | RAW
-SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
-SKIPPED_NAMES = frozenset(
+SKIPPED = frozenset("head nav footer aside button select datalist dialog menu search svg object audio video canvas map".split()) | RAW
+DOUBTFUL = frozenset(("form", "fieldset"))
+DOUBTFUL_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
+DOUBTFUL_NAMES = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising adsense alert announcement banner breadcrumb breadcrumbs byline "
     "comment comments consent cookie cookies copyright disclaimer discussion disqus footer gdpr legal login masthead menu menus modal "
     "nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommended "
@@ -52,31 +58,44 @@ IMPLIED = {"li": ((("li",), LISTS),), "dt": ((("dt", "dd"), ("dl",) + CELLS),),
            "tbody": _GROUPS, "thead": _GROUPS, "tfoot": _GROUPS, "p": ((("p",), CELLS + ("button",)),)}
 #: Least and greatest cost of a tag, and that of the borders of an article.
 LEAST_COST, MOST_COST, BORDER_COST = 0.01, 6.0, 60.0
+#: Cost of a doubt of which labelled pages have fewer than SEEN words, and greatest cost of one.
+DOUBT_COST, MOST_DOUBT_COST = 1.5, 2.0
 #: Costs of tags that stand in fewer than SEEN places of labelled pages.
 SEEN, PRIOR = 20, {"a": 1.0, "li": 0.2, "div": 0.2, "section": 0.2, "html": 6.0, "body": 6.0}
 
 _TOKEN = re.compile(r"<!--|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>|<([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+NONE: frozenset[str] = frozenset()
 _NAME = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _skips(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is no article text by its meaning."""
+def _meaning(name: str, attributes: str, in_article: bool) -> tuple[bool, frozenset[str]]:
+    """Whether an element is no article text by its meaning, and the doubts that its names cast on it."""
     if name in SKIPPED or name == "header" and not in_article:
-        return True
+        return True, NONE
+    doubts = {"form"} if name in DOUBTFUL else set()
     if not attributes or name in ("html", "body"):
-        return False
+        return False, frozenset(doubts)
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next(filter(None, values), "")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
-            return True
-        if key == "role" and not SKIPPED_ROLES.isdisjoint(value.lower().split()):
-            return True
-        if key in ("class", "id") and not SKIPPED_NAMES.isdisjoint(_NAME.findall(_CAMEL.sub(" ", value).lower())):
-            return True
-    return False
+            return True, NONE
+        if key == "role":
+            doubts |= DOUBTFUL_ROLES.intersection(value.lower().split())
+        if key in ("class", "id"):
+            doubts |= DOUBTFUL_NAMES.intersection(_NAME.findall(_CAMEL.sub(" ", value).lower()))
+    return False, NONE if name in ("article", "main") else frozenset(doubts)
+
+
+class Block(NamedTuple):
+    """Raw text (references not decoded yet), tags passed since the block before, the doubts on it, and whether a border
+    of a block stands before it. A doubt is a list that holds its name, or nothing once it is dropped."""
+    text: str
+    tags: list[str]
+    doubts: tuple[list[str], ...]
+    begins: bool
 
 
 class _Open:
@@ -91,6 +110,8 @@ class _Open:
         self.places: defaultdict[str, list[int]] = defaultdict(list)
         self.blocks: list[int] = []
         self.skip, self.articles = -1, 0
+        self.doubts: list[tuple[int, list[str]]] = []
+        self.seen: set[str] = set()
 
     def last(self, names: tuple[str, ...]) -> int:
         return max((self.places[n][-1] for n in names if self.places[n]), default=-1)
@@ -103,9 +124,15 @@ class _Open:
             self.blocks.append(place)
         if name in ("article", "main") and self.skip < 0:
             self.articles += 1
+            if name not in self.seen:  # what lies around the first one is no mere part of the page
+                self.seen.add(name)
+                for _, doubt in self.doubts:
+                    doubt.clear()
 
     def cut(self, place: int) -> None:
         """End the element at ``place`` and all in it."""
+        while self.doubts and self.doubts[-1][0] >= place:
+            self.doubts.pop()
         while len(self.names) > place:
             name, at = self.names.pop(), len(self.names)
             self.places[name].pop()
@@ -135,14 +162,25 @@ class _Open:
         return place
 
 
-def read_blocks(page: str, count: Counter | None = None) -> Iterator[tuple[str, list[str]]]:
-    """Blocks of a page in order: raw text (references not decoded yet), and the tags passed since the block before.
+def read_blocks(page: str, count: Counter | None = None) -> Iterator[Block]:
+    """Blocks of a page in order. Where doubts begin or end, a block ends without a border, and may hold tags only.
 
-    Text of skipped elements is left out, and so are tags in them. An unclosed comment or raw element
-    ends with the page; any other ends as HTML lets it. ``count`` gets (tag, inside an article).
+    Text of skipped elements is left out, and so are tags in them. An unclosed comment or raw element ends with the page;
+    any other ends as HTML lets it. ``count`` gets (tag, inside an article), tags with doubts left out, and the words of
+    every doubt as (#name, inside an article).
     """
-    text, tags, at, end = [], [], 0, len(page)
-    opened = _Open()
+    text, tags, at, end, begins = [], [], 0, len(page), True
+    opened, doubts, articles = _Open(), (), 0
+
+    def block() -> Block:
+        nonlocal text, tags, begins
+        out = Block("".join(text), tags, doubts, begins)
+        if count is not None:
+            for name in {n for d in doubts for n in d}:
+                count["#" + name, articles > 0] += len(out.text.split())
+        text, tags, begins = [], [], False
+        return out
+
     while True:
         found = _TOKEN.search(page, at)
         start = found.start() if found else end
@@ -162,39 +200,49 @@ def read_blocks(page: str, count: Counter | None = None) -> Iterator[tuple[str,
         if name in RAW and not attributes.endswith("/"):
             stop = re.compile(f"</{re.escape(name)}\\b", re.I).search(page, at)
             at = stop.start() if stop else end
-        tag = name or "/" + closed
         holds = name and name not in VOID and not (attributes.endswith("/") and name not in BLOCKS)
-        skip = opened.skip
+        skip, n_doubts, articles = opened.skip, len(opened.doubts), opened.articles
         if name:
             opened.imply(name)
-        elif opened.end(closed) == skip >= 0:
-            continue
-        if opened.skip >= 0:
-            if holds:
-                opened.start(name)
-            continue
-        if name and _skips(name, attributes, opened.articles > 0):
+        own = not name and opened.end(closed) == skip >= 0
+        border = opened.skip < 0 and not own and (name in BLOCKS or closed in BLOCKS)
+        skipped, cast = (opened.skip >= 0 or own, NONE) if opened.skip >= 0 or not name else _meaning(name, attributes, opened.articles > 0)
+        cast = cast.difference(*(d for _, d in opened.doubts))  # names that hold already say no more
+        left = len(opened.doubts) < n_doubts
+        if left and closed:
+            tags.append("/" + closed)
+        if left or cast:
+            if any(map(str.strip, text)) or tags:
+                yield block()
+            doubts = tuple(d for _, d in opened.doubts)
+        if skipped:
             if holds:
-                opened.skip = len(opened.names)
+                if opened.skip < 0:
+                    opened.skip = len(opened.names)
                 opened.start(name)
-            if name not in INLINE and any(map(str.strip, text)):
-                yield "".join(text), tags
-                text, tags = [], []
+            if skip < 0 and name not in INLINE:
+                if any(map(str.strip, text)):
+                    yield block()
+                begins = True
             continue
+        if border:
+            if any(map(str.strip, text)):
+                yield block()
+            text, begins = [], True
+        elif name == "br":
+            text.append(" ")
+        if cast and holds:
+            opened.doubts.append((len(opened.names), sorted(cast)))
+            doubts = tuple(d for _, d in opened.doubts)
         if holds:
             opened.start(name)
-        if name == "br":
-            text.append(" ")
-        elif name in BLOCKS or closed in BLOCKS:
-            if any(map(str.strip, text)):
-                yield "".join(text), tags
-                tags = []
-            text = []
-        if count is not None:
-            count[(name or closed) if (name or closed) in KNOWN else "other", opened.articles > 0] += 1
-        tags.append(tag)
+        articles = opened.articles
+        if count is not None and not any(doubts):
+            count[(name or closed) if (name or closed) in KNOWN else "other", articles > 0] += 1
+        if not (left and closed):
+            tags.append(name or "/" + closed)
     if any(map(str.strip, text)):
-        yield "".join(text), tags
+        yield block()
 
 
 def cost(tag: str, costs: dict[str, float]) -> float:
@@ -205,25 +253,66 @@ def cost(tag: str, costs: dict[str, float]) -> float:
     return costs.get(name, PRIOR.get(name, LEAST_COST))
 
 
-def main_text(page: str, costs: dict[str, float]) -> str:
-    """Text of the best run of blocks, one line each."""
+def _best_run(blocks: list[Block], dropped: frozenset[str], costs: dict[str, float]) -> tuple[float, list[str]]:
+    """Score and texts of the best run of blocks that have no other doubts than ``dropped``."""
     best, best_sum, total, first = (0, 0), 0.0, 0.0, 0
-    blocks: list[str] = []
-    for raw, tags in read_blocks(page):
+    texts: list[str] = []
+    raw, tags, begins = "", [], True
+
+    def add() -> None:
+        nonlocal best, best_sum, total, first, raw, tags
         text = " ".join(html_lib.unescape(raw).split())
         if not text:
-            continue
+            return
         inside = sum(cost(t, costs) for t in tags if t.lstrip("/") not in BLOCKS)
         between = sum(cost(t, costs) for t in tags if t.lstrip("/") in BLOCKS)
         if total - between <= 0:  # nothing before this block is worth the tags in between
-            total, first = 0.0, len(blocks)
+            total, first = 0.0, len(texts)
         else:
             total -= between
-        blocks.append(text)
+        texts.append(text)
         total += len(text.split(" ")) - inside
         if total > best_sum:
-            best, best_sum = (first, len(blocks)), total
-    return "\n".join(blocks[best[0]:best[1]])
+            best, best_sum = (first, len(texts)), total
+        raw, tags = "", []
+
+    parts: list[str] = []
+    for b in blocks:
+        begins |= b.begins
+        if all(dropped.issuperset(d) for d in b.doubts):
+            if begins:
+                raw = "".join(parts)
+                add()
+                parts = []
+            parts.append(b.text)
+            tags += b.tags
+            begins = False
+    raw = "".join(parts)
+    add()
+    return best_sum, texts[best[0]:best[1]]
+
+
+def main_text(page: str, costs: dict[str, float]) -> str:
+    """Text of the best run of blocks, one line each."""
+    blocks = list(read_blocks(page))
+    dropped = NONE
+    score, texts = _best_run(blocks, dropped, costs)
+    words: Counter[frozenset[str]] = Counter()
+    for b in blocks:
+        if any(b.doubts):
+            words[frozenset(n for d in b.doubts for n in d)] += len(b.text.split())
+    while True:  # each round more than doubles the score
+        better = None
+        for names in sorted((s for s in words if not s <= dropped), key=sorted):
+            weight = math.exp(-sum(costs.get("#" + n, DOUBT_COST) for n in names - dropped))
+            if sum(words[s] for s in words if s <= dropped | names and not s <= dropped) * weight <= score:
+                continue
+            gained, run = _best_run(blocks, dropped | names, costs)
+            if (gain := (gained - score) * weight) > max(score, better[0] if better else 0.0):
+                better = gain, gained, run, dropped | names
+        if better is None:
+            return "\n".join(texts)
+        _, score, texts, dropped = better
 
 
 def tag_costs(labelled: DataFrame, html: str = "html") -> dict[str, float]:
@@ -243,7 +332,7 @@ def tag_costs(labelled: DataFrame, html: str = "html") -> dict[str, float]:
     counts = (labelled.select(html).mapInArrow(run, "tag string, inside bigint, outside bigint").groupBy("tag")
               .agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")))
     # one row per known tag name at most
-    return {r.tag: min(MOST_COST, max(LEAST_COST, math.log((r.outside + 1) / (r.inside + 1))))
+    return {r.tag: min(MOST_DOUBT_COST if r.tag.startswith("#") else MOST_COST, max(LEAST_COST, math.log((r.outside + 1) / (r.inside + 1))))
             for r in counts.collect() if r.outside + r.inside >= SEEN}
 
 

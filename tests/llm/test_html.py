@@ -64,3 +64,24 @@ def test_omitted_end_tags():
     assert html_text.main_text("<table><tr><td><nav>a</div></td></table><p>b", COSTS) == "b"
     for part in ("<li>", "<td>", "<b>", "</b>", "<table><td>", "<div class=ad>", "<b></div>", "<table><td><b></div></li>"):  # linear on hostile pages
         html_text.main_text(part * 50_000, COSTS)
+
+
+def test_names_and_forms_are_overruled_by_the_text():
+    body = f"<h1>Big title</h1><p>{'word ' * 40}</p><p>end <math><mi>x</mi></math> of it</p>"
+    want = "Big title\n" + ("word " * 40).strip() + "\nend x of it"
+    extra = "<div class=comments><p>I liked this really a lot and more</p></div><div>Some short line</div>"
+    for before, after in (("<article class='post comments-open'>", "</article>"), ("<article class='post category-legal tag-social'>", "</article>"),
+                          ("<div id=content class=has-sidebar>", "</div>"), ("<main class=share-enabled>", "</main>"), ("<form><div>", "</div></form>"),
+                          ("<form class=search-form><div class='widget nav'><article>", "</article></div></form>"), ("<div role=search>", "</div>")):
+        for rest in ("", extra):
+            got = html_text.main_text(f"<html><body>{before}{body}{after}{rest}</body></html>", COSTS)
+            assert got.startswith(want) and "liked" not in got, (before, rest, got)
+    parts = "".join(f"<div class=widget><p>{i} {'word ' * 20}</p></div>" for i in range(5))
+    assert html_text.main_text(f"<div><h2>Title</h2>{parts}<div class=ad>buy now</div></div>", COSTS).count("word") == 100
+    assert html_text.main_text("<p>a b c d e f <span class=share>tell</span> g</p><div class=ad>x</div>", COSTS) == "a b c d e f g"
+
+
+def test_costs_of_doubts_are_learned(spark):
+    page = f"<div class=share>{'word ' * 100}</div><article><p>text <div class=widget>{'word ' * 100}</div></article>"
+    costs = html_text.tag_costs(spark.createDataFrame([(page,)], "html string"))
+    assert costs["#share"] == html_text.MOST_DOUBT_COST and costs["#widget"] == html_text.LEAST_COST
