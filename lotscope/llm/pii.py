@@ -2,11 +2,12 @@
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. A protected entity is one such value. How strongly
 a term reveals an entity is estimated from co-occurrence over the whole corpus: pointwise mutual information between
-"the term stands within WINDOW words of the entity" and the entity, against the information the entity itself carries.
+"the term stands in the text" and "the entity stands in the text", against the information the entity itself carries.
 A term discloses an entity if that ratio reaches DISCLOSURE and at least LEAST_TEXTS different texts bear it out.
-Disclosing terms next to the entity are removed like the values themselves, or generalised to their kind.
+Disclosing terms are removed like the values themselves, or generalised to their kind, wherever they stand.
 
-Only words next to a value are candidates, and only candidates are counted over the corpus, so what is shuffled is small.
+All words outside of values are candidates in texts whose entities stand in LEAST_TEXTS texts. Terms that these texts
+already hold too often, or too seldom, are dropped before pairs are made; only the rest is counted over the corpus.
 Equal texts count once. Rows are told apart by a hash of id and text; repeated rows share their spans.
 """
 
@@ -18,15 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotscope.llm.line_dedup import in_filter, wanted_filter
-from lotscope.llm.words import as_text, hash_words, slices
+from lotscope.llm.words import as_text, distinct, hash_words, slices
 from lotscope.plans.lineage import new_folder
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW, DISCLOSURE, LEAST_TEXTS = 10, 0.9, 2
+DISCLOSURE, LEAST_TEXTS = 0.9, 2
 
 _LOCAL = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -83,47 +84,78 @@ def _value(text: str, start: int, kind: int, end: int) -> str:
     return f"{kind}:{value if kind < 2 else _NOT_DIGIT.sub('', value)}"
 
 
-def _contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> Iterator[tuple[str, int, int]]:
-    """Entity, start and end of every word that stands near a value and in none."""
+def _terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Start and end of every word that stands in no value."""
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     begins, ends = [w[0] for w in words], [w[1] for w in words]
     inside = set()
     for start, _, end in spans:
         inside.update(range(bisect_right(ends, start), bisect_left(begins, end)))
-    for start, kind, end in spans:
-        entity = _value(text, start, kind, end)
-        low, high = bisect_right(ends, start), bisect_left(begins, end)
-        for i in (*range(max(0, low - window), low), *range(high, min(len(words), high + window))):
-            if i not in inside:
-                yield entity, *words[i]
-
-
-def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, row_key, text_hash): values, and the words next to them with their hashes."""
-    schema = ("doc_id bigint, row_key bigint, text_hash bigint, spans array<struct<start:int,kind:int,end:int>>, "
-              "near array<struct<entity:string,term:bigint,start:int,end:int>>")
+    return [w for i, w in enumerate(words) if i not in inside]
+
+
+def _hashes(text: str, places: list[tuple[int, int]]) -> np.ndarray:
+    return hash_words(pa.array([text[s:e] for s, e in places], pa.large_string())).hashes
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, row_key, text_hash): values, and the different entities they are."""
+    schema = "doc_id bigint, row_key bigint, text_hash bigint, spans array<struct<start:int,kind:int,end:int>>, entities array<string>"
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in slices(batches, "text"):
-            spans, near = [], []
+            spans, entities = [], []
             for text in as_text(batch.column("text")).to_pylist():
                 found = find_values(text)
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-                rows = list(_contexts(text, found, window)) if found else []
-                if rows:
-                    terms = hash_words(pa.array([text[s:e] for _, s, e in rows])).hashes.view(np.int64).tolist()
-                    near.append([{"entity": c, "term": t, "start": s, "end": e} for (c, s, e), t in zip(rows, terms, strict=True)])
-                else:
-                    near.append([])
+                entities.append(sorted({_value(text, *v) for v in found}))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row_key"), batch.column("text_hash"), pa.array(spans, span_type), pa.array(near, near_type)],
-                ["doc_id", "row_key", "text_hash", "spans", "near"])
+                [batch.column("doc_id"), batch.column("row_key"), batch.column("text_hash"), pa.array(spans, span_type),
+                 pa.array(entities, pa.list_(pa.string()))], ["doc_id", "row_key", "text_hash", "spans", "entities"])
 
     return docs.select("doc_id", "text", "row_key", "text_hash").mapInArrow(run, schema)
 
 
+def terms_of(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Different terms outside of values in each of ``texts`` (column text_hash): text_hash, term."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted_filter(texts.select(F.col("text_hash").alias("place"))))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        table = shared.value
+        for batch in slices(batches, "text"):
+            keys = batch.column("text_hash").to_numpy()
+            rows = np.flatnonzero(in_filter(table, keys.view(np.uint64)))
+            for row, text in zip(rows, as_text(batch.column("text").take(pa.array(rows))).to_pylist(), strict=True):
+                terms = distinct(_hashes(text, _terms(text, find_values(text)))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), keys[row])), pa.array(terms)], ["text_hash", "term"])
+
+    held = docs.select("text", "text_hash").mapInArrow(run, "text_hash bigint, term bigint")
+    return held.join(texts.select("text_hash"), "text_hash", "left_semi").distinct()
+
+
+def places_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Every place outside of values where one of ``terms`` (column term, unique) stands: row_key, start, end."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted_filter(terms.select(F.col("term").alias("place"))))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        table = shared.value
+        for batch in slices(batches, "text"):
+            words = hash_words(batch.column("text"))
+            rows = np.unique(words.rows[in_filter(table, words.hashes)])
+            keys = batch.column("row_key").to_numpy()
+            for row, text in zip(rows, as_text(batch.column("text").take(pa.array(rows))).to_pylist(), strict=True):
+                places = np.array(_terms(text, find_values(text)), np.int32).reshape(-1, 2)
+                hashes = _hashes(text, places.tolist())
+                keep = in_filter(table, hashes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(int(keep.sum()), keys[row])), pa.array(hashes[keep].view(np.int64)), pa.array(places[keep, 0]),
+                     pa.array(places[keep, 1])], ["row_key", "term", "start", "end"])
+
+    placed = docs.select("text", "row_key").mapInArrow(run, "row_key bigint, term bigint, start int, end int")
+    return placed.join(terms.select("term"), "term", "left_semi").select("row_key", "start", "end")
+
+
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Number of different texts that hold each of ``terms`` (column term): term, n_texts."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted_filter(terms.select(F.col("term").alias("place"))))
@@ -149,26 +181,38 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, least_texts: int = LEAST_TEXTS) -> DataFrame:
     """Pairs of entity and term of which the term discloses the entity, with the ratio.
 
-    A term stands in at least as many texts as it stands near values; terms that this bound rules out are not counted.
+    A term stands in at least as many texts as it has among those with entities, and with an entity in at most as many as
+    the entity has; terms and pairs that these bounds rule out are dropped before they are paired or counted.
     """
-    pairs = found.select("text_hash", F.explode("near").alias("p")).select("text_hash", "p.entity", "p.term").distinct()
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_joint")).filter(F.col("n_joint") >= least_texts)
-    entities = pairs.select("text_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    near = pairs.select("text_hash", "term").distinct().groupBy("term").agg(F.count("*").alias("n_texts"))
+    spark = docs.sparkSession
     total = max(1, docs.select(F.countDistinct("text_hash")).first()[0])
-
-    def telling(counts: DataFrame, terms: DataFrame) -> DataFrame:
-        information = F.log2(F.lit(total) / F.col("n_entity"))
-        shared = F.log2(F.lit(total) * F.col("n_joint") / (F.greatest("n_texts", "n_joint") * F.col("n_entity")))
-        return (counts.join(terms, "term").withColumn("ratio", shared / information).filter(F.col("ratio") >= disclosure)
-                .drop("n_texts"))
-
-    possible = telling(joint.join(entities, "entity").filter(F.col("n_entity") < total), near).drop("ratio")
-    counted = term_counts(docs, possible.select("term").distinct())
-    return telling(possible, counted).select("entity", "term", "ratio")
-
-
-def spans(docs: DataFrame, window: int = WINDOW, disclosure: float = DISCLOSURE, least_texts: int = LEAST_TEXTS) -> DataFrame:
+    held = found.select("text_hash", F.explode("entities").alias("entity")).distinct()
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity")).filter((F.col("n_entity") >= least_texts) & (F.col("n_entity") < total))
+    folder = new_folder(spark, "pii")
+    held.join(entities, "entity").write.parquet(folder + "/held")
+    held = spark.read.parquet(folder + "/held")
+    terms_of(docs, held.select("text_hash").distinct()).write.parquet(folder + "/terms")
+    terms = spark.read.parquet(folder + "/terms")
+
+    def ratio(n_joint: Column) -> Column:
+        shared = F.log2(F.lit(total) * n_joint / (F.greatest(F.col("n_texts"), n_joint) * F.col("n_entity")))
+        return shared / F.log2(F.lit(total) / F.col("n_entity"))
+
+    most = held.agg(F.max("n_entity")).first()[0] or 1
+    # a pair's ratio is at most that of n_joint = n_entity, for which n_texts may be n_entity * (total / n_entity) ** (1 - disclosure);
+    # that grows with n_entity if disclosure is 0 or more
+    limit = most * (total / most) ** (1 - disclosure) * (1 + 1e-9)
+    known = terms.groupBy("term").agg(F.count("*").alias("n_texts")).filter((F.col("n_texts") >= least_texts) & (F.col("n_texts") <= limit))
+    pairs = terms.join(known, "term").join(held, "text_hash").filter(ratio(F.least("n_texts", "n_entity")) >= disclosure - 1e-9)
+    joint = (pairs.groupBy("entity", "term").agg(F.count("*").alias("n_joint"), F.first("n_entity").alias("n_entity"), F.first("n_texts").alias("n_texts"))
+             .filter((F.col("n_joint") >= least_texts) & (ratio(F.col("n_joint")) >= disclosure)).drop("n_texts"))
+    joint.write.parquet(folder + "/joint")
+    joint = spark.read.parquet(folder + "/joint")
+    counted = term_counts(docs, joint.select("term").distinct())
+    return joint.join(counted, "term").withColumn("ratio", ratio(F.col("n_joint"))).filter(F.col("ratio") >= disclosure).select("entity", "term", "ratio")
+
+
+def spans(docs: DataFrame, disclosure: float = DISCLOSURE, least_texts: int = LEAST_TEXTS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``doc_id``, ``row_key``, ``spans`` (values) and ``terms`` (disclosing words).
 
     Both are arrays of (start, kind, end) in order, in code points, with exclusive ends. A null text counts as empty and
@@ -178,11 +222,12 @@ def spans(docs: DataFrame, window: int = WINDOW, disclosure: float = DISCLOSURE,
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text")).withColumn("text_hash", F.xxhash64("text"))
     folder = new_folder(spark, "pii")
-    find(docs, window).write.parquet(folder)
+    find(docs).write.parquet(folder)
     found = spark.read.parquet(folder)
     telling = disclosures(docs, found, disclosure, least_texts)
-    near = found.select("row_key", F.explode("near").alias("p")).select("row_key", "p.*")
-    terms = (near.join(telling, ["entity", "term"]).select("row_key", F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end").alias("t"))
+    telling.select("term").distinct().write.parquet(folder + "-telling")
+    terms = (places_of(docs, spark.read.parquet(folder + "-telling"))
+             .select("row_key", F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end").alias("t"))
              .groupBy("row_key").agg(F.sort_array(F.collect_set("t")).alias("terms")))
     return (found.select("doc_id", "row_key", "spans").join(terms, "row_key", "left")
             .withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"))))

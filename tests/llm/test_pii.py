@@ -84,3 +84,17 @@ def test_sanitise(spark):
     got = {r.doc_id: r.text for r in pii.sanitise(frame).collect()}
     assert "write to [TERM] the common boss at [EMAIL] today" in got[0] and got[90] is None and got[60] == dict(rows)[60]
     assert "to  the common boss at  today" in {r.doc_id: r.text for r in pii.sanitise(frame, generalise=False).collect()}[0]
+
+
+def test_terms_far_from_their_value(spark):
+    letters = [(d, f"Zorblax writes {prose(40, d)} yours zed@mail.example.com") for d in range(4)]
+    others = [(10 + d, prose(30, 100 + d)) for d in range(60)]
+    again = [(4, f"Zorblax writes {prose(30, 90)} yours zed@mail.example.com {prose(30, 91)} zorblax")]
+    got = {r.doc_id: r.text for r in pii.sanitise(docs(spark, *letters, *again, *others)).collect()}
+    for d, text in (*letters, *again):
+        assert got[d] == text.replace("Zorblax writes", "[TERM] [TERM]").replace("yours zed@mail.example.com", "[TERM] [EMAIL]").replace("zorblax", "[TERM]")
+    assert all(got[d] == text for d, text in others)
+    alone = [(80, f"{prose(20, 95)} zorblax {prose(20, 96)}")]  # a text without the value
+    more = [(200 + d, f"Zorblax writes {prose(30, 400 + d)} yours zed@mail.example.com") for d in range(40)]
+    got = {r.doc_id: r.text for r in pii.sanitise(docs(spark, *letters, *again, *others, *alone, *more)).collect()}
+    assert got[80] == alone[0][1].replace("zorblax", "[TERM]")
