@@ -217,38 +217,39 @@ def _fields(header: bytes) -> dict:
 
 
 def _records(source) -> Iterator[tuple[int, bytes, object]]:
-    """Offset and header of every record, and a function that reads its block, whole or up to a mark."""
+    """Offset and header of every record, and a function that reads its block, whole or up to a mark.
+
+    Records of one gzip member share its offset. Anything but white space where a record should begin is an error.
+    """
     at, total = 0, source.size()
     while at < total:
         source.seek(at)
         head = source.read(_HEAD_READ)
         member = _Member(source, at, head) if head[:2] == b"\x1f\x8b" else _Plain(source, at, head)
-        header = member.until(_END)
-        if not header:
-            return
-        length = int(_lines(header).get("content-length", "0"))
-        yield at, header, lambda mark, m=member, n=length: m.block(n, mark)
-        at = member.end(length)
+        while header := member.until(_END):
+            if not header.startswith(b"WARC/"):
+                raise ValueError(f"no record begins where one should, at or after byte {at}")
+            length = int(_lines(header).get("content-length", "0"))
+            yield member.at, header, lambda mark, m=member, n=length: m.block(n, mark)
+            if not member.step(length):
+                break
+        at = member.end()
 
 
 class _Member:
-    """A record in a gzip member, inflated as far as it is needed."""
+    """Records in a gzip member, inflated as far as they are needed."""
 
     def __init__(self, source, at: int, head: bytes):
-        self.source, self.at, self.length, self.made, self.taken = source, at, None, b"", 0
-        start = 10
+        self.source, self.at, self.length, self.whole, self.made, self.taken = source, at, None, None, b"", 0
         if head[3] & 4:
             size = struct.unpack_from("<H", head, 10)[0]
             extra = head[12:12 + size]
             while len(extra) >= 4:
                 name, n = extra[:2], struct.unpack_from("<H", extra, 2)[0]
                 if name == b"sl" and n == 8:
-                    self.length = struct.unpack_from("<I", extra, 4)[0]
+                    self.length, self.whole = struct.unpack_from("<II", extra, 4)
                 extra = extra[4 + n:]
-            start = 12 + size
-        del start
-        self.inflate, self.waiting = zlib.decompressobj(31), head
-        source.seek(at + len(head))
+        self.inflate, self.waiting, self.passed, self.stepped = zlib.decompressobj(31), head, 0, False
         self.read = len(head)
 
     def _more(self) -> bool:
@@ -264,24 +265,46 @@ class _Member:
         self.waiting = self.inflate.unconsumed_tail
         return True
 
+    def _drop(self, n: int) -> None:
+        self.made, self.passed = self.made[n:], self.passed + n
+
     def until(self, mark: bytes) -> bytes:
-        while (i := self.made.find(mark, self.taken)) < 0:
-            if not self._more():
+        """Bytes up to a mark, after white space; none if nothing but that is left."""
+        while not self.made or self.made[0] in b"\r\n":
+            self._drop(len(self.made) - len(self.made.lstrip(b"\r\n")))
+            if not self.made and not self._more():
                 return b""
-        out, self.taken = self.made[self.taken:i], i + len(mark)
+        at = 0
+        while (i := self.made.find(mark, at)) < 0:
+            at = max(0, len(self.made) - len(mark) + 1)
+            if len(self.made) >= 5 and not self.made.startswith(b"WARC/") or not self._more():
+                raise ValueError(f"a record of the member at byte {self.at} has no header")
+        out, self.taken = self.made[:i], i + len(mark)
         return out
 
     def block(self, length: int, mark: bytes | None) -> bytes:
         while len(self.made) < self.taken + length and not (mark and mark in self.made[self.taken:]):
             if not self._more():
-                break
+                raise ValueError(f"a record of the member at byte {self.at} is cut off")
         return self.made[self.taken:self.taken + length]
 
-    def end(self, length: int) -> int:
-        if self.length is not None:
+    def step(self, length: int) -> bool:
+        """Go behind the block of a record; whether another may follow. A member that states that it ends there is stepped over."""
+        left = self.taken + length
+        if self.whole is not None and self.passed + left + len(_END) == self.whole:
+            self.stepped = True
+            return False
+        while left > len(self.made):
+            left -= len(self.made)
+            self._drop(len(self.made))
+            if not self._more():
+                raise ValueError(f"a record of the member at byte {self.at} is cut off")
+        self._drop(left)
+        return True
+
+    def end(self) -> int:
+        if self.stepped:
             return self.at + self.length
-        while self._more():
-            self.made = self.made[-8:]
         return self.at + self.read - len(self.inflate.unused_data)
 
 
@@ -289,15 +312,27 @@ class _Plain:
     """A record that is not compressed."""
 
     def __init__(self, source, at: int, head: bytes):
-        self.source, self.at, self.made = source, at, head
+        self.source, self.at, self.made, self.behind = source, at, head, None
+
+    def _more(self) -> bool:
+        self.source.seek(self.at + len(self.made))
+        more = self.source.read(1 << 16)
+        self.made += more
+        return bool(more)
 
     def until(self, mark: bytes) -> bytes:
-        while (i := self.made.find(mark)) < 0:
-            self.source.seek(self.at + len(self.made))
-            more = self.source.read(1 << 16)
-            if not more:
+        """Bytes up to a mark, after white space; none if nothing but that is left."""
+        while not self.made or self.made[0] in b"\r\n":
+            blank = len(self.made) - len(self.made.lstrip(b"\r\n"))
+            self.made, self.at = self.made[blank:], self.at + blank
+            if not self.made and not self._more():
+                self.behind = self.at
                 return b""
-            self.made += more
+        at = 0
+        while (i := self.made.find(mark, at)) < 0:
+            at = max(0, len(self.made) - len(mark) + 1)
+            if len(self.made) >= 5 and not self.made.startswith(b"WARC/") or not self._more():
+                raise ValueError(f"a record at byte {self.at} has no header")
         self.start = i + len(mark)
         return self.made[:i]
 
@@ -307,8 +342,14 @@ class _Plain:
             return self.source.read(length)
         return self.source.read(min(length, 1 << 16))
 
-    def end(self, length: int) -> int:
-        return self.at + self.start + length + len(_END)
+    def step(self, length: int) -> bool:
+        self.behind = self.at + self.start + length
+        if self.behind > self.source.size():
+            raise ValueError(f"a record at byte {self.at} is cut off")
+        return False
+
+    def end(self) -> int:
+        return self.behind
 
 
 class WarcSource(DataSource):

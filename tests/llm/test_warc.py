@@ -81,3 +81,24 @@ def test_empty_table_and_folder(spark, tmp_path):
 def test_query_against_sql(spark):
     text, _, ok = check(spark, "/root/testdata/sf0.01", queries.op7_warc, queries.SQL["op7_warc"])
     assert ok, text
+
+
+def test_several_records_in_a_gzip_stream(spark, tmp_path):
+    record = lambda i, body: f"WARC/1.0\r\nWARC-Type: request\r\nWARC-Record-ID: <{i}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    sizes = [5, 0, 300_000, 65_536, 7]
+    stream = [record(i, b"z" * n) for i, n in enumerate(sizes)]
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(stream)))
+    (tmp_path / "two.warc.gz").write_bytes(gzip.compress(b"".join(stream[:3])) + gzip.compress(b"".join(stream[3:])))
+    (tmp_path / "plain.warc").write_bytes(b"".join(stream) + b"\r\n")
+    read = lambda: [(r["archive"], r["record_id"], len(r["payload"])) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    reader = warc.WarcReader({"path": str(tmp_path)})
+    want = [(name, str(i), n) for name in ("one.warc.gz", "plain.warc", "two.warc.gz") for i, n in enumerate(sizes)]
+    assert read() == want
+    reader.tests = [("record_id", "in", ("4",))]  # the blocks before it are not asked for
+    assert read() == [w for w in want if w[1] == "4"]
+    for bad in (b"".join(stream[:2]) + b"no header", stream[0] + b"WARC/1.0\r\nx", stream[0] + stream[2][:1000]):
+        for name, data in (("bad.warc", bad), ("bad.warc", gzip.compress(bad))):
+            (tmp_path / name).write_bytes(data)
+            reader.tests = [("record_id", "in", ("none",))]
+            with pytest.raises(ValueError):
+                read()
