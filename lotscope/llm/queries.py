@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotscope.llm import bpe, decontaminate, html_text, line_dedup, minhash, pii, quality, secrets, toxicity, warc
+from lotscope.llm import (bpe, decontaminate, fill_middle, html_text, line_dedup, minhash, pii, quality, resample, secrets, simhash, toxicity,
+                          warc)
+from lotscope.llm.tables import through_table
 from lotscope.plans.lineage import new_folder
 
 SQL: dict[str, str] = {}
@@ -189,4 +191,60 @@ select t.doc_id, case when t.text is not null then left_over end as text, case w
 from t join o using (doc_id)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_html, op3_decontamination, op4_minhash, op5_toxicity, op6_secrets, op7_warc, op8_quality, op9_pii, op10_line_dedup)}
+def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """SimHash fingerprint of every document, and the least document that fingerprints within three bits connect it to."""
+    found = simhash.near_components(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op12_resample(spark: SparkSession, folder: str) -> DataFrame:
+    """Weight and score of every document towards the benchmark, and the rank of the tenth that is drawn."""
+    return resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"), percent=10)
+
+
+SQL["op12_resample"] = r"""
+with crc as (select list(list_reduce(list_prepend(b::bigint, range(8)), lambda c, _: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)
+    order by b) as t from range(256) r(b)),
+d as (select 'd' as side, doc_id, list_filter(regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') as ws from documents),
+b as (select list_filter(regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') as ws from benchmark),
+u as (select 'd' as side, doc_id, unnest(ws) as w from d union all select 'b', null, unnest(ws) from b),
+v as (select distinct w, hex(encode(w)) as h from u),
+k as (select w, cast(xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(len(h) // 2), lambda i: ('0x' || h[2*i+1:2*i+2])::bigint)),
+        lambda c, x: xor(c // 256, t[(xor(c, x) % 256) + 1])), 4294967295) % 10000 as int) as bucket from v, crc),
+f as (select side, doc_id, bucket, count(*) as n from u join k using (w) group by all),
+c as (select bucket, coalesce(sum(n) filter (where side = 'd'), 0) as s, coalesce(sum(n) filter (where side = 'b'), 0) as t from f group by 1),
+z as (select sum(s)::double as ss, sum(t)::double as tt from c),
+g as (select bucket, cast(floor(1000 * ln((t::double + 1) * (ss + 10000) / ((s::double + 1) * (tt + 10000)))) as bigint) as gain from c, z),
+m as (select doc_id, cast(floor(sum(n * gain)::double / sum(n)) as bigint) as weight from f join g using (bucket) where side = 'd' group by 1),
+o as (select doc_id, cast(len(ws) as bigint) as n_features, coalesce(weight, 0) as weight,
+        coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296::double))) as bigint) as score
+      from d left join m using (doc_id)),
+q as (select *, count(*) filter (where n_features >= 20) over () as total,
+        row_number() over (partition by n_features >= 20 order by score desc, doc_id) as place from o)
+select doc_id, n_features, weight, score, case when n_features >= 20 and place <= 10 * total // 100 then place end as rank from q"""
+
+
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Fill-in-the-middle form of every document, with digests of the new text and of the one rebuilt from it."""
+    packed = through_table(fill_middle.pack(table(spark, folder, "documents")), new_folder(spark, "frames"))
+    return fill_middle.digest(fill_middle.rearrange(packed))
+
+
+SQL["op13_fill_middle"] = r"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as ls, sha256('7:' || doc_id) as h from documents),
+k as (select *, len(ls) as n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::bigint) as hs from d),
+c as (select *, least(hs[1] % (n + 1), hs[2] % (n + 1)) as a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) as b,
+        case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') then 'plain'
+             when hs[4] % 100 < 50 then 'spm' else 'psm' end as form from k),
+p as (select *, coalesce(array_to_string(ls[1:a], ''), '') as pre, coalesce(array_to_string(ls[a+1:b], ''), '') as mid,
+        coalesce(array_to_string(ls[b+1:n], ''), '') as suf from c)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(length(pre) as bigint) end as prefix_chars,
+  case when form <> 'plain' then cast(length(mid) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+         else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(text) as restored_sha256 from p"""
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_html, op3_decontamination, op4_minhash, op5_toxicity, op6_secrets, op7_warc, op8_quality, op9_pii,
+                                   op10_line_dedup, op11_simhash, op12_resample, op13_fill_middle)}
