@@ -10,7 +10,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,46 +22,108 @@ BLOCK = 4096
 DIGITS = 12  # similarities are rounded, so that summation order can never decide a rank
 
 
-def best_sims(queries: DataFrame, bank: DataFrame, groups: list[str], exclude_same: bool = False,
-              block: int = BLOCK) -> DataFrame:
+def best_sims(queries: DataFrame, bank: DataFrame, groups: list[str], exclude_same: bool = False, block: int = BLOCK,
+              payload: tuple[str, ...] = (), n_queries: int | None = None) -> DataFrame:
     """Best similarity per query and bank group, with the reference that reached it (lowest id on ties).
 
-    ``queries``: (q, embedding). ``bank``: (ref_id, *groups, embedding and optionally ``shift``, added to each
-    similarity). ``exclude_same`` leaves a query's own vector out. Result: (q, *groups, sim, ref_id).
+    ``queries``: (q, embedding, and optionally ``years`` or ``wanted``). ``bank``: (ref_id, *groups, embedding, the
+    ``payload`` columns of a winner to return, and optionally ``shift``, added to each similarity). ``exclude_same``
+    leaves a query's own vector out. Result: (q, *groups, sim, ref_id, *payload).
+
+    ``years`` (array<int>, null: all) restricts a query to groups of these years; ``wanted`` (an array of structs of the
+    groups' columns) to the groups it names. Rows without a vector take no part. ``n_queries`` is how many queries there
+    are at most; without it they are counted.
     """
     if "shift" not in bank.columns:
         bank = bank.withColumn("shift", F.lit(0.0))
-    q_blocks = max(1, math.ceil(queries.count() / block))
+    queries, bank = queries.where("embedding is not null"), bank.where("embedding is not null")
+    q_blocks = max(1, math.ceil((queries.count() if n_queries is None else n_queries) / block))
     b_blocks = max(1, math.ceil(bank.count() / block))
+    masks = [c for c in ("years", "wanted") if c in queries.columns]
     span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select("q", "embedding", F.pmod(F.xxhash64("q"), F.lit(q_blocks)).cast("int").alias("qb"), span(b_blocks).alias("bb"))
-    b = bank.select("ref_id", *groups, "shift", "embedding", F.pmod(F.xxhash64("ref_id"), F.lit(b_blocks)).cast("int").alias("bb"),
+    q = queries.select("q", "embedding", *masks, F.pmod(F.xxhash64("q"), F.lit(q_blocks)).cast("int").alias("qb"), span(b_blocks).alias("bb"))
+    b = bank.select("ref_id", *groups, *payload, "shift", "embedding", F.pmod(F.xxhash64("ref_id"), F.lit(b_blocks)).cast("int").alias("bb"),
                     span(q_blocks).alias("qb"))
-    fields = [f"{name} {dtype}" for name, dtype in bank.select(*groups).dtypes]
-    schema = ", ".join([f"q {queries.schema['q'].dataType.simpleString()}", *fields, "sim double",
-                        f"ref_id {bank.schema['ref_id'].dataType.simpleString()}"])
-
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"q": left["q"][:0], **{g: right[g][:0] for g in groups}, "sim": right["shift"][:0], "ref_id": right["ref_id"][:0]})
-        right = right.sort_values([*groups, "ref_id"], kind="stable").reset_index(drop=True)
-        starts = np.flatnonzero(np.r_[True, (right[groups].values[1:] != right[groups].values[:-1]).any(axis=1)])
-        sims = np.vstack(left["embedding"]).astype("float64") @ np.vstack(right["embedding"]).astype("float64").T
-        sims = np.round(sims + right["shift"].to_numpy(), DIGITS)
-        if exclude_same:
-            sims[left["q"].to_numpy()[:, None] == right["ref_id"].to_numpy()[None, :]] = -np.inf
-        out = []
-        for lo, hi in zip(starts, [*starts[1:], len(right)]):
-            at = sims[:, lo:hi].argmax(axis=1)
-            out.append(pd.DataFrame({"q": left["q"].to_numpy(), **{g: right[g].iloc[lo] for g in groups},
-                                     "sim": sims[np.arange(len(left)), lo + at], "ref_id": right["ref_id"].to_numpy()[lo + at]}))
-        found = pd.concat(out, ignore_index=True)
-        return found[np.isfinite(found["sim"])]
-
-    parts = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(kernel, schema)
+    fields = [("q", queries), *((g, bank) for g in groups), ("sim", None), ("ref_id", bank), *((p, bank) for p in payload)]
+    schema = ", ".join(f"{n} {df.schema[n].dataType.simpleString() if df else 'double'}" for n, df in fields)
+
+    def kernel(left, right):
+        return _segment_maxima(left, right, groups, payload, exclude_same)
+
+    parts = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInArrow(kernel, schema)
     if b_blocks == 1:
         return parts
-    return first_by(parts, ["q", *groups], [F.desc("sim"), F.asc("ref_id")])
+    best = parts.groupBy("q", *groups).agg(F.min(F.struct((-F.col("sim")).alias("low"), "ref_id", *payload)).alias("_b"))
+    return best.select("q", *groups, (-F.col("_b.low")).alias("sim"), "_b.ref_id", *(f"_b.{p}" for p in payload))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    values = pa.concat_arrays([chunk.flatten() for chunk in column.chunks]).to_numpy(zero_copy_only=False)
+    return values.astype("float64").reshape(len(column), -1)
+
+
+def _segment_maxima(left: pa.Table, right: pa.Table, groups: list[str], payload: tuple[str, ...], exclude_same: bool, strip: int = 256) -> pa.Table:
+    """One query block times one bank block. The bank is ordered by group, so a group is a segment of columns and its
+    maximum one step of a segmented reduction over all queries; masks are applied to segments, not to pairs."""
+    names = ["q", *groups, "sim", "ref_id", *payload]
+    if left.num_rows and right.num_rows:
+        right = right.sort_by([(c, "ascending") for c in (*groups, "ref_id")])
+    n, m = left.num_rows, right.num_rows
+    change = np.zeros(max(m - 1, 0), bool)
+    for g in groups:
+        col = right.column(g).combine_chunks()
+        change |= pc.fill_null(pc.not_equal(col.slice(1), col.slice(0, max(m - 1, 0))), True).to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.flatnonzero(change) + 1]) if m else np.zeros(0, np.int64)
+    of, rows, segments, sims, refs = np.repeat(np.arange(len(starts)), np.diff([*starts, m])) if m else starts, [], [], [], []
+    heads = right.select(groups).take(pa.array(starts)) if m else right.select(groups)
+    allowed = _allowed(left, heads, groups)
+    if n and m:
+        a, b, shift = _matrix(left.column("embedding")), _matrix(right.column("embedding")).T, right.column("shift").to_numpy()
+        same = (left.column("q").to_numpy(), right.column("ref_id").to_numpy()) if exclude_same else None
+        for lo in range(0, n, strip):
+            at = slice(lo, min(lo + strip, n))
+            found = np.round(a[at] @ b + shift, DIGITS)
+            if same:
+                found[same[0][at][:, None] == same[1][None, :]] = -np.inf
+            best = np.maximum.reduceat(found, starts, axis=1)
+            first = np.minimum.reduceat(np.where(found == best[:, of], np.arange(m), m), starts, axis=1)
+            row, seg = np.nonzero(np.isfinite(best) & (allowed[at] if allowed is not None else True))
+            rows.append(row + lo), segments.append(seg), sims.append(best[row, seg]), refs.append(first[row, seg])
+    none = np.zeros(0, np.int64)
+    rows, segments, refs = (np.concatenate([none, *x]) for x in (rows, segments, refs))
+    columns = {"q": left.column("q").take(pa.array(rows)), "sim": pa.array(np.concatenate([np.zeros(0), *sims])),
+               **{c: right.column(c).take(pa.array(refs)) for c in ("ref_id", *payload)}, **{g: heads.column(g).take(pa.array(segments)) for g in groups}}
+    return pa.table({c: columns[c] for c in names})
+
+
+def _allowed(left: pa.Table, heads: pa.Table, groups: list[str]) -> np.ndarray | None:
+    """Which groups (``heads``, one row each) each query may match; None is all."""
+    out = None
+    if "years" in left.column_names and "year" in groups:
+        asked = left.column("years").combine_chunks()
+        distinct, of = np.unique(heads.column("year").to_numpy(zero_copy_only=False), return_inverse=True)
+        year, row = asked.flatten().to_numpy(zero_copy_only=False), pc.list_parent_indices(asked).to_numpy()
+        known = np.isin(year, distinct)
+        grid = np.zeros((left.num_rows, len(distinct)), bool)
+        grid[row[known], np.searchsorted(distinct, year[known])] = True
+        grid[~asked.is_valid().to_numpy(zero_copy_only=False)] = True
+        out = grid[:, of]
+    if "wanted" in left.column_names:
+        place = {tuple(r.values()): i for i, r in enumerate(heads.to_pylist())}
+        grid = np.zeros((left.num_rows, heads.num_rows), bool)
+        for i, names in enumerate(left.column("wanted").to_pylist()):
+            for w in names or ():
+                j = place.get(tuple(w[g] for g in groups))
+                if j is not None:
+                    grid[i, j] = True
+        out = grid if out is None else out & grid
+    return out
+
+
+def asking(queries: DataFrame, wanted: DataFrame, groups: list[str]) -> DataFrame:
+    """``queries`` that ask for the groups listed in ``wanted`` (q, *groups), a bounded number each."""
+    lists = wanted.select("q", *groups).distinct().groupBy("q").agg(F.collect_list(F.struct(*groups)).alias("wanted"))
+    return queries.select("q", "embedding").join(lists, "q")
 
 
 def nearest(sims: DataFrame) -> DataFrame:
@@ -68,16 +131,6 @@ def nearest(sims: DataFrame) -> DataFrame:
     return first_by(sims, ["q"], [F.desc("sim"), F.asc("ref_id")])
 
 
-def per_year(sims: DataFrame) -> DataFrame:
-    """Best similarity per query and year, from finer groups."""
-    return sims.groupBy("q", "year").agg(F.max("sim").alias("sim"))
-
-
-def with_payload(sims: DataFrame, bank: DataFrame, columns: list[str]) -> DataFrame:
-    """Attach columns of the winning reference."""
-    return sims.join(bank.select("ref_id", *columns), "ref_id")
-
-
 def eras_of(year) -> "F.Column":
     """Eras that contain a year; a year may belong to two."""
     table = F.array(*[F.struct(F.lit(i).alias("era_no"), F.lit(e).alias("era"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))

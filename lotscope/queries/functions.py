@@ -167,24 +167,30 @@ def f21(t):
     return t.view("v_obs").select("seq", nm.price_band(c("value")).alias("band"))
 
 
-RESTRICT = """
-select item_id, case when search_year is not null then array_to_string(list_sort(list_distinct(list_concat([search_year], decades))),',')
-  when search_era is not null then array_to_string(case search_era when 'Mellon' then range(1984,2002) else range(2001,2027) end,',')
-  when len(decades)>0 then array_to_string(decades,',')
-  when len(years)=1 and list_contains([1992,1993,1994,1995,1996,1997,1998], years[1]) then array_to_string(years,',') end as years
+RESTRICT_YEARS = """,
+restricted as (select item_id, case when search_year is not null then list_sort(list_distinct(list_concat([search_year], decades)))
+  when search_era is not null then case search_era when 'Mellon' then range(1984,2002) else range(2001,2027) end
+  when len(decades)>0 then decades
+  when len(years)=1 and years[1] in (select year from v_image_bank) then years end as years
 from (select item_id, case when fmt='auction' and condition='BUILDING' then 1989 end as search_year,
   case condition when 'MACHINERY' then 'Mellon' when 'FURNITURE' then 'Citizens' end as search_era,
-  %s as years, %s as decades from v_listing)""" % (expr(TITLE_YEARS, "title"), expr(DECADES, "title"))
+  %s as years, %s as decades from v_listing))""" % (expr(TITLE_YEARS, "title"), expr(DECADES, "title"))
 
 
-@query("f38_restrict_years", on("v_listing", body=RESTRICT))
-def f38(t):
+def restrictions(t):
+    """Years that each listing may be matched against, the image bank's years being the known ones."""
     year = F.when((c("fmt") == "auction") & (c("condition") == "BUILDING"), F.lit(1989))
     era = F.when(c("condition") == "MACHINERY", "Mellon").when(c("condition") == "FURNITURE", "Citizens")
     years, decades = tx.extract_years(c("title")), tx.extract_decades(c("title"))
-    facts = t.view("v_listing").select("item_id", year.alias("y"), era.alias("e"), years.alias("ty"), decades.alias("td"))
-    known = F.coalesce(F.get("ty", F.lit(0)).between(1992, 1998), F.lit(False))
-    return facts.select("item_id", joined(nm.restrict_years(c("y"), c("e"), c("ty"), c("td"), known)).alias("years"))
+    facts = t.view("v_listing").select("item_id", year.alias("y"), era.alias("e"), years.alias("ty"), decades.alias("td"), F.get(years, F.lit(0)).alias("first"))
+    known = t.view("v_image_bank").select(c("year").cast("int").alias("first"), F.lit(True).alias("known")).distinct()
+    facts = facts.join(known, "first", "left")
+    return facts.select("item_id", nm.restrict_years(c("y"), c("e"), c("ty"), c("td"), F.coalesce("known", F.lit(False))).alias("years"))
+
+
+@query("f38_restrict_years", on("v_listing", "v_image_bank", body="").rstrip() + RESTRICT_YEARS + " select item_id, array_to_string(years, ',') as years from restricted")
+def f38(t):
+    return restrictions(t).select("item_id", joined(c("years")).alias("years"))
 
 
 @query("f40_rerank_delta", on("v_match", body="""select item_id, k1, k2, k3, k4,

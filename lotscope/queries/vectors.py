@@ -6,6 +6,7 @@ from lotscope.operators import filters, ranking, rules, vectors
 from lotscope.operators.records import best_first
 from lotscope.plans.lineage import cut_lineage
 from lotscope.plans.ranked import top_k
+from lotscope.queries.functions import RESTRICT_YEARS, restrictions
 from lotscope.queries.registry import query
 from lotscope.queries.rules import ids
 from lotscope.queries.sql import CONTENT, KEY, TOKENS, expr, on
@@ -66,27 +67,39 @@ def q_vectors(t):
     return t.table("embeddings").select(c("vec_id").alias("q"), "embedding")
 
 
-def entity(t):
-    """Materialised once: several steps of a ranking read it, and the block products are the costly part."""
-    return cut_lineage(entity_sims(t))
-
-
 def entity_sims(t):
     return vectors.best_sims(q_vectors(t), image_bank(t), ["year", "key"], exclude_same=True)
 
 
-def text(t, bank=None):
-    bank = text_bank(t) if bank is None else bank
-    best = vectors.best_sims(q_vectors(t), bank, ["year"], exclude_same=True)
-    return cut_lineage(vectors.with_payload(best, bank, ["phrase", "type"]))
+def lookup(t, asked=None):
+    """Best references of asked entities only; no table of queries by entities is made."""
+    asked = q_vectors(t) if asked is None else asked
+    return lambda wanted: vectors.best_sims(vectors.asking(asked, wanted, ["year", "key"]), image_bank(t), ["year", "key"], exclude_same=True,
+                                            n_queries=t.table("embeddings").count())
+
+
+def image(t, asked=None):
+    return vectors.best_sims(q_vectors(t) if asked is None else asked, image_bank(t), ["year"], exclude_same=True,
+                             n_queries=t.table("embeddings").count())
+
+
+def text(t, bank=None, asked=None):
+    return vectors.best_sims(q_vectors(t) if asked is None else asked, text_bank(t) if bank is None else bank, ["year"], exclude_same=True,
+                             payload=("phrase", "type"), n_queries=t.table("embeddings").count())
 
 
 def bonus(t):
     return rules.rarity_bonus(text_bank(t), rules.token_df(text_bank(t), "phrase"))
 
 
-def candidates(t, image, txt):
-    return ranking.score_entities(ranking.pick_years(image, txt), txt, bonus(t))
+def candidates(t):
+    return ranking.score_entities(ranking.pick_years(image(t), text(t)), bonus(t))
+
+
+def restricted(t):
+    """Crops with the years that the listing of the same number allows; crops without a listing are free."""
+    years = restrictions(t).select(c("item_id").alias("q"), "years")
+    return q_vectors(t).join(years, "q", "left")
 
 
 r9 = lambda *names, digits=6: [F.round(n, digits).alias(n) for n in names]
@@ -106,7 +119,7 @@ def j7(t):
 
 @query("a12_year_image_best", vec(" select q, year, round(sim,9) as sim from image"))
 def a12(t):
-    return vectors.per_year(entity_sims(t)).select("q", "year", *r9("sim", digits=9))
+    return image(t).select("q", "year", *r9("sim", digits=9))
 
 
 @query("a13_year_text_best", vec(" select q, year, round(sim,9) as sim, phrase, type from text"))
@@ -159,17 +172,46 @@ def j8(t):
 
 @query("w1_pick_years", vec(PICKS + " select q, year, pick, round(image_score,9) as image_score from picks"))
 def w1(t):
-    return ranking.pick_years(vectors.per_year(entity(t)), text(t)).select("q", "year", "pick", *r9("image_score", digits=9))
+    return ranking.pick_years(image(t), text(t)).select("q", "year", "pick", *r9("image_score", digits=9))
+
+
+FREE = RESTRICT_YEARS + f""",
+lim as (select e.vec_id as q, r.years from embeddings e left join restricted r on r.item_id=e.vec_id),
+si as (select s.* from si_all s join lim using (q) where years is null or list_contains(years, s.year)),
+st as (select s.* from st_all s join lim using (q) where years is null or list_contains(years, s.year) and q in (select q from si))"""
+
+
+def vec_restricted(body):
+    """As ``vec``, each crop restricted to the years of its listing; without image years there are no text years."""
+    sims = SIMS.replace("si as (", "si_all as (", 1).replace("st as (", "st_all as (", 1)
+    at = sims.index("image as (")
+    return on("v_image_bank", "v_text_bank", "v_listing", body="").rstrip() + sims[:at].rstrip().rstrip(",") + FREE + ",\n" + sims[at:] + body
+
+
+@query("w1_pick_years_restricted", vec_restricted(PICKS + " select q, year, pick, round(image_score,9) as image_score from picks"))
+def w1_restricted(t):
+    asked = restricted(t)
+    return ranking.pick_years(image(t, asked), text(t, asked=asked)).select("q", "year", "pick", *r9("image_score", digits=9))
+
+
+@query("w20_ranked_matches", vec_restricted(CHECKED + f""" select * from (select q, cast(year as string) as year, phrase as slogan, {SQL9('overall', 'image_score', 'slogan_score')},
+  row_number() over (partition by q order by checked.overall desc, checked.slogan_score desc, pick) as rank, checked.overall as o from checked) where rank<=5 and o>=0.25""".replace(
+    "select * from (", "select q, year, slogan, overall, image_score, slogan_score, rank from (")))
+def w20(t):
+    asked = restricted(t)
+    ranked = ranking.ranked_matches(image(t, asked), text(t, asked=asked), bonus(t), lookup(t, asked))
+    return ranking.top_matches(ranked, 5, 0.25).select("q", c("year").cast("string").alias("year"), c("phrase").alias("slogan"),
+                                                       *r9("overall", "image_score", "slogan_score"), "rank")
 
 
 @query("w2_score_entities", vec(CANDS + f" select q, year, phrase, rank, {SQL9('image_score', 'slogan_score', 'overall')} from cands"))
 def w2(t):
-    return candidates(t, vectors.per_year(entity(t)), text(t)).select("q", "year", "phrase", "rank", *r9("image_score", "slogan_score", "overall"))
+    return candidates(t).select("q", "year", "phrase", "rank", *r9("image_score", "slogan_score", "overall"))
 
 
 @query("w3_leaderboard", vec(board("text") + " select * from board"))
 def w3(t):
-    return ranking.leaderboard(vectors.per_year(entity(t)), text(t), bonus(t))
+    return ranking.leaderboard(image(t), text(t), bonus(t))
 
 
 LIMITED = """, limited as (select q, year, max(sim) as sim, arg_min(phrase, (-sim, ref_id)) as phrase, arg_min(type, (-sim, ref_id)) as type from st
@@ -179,7 +221,7 @@ LIMITED = """, limited as (select q, year, max(sim) as sim, arg_min(phrase, (-si
 @query("w3_leaderboard_restricted", vec(LIMITED + board("limited") + " select * from board"))
 def w3_limited(t):
     allowed = text_bank(t).where("type = 'Football' and year between 1992 and 1998")
-    return ranking.leaderboard(vectors.per_year(entity(t)), text(t, allowed), bonus(t))
+    return ranking.leaderboard(image(t), text(t, allowed), bonus(t))
 
 
 @query("w4_leaderboard_centered", vec(BASE + """, shifted as (select q, year, ref_id, phrase, type, round(raw - baseline + 0.25, 12) as sim from (
@@ -190,14 +232,13 @@ def w3_limited(t):
 def w4(t):
     base = vectors.text_baseline(text_bank(t), image_bank(t))
     bank = text_bank(t).join(base, "ref_id").withColumn("shift", -c("baseline") + 0.25)
-    return ranking.leaderboard(vectors.per_year(entity(t)), text(t, bank), bonus(t))
+    return ranking.leaderboard(image(t), text(t, bank), bonus(t))
 
 
 @query("w5_ref_check", vec(CHECKED + f""" select q, year, phrase, {SQL9('ref_sim', 'overall')},
   row_number() over (partition by q order by overall desc, slogan_score desc, pick) as rank from checked"""))
 def w5(t):
-    e = entity(t)
-    return ranking.ref_check(candidates(t, vectors.per_year(e), text(t)), e).select("q", "year", "phrase", "rank", *r9("ref_sim", "overall"))
+    return ranking.ref_check(candidates(t), lookup(t)).select("q", "year", "phrase", "rank", *r9("ref_sim", "overall"))
 
 
 RERANK = CANDS + f""",
@@ -222,11 +263,9 @@ select q, year, phrase, round(year_score,6) as year_score, round(sid_score,6) as
 
 @query("w6_rerank", vec(RERANK))
 def w6(t):
-    e, txt = entity(t), text(t)
-    image = vectors.per_year(e)
     bank = image_bank(t).groupBy("year", "key").agg(F.min("ref_id").alias("first"), F.min_by("phrase", "ref_id").alias("phrase"))
     entries = bank.withColumn("idx", F.format_string("%020d", "first"))  # ids order as text, so text ids keep input order
-    out = ranking.rerank(candidates(t, image, txt), image, e, entries, text_bank(t))
+    out = ranking.rerank(cut_lineage(candidates(t)), image(t), lookup(t), entries, text_bank(t))  # at most ten rows a query
     return out.select("q", "year", "phrase", "rank", *r9("year_score", "sid_score", "overall"))
 
 
@@ -239,20 +278,19 @@ def truth(t):
 
 @query("w8_rank_of", vec(board("text") + f" select t.q, t.true_year, min(b.rank) as rank from {TRUTH} t left join board b on b.q=t.q and b.year=t.true_year group by 1,2"))
 def w8(t):
-    b = ranking.leaderboard(vectors.per_year(entity(t)), text(t), bonus(t))
+    b = ranking.leaderboard(image(t), text(t), bonus(t))
     return ranking.rank_of(b, truth(t).select("q", "true_year"))
 
 
 @query("w8_rank_of_slogan", vec(board("text") + f" select t.q, t.true_year, t.true_phrase, min(b.rank) as rank from {TRUTH} t left join board b on b.q=t.q and b.year=t.true_year and b.phrase=t.true_phrase group by 1,2,3"))
 def w8_slogan(t):
-    b = ranking.leaderboard(vectors.per_year(entity(t)), text(t), bonus(t))
+    b = ranking.leaderboard(image(t), text(t), bonus(t))
     return ranking.rank_of_slogan(b, truth(t))
 
 
 @query("p9_top_matches", vec(CANDS + f" select q, year, phrase, rank, {SQL9('overall')} from cands where rank<=3 and overall>=0.25"))
 def p9(t):
-    ranked = candidates(t, vectors.per_year(entity(t)), text(t))
-    return ranking.top_matches(ranked, 3, 0.25).select("q", "year", "phrase", "rank", *r9("overall"))
+    return ranking.top_matches(candidates(t), 3, 0.25).select("q", "year", "phrase", "rank", *r9("overall"))
 
 
 @query("p15_in_bank_years", on("v_match", "v_image_bank", body="select item_id, k1, k2, k3, k4 from v_match where year in (select year from v_image_bank)"))

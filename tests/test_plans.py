@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lotscope.operators import grading, marks as mk, vectors
+from lotscope.operators import grading, marks as mk, ranking, vectors
 from lotscope.plans import order_stats as st
 from lotscope.plans import prefix, spatial
 
@@ -207,6 +207,47 @@ def test_blocked_similarity(spark):
             assert got[i, y] == (pytest.approx(sims[i, best]), best)
 
 
+def test_masked_segment_maxima(spark):
+    """Years and wanted groups per query, ties, blocks of both sides, own vectors and missing vectors."""
+    rnd = np.random.default_rng(9)
+    bank = [(i, int(1990 + i % 6), f"k{i % 4}", f"p{i}", [float(x) for x in rnd.integers(-3, 4, 5)]) for i in range(80)]
+    asked = [(i, bank[i][4] if i % 3 else [float(x) for x in rnd.integers(-3, 4, 5)],
+              None if i % 4 == 0 else [] if i % 4 == 1 else [1990 + i % 6, 1992, 2050]) for i in range(30)] + [(99, None, None)]
+    b = spark.createDataFrame(bank + [(500, 1991, "k0", "x", None)], "ref_id bigint, year int, key string, phrase string, embedding array<float>")
+    q = spark.createDataFrame(asked, "q bigint, embedding array<float>, years array<int>")
+
+    def brute(groups, allowed):
+        out = {}
+        for i, v, years in asked:
+            for r in bank:
+                g = tuple(r[{"year": 1, "key": 2}[c]] for c in groups)
+                if v is not None and r[0] != i and allowed(i, years, g):
+                    out[(i, *g)] = max(out.get((i, *g), (-1e9, 0, "")), (sum(x * y for x, y in zip(v, r[4])), -r[0], r[3]))
+        return {k: (s, -r, p) for k, (s, r, p) in out.items()}
+
+    in_years = lambda i, years, g: years is None or g[0] in years
+    for block in (7, 4096):
+        got = vectors.best_sims(q, b, ["year"], exclude_same=True, block=block, payload=("phrase",)).collect()
+        assert {(r.q, r.year): (r.sim, r.ref_id, r.phrase) for r in got} == brute(["year"], in_years) and len(got) == len(brute(["year"], in_years))
+        wanted = spark.createDataFrame([(i, 1990 + k % 8, f"k{k % 3}") for i in range(0, 30, 2) for k in range(i, i + 5)], "q bigint, year int, key string")
+        names = {(r.q, r.year, r.key) for r in wanted.collect()}
+        got = vectors.best_sims(vectors.asking(q, wanted, ["year", "key"]), b, ["year", "key"], exclude_same=True, block=block).collect()
+        want = brute(["year", "key"], lambda i, years, g: (i, *g) in names)
+        assert {(r.q, r.year, r.key): (r.sim, r.ref_id) for r in got} == {k: v[:2] for k, v in want.items()}
+        everything = vectors.best_sims(q.drop("years"), b, [], exclude_same=True, block=block).collect()
+        assert {(r.q,): (r.sim, r.ref_id) for r in everything} == {k: v[:2] for k, v in brute([], lambda *_: True).items()}
+    assert vectors.best_sims(q.limit(0), b, ["year"]).count() == 0 and vectors.best_sims(q, b.limit(0), ["year"]).count() == 0
+
+
+def test_picks_under_a_restriction(spark):
+    """Text alone adds a year; a query without an image year has no candidates; at most eight years."""
+    image = spark.createDataFrame([(1, 1990 + i, 0.9 - i / 100) for i in range(7)], "q bigint, year int, sim double")
+    text = spark.createDataFrame([(1, 1996 + i, 0.3 - i / 100, "p", "t") for i in range(6)] + [(2, 1990, 0.5, "p", "t")],
+                                 "q bigint, year int, sim double, phrase string, type string")
+    got = {(r.q, r.pick): (r.year, round(r.image_score, 2)) for r in ranking.pick_years(image, text).collect()}
+    assert got == {(1, 1 + i): (1990 + i, round(0.9 - i / 100, 2)) for i in range(5)} | {(1, 6): (1996, 0.84), (1, 7): (1997, 0.0), (1, 8): (1998, 0.0)}
+
+
 def test_worker_watch_matches_a_plain_loop(spark):
     import __spark_entry__ as entry
     folder = "/root/testdata/sf0.001"
