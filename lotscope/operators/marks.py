@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from lotscope import settings as S
 from lotscope.functions import geometry as geo
 from lotscope.functions.numbers import clamp
+from lotscope.plans import folds, spatial
 from lotscope.plans import order_stats as st
-from lotscope.plans import spatial
 from lotscope.plans.lineage import cut_lineage
 from lotscope.plans.prefix import number_rows, running
+from lotscope.plans.ranked import first_by
 from lotscope.sources.sinks import label_name
 
 
@@ -152,11 +153,16 @@ def associate(marks: DataFrame, readings: DataFrame) -> DataFrame:
 
 
 def covered(marks: DataFrame, readings: DataFrame, factor: float = 1.0) -> DataFrame:
-    """Links no longer than ``factor`` median radii."""
-    limit = median_radius(marks).select("job", (F.col("median_r") * factor).alias("limit"))
+    """Links no longer than ``factor`` median radii; of any length on pages without a positive radius."""
+    limit = median_radius(marks).where("median_r > 0").select("job", (F.col("median_r") * factor).alias("limit"))
     return spatial.match_points(marks, readings.withColumnRenamed("i", "j"), limit)
 
 
+def matchable(marks: DataFrame, readings: DataFrame) -> DataFrame:
+    """Pages on which a mark without a link says something: they have readings and a positive median radius."""
+    return median_radius(marks).where("median_r > 0").select("job").join(readings.select("job").distinct(), "job", "left_semi")
+
+
 def reconcile(marks: DataFrame, readings: DataFrame) -> DataFrame:
     """Plan per job: ``covered`` pairs; ``recovered`` readings, as many as marks are missing, farthest first;
     unbacked off-mask marks ``dropped``, each ``swapped`` for a confident uncovered reading while there is one."""
@@ -172,7 +178,7 @@ def reconcile(marks: DataFrame, readings: DataFrame) -> DataFrame:
     recovered = ranked.where("k <= deficit")
     spare = number_rows(ranked.where((F.col("k") > F.col("deficit")) & (F.col("confidence") >= S.SWAP_MIN_CONFIDENCE)), ["job"], order, -F.ceil("nn"), "s")
     phantoms = number_rows(free_marks.where(F.col("fill") < S.SWAP_OFF_MASK), ["job"], [F.asc("fill"), F.asc("i")],
-                           F.floor(F.col("fill") * 1000), "s").join(readings.select("job").distinct(), "job", "left_semi")
+                           F.floor(F.col("fill") * 1000), "s").join(matchable(marks, readings), "job", "left_semi")
     swaps = phantoms.select("job", F.col("i"), "s").join(spare.select("job", F.col("i").alias("j"), "s"), ["job", "s"], "left")
     none = F.lit(None).cast("bigint")
     return links.select("job", F.lit("covered").alias("action"), "i", "j") \
@@ -181,13 +187,15 @@ def reconcile(marks: DataFrame, readings: DataFrame) -> DataFrame:
 
 
 def agreement_summary(marks: DataFrame, readings: DataFrame) -> DataFrame:
-    """Per job: links, upper median and maximum link length, marks and readings left over."""
+    """Per job: links, upper median and maximum link length, marks and readings left over. The marks left over are
+    unknown (NULL) where matching could not run."""
     links = cut_lineage(covered(marks, readings))
     snap = st.order_stats(links, ["job"], F.col("d"), {"snap_median": F.floor(F.col("n") / 2) + 1, "snap_max": F.col("n")}) \
         .withColumnRenamed("n", "n_agree")
     count = lambda d, c: d.groupBy("job").agg(F.count(F.lit(1)).alias(c))
-    out = count(marks, "n_m").join(count(readings, "n_r"), "job").join(snap, "job", "left").withColumn("n_agree", F.coalesce("n_agree", F.lit(0)))
-    return out.select("job", "n_agree", "snap_median", "snap_max", (F.col("n_m") - F.col("n_agree")).alias("only_marks"),
+    out = count(marks, "n_m").join(count(readings, "n_r"), "job", "full").join(snap, "job", "left")
+    out = out.join(matchable(marks, readings).withColumn("_known", F.lit(True)), "job", "left").fillna(0, ["n_m", "n_r", "n_agree"])
+    return out.select("job", "n_agree", "snap_median", "snap_max", F.when(F.col("_known"), F.col("n_m") - F.col("n_agree")).alias("only_marks"),
                       (F.col("n_r") - F.col("n_agree")).alias("only_readings"))
 
 
@@ -211,41 +219,50 @@ def clear_of(points: DataFrame, discs: DataFrame, radius) -> DataFrame:
 def veto_proposals(proposals: DataFrame, accepted: DataFrame) -> DataFrame:
     """Why a proposal is a phantom: its centre lies inside an accepted disc, or its radius is off the cohort's
     median (from two accepted marks on); NULL when it is fine."""
-    inside = spatial.inside_any(proposals, accepted.where("r > 0"), F.col("r") * 0.85).select("job", "i", F.lit(True).alias("_in"))
+    inside = spatial.inside_any(proposals, accepted.where("r > 0"), F.col("r") * S.VETO_CENTER).select("job", "i", F.lit(True).alias("_in"))
     cohort = st.median(accepted, ["job"], F.col("r"), "med_r").where("n >= 2 and med_r > 0").select("job", "med_r")
     out = proposals.join(inside, ["job", "i"], "left").join(cohort, "job", "left")
-    off = ~F.col("r").between(0.7 * F.col("med_r"), 1.3 * F.col("med_r"))
+    off = ~F.col("r").between(S.VETO_RADIUS[0] * F.col("med_r"), S.VETO_RADIUS[1] * F.col("med_r"))
     return out.withColumn("veto", F.when(F.col("_in"), "center").when(off, "radius")).drop("_in", "med_r")
 
 
 def merge_marks(primary: DataFrame, proposals: DataFrame, fill_floor: float) -> DataFrame:
-    """Primary marks plus the proposals, in order of i, that are filled enough, pass the veto against the primary
-    cohort, and neither overlap a primary mark nor an earlier accepted proposal."""
-    fit = veto_proposals(proposals.where(F.col("fill") >= fill_floor), primary).where("veto is null").drop("veto")
-    biggest = fit.groupBy("job").agg(F.max("r").alias("reach"))
-    pr = spatial.covering(primary.select("job", F.col("x").alias("x"), F.col("y").alias("y"), F.col("r").alias("pr")), F.col("pr") * 0.7, 64.0) \
-        .withColumnsRenamed({"x": "px", "y": "py"})
-    at = fit.withColumns({"cx": F.floor(F.col("x") / 64.0), "cy": F.floor(F.col("y") / 64.0)})
-    near = F.hypot(at["x"] - pr["px"], at["y"] - pr["py"]) < 0.7 * F.least(at["r"], pr["pr"])
-    free = cut_lineage(at.join(pr, (at["job"] == pr["job"]) & (at["cx"] == pr["cx"]) & (at["cy"] == pr["cy"]) & near, "left_anti").drop("cx", "cy"))
-    early = spatial.covering(free.select("job", F.col("i").alias("before"), "x", "y", F.col("r").alias("br")), F.col("br") * 0.85, 64.0) \
-        .withColumnsRenamed({"x": "bx", "y": "by"})
-    late = free.withColumns({"cx": F.floor(F.col("x") / 64.0), "cy": F.floor(F.col("y") / 64.0)})
-    d = F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))
-    clash = (F.col("before") < F.col("i")) & (d < F.greatest(0.7 * F.least("r", "br"), 0.85 * F.col("br")))
-    edges = late.join(early, ["job", "cx", "cy"]).where(clash).select("job", "i", "before")
-    chosen = free.join(spatial.greedy_independent(free, edges), ["job", "i"], "left_semi")
-    return primary.unionByName(chosen.select(*primary.columns))
-
-
-def collapse_concentric(marks: DataFrame) -> DataFrame:
+    """Primary marks plus the proposals, in order of i, that are filled enough and that no mark accepted before them
+    vetoes: its disc must not hold their centre, and from two accepted marks on the radius must fit the median of all
+    marks accepted so far, which moves as proposals come in.
+
+    What a primary disc holds goes first, on all tasks. The rest of a page passes one task in order, because every step
+    changes the median; it is read row by row, the primary cohort as numbers of marks per radius, and only accepted
+    proposals are kept, whose discs cannot crowd.
+    """
+    inner, low, high = S.VETO_CENTER, *S.VETO_RADIUS
+    fit = proposals.where(F.col("fill") >= fill_floor)
+    held = spatial.inside_any(fit, primary.where("r > 0"), F.col("r") * inner).select("job", "i")
+    free = fit.join(held, ["job", "i"], "left_anti").select("job", F.col("i").cast("long").alias("i"), "x", "y", F.col("r").cast("double").alias("r"), F.lit(1).cast("long").alias("times"))
+    none = lambda kind: F.lit(None).cast(kind)
+    cohort = primary.groupBy("job", F.col("r").cast("double").alias("r")).agg(F.count(F.lit(1)).alias("times")).join(free.select("job").distinct(), "job", "left_semi")
+    rows = cohort.select("job", none("long").alias("i"), none("double").alias("x"), none("double").alias("y"), "r", "times").unionByName(free)
+    kind = primary.schema["job"].dataType.simpleString()
+    chosen = folds.fold_pages(rows, [F.asc_nulls_first("i"), F.asc("r")], folds.accept(inner, low, high), f"job {kind}, i bigint")
+    return primary.unionByName(proposals.join(chosen, ["job", "i"], "left_semi").select(*primary.columns))
+
+
+def collapse_concentric(marks: DataFrame, small: int = spatial.SMALL) -> DataFrame:
     """Of rings around one centre keep the better filled, larger rings first.
 
-    Marks within 0.35 of the larger radius belong together; each round settles the marks that no unsettled earlier
-    mark can still influence over two links. Identical circles are one candidate: the best filled copy.
+    Marks within 0.35 of the larger radius belong together. Ordinary pages are folded; on larger ones each round settles
+    the marks that no unsettled earlier mark can still influence over two links. Identical circles are one candidate:
+    the best filled copy.
     """
-    from lotscope.plans.ranked import first_by
+    few, large = spatial.split_pages(marks, small)
+    kind = marks.schema["job"].dataType.simpleString()
+    rows = few.select("job", F.col("i").cast("long").alias("i"), "x", "y", "r", "fill")
+    chosen = folds.fold_pages(rows, [F.desc("r"), F.asc("x"), F.asc("y"), F.asc("i")], folds.collapse, f"job {kind}, i bigint")
+    kept = few.join(chosen, ["job", "i"], "left_semi").select(*marks.columns)
+    return kept if large is None else kept.unionByName(_collapse_large(marks.join(large, "job", "left_semi")).select(*marks.columns))
+
 
+def _collapse_large(marks: DataFrame) -> DataFrame:
     own = first_by(marks, ["job", "x", "y", "r"], [F.desc("fill"), F.asc("i")]).withColumn(
         "o", F.struct((-F.col("r")).alias("a"), F.col("x").alias("b"), F.col("y").alias("c"), F.col("i").alias("d")))
     state = cut_lineage(own.select("job", "i", "x", "y", "r", "fill", "o", F.lit(0).alias("st"), F.col("o").alias("slot")))

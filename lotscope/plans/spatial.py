@@ -1,20 +1,24 @@
 """Point matching, suppression and nearest neighbours inside jobs, on grids of cells.
 
-No plan here forms all pairs of a large job. Points meet only inside neighbouring cells; cells start near the
-spacing of a job's points and grow until every point is settled. Jobs of at most ``SMALL`` points take one cell.
-Iterations are cut by checkpoints.
+Ordinary jobs, of at most ``SMALL`` points, are folded whole, all in one stage. No plan here forms all pairs of a larger
+job: its points meet only inside neighbouring cells; cells start near the spacing of a job's points and grow until every
+point is settled. Rounds carry a frontier of what is still open, what is settled is appended, and checkpoints cut them.
+Both ways give the same rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotscope.plans import folds
 from lotscope.plans.lineage import cut_lineage
 from lotscope.plans.prefix import number_rows
 from lotscope.plans.ranked import first_by
 
-SMALL = 64
+SMALL = 256
 
 
 def _cells(df: DataFrame, size: str, reach: int = 0) -> DataFrame:
@@ -32,7 +36,7 @@ def _scales(points: DataFrame, limit: DataFrame | float | None, small: int) -> D
     stats = points.groupBy("job").agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
     whole = F.hypot("w", "h") + 1.0
     if isinstance(limit, DataFrame):
-        stats = stats.join(limit, "job").withColumn("cap", F.col("limit"))
+        stats = stats.join(limit, "job", "left").withColumn("cap", F.coalesce(F.col("limit"), whole))
     else:
         stats = stats.withColumn("cap", whole if limit is None else F.lit(float(limit)))
     spacing = F.greatest(F.sqrt(F.col("w") * F.col("h") / F.col("n")), F.greatest("w", "h") / F.col("n"), F.lit(1e-3))
@@ -51,43 +55,56 @@ def _sizes(scales: DataFrame, level: int) -> DataFrame:
     return rows.select("job", "cap", F.least(F.col("cap"), grown).alias("size"))
 
 
-def _settle(edges: DataFrame, rounds: int = 2) -> DataFrame:
+def _settle(edges: DataFrame) -> DataFrame:
     """Greedy one-to-one matching by increasing distance: an edge that is the first of both its ends is taken and
-    closes the other edges of those ends. ``st``: 0 open, 1 taken, 2 closed."""
-    edges = cut_lineage(edges.withColumn("st", F.lit(0)))
-    by_i = Window.partitionBy("job", "i")
-    by_j = Window.partitionBy("job", "j")
-    while not edges.where("st = 0").isEmpty():
-        for _ in range(rounds):
-            first_i = F.row_number().over(by_i.orderBy("st", "d", "j"))
-            first_j = F.row_number().over(by_j.orderBy("st", "d", "i"))
-            marked = edges.withColumn("_i", first_i).withColumn("_j", first_j)
-            marked = marked.withColumn("st", F.when((F.col("st") == 0) & (F.col("_i") == 1) & (F.col("_j") == 1), 1).otherwise(F.col("st")))
-            # closed edges sort last, taken ones never share an end with an open edge
-            marked = marked.withColumn("_ti", F.max((F.col("st") == 1).cast("int")).over(by_i)) \
-                .withColumn("_tj", F.max((F.col("st") == 1).cast("int")).over(by_j))
-            edges = marked.withColumn("st", F.when((F.col("st") == 0) & ((F.col("_ti") == 1) | (F.col("_tj") == 1)), 2).otherwise(F.col("st"))) \
-                .select("job", "i", "j", "d", "st")
+    closes the other edges of those ends. Only open edges go on to the next round."""
+    edges, taken = cut_lineage(edges), []
+    while True:
+        first = lambda end, other: F.row_number().over(Window.partitionBy("job", end).orderBy("d", other)) == 1
+        marked = cut_lineage(edges.withColumn("_i", first("i", "j")).withColumn("_t", F.col("_i") & first("j", "i")).drop("_i"))
+        won = marked.where("_t").drop("_t")
+        taken.append(won)
+        edges = marked.where("not _t").drop("_t").join(won.select("job", "i"), ["job", "i"], "left_anti").join(won.select("job", "j"), ["job", "j"], "left_anti")
         edges = cut_lineage(edges)
-    return edges.where("st = 1").drop("st")
+        if edges.isEmpty():
+            return reduce(DataFrame.unionByName, taken)
+
+
+def split_pages(points: DataFrame, small: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ordinary jobs, and the names of the larger ones (None when there are none)."""
+    large = cut_lineage(points.groupBy("job").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("job"))
+    return (points, None) if large.isEmpty() else (points.join(large, "job", "left_anti"), large)
 
 
 def match_points(a: DataFrame, b: DataFrame, limit: DataFrame | float | None = None, small: int = SMALL) -> DataFrame:
     """One-to-one nearest matching of (job, i, x, y) with (job, j, x, y), shortest distance first, ties by i then j.
 
-    ``limit`` refuses longer pairs: a number, or (job, limit). Result: (job, i, j, d). Coincident copies of large
-    jobs are paired by position in their order first, which is what the shortest-first rule does with them.
+    ``limit`` refuses longer pairs: a number, or (job, limit) where null or a missing job means none. Result: (job, i, j,
+    d). Coincident copies of large jobs are paired by position in their order first, which is what the shortest-first
+    rule does with them.
     """
-    scales = cut_lineage(_scales(a.select("job", "x", "y").unionByName(b.select("job", "x", "y")), limit, small))
+    sides = a.select("job", F.lit(0).alias("side"), F.col("i").cast("long").alias("i"), "x", "y").unionByName(
+        b.select("job", F.lit(1).alias("side"), F.col("j").cast("long").alias("i"), "x", "y"))
+    few, large = split_pages(sides, small)
+    if isinstance(limit, DataFrame):
+        few = few.join(limit.select("job", F.col("limit").cast("double").alias("limit")), "job", "left")
+    else:
+        few = few.withColumn("limit", F.lit(limit).cast("double"))
+    kind = a.schema["job"].dataType.simpleString()
+    folded = folds.fold_pages(few.select("job", "side", "i", "x", "y", "limit"), [F.col("side"), F.col("i")], folds.match,
+                              f"job {kind}, i bigint, j bigint, d double")
+    if large is None:
+        return folded
+    return folded.unionByName(_match_large(a.join(large, "job", "left_semi"), b.join(large, "job", "left_semi"), limit))
+
+
+def _match_large(a: DataFrame, b: DataFrame, limit: DataFrame | float | None) -> DataFrame:
+    scales = cut_lineage(_scales(a.select("job", "x", "y").unionByName(b.select("job", "x", "y")), limit, 0))
     levels = _levels(scales)
     a, b = a.select("job", "i", "x", "y"), b.select("job", "j", "x", "y")
-    parts: list[DataFrame] = []
-    if levels > 1:
-        large = scales.where(F.col("n") > small).select("job")
-        nth = lambda df, k: number_rows(df.join(large, "job", "left_semi"), ["job", "x", "y"], [F.asc(k)], F.floor(F.col(k) / 65536), "_n")
-        same = nth(a, "i").join(nth(b, "j"), ["job", "x", "y", "_n"]).select("job", "i", "j", F.lit(0.0).alias("d"))
-        parts.append(cut_lineage(same))
-        a, b = a.join(parts[0], ["job", "i"], "left_anti"), b.join(parts[0], ["job", "j"], "left_anti")
+    nth = lambda df, k: number_rows(df, ["job", "x", "y"], [F.asc(k)], F.floor(F.col(k) / 65536), "_n")
+    parts = [cut_lineage(nth(a, "i").join(nth(b, "j"), ["job", "x", "y", "_n"]).select("job", "i", "j", F.lit(0.0).alias("d")))]
+    a, b = a.join(parts[0], ["job", "i"], "left_anti"), b.join(parts[0], ["job", "j"], "left_anti")
     for level in range(levels):
         size = _sizes(scales, level).drop("cap")
         left = _cells(a.join(size, "job"), "size")
@@ -99,10 +116,7 @@ def match_points(a: DataFrame, b: DataFrame, limit: DataFrame | float | None = N
         if level + 1 < levels:
             a = cut_lineage(a.join(taken, ["job", "i"], "left_anti"))
             b = cut_lineage(b.join(taken, ["job", "j"], "left_anti"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def nearest(a: DataFrame, b: DataFrame, self_join: bool = False, small: int = SMALL) -> DataFrame:
@@ -138,17 +152,20 @@ def nearest(a: DataFrame, b: DataFrame, self_join: bool = False, small: int = SM
 def suppress(points: DataFrame, strength: str, sep: float, small: int = SMALL) -> DataFrame:
     """Keep the strongest points so that no two kept ones of a job are closer than ``sep`` (lowest i on ties).
 
-    Jobs of at most ``small`` points list their conflicts directly; larger ones compete by cells.
+    Jobs of at most ``small`` points are folded; in larger ones the leaders of cells compete.
     """
     if sep <= 0:
         return points
-    sizes = points.groupBy("job").agg((F.count(F.lit(1)) > small).alias("_large"))
-    ordered = cut_lineage(points.join(sizes, "job").withColumn("_o", F.struct(F.col(strength).cast("double").alias("s"), (-F.col("i")).alias("m"))))
-    few, many = ordered.where(~F.col("_large")).drop("_large"), ordered.where("_large").drop("_large")
-    other = few.select("job", F.col("i").alias("before"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("_o").alias("b_o"))
-    edges = few.join(other, "job").where((F.col("b_o") > F.col("_o")) & _closer("bx", "by", sep)).select("job", "i", "before")
-    kept = few.join(greedy_independent(few, edges), ["job", "i"], "left_semi").select(*points.columns)
-    return kept.unionByName(_suppress_by_cells(many, points.columns, sep))
+    few, large = split_pages(points, small)
+    rows = few.select("job", F.col("i").cast("long").alias("i"), "x", "y", F.col(strength).cast("double").alias("_s"))
+    kind = points.schema["job"].dataType.simpleString()
+    fold = folds.separate(sep)
+    chosen = folds.fold_pages(rows, [F.desc_nulls_last("_s"), F.asc("i")], lambda page: fold(r[:4] for r in page), f"job {kind}, i bigint")
+    kept = few.join(chosen, ["job", "i"], "left_semi").select(*points.columns)
+    if large is None:
+        return kept
+    many = points.join(large, "job", "left_semi").withColumn("_o", F.struct(F.col(strength).cast("double").alias("s"), (-F.col("i")).alias("m")))
+    return kept.unionByName(_suppress_by_cells(cut_lineage(many), points.columns, sep))
 
 
 def _closer(x: str, y: str, sep: float) -> Column:
@@ -187,21 +204,3 @@ def inside_any(points: DataFrame, circles: DataFrame, radius: Column, cell: floa
     hit = (at["job"] == discs["job"]) & (at["cx"] == discs["cx"]) & (at["cy"] == discs["cy"]) \
         & (F.hypot(at["x"] - discs["ax"], at["y"] - discs["ay"]) < discs["rad"])
     return at.join(discs, hit, "left_semi").drop("cx", "cy")
-
-
-def greedy_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes (job, i) accepted in order when no earlier accepted node conflicts. ``edges``: (job, i, before), where
-    ``before`` is an earlier conflicting node. Rejected as soon as one earlier is accepted; accepted once all are rejected."""
-    edges = cut_lineage(edges)
-    free = nodes.select("job", "i").join(edges.select("job", "i").distinct(), ["job", "i"], "left_anti")
-    state = edges.select("job", "i").distinct().withColumn("st", F.lit(0))
-    firsts = edges.select("job", F.col("before").alias("i")).distinct().join(free, ["job", "i"], "left_semi").withColumn("st", F.lit(1))
-    state = cut_lineage(state.unionByName(firsts))
-    while not state.where("st = 0").isEmpty():
-        prior = edges.join(state.select("job", F.col("i").alias("before"), F.col("st").alias("b")), ["job", "before"]) \
-            .groupBy("job", "i").agg(F.max((F.col("b") == 1).cast("int")).alias("taken"), F.max((F.col("b") == 0).cast("int")).alias("open"))
-        step = state.join(prior, ["job", "i"], "left")
-        new = F.when(F.col("st") != 0, F.col("st")).when(F.col("taken") == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0)
-        state = cut_lineage(step.select("job", "i", new.alias("st")))
-    won = state.where("st = 1").select("job", "i")
-    return free.join(won, ["job", "i"], "left_anti").unionByName(won)

@@ -232,22 +232,52 @@ def p13(t):
     return mk.veto_proposals(readings(t), marks(t)).select("job", "i", "x", "veto")
 
 
-@query("j12_match_points")
+DIST = "sqrt(power({a}.x-{b}.x,2)+power({a}.y-{b}.y,2))"
+
+
+def pairs_sql(limit):
+    """Shortest first, each end once: a fold over the sorted candidate pairs of a page."""
+    return f""",
+cand as (select m.job, m.i, r.i as j, {DIST.format(a="m", b="r")} as d from m join rd r on m.job=r.job left join (select job, mr from med where mr>0) e on e.job=m.job),
+pairs as (select job, unnest(p.i) as i, unnest(p.j) as j, unnest(p.d) as d from (select job, list_reduce(list({{'d': d, 'i': i, 'j': j}} order by d, i, j),
+  lambda a, x: case when list_contains(a.i, x.i) or list_contains(a.j, x.j) then a
+    else {{'d': list_append(a.d, x.d), 'i': list_append(a.i, x.i), 'j': list_append(a.j, x.j)}} end,
+  {{'d': []::double[], 'i': []::bigint[], 'j': []::bigint[]}}) as p from cand c left join (select job, mr from med where mr>0) e using (job) where {limit} group by job))"""
+
+
+NEAR = MED + pairs_sql("mr is null or d<=mr")
+KNOWN = """, known as (select job from med where mr>0 and job in (select job from rd))"""
+
+
+@query("j12_match_points", mark_sql(MED + pairs_sql("d<=200") + " select * from pairs"))
 def j12(t):
     return spatial.match_points(marks(t), readings(t).withColumnRenamed("i", "j"), 200.0)
 
 
-@query("j13_associate")
+@query("j13_associate", mark_sql(MED + pairs_sql("true") + " select p.job, p.i, p.j, p.d, p.d<=0.75*m.r as anchored from pairs p join m on m.job=p.job and m.i=p.i"))
 def j13(t):
     return mk.associate(marks(t), readings(t)).select("job", "i", "j", "d", "anchored")
 
 
-@query("j19_reconcile")
+@query("j19_reconcile", mark_sql(NEAR + KNOWN + f""",
+far as (select g.job, g.i, g.confidence, coalesce((select min({DIST.format(a="g", b="m")}) from m where m.job=g.job), 1e9) as nn from rd g
+  where not exists (select 1 from pairs p where p.job=g.job and p.j=g.i)),
+need as (select job, greatest(0, count(*)-coalesce(any_value(n), 0)) as deficit from rd left join (select job, count(*) as n from m group by 1) using (job) group by 1),
+ranked as (select *, row_number() over (partition by job order by nn desc, i desc) as k from far join need using (job)),
+spare as (select *, row_number() over (partition by job order by nn desc, i desc) as s from ranked where k>deficit and confidence>=0.7),
+ph as (select m.job, m.i, row_number() over (partition by m.job order by m.fill, m.i) as s from m join known using (job)
+  where m.fill<0.5 and not exists (select 1 from pairs p where p.job=m.job and p.i=m.i))
+select job, 'covered' as action, i, j from pairs union all select job, 'recovered', null, i from ranked where k<=deficit
+union all select ph.job, case when spare.i is null then 'dropped' else 'swapped' end, ph.i, spare.i from ph left join spare using (job, s)"""))
 def j19(t):
     return mk.reconcile(marks(t), readings(t))
 
 
-@query("a32_agreement_summary")
+@query("a32_agreement_summary", mark_sql(NEAR + KNOWN + """,
+n as (select job, count(*) filter (where not is_reading) as nm, count(*) filter (where is_reading) as nr from v_mark group by 1),
+s as (select job, count(*) as na, list(d order by d) as ds from pairs group by 1)
+select job, coalesce(na, 0) as n_agree, ds[na//2+1] as snap_median, ds[na] as snap_max, case when known.job is not null then nm-coalesce(na, 0) end as only_marks,
+  nr-coalesce(na, 0) as only_readings from n left join s using (job) left join known using (job)"""))
 def a32(t):
     return mk.agreement_summary(marks(t), readings(t))
 
@@ -261,25 +291,41 @@ def j20(t):
     return mk.anchor_recovery(with_marks, marks(t)).select("job", "j")
 
 
-@query("w11_nms")
+@query("w11_nms", on("v_mark", body=""", f as (select job, list_reduce(list({'i': i, 'x': x, 'y': y} order by r desc, i), lambda a, p: case when len(list_filter(
+    range(1, len(a.i)+1), lambda k: (p.x-a.x[k])*(p.x-a.x[k])+(p.y-a.y[k])*(p.y-a.y[k])<3600))>0 then a
+  else {'i': list_append(a.i, p.i), 'x': list_append(a.x, p.x), 'y': list_append(a.y, p.y)} end, {'i': []::bigint[], 'x': []::double[], 'y': []::double[]}) as a from v_mark group by job)
+select v.job, v.i, v.x, v.y, v.r from v_mark v join (select job, unnest(a.i) as i from f) using (job, i)"""))
 def w11(t):
     return spatial.suppress(t.view("v_mark").select("job", "i", "x", "y", "r"), "r", 60.0)
 
 
-@query("w12_collapse_concentric")
+@query("w12_collapse_concentric", on("v_mark", body=""", f as (select job, list_reduce(list({'i': i, 'x': x, 'y': y, 'r': r, 'f': fill, 'k': 0::bigint} order by r desc, x, y, i),
+  lambda a, p: list_transform([list_filter(range(1, len(a)+1), lambda k: sqrt(power(p.x-a[k].x,2)+power(p.y-a[k].y,2))<0.35*greatest(p.r, a[k].r))[1]],
+    lambda c: case when c is null then list_append(a, p) when p.f<=a[c].f then a else list_concat(list_append(a[1:c-1], p), a[c+1:len(a)]) end)[1],
+  []::struct(i bigint, x double, y double, r double, f double, k bigint)[]) as a from v_mark group by job)
+select v.job, v.i, v.x, v.y, v.r, v.fill from v_mark v join (select job, unnest(list_transform(a, lambda p: p.i)) as i from f) using (job, i)"""))
 def w12(t):
     return mk.collapse_concentric(t.view("v_mark").select("job", "i", "x", "y", "r", "fill"))
 
 
-@query("w13_merge_marks")
+@query("w13_merge_marks", mark_sql(""", c as (select job, list(x) as x, list(y) as y, list(r) as r from m group by 1),
+p as (select job, list({'i': i, 'x': x, 'y': y, 'r': r} order by i) as ps from rd where fill>=0.2 group by 1),
+f as (select job, list_reduce(ps, lambda a, p: case when len(list_filter(range(1, len(a.x)+1), lambda k: sqrt(power(p.x-a.x[k],2)+power(p.y-a.y[k],2))<0.85*a.r[k]))>0
+    or len(a.r)>=2 and not p.r between 0.7*list_median(a.r) and 1.3*list_median(a.r) then a
+  else {'i': list_append(a.i, p.i), 'x': list_append(a.x, p.x), 'y': list_append(a.y, p.y), 'r': list_append(a.r, p.r)} end,
+  {'i': []::bigint[], 'x': coalesce(x, []), 'y': coalesce(y, []), 'r': coalesce(r, [])}) as a from p left join c using (job))
+select job, i, x, y, r, fill from m union all select rd.job, rd.i, rd.x, rd.y, rd.r, rd.fill from rd join (select job, unnest(a.i) as i from f) using (job, i)"""))
 def w13(t):
     cols = ["job", "i", "x", "y", "r", "fill"]
     return mk.merge_marks(marks(t).select(*cols), readings(t).select(*cols), 0.2)
 
 
-@query("s18_build_labels")
+@query("s18_build_labels", mark_sql(NEAR + KNOWN + """
+select 'detect_labels.v1' as schema, job, 0::bigint as part, 'pipeline/labels/' || job || '.json' as name, row_number() over (partition by job order by i)-1 as i, 'circle' as shape,
+  cast(trunc(x) as int) as x, cast(trunc(y) as int) as y, cast(trunc(r) as int) as r, status as source, case when known.job is not null then j is not null end as reader_backed
+from m left join pairs using (job, i) left join known using (job)"""))
 def s18(t):
     from lotscope.plans.lineage import cut_lineage
     links = cut_lineage(mk.covered(marks(t), readings(t)))
     out = mk.build_labels(marks(t).withColumn("source", c("status")), links, readings(t))
-    return out.select("schema", "job", "part", "name", F.to_json("circles").alias("circles"))
+    return out.select("schema", "job", "part", "name", F.explode("circles").alias("m")).select("schema", "job", "part", "name", "m.*")

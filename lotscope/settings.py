@@ -98,6 +98,8 @@ FLOOD_RESIDUAL = 0.42
 DEFICIT_MIN_FRACTION = 0.60
 SWAP_OFF_MASK = 0.50
 SWAP_MIN_CONFIDENCE = 0.70
+VETO_CENTER = 0.85
+VETO_RADIUS = (0.7, 1.3)
 LOW_RES_DIAMETER = 64
 RADIUS_SCALES = (1.0, 0.66, 0.45, 0.30)
 RADIUS_FLOOR = 9

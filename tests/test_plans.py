@@ -6,6 +6,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st_
 from pyspark.sql import functions as F
 
 from lotscope.operators import grading, marks as mk, ranking, vectors
@@ -69,7 +71,8 @@ def test_suppress(spark, small, grid):
     assert {(r.job, r.i) for r in got.collect()} == want
 
 
-def test_collapse_concentric(spark):
+@pytest.mark.parametrize("small", [256, 4])
+def test_collapse_concentric(spark, small):
     a = cloud(5, n=60, grid=6, jobs=2)
     a += [(0, 900 + k, 60.0, 60.0, 30.0, 0.5 + k / 100, 0.0) for k in range(5)]
     want = set()
@@ -82,26 +85,72 @@ def test_collapse_concentric(spark):
             elif c[5] > kept[hit][5]:
                 kept[hit] = c
         want |= {(job, k[1]) for k in kept}
-    assert {(r.job, r.i) for r in mk.collapse_concentric(spark.createDataFrame(a, COLS)).collect()} == want
+    assert {(r.job, r.i) for r in mk.collapse_concentric(spark.createDataFrame(a, COLS), small).collect()} == want
+
+
+def merged(prim, prop, floor=0.2):
+    """A page's primary marks and accepted proposals, one proposal after the other."""
+    cohort = list(prim)
+    for c in prop:
+        d = lambda k: math.hypot(c[2] - k[2], c[3] - k[3])
+        if c[5] < floor or any(d(k) < 0.7 * min(c[4], k[4]) for k in cohort) or any(k[4] > 0 and d(k) < 0.85 * k[4] for k in cohort):
+            continue
+        if len(cohort) >= 2:
+            med = statistics.median(k[4] for k in cohort)
+            if med > 0 and not 0.7 * med <= c[4] <= 1.3 * med:
+                continue
+        cohort.append(c)
+    return cohort
 
 
-def test_merge_and_veto(spark):
-    prim, prop = cloud(6, n=15), cloud(7, n=40)
+@pytest.mark.parametrize("n_prim", [15, 1, 0])
+def test_merge_and_veto(spark, n_prim):
+    prim, prop = cloud(6, n=max(n_prim, 1)), cloud(7, n=40, hot=80)
+    prim = [r for r in prim if n_prim or r[0] == 2]
     want, vetoes = set(), {}
     for job in range(3):
         p = [r for r in prim if r[0] == job]
-        med = statistics.median(r[4] for r in p)
-        taken = []
+        med = statistics.median(r[4] for r in p) if len(p) >= 2 else None
         for c in (r for r in prop if r[0] == job):
-            d = lambda k: math.hypot(c[2] - k[2], c[3] - k[3])
-            vetoes[job, c[1]] = "center" if any(d(k) < 0.85 * k[4] for k in p) else None if 0.7 * med <= c[4] <= 1.3 * med else "radius"
-            if any(d(k) < 0.7 * min(c[4], k[4]) for k in p + taken) or c[5] < 0.2 or vetoes[job, c[1]] or any(d(k) < 0.85 * k[4] for k in taken):
-                continue
-            taken.append(c)
-        want |= {(job, k[1], k[2]) for k in p + taken}
+            inside = any(math.hypot(c[2] - k[2], c[3] - k[3]) < 0.85 * k[4] for k in p)
+            vetoes[job, c[1]] = "center" if inside else None if med is None or 0.7 * med <= c[4] <= 1.3 * med else "radius"
+        want |= {(job, k[1], k[2]) for k in merged(p, [r for r in prop if r[0] == job])}
     a, b = spark.createDataFrame(prim, COLS), spark.createDataFrame(prop, COLS)
     assert {(r.job, r.i): r.veto for r in mk.veto_proposals(b, a).collect()} == vetoes
-    assert {(r.job, r.i, r.x) for r in mk.merge_marks(a, b, 0.2).collect()} == want
+    got = [(r.job, r.i, r.x) for r in mk.merge_marks(a, b, 0.2).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_the_median_moves_while_proposals_come_in(spark):
+    page = lambda *rs: spark.createDataFrame([(1, i, 100.0 * i, 0.0, float(r), 1.0, 0.9) for i, r in rs], COLS)
+    assert [r.i for r in mk.merge_marks(page((0, 10)), page((1, 10), (2, 40)), 0.2).orderBy("i").collect()] == [0, 1]
+    assert [r.i for r in mk.merge_marks(page((0, 10)), page((1, 40), (2, 30), (3, 33)), 0.2).orderBy("i").collect()] == [0, 1, 2, 3]
+
+
+@settings(deadline=None, max_examples=300)
+@given(st_.lists(st_.tuples(st_.sampled_from([-1.0, 0.0, 2.5, 3.0, 7.0, 8.25]) | st_.floats(-50, 50), st_.integers(1, 4)), min_size=1, max_size=40))
+def test_running_median(steps):
+    from lotscope.plans.folds import RunningMedian
+
+    run, all_ = RunningMedian(), []
+    for value, times in steps:
+        run.add(value, times)
+        all_ += [value] * times
+        assert run.median() == statistics.median(all_)
+
+
+def test_pages_without_a_radius_match_at_any_length(spark):
+    a = [(1, 0, 0.0, 0.0, 0.0, 0.1, 0.9), (1, 1, 500.0, 0.0, 0.0, 0.1, 0.9), (2, 0, 0.0, 0.0, 10.0, 0.1, 0.9), (3, 0, 0.0, 0.0, 10.0, 0.1, 0.9)]
+    b = [(1, 5, 400.0, 0.0, 0.0, 0.1, 0.9), (2, 5, 400.0, 0.0, 0.0, 0.1, 0.9), (4, 0, 1.0, 1.0, 5.0, 0.1, 0.9)]
+    da, db = spark.createDataFrame(a, COLS), spark.createDataFrame(b, COLS)
+    for small in (256, 0):
+        limit = mk.median_radius(da).where("median_r > 0").select("job", F.col("median_r").alias("limit"))
+        got = {(r.job, r.i, r.j) for r in spatial.match_points(da, db.withColumnRenamed("i", "j"), limit, small).collect()}
+        assert got == {(1, 1, 5)}
+    plan = {tuple(r) for r in mk.reconcile(da, db).select("job", "action", "i", "j").collect()}
+    assert plan == {(1, "covered", 1, 5), (2, "swapped", 0, 5), (4, "recovered", None, 0)}
+    got = {r.job: (r.n_agree, r.only_marks, r.only_readings) for r in mk.agreement_summary(da, db).collect()}
+    assert got == {1: (1, None, 0), 2: (0, 1, 1), 3: (0, None, 0), 4: (0, None, 1)}
 
 
 def test_reconcile_and_summary(spark):
