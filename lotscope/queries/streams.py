@@ -27,8 +27,12 @@ def instant(name="ts"):
 
 @query("x1_dedup_notifications", "select distinct 'lots__' || user_id as name, event_type as generation from events")
 def x1(t):
-    notes = events(t).select(F.concat(lit("lots__"), c("user_id")).alias("name"), c("event_type").alias("generation"), instant().alias("ts"))
-    return ss.drained(stt.dedup_notifications(notes)).select("name", "generation")
+    """Files in any order; repeats come days later, in other batches."""
+    notes = split_files(t, 6).select(F.concat(lit("lots__"), c("user_id")).alias("name"), c("event_type").alias("generation"), instant().alias("ts"))
+    path = new_folder(t.spark, "notifications")
+    index = stt.notification_index(t.spark, new_folder(t.spark, "notification-index"))
+    ss.each_batch(notes, stt.dedup_sink(index, path), new_folder(t.spark, "notification-state"))
+    return t.spark.read.schema("name string, generation string").parquet(path).select("name", "generation")
 
 
 @query("x2_response_stream", NAMES + """ select event_id, replace(name,'.response.json','') as image_name, case when event_type<>'click' then 'k' || user_id end as key from n where event_type<>'signup'""")
@@ -69,10 +73,10 @@ def j10(t):
 
 @query("x4_seen_state", f"with {SHIPPED} select item_id, min(seen_date) as first_seen, max(seen_date) as last_seen, count(*) as times from shipped group by 1")
 def x4(t):
-    stream = ss.table_stream(t.spark, t.folder, "lineitem").select(c("l_orderkey").alias("item_id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("seen_date"))
-    path = new_folder(t.spark, "seen")
-    ss.each_batch(stream, stt.seen_sink(path), new_folder(t.spark, "seen-state"))
-    return history.seen_marks(history.read_seen(t.spark, path).select("item_id", "seen_date"))
+    rows = split_files(t, 8, "lineitem", "l_partkey").select(c("l_orderkey").alias("item_id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("seen_date"))
+    seen = stt.seen_state(t.spark, new_folder(t.spark, "seen"))
+    ss.each_batch(rows, stt.seen_sink(seen), new_folder(t.spark, "seen-state"))
+    return seen.read()
 
 
 @query("x5_reprocess_unanswered", f"with {CTX} select key, item_id from ctx where key not in (select key from resp) and item_id not in (select user_id from events where event_type='error' and value>90)")
@@ -82,11 +86,11 @@ def x5(t):
     return stt.unanswered(contexts(e), answers(e), seen).select("key", "item_id")
 
 
-def split_files(t, n=8):
-    """The events table as several files, the input of rate-limited streams."""
-    path = new_folder(t.spark, "events-in")
-    t.table("events").repartition(n, "event_id").write.parquet(path)
-    return ss.folder_stream(t.spark, path, t.table("events").schema, 2)
+def split_files(t, n=8, table="events", key="event_id"):
+    """A table as several files, the input of rate-limited streams."""
+    path = new_folder(t.spark, f"{table}-in")
+    t.table(table).repartition(n, key).write.parquet(path)
+    return ss.folder_stream(t.spark, path, t.table(table).schema, 2)
 
 
 @query("x6_append_stream", on("v_log_line", body="select event_id as seq, payload from v_log_line where payload like '>>> TITLE%'"))
@@ -123,15 +127,17 @@ def x9(t):
     return t.spark.read.parquet(path)
 
 
-def ordered_files(t, n=4):
-    """The events table as files that arrive one after the other, each a range of ids; a micro-batch reads one."""
+def ordered_files(t, rows_per_piece=1 << 22, files=4):
+    """The events table as it arrives: pieces in the order of ids, at least four and of bounded size, each of so many
+    files; a micro-batch reads one piece."""
     path = new_folder(t.spark, "events-ordered")
-    ids = t.table("events").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
-    width = (ids.hi - ids.lo) // n + 1
-    for i in range(n):
-        part = c("event_id").between(ids.lo + i * width, ids.lo + (i + 1) * width - 1)
-        t.table("events").where(part).coalesce(1).write.mode("append").parquet(path)
-    return ss.folder_stream(t.spark, path, t.table("events").schema, 1)
+    rows = t.table("events")
+    ends = rows.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"), F.count(lit(1)).alias("n")).first()
+    pieces = max(4, -(-ends.n // rows_per_piece))
+    width = (ends.hi - ends.lo) // pieces + 1
+    for lo in range(ends.lo, ends.hi + 1, width):
+        rows.where(c("event_id").between(lo, lo + width - 1)).repartition(files).write.mode("append").parquet(path)
+    return ss.folder_stream(t.spark, path, rows.schema, files)
 
 
 @query("x10_tripwire_stream", f"""with e as (select cast(xor({CRC.replace("{c}", "'k' || user_id")}, 4294967295) % 4 as int) as worker, event_id as seq,
@@ -144,9 +150,9 @@ select o.worker, count(*) as n, cast(any_value((select run from r where r.worker
   any_value((select max(run) from r where r.worker=o.worker)) >= 5 as halted, bool_or(rn >= 50 and bad/50 > 0.7) as tripped from o group by 1""")
 def x10(t):
     rows = ordered_files(t).select(F.concat(lit("k"), "user_id").alias("name"), c("event_id").alias("seq"), c("event_type").isin("error", "signup", "click").alias("failed"))
-    path = new_folder(t.spark, "watch")
-    ss.each_batch(stt.tripwire_stream(rows, 4, limit=0.7), stt.update_sink(path), new_folder(t.spark, "watch-state"), mode="update")
-    return stt.read_latest(t.spark, path, ["worker"])
+    watch = stt.Watch(t.spark, new_folder(t.spark, "watch"), 4, limit=0.7)
+    ss.each_batch(rows, watch.sink, new_folder(t.spark, "watch-state"))
+    return watch.read()
 
 
 FIRST = "select item_id from v_listing"

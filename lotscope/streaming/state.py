@@ -2,25 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lotscope import settings as S
 from lotscope.functions.text import shard_of
-from lotscope.plans.ranked import first_by
+from lotscope.plans import runs
+from lotscope.plans.files import complete_folders
 from lotscope.sources.notifications import decode_notifications, route_objects
+from lotscope.streaming.store import MergedState, run_of
 
 
 def dedup_notifications(stream: DataFrame, delay: str = "7 days") -> DataFrame:
-    """First notification of each object generation. Keys are forgotten after the delay, so state stays bounded."""
+    """First notification of each object generation among those that come within ``delay`` of each other. Keys are
+    forgotten after the delay, so state stays bounded; :func:`dedup_sink` forgets none."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["name", "generation"])
 
 
+def notification_index(spark: SparkSession, path: str) -> MergedState:
+    """Keys of all notifications that were let through, with the first time of each."""
+    return MergedState(spark, path, {"name": "string", "generation": "string"}, {"ts": ("min", "timestamp")})
+
+
+def dedup_sink(index: MergedState, path: str):
+    """Batch writer that appends the notifications (name, generation, ts) whose key no earlier batch brought: one a key.
+
+    The index is first reduced to the keys of the batch, by a join whose small side is the batch; only what is left
+    meets the batch. Rows are written before the index learns their keys, so a batch that stopped between is repeated
+    whole, and one that ended is left alone.
+    """
+    def write(rows: DataFrame, batch: int) -> None:
+        run = run_of(rows)
+        if index.has(run, batch):
+            return
+        keys = list(index.keys)
+        first = rows.groupBy(*keys).agg(F.min("ts").alias("ts"))
+        known = index.read().select(*keys).join(first.select(*keys), keys, "left_semi")
+        fresh = first.join(known, keys, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch}")
+        index.merge(index.spark.read.schema(index.schema).parquet(f"{path}/run={run}/batch={batch}"), batch, run)
+    return write
+
+
 def response_stream(stream: DataFrame, body: str = "body") -> DataFrame:
     """Decoded notifications of response objects, with correlation keys."""
     return route_objects(decode_notifications(stream, body))
@@ -41,17 +64,23 @@ def correlate_batch(responses: DataFrame, contexts: DataFrame) -> DataFrame:
     return responses.join(contexts, "key", "left")
 
 
-def seen_sink(path: str):
-    """Batch writer that keeps one row per sighting; a replayed batch overwrites its own folder only."""
+def seen_state(spark: SparkSession, path: str) -> MergedState:
+    """First and last date and number of the sightings of every item."""
+    return MergedState(spark, path, {"item_id": "bigint"}, {"first_seen": ("min", "string"), "last_seen": ("max", "string"), "times": ("sum", "bigint")})
+
+
+def seen_sink(state: MergedState):
+    """Batch writer that merges sightings (item_id, seen_date) into the seen state."""
     def write(rows: DataFrame, batch: int) -> None:
-        rows.select("item_id", "seen_date").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        date = F.col("seen_date")
+        state.merge(rows.select("item_id", date.alias("first_seen"), date.alias("last_seen"), F.lit(1).cast("long").alias("times")), batch, run_of(rows))
     return write
 
 
 def append_sink(path: str):
-    """Batch writer for append-only logs, exactly once by batch id."""
+    """Batch writer for append-only logs, exactly once by run and batch."""
     def write(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").json(f"{path}/batch={batch}")
+        rows.write.mode("overwrite").json(f"{path}/run={run_of(rows)}/batch={batch}")
     return write
 
 
@@ -62,18 +91,6 @@ def snapshot_sink(path: str):
     return write
 
 
-def update_sink(path: str):
-    """Batch writer for updated rows: each batch keeps its own folder, so a replayed one changes nothing."""
-    def write(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-    return write
-
-
-def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The last row of every key that ``update_sink`` has written."""
-    return first_by(spark.read.parquet(path), keys, [F.desc("batch")]).drop("batch")
-
-
 def sweep(df: DataFrame, now, days: int = S.PENDING_DAYS, created: str = "created") -> DataFrame:
     """Contexts young enough to keep."""
     return df.where(F.col(created) >= now - F.expr(f"interval {days} days"))
@@ -103,31 +120,41 @@ def mark_first_run_done(spark: SparkSession, path: str) -> None:
     spark.range(1).select(F.lit(True).alias("first_run_done")).write.mode("overwrite").parquet(path)
 
 
-WATCH_OUT = "worker int, n bigint, streak bigint, max_streak bigint, halted boolean, tripped boolean"
-WATCH_STATE = "n bigint, streak bigint, max_streak bigint, tripped boolean, recent string"
+WATCH_STATE = f"worker int, {runs.SCHEMA}"
 
 
-def tripwire_stream(stream: DataFrame, workers: int, width: int = 50, limit: float = 0.02, halt_at: int = 5) -> DataFrame:
-    """Failure streak and rolling failure share per worker, updated every micro-batch.
+class Watch:
+    """Failure streak and rolling failure share per worker, kept up to date batch by batch.
 
-    ``stream``: (name, seq, failed). Rows go to workers by a hash of the name, as the readers themselves are
-    sharded, so no source or seller decides how many rows a worker sees. State is a counter and the last ``width``
-    outcomes; how much of a stream one batch holds is the source's rate limit.
+    Rows (name, seq, failed) go to workers by a hash of the name, as the readers themselves are sharded. A batch becomes
+    one mergeable summary per worker, in blocks on all tasks; it is merged with the one row that the worker has. Every
+    batch writes all workers' rows as its own version, from the version before it, so a replayed batch changes nothing.
+    Batches must come in the order of ``seq``; within one, any order will do.
     """
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, streak, longest, tripped, recent = state.get if state.exists else (0, 0, 0, False, "")
-        failed = pd.concat(list(frames)).sort_values("seq")["failed"].to_numpy(bool)
-        at = np.arange(len(failed))
-        since = at - np.maximum.accumulate(np.where(failed, -1, at))  # failures in a row up to each outcome
-        runs = np.where(np.logical_or.accumulate(~failed), since, at + 1 + streak) * failed
-        n, streak, longest = n + len(failed), int(runs[-1]), max(longest, int(runs.max()))
-        outcomes = np.concatenate([np.array([c == "1" for c in recent], bool), failed])
-        sums = np.concatenate([[0], np.cumsum(outcomes)])
-        tripped = bool(tripped or (len(outcomes) >= width and ((sums[width:] - sums[:-width]) / width > limit).any()))
-        recent = "".join("01"[int(f)] for f in outcomes[-width:])
-        state.update((n, streak, longest, tripped, recent))
-        yield pd.DataFrame({"worker": [key[0]], "n": [n], "streak": [streak], "max_streak": [longest],
-                            "halted": [longest >= halt_at], "tripped": [tripped]})
-
-    return stream.withColumn("worker", shard_of(F.col("name"), workers)).select("worker", "seq", "failed").groupBy("worker") \
-        .applyInPandasWithState(step, WATCH_OUT, WATCH_STATE, "update", GroupStateTimeout.NoTimeout)
+
+    def __init__(self, spark: SparkSession, path: str, workers: int, width: int = 50, limit: float = 0.02, halt_at: int = 5):
+        self.spark, self.path, self.workers, self.width, self.limit, self.halt_at = spark, path, workers, width, limit, halt_at
+
+    def _version(self, before: str | None = None) -> str | None:
+        done = [v for v in complete_folders(self.spark, self.path) if before is None or v < before]
+        return done[-1] if done else None
+
+    def sink(self, rows: DataFrame, batch: int) -> None:
+        """Merge a micro-batch (the writer of ``each_batch``). A new run, after a lost checkpoint, goes on from the state."""
+        run = run_of(rows)
+        mine = [v for v in complete_folders(self.spark, self.path) if v.split(".")[1] == run]
+        epoch = mine[-1].split(".")[0] if mine else f"{int((self._version() or '0').split('.')[0]) + 1:06d}"
+        name = f"{epoch}.{run}.{batch:012d}"
+        sharded = rows.select(shard_of(F.col("name"), self.workers).alias("worker"), "seq", F.coalesce("failed", F.lit(False)).alias("failed"))
+        new = runs.summaries(sharded, ["worker"], "seq", F.col("failed"), self.width, self.limit).withColumn("_at", F.lit(1).cast("long"))
+        before = self._version(name)
+        if before is not None:
+            old = self.spark.read.schema(WATCH_STATE).parquet(f"{self.path}/{before}").withColumn("_at", F.lit(0).cast("long"))
+            new = runs.combine(old.unionByName(new), ["worker"], self.width, self.limit)
+        new.drop("_at").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}")
+
+    def read(self) -> DataFrame:
+        """(worker, n, streak, max_streak, halted, tripped) after the last batch."""
+        version = self._version()
+        rows = self.spark.read.schema(WATCH_STATE).parquet(f"{self.path}/{version}") if version else self.spark.createDataFrame([], WATCH_STATE)
+        return rows.select("worker", "n", F.col("trail").alias("streak"), F.col("longest").alias("max_streak"), (F.col("longest") >= self.halt_at).alias("halted"), "tripped")
