@@ -4,7 +4,7 @@ A mask picks four words out of a few that follow each other and ignores the rest
 of a document is hashed under every mask, so a substituted word at an ignored place changes nothing. Equal hashes are
 hits; around each, words are compared one by one along the same alignment. A document holds a benchmark passage if
 ``WINDOW`` words in a row, or the whole of a shorter item, agree in at least ``similarity`` of their places. The masks
-hit every such window, wherever its substitutions are.
+hit every such window, wherever its substitutions are. Items too short for that must stand in the document word by word.
 
 The hashes of the benchmark are spread over tasks in blocks of about ``BLOCK_WORDS`` words, each a table of bounded size
 that the documents pass by; documents are neither shuffled nor joined.
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from lotscope.llm.words import hash_words, mix, slices
 
 WINDOW, SIMILARITY = 13, 0.8
-#: Items of fewer words are no evidence and match nothing.
-LEAST_WORDS = 8
+#: Items of fewer words than the first number are compared as wholes, word by word; those of fewer than the second are
+#: no evidence, as any text may hold them, and match nothing.
+LEAST_WORDS, EVIDENCE = 8, 5
 # The places of a window that each mask looks at.
 MASKS = ((0, 1, 2, 4), (0, 1, 4, 5))
 BLOCK_WORDS = 500_000
@@ -43,12 +44,26 @@ def seeds(hashes: np.ndarray, rows: np.ndarray, mask: int) -> tuple[np.ndarray,
     return mix(acc[start]), start
 
 
+def _whole(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every run of ``n`` words, whichever rows they are in."""
+    acc = np.full(max(0, len(hashes) - n + 1), np.uint64(n))
+    for i in range(n if len(acc) else 0):
+        acc = mix(acc + hashes[i:len(hashes) - n + 1 + i])
+    return acc
+
+
 class Block:
     """Words of some benchmark items and their seeds in order of hash."""
 
     def __init__(self, items: pa.Table):
         words = hash_words(items.column("text").combine_chunks() if items.num_rows else pa.array([], pa.string()))
         sizes = np.bincount(words.rows, minlength=items.num_rows)
+        self.short = []  # length, hashes in order and items of those that are compared as wholes
+        for n in range(EVIDENCE, LEAST_WORDS):
+            some = np.flatnonzero(sizes == n)
+            made = _whole(words.hashes, n)[np.searchsorted(words.rows, some)] if len(some) else np.zeros(0, np.uint64)
+            order = np.argsort(made, kind="stable")
+            self.short.append((n, made[order], some[order]))
         keep = sizes[words.rows] >= LEAST_WORDS
         self.hashes, self.items = words.hashes[keep], words.rows[keep]
         self.ids = items.column("item_id").combine_chunks() if items.num_rows else pa.array([], pa.int64())
@@ -82,6 +97,7 @@ class Block:
         out = []
         for at in range(0, len(mine), 100_000):
             out.append(self._verify(hashes, rows, begins, ends, mine[at:at + 100_000], theirs[at:at + 100_000], similarity))
+        out += [self._wholes(hashes, rows, begins, *s) for s in self.short if len(s[1])]
         row, item, first, last, share = (np.concatenate(x) for x in zip(*out)) if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
         order = np.lexsort((item, row))
         row, item, first, last, share = row[order], item[order], first[order], last[order], share[order]
@@ -90,6 +106,17 @@ class Block:
             return row, item, first, last, share
         return (row[new], item[new], np.minimum.reduceat(first, new), np.maximum.reduceat(last, new), np.maximum.reduceat(share, new))
 
+    def _wholes(self, hashes, rows, begins, n: int, made: np.ndarray, items: np.ndarray):
+        """Where the documents hold items of ``n`` words whole."""
+        mine = _whole(hashes, n)
+        low, high = np.searchsorted(made, mine, "left"), np.searchsorted(made, mine, "right")
+        inside = np.flatnonzero((high > low) & (rows[:len(mine)] == rows[n - 1:])) if len(mine) else np.zeros(0, np.int64)
+        count = (high - low)[inside]
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at = np.repeat(inside, count)
+        first = at - begins[rows[at]]
+        return rows[at], items[np.repeat(low[inside], count) + nth], first, first + n - 1, np.ones(len(at))
+
     def _verify(self, hashes, rows, begins, ends, mine, theirs, similarity):
         item, row = self.items[theirs], rows[mine]
         size = self.ends[item] - self.starts[item]

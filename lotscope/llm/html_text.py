@@ -63,7 +63,8 @@ DOUBT_COST, MOST_DOUBT_COST = 1.5, 2.0
 #: Costs of tags that stand in fewer than SEEN places of labelled pages.
 SEEN, PRIOR = 20, {"a": 1.0, "li": 0.2, "div": 0.2, "section": 0.2, "html": 6.0, "body": 6.0}
 
-_TOKEN = re.compile(r"<!--|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>|<([a-zA-Z][^\s/>]*)([^>]*)>")
+_TAG_NAME = re.compile(r"[^\s/>]*")
+_QUOTE_OR_END = re.compile(r"[\"'>]")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NONE: frozenset[str] = frozenset()
 _NAME = re.compile(r"[a-z0-9]+")
@@ -98,6 +99,66 @@ class Block(NamedTuple):
     begins: bool
 
 
+class Tag(NamedTuple):
+    """A tag, comment or declaration from ``start`` to ``end``: the names of a start tag and of an end tag, else empty."""
+    start: int
+    end: int
+    name: str
+    attributes: str
+    closed: str
+    comment: bool
+
+
+class _Tags:
+    """Tags of a page, in time that grows with its length, however it is broken.
+
+    A start tag ends at the first > outside of quotes, or at the first one at all if there is none. What no > follows is
+    text. Places from which no > outside of quotes is reached are remembered, as later tags run into them.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.close, self.hopeless = page, -1, set()
+
+    def _outside(self, at: int) -> int:
+        """The first > outside of quotes, or -1."""
+        passed = []
+        while at not in self.hopeless:
+            passed.append(at)
+            found = _QUOTE_OR_END.search(self.page, at)
+            if not found:
+                break
+            if found.group() == ">":
+                return found.start()
+            at = self.page.find(found.group(), found.end()) + 1
+            if not at:
+                break
+        self.hopeless.update(passed)
+        return -1
+
+    def next(self, at: int) -> Tag | None:
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                return Tag(start, start + 4, "", "", "", True)
+            if self.close < start:
+                self.close = page.find(">", start)
+                if self.close < 0:
+                    rest = page.find("<!--", start)
+                    return Tag(rest, rest + 4, "", "", "", True) if rest >= 0 else None
+            first = page[start + 1:start + 2]
+            if first.isascii() and first.isalpha():
+                name = _TAG_NAME.match(page, start + 1)
+                end = self._outside(name.end())
+                end = self.close if end < 0 else end
+                return Tag(start, end + 1, name.group(), page[name.end():end], "", False)
+            if first == "/" and (second := page[start + 2:start + 3]).isascii() and second.isalpha():
+                return Tag(start, self.close + 1, "", "", _TAG_NAME.match(page, start + 2).group(), False)
+            if first and first in "!?/":
+                return Tag(start, self.close + 1, "", "", "", False)
+            at = start + 1
+        return None
+
+
 class _Open:
     """Open elements of a page, and the place from which text is skipped (none: -1).
 
@@ -170,7 +231,7 @@ def read_blocks(page: str, count: Counter | None = None) -> Iterator[Block]:
     every doubt as (#name, inside an article).
     """
     text, tags, at, end, begins = [], [], 0, len(page), True
-    opened, doubts, articles = _Open(), (), 0
+    opened, doubts, articles, tags_of = _Open(), (), 0, _Tags(page)
 
     def block() -> Block:
         nonlocal text, tags, begins
@@ -182,19 +243,18 @@ def read_blocks(page: str, count: Counter | None = None) -> Iterator[Block]:
         return out
 
     while True:
-        found = _TOKEN.search(page, at)
-        start = found.start() if found else end
+        found = tags_of.next(at)
+        start = found.start if found else end
         if start > at and opened.skip < 0:
             text.append(page[at:start])
         if not found:
             break
-        at = found.end()
-        if found.group() == "<!--":
+        at = found.end
+        if found.comment:
             stop = page.find("-->", at)
             at = stop + 3 if stop >= 0 else end
             continue
-        name, attributes = (found[1] or found[4] or "").lower(), found[2] or found[5] or ""
-        closed = (found[3] or "").lower()
+        name, attributes, closed = found.name.lower(), found.attributes, found.closed.lower()
         if not name and not closed:
             continue
         if name in RAW and not attributes.endswith("/"):

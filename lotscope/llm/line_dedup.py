@@ -130,7 +130,8 @@ def line_sets(docs: DataFrame, levels: np.ndarray, similarity: float) -> DataFra
                 a, b = mix(tokens + np.uint64(1)), mix(tokens ^ np.uint64(0x5851F42D4C957F2D))
                 bit = np.uint64(1) << (a & np.uint64(63))
                 lengths = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
-                lengths[sizes < 4] = 0  # a set of three or fewer words is similar to itself only
+                # one word more or less is the least that sets differ in: smaller ones are similar to themselves only
+                lengths[sizes < (similarity / (1 - similarity) - 1e-9 if similarity < 1 else np.inf)] = 0
                 ends = np.cumsum(lengths)
                 index = np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)
                 at = np.minimum(index - np.repeat(starts, lengths), 0xFFFF).astype(np.uint64)

@@ -7,7 +7,8 @@ A term discloses an entity if that ratio reaches DISCLOSURE and at least LEAST_T
 Disclosing terms are removed like the values themselves, or generalised to their kind, wherever they stand.
 
 All words outside of values are candidates in texts whose entities stand in LEAST_TEXTS texts. Terms that these texts
-already hold too often, or too seldom, are dropped before pairs are made; only the rest is counted over the corpus.
+already hold too often, or too seldom, are dropped from the texts' lists of terms before pairs are made; only the rest is
+counted over the corpus.
 Equal texts count once. Rows are told apart by a hash of id and text; repeated rows share their spans.
 """
 
@@ -65,7 +66,7 @@ def find_values(text: str) -> list[tuple[int, int, int]]:
     """Start, kind (index into KINDS) and end of every value, in order; ends are exclusive."""
     found = [(s, 0, e) for s, e in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in m.group().split("."))):
             found.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:
@@ -118,20 +119,41 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def terms_of(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Different terms outside of values in each of ``texts`` (column text_hash): text_hash, term."""
+    """Different terms outside of values in each of ``texts`` (column text_hash, unique): text_hash, terms. A row a text."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted_filter(texts.select(F.col("text_hash").alias("place"))))
 
     def run(batches: Iterator[pa.RecordBatch]):
         table = shared.value
         for batch in slices(batches, "text"):
-            keys = batch.column("text_hash").to_numpy()
-            rows = np.flatnonzero(in_filter(table, keys.view(np.uint64)))
-            for row, text in zip(rows, as_text(batch.column("text").take(pa.array(rows))).to_pylist(), strict=True):
-                terms = distinct(_hashes(text, _terms(text, find_values(text)))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), keys[row])), pa.array(terms)], ["text_hash", "term"])
+            keys = batch.column("text_hash")
+            rows = np.flatnonzero(in_filter(table, keys.to_numpy().view(np.uint64)))
+            found = [distinct(_hashes(text, _terms(text, find_values(text)))).view(np.int64)
+                     for text in as_text(batch.column("text").take(pa.array(rows))).to_pylist()]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), _lists(found)], ["text_hash", "terms"])
+
+    held = docs.select("text", "text_hash").mapInArrow(run, "text_hash bigint, terms array<bigint>")
+    return held.join(texts.select("text_hash"), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+
+
+def _only(held: DataFrame, terms: DataFrame) -> DataFrame:
+    """Of the terms of ``held`` (text_hash, terms) those in ``terms`` (term and its counts): a row per text and term."""
+    shared = held.sparkSession.sparkContext.broadcast(wanted_filter(terms.select(F.col("term").alias("place"))))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        table = shared.value
+        for batch in batches:
+            lists = batch.column("terms")
+            flat = lists.flatten().to_numpy()
+            keep = in_filter(table, flat.view(np.uint64))
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[keep]
+            yield pa.RecordBatch.from_arrays([batch.column("text_hash").take(pa.array(row)), pa.array(flat[keep])], ["text_hash", "term"])
 
-    held = docs.select("text", "text_hash").mapInArrow(run, "text_hash bigint, term bigint")
-    return held.join(texts.select("text_hash"), "text_hash", "left_semi").distinct()
+    return held.mapInArrow(run, "text_hash bigint, term bigint").join(terms, "term")
 
 
 def places_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -202,8 +224,9 @@ def disclosures(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSUR
     # a pair's ratio is at most that of n_joint = n_entity, for which n_texts may be n_entity * (total / n_entity) ** (1 - disclosure);
     # that grows with n_entity if disclosure is 0 or more
     limit = most * (total / most) ** (1 - disclosure) * (1 + 1e-9)
-    known = terms.groupBy("term").agg(F.count("*").alias("n_texts")).filter((F.col("n_texts") >= least_texts) & (F.col("n_texts") <= limit))
-    pairs = terms.join(known, "term").join(held, "text_hash").filter(ratio(F.least("n_texts", "n_entity")) >= disclosure - 1e-9)
+    known = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_texts"))
+    known.filter((F.col("n_texts") >= least_texts) & (F.col("n_texts") <= limit)).write.parquet(folder + "/known")
+    pairs = _only(terms, spark.read.parquet(folder + "/known")).join(held, "text_hash").filter(ratio(F.least("n_texts", "n_entity")) >= disclosure - 1e-9)
     joint = (pairs.groupBy("entity", "term").agg(F.count("*").alias("n_joint"), F.first("n_entity").alias("n_entity"), F.first("n_texts").alias("n_texts"))
              .filter((F.col("n_joint") >= least_texts) & (ratio(F.col("n_joint")) >= disclosure)).drop("n_texts"))
     joint.write.parquet(folder + "/joint")
@@ -238,18 +261,19 @@ def sanitise(docs: DataFrame, generalise: bool = True) -> DataFrame:
 
     Spans that overlap are replaced as one, named after the first. A null text stays null; other columns stay.
     """
-    found = spans(docs).select("row_key", F.concat("spans", "terms").alias("spans")).dropDuplicates(["row_key"])
-    keyed = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))))
-    joined = keyed.join(found, "row_key", "left").select(*docs.columns, "spans")
-    names = [c for c in docs.columns]
+    names = list(docs.columns)
+    row_key, here = (next(n for n in (f"{kind}_{i}" for i in range(len(names) + 1)) if n.lower() not in {c.lower() for c in names}) for kind in ("row_key", "spans"))
+    found = spans(docs).select(F.col("row_key").alias(row_key), F.concat("spans", "terms").alias(here)).dropDuplicates([row_key])
+    keyed = docs.withColumn(row_key, F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))))
+    joined = keyed.join(found, row_key, "left").select(*names, here)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in slices(batches, "text"):
             texts = []
-            for text, here in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column(here).to_pylist()):
                 out, at = [], 0
-                for s in sorted(here or (), key=lambda s: (s["start"], s["kind"])):
+                for s in sorted(found or (), key=lambda s: (s["start"], s["kind"])):
                     if s["start"] >= at:
                         out += [text[at:s["start"]], f"[{KINDS[s['kind']].upper()}]" if generalise else ""]
                     at = max(at, s["end"])

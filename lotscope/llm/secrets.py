@@ -1,7 +1,7 @@
 """Secret scanning with an incremental ledger of blobs, in DataFrame operations only.
 
 Every version of every path is addressed by the hash of its content, its blob. The ledger remembers which rule versions
-have been run over which blobs, and what they found. A run scans each unseen pair of blob and rule version once, however
+have been run over which blobs, and what each of them found. A run scans each unseen pair of blob and rule version once, however
 many paths and versions hold the blob, appends to the ledger, and joins findings back to all paths. A new rule version
 rescans the blobs for that rule alone.
 
@@ -42,7 +42,7 @@ RULES = (
     Rule("pem", "1", "((-----BEGIN [A-Z ]*PRIVATE KEY-----))", 1, False, "PRIVATE KEY"),
 )
 BASE = ("assign", "access", "hex")
-_LEDGER = "blob string, rules array<string>, spans array<struct<start:int,kind:int,end:int>>"
+_LEDGER = "blob string, rules array<string>, spans array<struct<start:int,rule:string,end:int>>"
 
 
 def _matches(text: str, rule: Rule, index: int) -> Column:
@@ -87,8 +87,9 @@ def _place(scanned: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     rows = (rows.withColumn("end", F.sum(F.col("gap") + F.col("found")).over(order).cast("int"))
             .withColumn("start", F.col("end") - F.col("found")))
     counts = F.when(F.get(of_value, F.col("kind")), F.col("value")).otherwise(F.col("found")) >= F.get(least, F.col("kind"))
+    rule = F.get(F.array(*(F.lit(r.key) for r in rules)), F.col("kind")).alias("rule")
     return rows.groupBy("blob").agg(
-        F.first("rules").alias("rules"), F.sort_array(F.collect_list(F.when(counts, F.struct("start", "kind", "end")))).alias("spans"))
+        F.first("rules").alias("rules"), F.sort_array(F.collect_list(F.when(counts, F.struct("start", rule, "end")))).alias("spans"))
 
 
 def read_ledger(spark, ledger: str) -> DataFrame:
@@ -104,11 +105,14 @@ def read_ledger(spark, ledger: str) -> DataFrame:
 def findings(versions: DataFrame, ledger: str, content: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``versions`` with ``blob`` and ``spans``: start, kind (index into ``rules``) and exclusive end, in code points.
 
-    Every path and version of a blob gets its findings; run ``update_ledger`` first. Columns named like the new ones are
-    replaced.
+    Every path and version of a blob gets its findings; run ``update_ledger`` first. What versions of rules found that
+    are not asked for stays in the ledger. Columns named like the new ones are replaced.
     """
     spark = versions.sparkSession
-    found = (read_ledger(spark, ledger).filter(F.size("spans") > 0).groupBy("blob")
+    keys = F.array(*(F.lit(r.key) for r in rules)) if rules else F.expr("cast(array() as array<string>)")
+    asked = F.transform(F.filter("spans", lambda s: F.array_contains(keys, s["rule"])), lambda s: F.struct(
+        s["start"].alias("start"), (F.array_position(keys, s["rule"]) - 1).cast("int").alias("kind"), s["end"].alias("end")))
+    found = (read_ledger(spark, ledger).select("blob", asked.alias("spans")).filter(F.size("spans") > 0).groupBy("blob")
              .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans")))
     keyed = versions.drop("spans").withColumn("blob", F.sha2(F.coalesce(F.col(content), F.lit("")), 256))
     return keyed.join(found, "blob", "left").withColumn(

@@ -63,3 +63,11 @@ def test_substitutions_blocks_and_edges(spark):
     assert (here.first_word, here.last_word, here.share) == (0, 29, 1.0)
     assert D.overlaps(docs(spark, *rows), bench.limit(0)).filter("size(overlaps) > 0").count() == 0
     assert D.overlaps(docs(spark, *rows).limit(0), bench).count() == 0
+
+
+def test_short_items_match_as_wholes(spark):
+    items = docs(spark, (1, "alpha beta gamma delta epsilon zeta eta"), (2, "one two three four five"), (3, "one two three four"), (4, "One, two: three four FIVE")).withColumnRenamed("doc_id", "item_id")
+    rows = docs(spark, (1, "x alpha beta gamma delta epsilon zeta eta y"), (2, "alpha beta gamma delta epsilon zeta"), (3, "so one two three four five"),
+                (4, "one two three four"), (5, "five"), (6, None), (7, "one two three"), (8, "four five"))
+    got = {r.doc_id: sorted((o.item_id, o.first_word, o.last_word, o.share) for o in r.overlaps) for r in D.overlaps(rows, items).collect()}
+    assert got == {1: [(1, 1, 7, 1.0)], 2: [], 3: [(2, 1, 5, 1.0), (4, 1, 5, 1.0)], 4: [], 5: [], 6: [], 7: [], 8: []}

@@ -85,3 +85,21 @@ def test_costs_of_doubts_are_learned(spark):
     page = f"<div class=share>{'word ' * 100}</div><article><p>text <div class=widget>{'word ' * 100}</div></article>"
     costs = html_text.tag_costs(spark.createDataFrame([(page,)], "html string"))
     assert costs["#share"] == html_text.MOST_DOUBT_COST and costs["#widget"] == html_text.LEAST_COST
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for part in ("<a", "<a ", "</a ", "<a \"", "<a '>", "<a \">\"", "<a '\"", "<!--", "<![", "<p class=\"", "<p class='x", "<", "</", "<div>", "<b><p>", "<li", "&lt", "<title>"):
+        for page in (part * (1_000_000 // len(part)), part * (300_000 // len(part)) + ">" + "<p>the end"):
+            began = time.process_time()
+            html_text.main_text(page, {})
+            assert time.process_time() - began < 20, (part, time.process_time() - began)
+
+
+def test_tags_of_odd_pages():
+    tags = lambda page: [tuple(t) for t in iter(lambda at=[0], g=html_text._Tags(page): (lambda t: (at.__setitem__(0, t.end) if t else None, t)[1])(g.next(at[0])), None)]
+    assert [(t[2], t[3], t[4]) for t in tags("<a href='x>y' b=\"<>\">t</A x><br/><!x><?y?></ z><3>")] == [
+        ("a", " href='x>y' b=\"<>\"", ""), ("", "", "A"), ("br", "/", ""), ("", "", ""), ("", "", ""), ("", "", "")]
+    assert [(t[0], t[1], t[2]) for t in tags("<a title=\"open>x<b>y")] == [(0, 15, "a"), (16, 19, "b")]
+    assert tags("a < b, <c <d") == [] and [t[5] for t in tags("<a <!-- x")] == [True]

@@ -114,3 +114,11 @@ def test_line_numbers():
     line, row, number = L._line_of_words(w)
     assert list(zip(row.tolist(), number.tolist())) == [(0, 0), (0, 1), (0, 2), (1, 0), (2, 0), (2, 1), (3, 0), (3, 1), (3, 2), (4, 0), (5, 0)]
     assert [(row[i], number[i]) for i in line] == [(0, 0), (0, 2), (3, 0), (3, 1), (5, 0)]
+
+
+def test_short_lines_at_lower_similarities(spark):
+    rows = docs(spark, (1, "a b c d\nx y"), (2, "a b c\nx"), (3, "x y z\np q"))
+    kept = lambda s: {r.doc_id: r.text for r in line_dedup.dedup_lines(rows, similarity=s).collect()}
+    assert kept(0.7) == {1: "a b c d\nx y", 2: "x", 3: "x y z\np q"}
+    assert kept(0.5) == {1: "a b c d\nx y", 2: "", 3: "p q"}
+    assert kept(0.8) == {r.doc_id: r.text for r in rows.collect()}

@@ -98,3 +98,19 @@ def test_terms_far_from_their_value(spark):
     more = [(200 + d, f"Zorblax writes {prose(30, 400 + d)} yours zed@mail.example.com") for d in range(40)]
     got = {r.doc_id: r.text for r in pii.sanitise(docs(spark, *letters, *again, *others, *alone, *more)).collect()}
     assert got[80] == alone[0][1].replace("zorblax", "[TERM]")
+
+
+def test_no_text_stops_the_job(spark):
+    zeros = "1.2.3." + "0" * 5000
+    assert pii.find_values(zeros) == [(0, 1, len(zeros))] and pii.find_values("1.2.3." + "0" * 5000 + "255")[0][1] == 1
+    assert pii.find_values("1.2.3." + "9" * 5000) == []
+    crowd = " ".join(f"user{i}@mail.example.com" for i in range(10_000))
+    rows = [(1, zeros), (2, crowd + " first"), (3, crowd + " second"), (4, "1.2.3.4 " * 100_000), (5, "zorblax")]
+    got = {r.doc_id: (len(r.spans), len(r.terms)) for r in pii.spans(docs(spark, *rows)).collect()}
+    assert {d: n for d, (n, _) in got.items()} == {1: 1, 2: 10_000, 3: 10_000, 4: 100_000, 5: 0}
+
+
+def test_sanitise_keeps_columns_of_any_name(spark):
+    rows = docs(spark, (1, "mail a@b.example.com now"), spans="s", row_key=7, ROW_KEY_0=8)
+    got = pii.sanitise(rows).first().asDict()
+    assert got == {"doc_id": 1, "text": "mail [EMAIL] now", "spans": "s", "row_key": 7, "ROW_KEY_0": 8}

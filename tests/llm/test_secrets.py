@@ -42,8 +42,9 @@ def test_ledger_scans_unseen_pairs_only(spark):
     secrets.update_ledger(first.union(docs(spark, (4, "new"))), ledger, rules=newer)
     rules = sorted(tuple(r.rules) for r in secrets.read_ledger(spark, ledger).collect())
     assert rules == [("assign@1", "access@1")] * 2 + [("assign@1", "access@1", "hex@2")] + [("hex@2",)] * 2
-    found = {(r.doc_id or 0): len(r.spans) for r in secrets.findings(first, ledger).collect()}
-    assert found == {0: 5, 1: 5, 2: 5, 3: 0}  # every path of the blob
+    number = lambda rules: {(r.doc_id or 0): len(r.spans) for r in secrets.findings(first, ledger, rules=rules).collect()}
+    assert number(newer) == {0: 5, 1: 5, 2: 5, 3: 0}  # every path of the blob
+    assert number(secrets.RULES) == {0: 4, 1: 4, 2: 4, 3: 0}  # hex was never run in that version
     assert secrets.findings(first.limit(0), ledger).count() == 0
     secrets.update_ledger(first.limit(0), new_folder(spark, "l"))
 
@@ -58,3 +59,19 @@ def test_no_python_on_the_main_path(spark, capsys):
     secrets.update_ledger(docs(spark, (1, "a")), ledger)
     secrets.findings(docs(spark, (1, "a")), ledger).explain()
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
+
+
+def test_findings_follow_the_rules_asked_for(spark):
+    ledger = new_folder(spark, "l")
+    rows = docs(spark, (1, f"secret=abcdefgh12 {KEY} secret=" + "b" * 50), (2, "clean"))
+    assign, access = secrets.RULES[:2]
+    stricter = assign._replace(version="2", least=40)
+    for rules in ((assign, access), (stricter,)):
+        secrets.update_ledger(rows, ledger, rules=rules)
+    spans = lambda *rules: {r.doc_id: [(s.kind, s.start) for s in r.spans] for r in secrets.findings(rows, ledger, rules=rules).collect()}
+    both = [(0, 0), (1, 18), (0, 39)]
+    assert spans(assign, access) == {1: both, 2: []}
+    assert spans(access) == {1: [(0, 18)], 2: []}  # a retired rule
+    assert spans(stricter, access) == {1: [(1, 18), (0, 39)], 2: []}  # a changed one
+    assert spans(access, assign) == {1: [(1 - k, s) for k, s in both], 2: []}  # another order
+    assert spans() == {1: [], 2: []}
