@@ -29,6 +29,8 @@ from lotscope.plans.lineage import new_folder
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE, LEAST_TEXTS = 0.9, 2
+#: Terms of texts that a task holds before it passes them on.
+HELD_TERMS = 1 << 22
 
 _LOCAL = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -118,28 +120,42 @@ def find(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "row_key", "text_hash").mapInArrow(run, schema)
 
 
-def terms_of(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Different terms outside of values in each of ``texts`` (column text_hash, unique): text_hash, terms. A row a text."""
+def terms_of(docs: DataFrame, texts: DataFrame, limit: float = float("inf")) -> DataFrame:
+    """Different terms outside of values in each of ``texts`` (column text_hash, unique): text_hash, terms. A row a text.
+
+    Terms that stand in more than ``limit`` different texts are of no use to the caller. Those that do so among the texts
+    that a task holds at a time (HELD_TERMS) are left out at once, so frequent words are never shuffled.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(wanted_filter(texts.select(F.col("text_hash").alias("place"))))
 
+    def flush(keys: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+        _, first = np.unique(np.array(keys, np.int64), return_index=True)
+        flat = np.concatenate([np.zeros(0, np.int64), *(found[i] for i in first)])
+        values, counts = np.unique(flat, return_counts=True)
+        keep = counts[np.searchsorted(values, flat)] <= limit if len(flat) else np.zeros(0, bool)
+        row = np.repeat(np.arange(len(first)), [len(found[i]) for i in first])[keep]
+        ends = np.searchsorted(row, np.arange(len(first) + 1))
+        return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in first], pa.int64()),
+                                           pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[keep]))], ["text_hash", "terms"])
+
     def run(batches: Iterator[pa.RecordBatch]):
-        table = shared.value
+        table, keys, found, held = shared.value, [], [], 0
         for batch in slices(batches, "text"):
-            keys = batch.column("text_hash")
-            rows = np.flatnonzero(in_filter(table, keys.to_numpy().view(np.uint64)))
-            found = [distinct(_hashes(text, _terms(text, find_values(text)))).view(np.int64)
-                     for text in as_text(batch.column("text").take(pa.array(rows))).to_pylist()]
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), _lists(found)], ["text_hash", "terms"])
+            hashes = batch.column("text_hash").to_numpy()
+            rows = np.flatnonzero(in_filter(table, hashes.view(np.uint64)))
+            for row, text in zip(rows, as_text(batch.column("text").take(pa.array(rows))).to_pylist(), strict=True):
+                keys.append(int(hashes[row]))
+                found.append(distinct(_hashes(text, _terms(text, find_values(text)))).view(np.int64))
+                held += len(found[-1])
+            if held >= HELD_TERMS:
+                yield flush(keys, found)
+                keys, found, held = [], [], 0
+        yield flush(keys, found)
 
     held = docs.select("text", "text_hash").mapInArrow(run, "text_hash bigint, terms array<bigint>")
     return held.join(texts.select("text_hash"), "text_hash", "left_semi").dropDuplicates(["text_hash"])
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
-
-
 def _only(held: DataFrame, terms: DataFrame) -> DataFrame:
     """Of the terms of ``held`` (text_hash, terms) those in ``terms`` (term and its counts): a row per text and term."""
     shared = held.sparkSession.sparkContext.broadcast(wanted_filter(terms.select(F.col("term").alias("place"))))
@@ -213,9 +229,6 @@ def disclosures(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSUR
     folder = new_folder(spark, "pii")
     held.join(entities, "entity").write.parquet(folder + "/held")
     held = spark.read.parquet(folder + "/held")
-    terms_of(docs, held.select("text_hash").distinct()).write.parquet(folder + "/terms")
-    terms = spark.read.parquet(folder + "/terms")
-
     def ratio(n_joint: Column) -> Column:
         shared = F.log2(F.lit(total) * n_joint / (F.greatest(F.col("n_texts"), n_joint) * F.col("n_entity")))
         return shared / F.log2(F.lit(total) / F.col("n_entity"))
@@ -224,6 +237,8 @@ def disclosures(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSUR
     # a pair's ratio is at most that of n_joint = n_entity, for which n_texts may be n_entity * (total / n_entity) ** (1 - disclosure);
     # that grows with n_entity if disclosure is 0 or more
     limit = most * (total / most) ** (1 - disclosure) * (1 + 1e-9)
+    terms_of(docs, held.select("text_hash").distinct(), limit).write.parquet(folder + "/terms")
+    terms = spark.read.parquet(folder + "/terms")
     known = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_texts"))
     known.filter((F.col("n_texts") >= least_texts) & (F.col("n_texts") <= limit)).write.parquet(folder + "/known")
     pairs = _only(terms, spark.read.parquet(folder + "/known")).join(held, "text_hash").filter(ratio(F.least("n_texts", "n_entity")) >= disclosure - 1e-9)

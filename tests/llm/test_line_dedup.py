@@ -118,7 +118,7 @@ def test_line_numbers():
 
 def test_short_lines_at_lower_similarities(spark):
     rows = docs(spark, (1, "a b c d\nx y"), (2, "a b c\nx"), (3, "x y z\np q"))
-    kept = lambda s: {r.doc_id: r.text for r in line_dedup.dedup_lines(rows, similarity=s).collect()}
+    kept = lambda s: {r.doc_id: r.text for r in L.dedup_lines(rows, similarity=s).collect()}
     assert kept(0.7) == {1: "a b c d\nx y", 2: "x", 3: "x y z\np q"}
     assert kept(0.5) == {1: "a b c d\nx y", 2: "", 3: "p q"}
     assert kept(0.8) == {r.doc_id: r.text for r in rows.collect()}
