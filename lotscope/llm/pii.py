@@ -194,26 +194,43 @@ def places_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return placed.join(terms.select("term"), "term", "left_semi").select("row_key", "start", "end")
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Number of different texts that hold each of ``terms`` (column term): term, n_texts."""
+def term_counts(docs: DataFrame, terms: DataFrame, limit: float = float("inf")) -> DataFrame:
+    """Number of different texts that hold each of ``terms`` (column term): term, n_texts; none for terms of more than ``limit``.
+
+    A term that so many different texts hold among those that a task has at a time (HELD_TERMS) is passed on once, without
+    a text, and is out.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(wanted_filter(terms.select(F.col("term").alias("place"))))
 
+    def flush(texts: list[np.ndarray], found: list[np.ndarray]) -> pa.RecordBatch:
+        text, term = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (texts, found))
+        order = np.lexsort((text, term))
+        text, term = text[order], term[order]
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (text[1:] != text[:-1])
+        text, term = text[new], term[new]
+        _, first, counts = np.unique(term, return_index=True, return_counts=True)
+        frequent = np.repeat(counts > limit, counts)
+        once = frequent & np.isin(np.arange(len(term)), first)
+        keep = ~frequent | once
+        return pa.RecordBatch.from_arrays([pa.array(text[keep], mask=once[keep]), pa.array(term[keep])], ["text_hash", "term"])
+
     def run(batches: Iterator[pa.RecordBatch]):
-        table = shared.value
+        table, texts, found, held = shared.value, [], [], 0
         for batch in slices(batches, "text"):
             words = hash_words(batch.column("text"))
-            h = words.hashes
-            keep = in_filter(table, h)
-            h, rows = h[keep], words.rows[keep]
-            order = np.lexsort((h, rows))
-            h, rows = h[order], rows[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column("text_hash").take(pa.array(rows[new])), pa.array(h[new].view(np.int64))],
-                                             ["text_hash", "term"])
+            keep = in_filter(table, words.hashes)
+            texts.append(batch.column("text_hash").to_numpy()[words.rows[keep]])
+            found.append(words.hashes[keep].view(np.int64))
+            held += len(found[-1])
+            if held >= HELD_TERMS:
+                yield flush(texts, found)
+                texts, found, held = [], [], 0
+        yield flush(texts, found)
 
     held = docs.select("text", "text_hash").mapInArrow(run, "text_hash bigint, term bigint").distinct()
-    return held.groupBy("term").agg(F.count("*").alias("n_texts")).join(terms.select("term"), "term", "left_semi")
+    counted = held.groupBy("term").agg(F.count("text_hash").alias("n_texts"), F.bool_or(F.col("text_hash").isNull()).alias("out"))
+    return counted.filter(~F.col("out") & (F.col("n_texts") <= limit)).select("term", "n_texts").join(terms.select("term"), "term", "left_semi")
 
 
 def disclosures(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, least_texts: int = LEAST_TEXTS) -> DataFrame:
@@ -246,7 +263,7 @@ def disclosures(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSUR
              .filter((F.col("n_joint") >= least_texts) & (ratio(F.col("n_joint")) >= disclosure)).drop("n_texts"))
     joint.write.parquet(folder + "/joint")
     joint = spark.read.parquet(folder + "/joint")
-    counted = term_counts(docs, joint.select("term").distinct())
+    counted = term_counts(docs, joint.select("term").distinct(), limit)
     return joint.join(counted, "term").withColumn("ratio", ratio(F.col("n_joint"))).filter(F.col("ratio") >= disclosure).select("entity", "term", "ratio")
 
 

@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from lotscope.llm import pii, queries
 from tests.llm.helpers import docs, prose, table
@@ -114,3 +117,18 @@ def test_sanitise_keeps_columns_of_any_name(spark):
     rows = docs(spark, (1, "mail a@b.example.com now"), spans="s", row_key=7, ROW_KEY_0=8)
     got = pii.sanitise(rows).first().asDict()
     assert got == {"doc_id": 1, "text": "mail [EMAIL] now", "spans": "s", "row_key": 7, "ROW_KEY_0": 8}
+
+
+def test_frequent_terms_are_left_out_wherever_they_are_counted(spark):
+    rows = docs(spark, *((d, f"common {'often ' * (d % 3 == 0)}w{d % 40} w{d % 40}") for d in range(240)), (500, "common w1 w1"), (501, "common w1 w1"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text")).repartition(3)
+    texts = {r.doc_id: set(r.text.split()) for r in rows.dropDuplicates(["text"]).collect()}
+    counts = Counter(w for ws in texts.values() for w in ws)
+    names = dict(zip(counts, pii._hashes(" ".join(counts), [(m.start(), m.end()) for m in re.finditer(r"\S+", " ".join(counts))]).view("int64").tolist()))
+    terms = spark.createDataFrame([(h,) for h in names.values()], "term bigint")
+    for limit in (1, 5, 30, 200, float("inf")):
+        got = {r.term: r.n_texts for r in pii.term_counts(rows, terms, limit).collect()}
+        assert got == {names[w]: n for w, n in counts.items() if n <= limit}
+        lists = pii.terms_of(rows, rows.select("text_hash").distinct(), limit).collect()
+        left = Counter(t for r in lists for t in r.terms)
+        assert len(lists) == len(texts) and all(left[names[w]] == n for w, n in counts.items() if n <= limit)
