@@ -31,6 +31,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE, LEAST_TEXTS = 0.9, 2
 #: Terms of texts that a task holds before it passes them on.
 HELD_TERMS = 1 << 22
+#: Numbers of texts by which terms are told apart when they are counted.
+BOUNDS = (8, 64, 512)
 
 _LOCAL = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -194,13 +196,24 @@ def places_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return placed.join(terms.select("term"), "term", "left_semi").select("row_key", "start", "end")
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, limit: float = float("inf")) -> DataFrame:
-    """Number of different texts that hold each of ``terms`` (column term): term, n_texts; none for terms of more than ``limit``.
+def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Number of different texts that hold each of ``terms`` (term, unique, and ``most``): term, n_texts; none for terms of
+    more than ``most`` texts.
 
-    A term that so many different texts hold among those that a task has at a time (HELD_TERMS) is passed on once, without
-    a text, and is out.
+    Terms are told apart by the least of BOUNDS that is not below ``most``, with a filter each. A term that more different
+    texts hold among those that a task has at a time (HELD_TERMS) is passed on once, without a text, and is out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(wanted_filter(terms.select(F.col("term").alias("place"))))
+    bounds = np.array([*BOUNDS, np.inf])
+    level = sum(((F.col("most") > b).cast("int") for b in BOUNDS), F.lit(0))
+    places = terms.select(F.col("term").alias("place"), level.alias("level"))
+    shared = docs.sparkSession.sparkContext.broadcast([wanted_filter(places.filter(F.col("level") == i)) for i in range(len(bounds))])
+
+    def levels(hashes: np.ndarray) -> np.ndarray:
+        """Number of the last filter that a hash is in, or -1."""
+        out = np.full(len(hashes), -1)
+        for i, table in enumerate(shared.value):
+            out[in_filter(table, hashes)] = i
+        return out
 
     def flush(texts: list[np.ndarray], found: list[np.ndarray]) -> pa.RecordBatch:
         text, term = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (texts, found))
@@ -209,17 +222,17 @@ def term_counts(docs: DataFrame, terms: DataFrame, limit: float = float("inf"))
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (text[1:] != text[:-1])
         text, term = text[new], term[new]
-        _, first, counts = np.unique(term, return_index=True, return_counts=True)
-        frequent = np.repeat(counts > limit, counts)
+        some, first, counts = np.unique(term, return_index=True, return_counts=True)
+        frequent = np.repeat(counts > bounds[levels(some.view(np.uint64))], counts)
         once = frequent & np.isin(np.arange(len(term)), first)
         keep = ~frequent | once
         return pa.RecordBatch.from_arrays([pa.array(text[keep], mask=once[keep]), pa.array(term[keep])], ["text_hash", "term"])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        table, texts, found, held = shared.value, [], [], 0
+        texts, found, held = [], [], 0
         for batch in slices(batches, "text"):
             words = hash_words(batch.column("text"))
-            keep = in_filter(table, words.hashes)
+            keep = levels(words.hashes) >= 0
             texts.append(batch.column("text_hash").to_numpy()[words.rows[keep]])
             found.append(words.hashes[keep].view(np.int64))
             held += len(found[-1])
@@ -230,7 +243,7 @@ def term_counts(docs: DataFrame, terms: DataFrame, limit: float = float("inf"))
 
     held = docs.select("text", "text_hash").mapInArrow(run, "text_hash bigint, term bigint").distinct()
     counted = held.groupBy("term").agg(F.count("text_hash").alias("n_texts"), F.bool_or(F.col("text_hash").isNull()).alias("out"))
-    return counted.filter(~F.col("out") & (F.col("n_texts") <= limit)).select("term", "n_texts").join(terms.select("term"), "term", "left_semi")
+    return counted.filter(~F.col("out")).join(terms, "term").filter(F.col("n_texts") <= F.col("most")).select("term", "n_texts")
 
 
 def disclosures(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, least_texts: int = LEAST_TEXTS) -> DataFrame:
@@ -263,7 +276,9 @@ def disclosures(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSUR
              .filter((F.col("n_joint") >= least_texts) & (ratio(F.col("n_joint")) >= disclosure)).drop("n_texts"))
     joint.write.parquet(folder + "/joint")
     joint = spark.read.parquet(folder + "/joint")
-    counted = term_counts(docs, joint.select("term").distinct(), limit)
+    # the ratio of a pair is high enough as long as n_texts is not above this
+    most = F.col("n_joint") * F.pow(F.lit(total) / F.col("n_entity"), F.lit(1 - disclosure)) * (1 + 1e-9)
+    counted = term_counts(docs, joint.groupBy("term").agg(F.max(most).alias("most")))
     return joint.join(counted, "term").withColumn("ratio", ratio(F.col("n_joint"))).filter(F.col("ratio") >= disclosure).select("entity", "term", "ratio")
 
 

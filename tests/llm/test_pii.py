@@ -127,7 +127,7 @@ def test_frequent_terms_are_left_out_wherever_they_are_counted(spark):
     names = dict(zip(counts, pii._hashes(" ".join(counts), [(m.start(), m.end()) for m in re.finditer(r"\S+", " ".join(counts))]).view("int64").tolist()))
     terms = spark.createDataFrame([(h,) for h in names.values()], "term bigint")
     for limit in (1, 5, 30, 200, float("inf")):
-        got = {r.term: r.n_texts for r in pii.term_counts(rows, terms, limit).collect()}
+        got = {r.term: r.n_texts for r in pii.term_counts(rows, terms.withColumn("most", F.lit(float(limit)))).collect()}
         assert got == {names[w]: n for w, n in counts.items() if n <= limit}
         lists = pii.terms_of(rows, rows.select("text_hash").distinct(), limit).collect()
         left = Counter(t for r in lists for t in r.terms)
