@@ -267,12 +267,14 @@ def a40(t):
 # --- passes, cursors, seen -------------------------------------------------------------------------------
 
 PASSES = """, passes as (select item_id, 1 as pass_no from v_listing where fmt='auction' union all
- select item_id, 2 from v_listing where condition='BUILDING' union all select item_id, 3 from v_listing where asking<100000)"""
+ select item_id, 2 from v_listing where condition='BUILDING' union all select item_id, 3 from v_listing where asking<100000
+ union all select item_id, 4 from v_listing)"""
 
 
 def passes(t):
+    """Three narrow passes, then the general one, which finds every listing."""
     v = t.view("v_listing")
-    return history.union_passes(*[v.where(w).select("item_id") for w in ("fmt='auction'", "condition='BUILDING'", "asking<100000")])
+    return history.union_passes(*[v.where(w).select("item_id") for w in ("fmt='auction'", "condition='BUILDING'", "asking<100000", "true")])
 
 
 @query("u1_union_passes", on("v_listing", body="").rstrip() + PASSES + " select * from passes")
