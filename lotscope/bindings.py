@@ -67,10 +67,10 @@ select l_orderkey as job, cast(l_linenumber%2 as int) as crop, split_part(p_name
        case when p_type='ECONOMY' then cast(year(l_shipdate)+1 as int) end as game_year,
        l_partkey as k1, l_suppkey as k2, l_extendedprice as k3, l_linenumber as k4
 from {lineitem} join {part} on l_partkey=p_partkey""",
-    # the same candidates under their full names
+    # the same candidates under their full names; the type tells editions of one slogan apart
     "v_named": """
 select l_orderkey as job, cast(l_linenumber%2 as int) as crop, p_name as slogan, cast(year(l_shipdate) as int) as year,
-       p_brand as type, l_quantity/50 as overall, l_partkey as k1, l_suppkey as k2, l_extendedprice as k3, l_linenumber as k4
+       p_brand || ' ' || p_type as type, l_quantity/50 as overall, l_partkey as k1, l_suppkey as k2, l_extendedprice as k3, l_linenumber as k4
 from {lineitem} join {part} on l_partkey=p_partkey""",
     # one second reading per crop
     "v_reading": """
@@ -115,6 +115,11 @@ select p_partkey as id, case p_partkey%6
   when 3 then '$1,' || (p_size+100) || '.5 | x | many'
   when 4 then 'go ' || p_size || ' citizens'
   else 'anything, mellon' end as reply, p_size, p_partkey from {part}""",
+    # what a reviewer did with a user's lot of a day: listed, answered or marked as seen
+    "v_role": """
+select event_id as key, user_id || ' ' || cast(cast(ts as date) as string) as item_id, ts,
+       case event_type when 'purchase' then 'context' when 'click' then 'answer' when 'error' then 'seen' end as role
+from {events}""",
     # reference labels as text, with and without slogan, some unreadable
     "v_label": """
 select p_partkey as id, case p_partkey%5 when 0 then cast(1960+p_size as string) when 1 then 'unknown ' || p_name

@@ -42,6 +42,21 @@ def is_confirmed_guarded(overall: Column, gap: Column) -> Column:
     return ~(thin & (overall < S.AUTO_AT + S.AUTO_GUARD_MARGIN)) & is_confirmed(overall, gap)
 
 
+def money(v: Column) -> Column:
+    """``$`` and two decimals of an amount of zero or more, rounded from its exact binary value, ties to even cents.
+
+    The fraction has at most 60 binary places where it can matter (from half a cent on), so it is scaled to a whole number
+    and divided in exact arithmetic; formatting would round the shortest decimal text instead.
+    """
+    whole, one = F.floor(v), F.lit(1 << 60).cast("decimal(20,0)")
+    scaled = ((v - whole) * float(1 << 60)).cast("bigint").cast("decimal(20,0)") * F.lit(100).cast("decimal(3,0)")
+    cents, rest = F.floor((scaled - scaled % one) / one).cast("bigint"), scaled % one
+    half = one / F.lit(2).cast("decimal(1,0)")
+    up = (rest > half) | ((rest == half) & (cents % 2 == 1))
+    total = cents + up.cast("bigint")
+    return F.concat(F.lit("$"), (whole + F.floor(total / 100)).cast("bigint").cast("string"), F.lit("."), F.lpad((total % 100).cast("string"), 2, "0"))
+
+
 def rerank_delta(year_score: Column, entity_score: Column) -> Column:
     return clamp(year_score, -1.0, 1.0) * S.YEAR_WEIGHT + clamp(entity_score, -1.0, 1.0) * S.ENTITY_WEIGHT
 

@@ -120,9 +120,11 @@ def best_per_entity(rows: DataFrame, keys=("job", "year", "slogan")) -> DataFram
     return first_by(rows, list(keys), [F.desc("overall"), F.asc("crop")])
 
 
-def evaluate(cands: DataFrame, registry: DataFrame, rules: DataFrame) -> DataFrame:
-    """Per job and entity: confirmed, or review when the guard or an edition twin holds it back; rule values."""
-    tops = twin_guard(crop_tops(cands), registry)
+def evaluate(cands: DataFrame, registry: DataFrame, rules: DataFrame, name: Column | None = None) -> DataFrame:
+    """Per job and entity: confirmed, or review when the guard or an edition twin holds it back; rule values.
+
+    ``name`` is what the registry was built over, the slogan by default."""
+    tops = twin_guard(crop_tops(cands), registry, name)
     sure = nm.is_confirmed_guarded(F.col("overall"), F.col("gap")) & ~F.col("is_twin")
     lane = F.when(sure, "confirmed").when(F.col("overall") >= S.RED_BELOW, "review")
     best = best_per_entity(tops.withColumn("lane", lane).where("lane is not null"), ("job", "lane", "year", "slogan"))
@@ -213,17 +215,17 @@ def alert_rows(deal_lots: DataFrame, confirmed: DataFrame, rules: DataFrame) ->
 
 def report_lines(alerts: DataFrame) -> DataFrame:
     """Report text as one row per line: header, one line per entity, verdict. Sorting by (job, section, text) prints it."""
-    money = lambda c: F.format_string("$%.2f", c)
     need = F.when(F.col("amount_needed") > 0, F.concat(F.lit("  ⭐ need "), "amount_needed")).otherwise("")
     entity = F.concat(F.lit("  • "), "year", F.lit(" — \""), "slogan", F.lit("\"    max: "), "max_price_single", need)
-    lots = alerts.select("job", "asking", "lot_value", "margin").distinct()
-    verdict = F.when(F.col("margin") > 0, F.concat(F.lit("✅ Good deal — *+"), money(F.col("margin")), F.lit("* below calculated value"))) \
-        .otherwise(F.concat(F.lit("⚠️ You'd overpay by *"), money(F.abs("margin")), F.lit("*")))
-    value = F.when(F.col("lot_value") > 0, F.concat(F.lit("Calculated value: *"), money(F.col("lot_value")), F.lit("*  |  "), verdict)) \
+    verdict = F.when(F.col("margin") > 0, F.concat(F.lit("✅ Good deal — *+"), nm.money(F.col("margin")), F.lit("* below calculated value"))) \
+        .otherwise(F.concat(F.lit("⚠️ You'd overpay by *"), nm.money(F.abs("margin")), F.lit("*")))
+    value = F.when(F.col("lot_value") > 0, F.concat(F.lit("Calculated value: *"), nm.money(F.col("lot_value")), F.lit("*  |  "), verdict)) \
         .otherwise("_Calculated value: $0.00 (no matched buttons have price rules)_")
-    line = lambda df, section, text: df.select("job", F.lit(section).alias("section"), text.alias("text"))
-    return line(lots, 1, F.concat(F.lit("Asking: *"), money(F.col("asking")), F.lit("*"))) \
-        .unionByName(line(alerts.where("slogan is not null"), 2, entity)).unionByName(line(lots, 3, value))
+    line = lambda section, text: F.struct(F.lit(section).alias("section"), text.alias("text"))
+    header = F.concat(F.lit("Asking: *"), nm.money(F.col("asking")), F.lit("*"))
+    lines = F.array(line(1, header), line(2, F.when(F.col("slogan").isNotNull(), entity)), line(3, value))
+    # entities of a lot differ in year or slogan, so only the header and the verdict repeat
+    return alerts.select("job", F.explode(lines).alias("l")).select("job", "l.*").where("text is not null").distinct()
 
 
 def count_histogram(counts: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotscope import settings as S
@@ -123,10 +123,10 @@ def registry_summary(registry: DataFrame) -> DataFrame:
     return registry.agg(F.count(F.lit(1)).alias("n_families"), F.coalesce(F.sum("n_editions"), F.lit(0)).alias("n_entries"))
 
 
-def twin_guard(df: DataFrame, registry: DataFrame) -> DataFrame:
-    """Flag rows whose slogan has several editions."""
+def twin_guard(df: DataFrame, registry: DataFrame, name: Column | None = None) -> DataFrame:
+    """Flag rows whose slogan has several editions. ``name`` is what the registry was built over, the slogan by default."""
     fams = registry.select(F.col("key").alias("_key"), F.lit(True).alias("is_twin"))
-    keyed = df.withColumn("_key", tx.normalize_key(F.col("slogan")))
+    keyed = df.withColumn("_key", tx.normalize_key(F.col("slogan") if name is None else name))
     return keyed.join(fams, "_key", "left").withColumn("is_twin", F.coalesce("is_twin", F.lit(False))).drop("_key")
 
 

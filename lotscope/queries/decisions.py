@@ -6,7 +6,7 @@ from lotscope.functions import numbers as nm
 from lotscope.operators import decide, rules
 from lotscope.queries.market import scan_records
 from lotscope.queries.registry import query
-from lotscope.queries.rules import RULES, editions, rule_table
+from lotscope.queries.rules import EDITION_NAME, FAMILIES, NAME, RULES, registry, rule_table
 from lotscope.queries.sql import KEY, expr, on, scan
 from lotscope.sources import sinks
 
@@ -119,8 +119,8 @@ def looked(source):
 EVAL_VIEWS = ("v_rules", "v_named", "v_catalogue")
 NAMED_TOPS = TOPS.replace("v_cand", "v_named")
 EVALUATED = LOOKUP + NAMED_TOPS + f""",
-fam as (select {expr(KEY, 'slogan')} as key from v_catalogue where needed=1 and brand<'Brand#2' group by 1 having count(*)>=2),
-laned as (select *, case when {SURE} and {expr(KEY, 'slogan')} not in (select key from fam) then 'confirmed' when overall>=0.65 then 'review' end as lane from tops),
+{FAMILIES},
+laned as (select *, case when {SURE} and {expr(KEY, NAME)} not in (select key from fam) then 'confirmed' when overall>=0.65 then 'review' end as lane from tops),
 ent as (select * from (select *, row_number() over (partition by job, lane, year, slogan order by overall desc, crop) as rn from laned where lane is not null) where rn=1),
 evaluated as (select *, lane='confirmed' and amount_needed>0 as needed_hit from {looked('ent')})"""
 VALUED = EVALUATED + """,
@@ -135,12 +135,8 @@ def ev(body, *more):
     return on(*EVAL_VIEWS, *more, body="").rstrip() + body
 
 
-def registry(t):
-    return rules.twin_registry(t.view("v_catalogue").where("needed = 1 and brand < 'Brand#2'"))
-
-
 def evaluated(t):
-    return decide.evaluate(t.view("v_named"), registry(t), rule_table(t))
+    return decide.evaluate(t.view("v_named"), registry(t), rule_table(t), EDITION_NAME)
 
 
 def lots(t):
@@ -184,7 +180,7 @@ alerts as (select v.job, case when length(title)<=80 then title else left(title,
 
 
 def alerts(t):
-    conf = decide.twin_guard(tops_named(t), registry(t)).where(~(nm.is_confirmed_guarded(c("overall"), c("gap")) & ~c("is_twin")))
+    conf = decide.twin_guard(tops_named(t), registry(t), EDITION_NAME).where(~(nm.is_confirmed_guarded(c("overall"), c("gap")) & ~c("is_twin")))
     unmatched = conf.groupBy("job").agg(F.count(F.lit(1)).alias("unmatched"))
     lots_ = decide.deals(valued(t)).join(unmatched, "job", "left").withColumn("unmatched", F.coalesce("unmatched", F.lit(0)))
     return decide.alert_rows(lots_, confirmed(t), rule_table(t))

@@ -69,17 +69,20 @@ def j21_era(t):
     return rules.era_queries(words)
 
 
-COV = on("v_rules", "v_catalogue", body="").rstrip() + RULES + f""",
-flags as (select year, slogan, exists(select 1 from v_catalogue v where cast(v.year as string)=r.year and {K('v.slogan')}={K('r.slogan')} and v.needed=1) as in_text,
-  exists(select 1 from v_catalogue v where cast(v.year as string)=r.year and {K('v.slogan')}={K('r.slogan')} and v.brand<'Brand#15') as in_image from rules r where amount_needed='2')
+COV = on("v_rules", "v_match", "v_label", body="").rstrip() + RULES + f""",
+texts as (select distinct try_cast(case when regexp_full_match(string_split(label,' ')[1],'[0-9]+') then string_split(label,' ')[1] end as int) as year,
+  {K("trim(substr(label, length(string_split(label,' ')[1])+1))")} as key from v_label),
+images as (select distinct year, {K('slogan')} as key from v_match),
+flags as (select year, slogan, exists(select 1 from texts v where cast(v.year as string)=r.year and v.key={K('r.slogan')}) as in_text,
+  exists(select 1 from images v where cast(v.year as string)=r.year and v.key={K('r.slogan')}) as in_image from rules r where amount_needed='2')
 select year, slogan, in_text, in_image, not in_text and not in_image as fully_missing, not in_text as no_text from flags"""
 
 
 @query("j3_coverage", COV)
 def j3(t):
-    cat = t.view("v_catalogue")
     needed = rule_table(t).where(tx.amount_needed(c("amount_needed")) > 0)
-    return rules.coverage(needed, cat.where("needed = 1"), cat.where("brand < 'Brand#15'"))
+    texts = t.view("v_label").select(tx.label_year(c("label")).alias("year"), tx.label_phrase(c("label")).alias("slogan"))
+    return rules.coverage(needed, texts, t.view("v_match"))
 
 
 DIFF = f""", a as (select distinct year, {K('slogan')} as key from v_match), b as (select distinct year, {K('slogan')} as key from v_catalogue),
@@ -110,6 +113,9 @@ def a18(t):
     return rules.slogan_years(t.view("v_catalogue")).withColumn("years", F.array_join("years", ","))
 
 
+# an edition is a slogan with brand and type; candidates carry both in their type
+EDITION, NAME = "slogan || ' ' || brand || ' ' || type", "slogan || ' ' || type"
+EDITION_NAME = F.concat_ws(" ", "slogan", "type")
 TWINS = f", fam as (select {K('slogan')} || type as key, count(*) as n_editions from v_catalogue group by 1 having count(*)>=2)"
 
 
@@ -127,12 +133,19 @@ def a19_sum(t):
     return rules.registry_summary(rules.twin_registry(editions(t)))
 
 
-@query("j6_twin_guard", on("v_match", "v_catalogue", body=f"""
-, fam as (select {K('slogan')} as key from v_catalogue where needed=1 and brand<'Brand#2' group by 1 having count(*)>=2)
-select {IDS}, {K('slogan')} in (select key from fam) as is_twin from v_match"""))
+FAMILIES = f"fam as (select {K(EDITION)} as key from v_catalogue group by 1 having count(*)>=2)"
+
+
+def registry(t):
+    """Slogans of one brand and type that the catalogue lists more than once."""
+    return rules.twin_registry(t.view("v_catalogue").withColumn("slogan", F.concat_ws(" ", "slogan", "brand", "type")))
+
+
+@query("j6_twin_guard", on("v_named", "v_catalogue", body=f"""
+, {FAMILIES} select job as item_id, k1, k2, k3, k4, {K(NAME)} in (select key from fam) as is_twin from v_named"""))
 def j6(t):
-    fams = rules.twin_registry(t.view("v_catalogue").where("needed = 1 and brand < 'Brand#2'"))
-    return rules.twin_guard(t.view("v_match"), fams).select(*ids, "is_twin")
+    named = t.view("v_named").withColumnRenamed("job", "item_id")
+    return rules.twin_guard(named, registry(t), EDITION_NAME).select(*ids, "is_twin")
 
 
 def games(t):

@@ -79,11 +79,13 @@ def x4(t):
     return seen.read()
 
 
-@query("x5_reprocess_unanswered", f"with {CTX} select key, item_id from ctx where key not in (select key from resp) and item_id not in (select user_id from events where event_type='error' and value>90)")
+@query("x5_reprocess_unanswered", on("v_role", body="""
+select key, item_id from v_role where role='context' and key not in (select key-1 from v_role where role='answer')
+  and item_id not in (select item_id from v_role where role='seen')"""))
 def x5(t):
-    e = t.table("events")
-    seen = e.where("event_type = 'error' and value > 90").select(c("user_id").alias("item_id"))
-    return stt.unanswered(contexts(e), answers(e), seen).select("key", "item_id")
+    of = lambda role: t.view("v_role").where(c("role") == role).withColumn("ts", instant())
+    answered = of("answer").select((c("key") - 1).alias("key"), c("ts").alias("answered"))
+    return stt.unanswered(of("context").withColumnRenamed("ts", "created"), answered, of("seen").select("item_id")).select("key", "item_id")
 
 
 def split_files(t, n=8, table="events", key="event_id"):

@@ -227,3 +227,18 @@ def test_gate_and_grid(spark):
                               geo.gate(F.lit(None).cast("double"), F.lit(.9), F.lit(6), F.lit(2), F.lit(3), F.lit(None).cast("string")).alias("c"),
                               geo.grid_consistent(F.lit(3), F.lit(2), F.lit(3)).alias("d"), geo.infer_grid(F.lit(12), F.lit(600.0), F.lit(800.0)).alias("g")).first()
     assert (r.a, r.b, r.c, r.d, tuple(r.g)) == ("auto", "suggest", "manual", False, (3, 4))
+
+
+def test_money_rounds_the_exact_value(spark):
+    values = [0.0, 0.005, 0.015, 0.125, 0.375, 1.005, 2.675, 1514.165, 99.995, 0.995, 1e9 + 0.125, 1e-9] + [k / 1000 for k in range(5, 20000, 10)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", nm.money(F.col("v")).alias("m")).collect()
+    assert [r.m for r in rows] == [f"${r.v:.2f}" for r in rows]
+
+
+def test_twins_by_another_name(spark):
+    from lotscope.operators import rules
+    cat = spark.createDataFrame([("Go State", "a"), ("Go State!", "a"), ("Go State", "b")], "slogan string, type string")
+    name = F.concat_ws(" ", "slogan", "type")
+    fams = rules.twin_registry(cat.withColumn("slogan", name))
+    rows = spark.createDataFrame([("GO STATE", "a"), ("go state", "b"), (None, "a")], "slogan string, type string")
+    assert [r.is_twin for r in rules.twin_guard(rows, fams, name).orderBy("type", "slogan").collect()] == [False, True, False]
