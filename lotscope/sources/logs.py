@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lotscope import settings as S
 from lotscope.functions import text as tx
+from lotscope.sources.arrays import read_json_array
 
 SCAN_LOG = (
     "ts string, item_id string, title string, listing_url string, seller string, asking double, currency string, "
@@ -35,10 +36,10 @@ def read_sources(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_log_lines(spark: SparkSession, path: str, fmt: str = "text") -> DataFrame:
-    """(ts, payload) from a text log, or from an export that is a JSON array of entries per file."""
+    """(ts, payload) from a text log, or from an export that is a JSON array of entries per file, read in byte ranges."""
     if fmt == "text":
         return spark.read.text(path).select(F.lit("").alias("ts"), F.col("value").alias("payload"))
-    entries = spark.read.schema("timestamp string, textPayload string").json(path, multiLine=True)
+    entries = read_json_array(spark, path, "timestamp string, textPayload string")
     return entries.select(F.coalesce("timestamp", F.lit("")).alias("ts"), F.coalesce("textPayload", F.lit("")).alias("payload"))
 
 
