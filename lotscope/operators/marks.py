@@ -25,7 +25,7 @@ def weighted_median(votes: DataFrame, value: str = "radius", weight: str = "weig
     Equal values are added up before anything is ordered."""
     rows = votes.where(F.col(weight) > 0).groupBy("job", F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
     total = rows.groupBy("job").agg(F.sum("w").alias("total"))
-    run = running(rows, ["job"], [F.asc("v")], st.magnitude_bucket(F.col("v")), {"through": (F.col("w"), "sum")})
+    run = running(rows, ["job"], [F.asc("v")], st.coarse(F.col("v")), {"through": (F.col("w"), "sum")})
     reached = run.join(total, "job").where(F.round("through", 9) >= F.round(F.col("total") / 2, 9))
     return reached.groupBy("job").agg(F.min("v").alias(value))
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from lotscope import settings as S
 from lotscope.functions import text as tx
-from lotscope.plans.ranked import first_by, top_k, top_n
+from lotscope.plans.overlap import most_shared
+from lotscope.plans.ranked import first_by, top_n
 
 REQUIRED = ("year", "slogan", "max price single", "max price year", "notes")
 RULE_VALUES = ["max_price_single", "max_price_year", "notes", "amount_needed"]
-MAX_SUBSET_TOKENS = 8
 
 
 def load_rules(sheet: DataFrame) -> DataFrame:
@@ -165,37 +165,14 @@ def rarity_bonus(phrases: DataFrame, freq: DataFrame) -> DataFrame:
         .select("phrase", F.least(S.RARITY_CAP * F.col("_w"), F.lit(S.RARITY_CAP)).alias("bonus"))
 
 
-def _subset_rows(entries: DataFrame) -> DataFrame:
-    """Every non-empty token subset of an entry with at most eight tokens, as (entry columns, subset, size)."""
-    subsets = F.expr("transform(sequence(1, cast(shiftleft(1, size(toks)) - 1 as int)), m -> named_struct("
-                     "'subset', array_join(filter(toks, (t, i) -> shiftright(m, i) & 1 = 1), ' '), 'size', bit_count(m)))")
-    return entries.select("idx", "year", F.explode(subsets).alias("s")).select("idx", "year", "s.subset", "s.size")
-
-
 def slogan_peers(entries: DataFrame, targets: DataFrame | None = None, k: int = S.MAX_PEERS) -> DataFrame:
     """Up to ``k`` entries of other years sharing most tokens with each target (first entry on ties).
 
-    ``entries`` and ``targets``: (idx, year, phrase); targets default to the entries themselves. A token shared by very many entries is never expanded into pairs: entries are
-    listed under each of their token subsets, and per subset the first 2k entries, at most k of one year, already
-    contain every possible winner. Entries with more than eight tokens go through a token join instead.
+    ``entries`` and ``targets``: (idx, year, phrase); targets default to the entries themselves.
     """
-    tokens = lambda df: df.select("idx", "year", F.array_sort(tx.content_tokens(F.col("phrase"))).alias("toks")).where("size(toks) > 0")
-    limit = F.size("toks") <= MAX_SUBSET_TOKENS
+    tokens = lambda df: df.select("idx", "year", tx.content_tokens(F.col("phrase")).alias("toks"))
     pool = tokens(entries)
-    asked = pool if targets is None else tokens(targets)
-    rows = _subset_rows(pool.where(limit))
-    lists = top_k(rows, ["subset", "year"], [F.asc("idx")], k, "_r").drop("_r")
-    lists = top_k(lists, ["subset"], [F.asc("idx")], 2 * k, "_r").select("subset", F.col("idx").alias("peer"), F.col("year").alias("peer_year"))
-    pairs = _subset_rows(asked.where(limit)).join(lists, "subset").where("year <> peer_year") \
-        .groupBy("idx", "peer").agg(F.max("size").alias("shared"))
-
-    words = lambda df: df.select("idx", "year", F.explode("toks").alias("token"))
-
-    def linked(a, b):
-        right = words(b).select("token", F.col("idx").alias("peer"), F.col("year").alias("peer_year"))
-        return words(a).join(right, "token").where("year <> peer_year").groupBy("idx", "peer").agg(F.count(F.lit(1)).cast("int").alias("shared"))
-    pairs = pairs.unionByName(linked(asked.where(~limit), pool)).unionByName(linked(asked.where(limit), pool.where(~limit)))
-    return top_k(pairs, ["idx"], [F.desc("shared"), F.asc("peer")], k)
+    return most_shared(pool, pool if targets is None else tokens(targets), k)
 
 
 def attractors(matches: DataFrame, n: int = 25) -> DataFrame:

@@ -308,3 +308,43 @@ def test_worker_watch_matches_a_plain_loop(spark):
         s = s + 1 if r.event_type in ("error", "signup", "click") else 0
         want[w] = (n + 1, s, max(m, s))
     assert got == want
+
+
+def test_ordered_code_follows_the_order(spark):
+    rnd = random.Random(5)
+    vals = [0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf")]
+    vals += [math.ldexp(1.0, e) for e in range(-1070, 1024, 13)] + [math.nextafter(math.ldexp(1.0, e), s) for e in range(-1020, 1023, 7) for s in (0, math.inf)]
+    vals += [rnd.uniform(0, 1) * 10 ** rnd.randint(-300, 300) for _ in range(2000)] + [0.7 + i * 1e-16 for i in range(200)]
+    vals = sorted({s * v for v in vals for s in (1, -1)})
+    rows = spark.createDataFrame([(v,) for v in vals + [float("nan")]], "v double").select("v", st.ordered_code(F.col("v")).alias("c")).collect()
+    codes = [r.c for r in sorted(rows, key=lambda r: (math.isnan(r.v), r.v))]
+    assert codes == sorted(codes) and len(set(codes)) > 0.9 * len(codes)
+
+
+def test_order_stats_of_values_that_differ_late(spark):
+    """A million values that agree in three digits; no bucket that is ranked holds more than a sliver of them."""
+    df = spark.range(1_000_000).select((0.7001 + (F.col("id") * 7919 % 1_000_003) * 8e-10).alias("v"))
+    r = st.order_stats(df, [], F.col("v"), {"a": F.lit(1), "m": F.col("n") / 2, "z": F.col("n")}).first()
+    want = np.sort(0.7001 + (np.arange(1_000_000) * 7919 % 1_000_003) * 8e-10)
+    assert (r.n, r.a, r.m, r.z) == (1_000_000, want[0], want[499_999], want[-1])
+    fine = df.groupBy(F.shiftright(st.ordered_code(F.col("v")), 20)).count().agg(F.max("count")).first()[0]
+    assert fine < 100
+
+
+@pytest.mark.parametrize("rare, block", [(64, 1024), (3, 5), (0, 1000), (1000, 7)])
+def test_most_shared(spark, rare, block):
+    from lotscope.plans.overlap import most_shared
+    rnd = random.Random(6)
+    words = [f"w{min(int(rnd.expovariate(0.2)), 40)}" for _ in range(300)]
+    draw = lambda ids: [(i, 1990 + rnd.choice([0, 0, 0, 1, 2]), sorted(set(rnd.choice(words) for _ in range(rnd.randint(0, 14))))) for i in ids]
+    pool, asked = draw(range(90)), draw(range(1000, 1040))
+    made = lambda rows: spark.createDataFrame(rows, "idx bigint, year int, toks array<string>")
+
+    def brute(a, b, k):
+        for i, y, toks in a:
+            found = sorted((-len(set(toks) & set(t)), j) for j, z, t in b if z != y and set(toks) & set(t))
+            yield from ((i, j, -s, r + 1) for r, (s, j) in enumerate(found[:k]))
+    df = made(pool)
+    assert sorted(map(tuple, most_shared(df, df, 3, rare, block).collect())) == sorted(brute(pool, pool, 3))
+    assert sorted(map(tuple, most_shared(df, made(asked), 4, rare, block).collect())) == sorted(brute(asked, pool, 4))
+    assert most_shared(made([]), made(asked), 4, rare, block).count() == 0
