@@ -6,7 +6,7 @@ from lotscope.functions import numbers as nm
 from lotscope.operators import decide, rules
 from lotscope.queries.market import scan_records
 from lotscope.queries.registry import query
-from lotscope.queries.rules import EDITION_NAME, FAMILIES, NAME, RULES, registry, rule_table
+from lotscope.queries.rules import FAMILIES, NAME, RULES, edition_name, registry, rule_table
 from lotscope.queries.sql import KEY, expr, on, scan
 from lotscope.sources import sinks
 
@@ -136,7 +136,7 @@ def ev(body, *more):
 
 
 def evaluated(t):
-    return decide.evaluate(t.view("v_named"), registry(t), rule_table(t), EDITION_NAME)
+    return decide.evaluate(t.view("v_named"), registry(t), rule_table(t), edition_name())
 
 
 def lots(t):
@@ -180,7 +180,7 @@ alerts as (select v.job, case when length(title)<=80 then title else left(title,
 
 
 def alerts(t):
-    conf = decide.twin_guard(tops_named(t), registry(t), EDITION_NAME).where(~(nm.is_confirmed_guarded(c("overall"), c("gap")) & ~c("is_twin")))
+    conf = decide.twin_guard(tops_named(t), registry(t), edition_name()).where(~(nm.is_confirmed_guarded(c("overall"), c("gap")) & ~c("is_twin")))
     unmatched = conf.groupBy("job").agg(F.count(F.lit(1)).alias("unmatched"))
     lots_ = decide.deals(valued(t)).join(unmatched, "job", "left").withColumn("unmatched", F.coalesce("unmatched", F.lit(0)))
     return decide.alert_rows(lots_, confirmed(t), rule_table(t))

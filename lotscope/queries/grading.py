@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from lotscope.operators import grading, ranking
+from lotscope.operators import grading
 from lotscope.operators.records import best_first
+from lotscope.plans.ranked import first_by
 from lotscope.queries.registry import query
 from lotscope.queries.sql import KEY, expr, on
 
@@ -41,7 +42,7 @@ select rule, count(*) filter (fire) as fires, count(*) filter (fire and wrong) a
 def a35(t):
     m = t.view("v_match")
     gaps = ranking.gaps(m, best_first()).select("item_id", F.round("gap", 9).alias("gap"), F.round("slogan_gap", 9).alias("sgap"))
-    tops = ranking.first_by(m, ["item_id"], best_first()).select("item_id", c("image_score").alias("ref"), (c("needed") == 3).alias("wrong"))
+    tops = first_by(m, ["item_id"], best_first()).select("item_id", c("image_score").alias("ref"), (c("needed") == 3).alias("wrong"))
     ladder = {"gap>=0.15": c("gap") >= 0.15, "slogan_gap>=0.12": c("sgap") >= 0.12, "combo": (c("sgap") >= 0.05) & (c("ref") >= 0.90)}
     return r6(grading.rule_ladder(tops.join(gaps, "item_id"), ladder), "coverage")
 

@@ -115,7 +115,7 @@ def a18(t):
 
 # an edition is a slogan with brand and type; candidates carry both in their type
 EDITION, NAME = "slogan || ' ' || brand || ' ' || type", "slogan || ' ' || type"
-EDITION_NAME = F.concat_ws(" ", "slogan", "type")
+edition_name = lambda: F.concat_ws(" ", "slogan", "type")  # a function, as modules load without a session
 TWINS = f", fam as (select {K('slogan')} || type as key, count(*) as n_editions from v_catalogue group by 1 having count(*)>=2)"
 
 
@@ -145,7 +145,7 @@ def registry(t):
 , {FAMILIES} select job as item_id, k1, k2, k3, k4, {K(NAME)} in (select key from fam) as is_twin from v_named"""))
 def j6(t):
     named = t.view("v_named").withColumnRenamed("job", "item_id")
-    return rules.twin_guard(named, registry(t), EDITION_NAME).select(*ids, "is_twin")
+    return rules.twin_guard(named, registry(t), edition_name()).select(*ids, "is_twin")
 
 
 def games(t):
