@@ -8,9 +8,12 @@ least ``similarity``, whether or not that one stays. The join is exact; hashes o
   right, so words that share a counter only cost time. A counter of one proves that no other line has the word.
 * Two similar sets share a word among the first few of each (prefix), those words stand at places that leave room for
   the overlap (position), and their sizes are alike (length). A parity sketch of 64 bits bounds their difference.
+* The first word that two sets share decides: what follows it in each must leave room for the overlap, so a word bounds
+  the size of the sets that its set can meet there.
 * A set meets a few sets before it in the lists of its prefix words; only a set that had more to compare and found nothing
-  similar meets all earlier ones. So a group of thousands of variants of one line costs a few comparisons each, not one
-  per pair, and no link to an earlier line is lost.
+  similar asks all earlier ones. So a group of thousands of variants of one line costs a few comparisons each, not one
+  per pair, and no link to an earlier line is lost. Long lists are cut by size and hash into parts of bounded length: a
+  set stands in one part and asks those whose sizes it can meet, block against block.
 * What passes the filters is verified on the sets themselves.
 
 Nulls and empty texts have no lines with words. Lines without words stay. Rows that agree in id and text are one
@@ -36,6 +39,8 @@ SIMILARITY = 0.8
 COUNTERS, SEGMENT, FILTER_BITS = 1 << 23, 1 << 13, 1 << 26
 #: A posting is compared with so many of the first in its list, until so many candidates are found; the rest comes later.
 REACH, ENOUGH = 512, 2
+#: Lists of more postings are cut by size; a part of one size is cut by hash to about so many postings.
+LONG, PART = 1 << 11, 1 << 13
 _LINES = 1 << 12  # lines sorted at once
 _TOKEN = np.uint64((1 << 48) - 1)
 _ANY_WORD = re.compile(r"[0-9A-Za-z_]|[^\x00-\x7f]")
@@ -150,14 +155,13 @@ def line_sets(docs: DataFrame, levels: np.ndarray, similarity: float) -> DataFra
 
 
 def _may_match(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
-    """Length, positional and parity filters between the i-th and j-th of some postings."""
+    """Length, positional and parity filters between the i-th and j-th of some postings, for the first word they share."""
     n, m = x["size"][i].astype(np.int64), x["size"][j].astype(np.int64)
     need = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9).astype(np.int64)
     p, q = x["at"][i].astype(np.int64), x["at"][j].astype(np.int64)
-    room = np.minimum(p, q) + np.minimum(n - p, m - q)
     differ = np.bitwise_count((x["parity"][i] ^ x["parity"][j]).view(np.uint64)).astype(np.int64)
     return ((np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (differ <= n + m - 2 * need)
-            & ((room >= need) | (p == 0xFFFF) | (q == 0xFFFF)))
+            & ((n - p >= need) | (p == 0xFFFF)) & ((m - q >= need) | (q == 0xFFFF)))
 
 
 def wanted_filter(places: DataFrame) -> np.ndarray:
@@ -215,14 +219,99 @@ def verify(docs: DataFrame, pairs: DataFrame, similarity: float, path: str) -> D
 
 
 _POSTING = ("token", "doc_id", "line", "place", "size", "at", "parity")
+_POSTINGS = "token bigint, doc_id bigint, line int, place bigint, size int, at int, parity bigint"
 
 
-def _postings(sets: DataFrame) -> DataFrame:
-    """One row per set and prefix word."""
-    word = F.col("word")
-    return sets.select("doc_id", "line", "place", "size", "parity", F.explode("prefix").alias("word")).select(
-        word.bitwiseAND(F.lit((1 << 48) - 1)).alias("token"), "doc_id", "line", "place", "size",
-        F.shiftrightunsigned(word, 48).cast("int").alias("at"), "parity")
+def _levels(df: DataFrame, keys, n: int) -> np.ndarray:
+    """Bit length of the number of keys on each of a table of counters, whose size follows the number ``n`` of sets, up
+    to COUNTERS. ``keys`` yields the keys of a batch."""
+    counters = min(COUNTERS, max(SEGMENT, 1 << int(2 * n).bit_length()))
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        held = np.zeros(counters, np.uint32)
+        for batch in batches:
+            np.add.at(held, (keys(batch) & np.uint64(counters - 1)).astype(np.int64), np.uint32(1))
+        parts = held.reshape(-1, SEGMENT)
+        some = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())],
+                                         ["segment", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for segment, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = held.setdefault(segment, np.zeros(SEGMENT, np.uint64))
+                part += np.frombuffer(counts, np.uint32)
+        levels = [np.frexp(p.astype(float))[1].astype(np.uint8).tobytes() for p in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(levels, pa.binary())], ["segment", "levels"])
+
+    out = np.zeros((counters // SEGMENT, SEGMENT), np.uint8)
+    summed = df.mapInArrow(count, "segment int, counts binary").repartition("segment").mapInArrow(add, "segment int, levels binary")
+    for row in summed.collect():  # COUNTERS bytes at most
+        out[row.segment] = np.frombuffer(row.levels, np.uint8)
+    return out.reshape(-1)
+
+
+def _level(levels: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return levels[(keys & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.int64)
+
+
+def _band(size: np.ndarray) -> np.ndarray:
+    """Bands of set sizes, each a few per cent wide."""
+    return np.floor(16 * np.log2(np.maximum(size, 1)) + 1e-9).astype(np.uint64)
+
+
+def _band_key(token: np.ndarray, band: np.ndarray) -> np.ndarray:
+    return mix(token + (band + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _part(token: np.ndarray, band: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """The word under the number of a part, in 16 bits; parts that share a number are one."""
+    return token | ((mix(band * np.uint64(0x100000001) + salt) % np.uint64(0xFFFF) + np.uint64(1)) << np.uint64(48))
+
+
+def _salts(level: np.ndarray, part: int) -> np.ndarray:
+    """Into how many parts of about ``part`` postings keys of these levels are cut."""
+    return np.uint64(1) << np.maximum(level - part.bit_length(), 0).astype(np.uint64)
+
+
+def _exploded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of sets: the row, word and position of every prefix word."""
+    lists = batch.column("prefix")
+    word = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+    return row, word & _TOKEN, (word >> np.uint64(48)).astype(np.int32)
+
+
+def _posting_batch(batch: pa.RecordBatch, row: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    where = pa.array(row)
+    made = {"token": pa.array(key.view(np.int64)), "at": pa.array(at)}
+    return pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c).take(where) for c in _POSTING], list(_POSTING))
+
+
+def _cut_keys(token: np.ndarray, size: np.ndarray, place: np.ndarray, by_band: np.ndarray, part: int) -> np.ndarray:
+    band = _band(size)
+    return _part(token, band, mix(place.view(np.uint64)) % _salts(_level(by_band, _band_key(token, band)), part))
+
+
+def _postings(sets: DataFrame, by_word: np.ndarray, by_band: np.ndarray, long: int, part: int) -> DataFrame:
+    """One row per set and prefix word: the word alone in lists of at most ``long``, else with the set's part of the list."""
+    shared = sets.sparkSession.sparkContext.broadcast((by_word, by_band))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        by_word, by_band = shared.value
+        for batch in batches:
+            row, token, at = _exploded(batch)
+            level = _level(by_word, token)
+            shared_word = level > 1
+            row, token, at, level = row[shared_word], token[shared_word], at[shared_word], level[shared_word]
+            cut = np.flatnonzero(level >= long.bit_length())
+            key = token.copy()
+            size, place = (batch.column(c).to_numpy()[row[cut]] for c in ("size", "place"))
+            key[cut] = _cut_keys(token[cut], size, place, by_band, part)
+            yield _posting_batch(batch, row, key, at)
+
+    return sets.select("doc_id", "line", "place", "size", "parity", "prefix").mapInArrow(run, _POSTINGS)
 
 
 def _columns(batch: pa.RecordBatch, names=("token", "place", "size", "at", "parity")) -> dict[str, np.ndarray]:
@@ -246,8 +335,9 @@ def _compare_lists(similarity: float, reach: int = REACH, enough: int = ENOUGH):
     """Over postings in order of word and place: candidates (earlier, later), and postings left with more to compare.
 
     A posting is compared with the first ``reach`` ones of its list, from the first on, until ``enough`` candidates are
-    found; as the lists of similar sets begin alike, these agree from list to list. One that stops early, or has more
-    before it, is reported with its word (earlier: null). Of the running list, its first ``reach`` postings are held.
+    found; as the lists of similar sets begin alike, these agree from list to list. One that stops early, has more
+    before it, or stands in a part of a list is reported whole (earlier: null). Of the running list, its first ``reach``
+    postings are held.
     """
     def run(batches: Iterator[pa.RecordBatch]):
         held, length = None, 0  # the head of the running list, and the postings it has had
@@ -274,50 +364,30 @@ def _compare_lists(similarity: float, reach: int = REACH, enough: int = ENOUGH):
                 earlier.append(x["place"][begun[good] + r])
                 later.append(x["place"][good])
                 found[good] += 1
-            left = mine[(found[mine] >= enough) | (ranks[mine] > reach)]
+            left = mine[(found[mine] >= enough) | (ranks[mine] > reach) | (x["token"][mine].view(np.uint64) > _TOKEN)]
             head = begun[-1]
             held = {c: x[c][head:head + reach] for c in x}
             length = int(ranks[-1]) + 1
             both = lambda parts: np.concatenate([*parts, np.zeros(0, np.int64)])
             pairs = both(earlier)
+            rows = pa.array(left - old)
+            whole = [pa.concat_arrays([pa.nulls(len(pairs), batch.schema.field(c).type), batch.column(c).take(rows)]) for c in batch.schema.names]
             yield pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([pa.array(pairs, pa.int64()), pa.nulls(len(left), pa.int64())]),
-                 pa.array(np.concatenate([both(later), x["place"][left]]), pa.int64()),
-                 pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(x["token"][left], pa.int64())])], ["earlier", "later", "token"])
+                 pa.array(np.concatenate([both(later), x["place"][left]]), pa.int64()), *whole], ["earlier", "later", *batch.schema.names])
 
     return run
 
 
-def _marked(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """Rows whose hash may be among the ``wanted`` (column place), by a filter of fixed size."""
-    shared = df.sparkSession.sparkContext.broadcast(wanted_filter(wanted))
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        table = shared.value
-        for batch in batches:
-            h = batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64)
-            yield batch.filter(pa.array(in_filter(table, h)))
-
-    return df.mapInArrow(run, df.schema)
-
-
-def _compare_pairs(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of the joined postings (columns of ``a`` and of ``b``) that pass the filters: earlier, later."""
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            n = batch.num_rows
-            x = {c: np.concatenate([batch.column(f"{s}_{c}").to_numpy(zero_copy_only=False) for s in "ab"]) for c in ("place", "size", "at", "parity")}
-            good = _may_match(x, np.arange(n), np.arange(n, 2 * n), similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(x["place"][n:][good]), pa.array(x["place"][:n][good])], ["earlier", "later"])
-
-    return pairs.mapInArrow(run, "earlier bigint, later bigint")
-
-
-def near_matches(docs: DataFrame, sets: DataFrame, similarity: float, reach: int = REACH, enough: int = ENOUGH) -> DataFrame:
+def near_matches(docs: DataFrame, sets: DataFrame, similarity: float, reach: int = REACH, enough: int = ENOUGH,
+                 long: int = LONG, part: int = PART) -> DataFrame:
     """Places of the sets (``later``) that have a similar earlier set, with one such (``earlier``) or more."""
     folder = new_folder(docs.sparkSession, "line-near")
-    lists = _postings(sets).repartition("token").sortWithinPartitions("token", "doc_id", "line", "place").select(*_POSTING)
-    made = through_table(lists.mapInArrow(_compare_lists(similarity, reach, enough), "earlier bigint, later bigint, token bigint"),
+    n = sets.count()
+    by_word = _levels(sets.select("prefix"), lambda batch: _exploded(batch)[1], n)
+    by_band = _levels(sets.select("size", "prefix"), _long_band_keys(by_word, long), n)
+    lists = _postings(sets, by_word, by_band, long, part).repartition("token").sortWithinPartitions("token", "doc_id", "line", "place")
+    made = through_table(lists.mapInArrow(_compare_lists(similarity, reach, enough), f"earlier bigint, later bigint, {_POSTINGS}"),
                          f"{folder}/candidates")
     # the candidate that most words of a set agree on is verified first; of most sets that have one it is a match
     pairs = made.filter("earlier is not null").groupBy("later", "earlier").agg(F.count("*").alias("n"))
@@ -325,24 +395,110 @@ def near_matches(docs: DataFrame, sets: DataFrame, similarity: float, reach: int
     found = verify(docs, best, similarity, f"{folder}/found")
     # sets that are still without a match meet their other candidates, and in lists that have more to compare all before them
     matched = found.select("later").distinct()
-    left_over = through_table(made.filter("earlier is null").select(F.col("later").alias("place"), "token")
-                              .join(matched.toDF("place"), "place", "left_anti"), f"{folder}/open")
+    left_over = through_table(made.filter("earlier is null").select(*_POSTING).join(matched.toDF("place"), "place", "left_anti").select(*_POSTING),
+                              f"{folder}/open")
     others = made.filter("earlier is not null").select("earlier", "later").join(matched, "later", "left_anti").join(best, ["later", "earlier"], "left_anti").distinct()
-    rest = through_table(others.select("earlier", "later").unionByName(_all_before(sets, left_over, similarity)).distinct(), f"{folder}/rest")
+    rest = through_table(others.select("earlier", "later").unionByName(_all_before(sets, left_over, by_band, similarity, part)).distinct(), f"{folder}/rest")
     found = found.unionByName(verify(docs, rest, similarity, f"{folder}/rest-found"))
     for name in ("candidates", "best", "open", "rest"):
         drop_table(docs.sparkSession, f"{folder}/{name}")
     return found
 
 
-def _all_before(sets: DataFrame, left_over: DataFrame, similarity: float) -> DataFrame:
-    """Candidates (earlier, later) of the postings in ``left_over`` (place, token) among all before them in their lists."""
-    some = _postings(sets.join(left_over, "place", "left_semi")).join(left_over, ["place", "token"], "left_semi")
-    others = _marked(_postings(sets), "token", left_over.select(F.col("token").alias("place")).distinct())
-    a = some.select(*(F.col(c).alias(f"a_{c}") for c in _POSTING))
-    b = others.select(*(F.col(c).alias(f"b_{c}") for c in _POSTING))
-    before = F.struct("b_doc_id", "b_line", "b_place") < F.struct("a_doc_id", "a_line", "a_place")
-    return _compare_pairs(a.join(b, (F.col("a_token") == F.col("b_token")) & before), similarity)
+def _long_band_keys(by_word: np.ndarray, long: int):
+    """Keys of word and band of the postings of a batch of sets that stand in long lists."""
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        row, token, _ = _exploded(batch)
+        cut = _level(by_word, token) >= long.bit_length()
+        return _band_key(token[cut], _band(batch.column("size").to_numpy()[row[cut]]))
+
+    return keys
+
+
+def _all_before(sets: DataFrame, left_over: DataFrame, by_band: np.ndarray, similarity: float, part: int) -> DataFrame:
+    """Candidates (earlier, later) of the postings in ``left_over`` among all before them in their lists.
+
+    Every posting of these lists stands in the part of its word, band and hash, those of ``left_over`` ask all parts of
+    the bands they can meet.
+    """
+    word = F.col("token").bitwiseAND(F.lit((1 << 48) - 1))
+    wanted = wanted_filter(left_over.select(word.alias("place")).distinct())
+    shared = sets.sparkSession.sparkContext.broadcast((wanted, by_band))
+
+    def members(batches: Iterator[pa.RecordBatch]):
+        wanted, by_band = shared.value
+        for batch in batches:
+            row, token, at = _exploded(batch)
+            keep = in_filter(wanted, token)
+            row, token, at = row[keep], token[keep], at[keep]
+            size, place = (batch.column(c).to_numpy()[row] for c in ("size", "place"))
+            yield _posting_batch(batch, row, _cut_keys(token, size, place, by_band, part), at)
+
+    def ask(batches: Iterator[pa.RecordBatch]):
+        by_band = shared.value[1]
+        for batch in batches:
+            x = _columns(batch)
+            token, n, p = x["token"].view(np.uint64) & _TOKEN, x["size"].astype(np.int64), x["at"].astype(np.int64)
+            least, most = np.ceil(similarity * n - 1e-9), np.floor(n / similarity + 1e-9)
+            most = np.where(p == 0xFFFF, most, np.minimum(most, np.floor((n - p) * (1 + similarity) / similarity - n + 1e-6)))
+            row = np.flatnonzero(most >= least)
+            low = _band(least[row])
+            bands = (_band(most[row]) - low + np.uint64(1)).astype(np.int64)
+            row, band = np.repeat(row, bands), np.repeat(low, bands) + _counted(bands)
+            salts = _salts(_level(by_band, _band_key(token[row], band)), part).astype(np.int64)
+            row, band, salt = np.repeat(row, salts), np.repeat(band, salts), _counted(salts)
+            for at in range(0, len(row), 1 << 16):
+                some = slice(at, at + (1 << 16))
+                yield _posting_batch(batch, row[some], _part(token[row[some]], band[some], salt[some]), x["at"][row[some]].astype(np.int32))
+
+    both = (sets.select("doc_id", "line", "place", "size", "parity", "prefix").mapInArrow(members, _POSTINGS).withColumn("asks", F.lit(0))
+            .unionByName(left_over.mapInArrow(ask, _POSTINGS).withColumn("asks", F.lit(1))))
+    return both.repartition("token").sortWithinPartitions("token", "asks").mapInArrow(_answer(similarity), "earlier bigint, later bigint")
+
+
+def _counted(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, 2 and so on for each of the lengths."""
+    return (np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.uint64)
+
+
+def _answer(similarity: float, cells: int = 1 << 21):
+    """Over postings in order of part and ``asks``: candidates (earlier, later) of those that ask among the others of
+    their part. Of the running part, the others are held; about ``cells`` pairs are compared at once."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        held = None
+        for batch in _joined(batches, 200_000):
+            x = _columns(batch, (*_POSTING, "asks"))
+            x["doc_id"] = batch.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()  # rows without an id come first
+            if held is not None and held["token"][0] == x["token"][0]:
+                x = {c: np.concatenate([held[c], x[c]]) for c in x}
+            opens = group_starts(x["token"])
+            ends = np.append(opens[1:], len(x["token"]))
+            firsts = opens + np.add.reduceat(1 - x["asks"], opens)  # where those that ask begin
+            earlier, later = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for g in np.flatnonzero((firsts > opens) & (ends > firsts)):
+                start, first = int(opens[g]), int(firsts[g])
+                step = max(1, cells // (first - start))
+                sketch = x["parity"][start:first].view(np.uint64)
+                top = int(x["size"][start:first].max())
+                for at in range(first, int(ends[g]), step):
+                    ask = slice(at, min(at + step, int(ends[g])))
+                    # what two sets may differ in is at most so much at the largest size of the part
+                    limit = np.floor((x["size"][ask].astype(np.int64) + top) * (1 - similarity) / (1 + similarity) + 1e-6)
+                    i, j = np.nonzero(np.bitwise_count(x["parity"][ask].view(np.uint64)[:, None] ^ sketch) <= limit[:, None])
+                    i, j = i + at, j + start
+                    good = _may_match(x, i, j, similarity)
+                    i, j = i[good], j[good]
+                    order = [(x[c][i], x[c][j]) for c in ("doc_id", "line", "place")]
+                    before = order[2][1] < order[2][0]
+                    for a, b in (order[1], order[0]):
+                        before = (b < a) | ((b == a) & before)
+                    earlier.append(x["place"][j[before]])
+                    later.append(x["place"][i[before]])
+            last = slice(int(opens[-1]), int(firsts[-1]))
+            held = {c: x[c][last] for c in x} if last.stop > last.start else None
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(earlier)), pa.array(np.concatenate(later))], ["earlier", "later"])
+
+    return run
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -72,6 +72,20 @@ def test_short_reach_loses_nothing(spark):
     assert far == near and far
 
 
+def test_cut_lists_lose_nothing(spark):
+    rows = random_rows(2)
+    rows += [(None, "\n".join(variants(20, 30, 1, 2))), (7, rows[7][1] + "\n" + "\n".join(variants(20, 30, 1, 2)))]
+    narrow = docs(spark, *rows).selectExpr("doc_id", "text", "xxhash64(text) as text_hash")
+    from pyspark.sql import functions as F
+
+    fields = ("doc_id", "line", "place", "text_hash", "size", "parity", "prefix")
+    for similarity in (0.8, 0.6):
+        sets = L.line_sets(narrow, L.rarity(narrow), similarity).groupBy("k1", "k2").agg(F.min(F.struct(*fields)).alias("r")).select("r.*").persist()
+        whole, cut, fine = ({r.later for r in L.near_matches(narrow, sets, similarity, *how).collect()}
+                            for how in ((10 ** 6, 10 ** 6), (2, 1, 4, 1 << 10), (2, 1, 1, 2)))
+        assert whole == cut == fine and whole
+
+
 def test_lists_across_batches():
     rng = np.random.default_rng(0)
     n = 400
