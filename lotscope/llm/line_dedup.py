@@ -41,6 +41,8 @@ COUNTERS, SEGMENT, FILTER_BITS = 1 << 23, 1 << 13, 1 << 26
 REACH, ENOUGH = 512, 2
 #: Lists of more postings are cut by size; a part of one size is cut by hash to about so many postings.
 LONG, PART = 1 << 11, 1 << 13
+#: Of a part, a set is answered with so many of the closest candidates first; if none is similar, with all.
+CLOSEST = 4
 _LINES = 1 << 12  # lines sorted at once
 _TOKEN = np.uint64((1 << 48) - 1)
 _ANY_WORD = re.compile(r"[0-9A-Za-z_]|[^\x00-\x7f]")
@@ -380,7 +382,7 @@ def _compare_lists(similarity: float, reach: int = REACH, enough: int = ENOUGH):
 
 
 def near_matches(docs: DataFrame, sets: DataFrame, similarity: float, reach: int = REACH, enough: int = ENOUGH,
-                 long: int = LONG, part: int = PART) -> DataFrame:
+                 long: int = LONG, part: int = PART, closest: int = CLOSEST) -> DataFrame:
     """Places of the sets (``later``) that have a similar earlier set, with one such (``earlier``) or more."""
     folder = new_folder(docs.sparkSession, "line-near")
     n = sets.count()
@@ -398,9 +400,16 @@ def near_matches(docs: DataFrame, sets: DataFrame, similarity: float, reach: int
     left_over = through_table(made.filter("earlier is null").select(*_POSTING).join(matched.toDF("place"), "place", "left_anti").select(*_POSTING),
                               f"{folder}/open")
     others = made.filter("earlier is not null").select("earlier", "later").join(matched, "later", "left_anti").join(best, ["later", "earlier"], "left_anti").distinct()
-    rest = through_table(others.select("earlier", "later").unionByName(_all_before(sets, left_over, by_band, similarity, part)).distinct(), f"{folder}/rest")
-    found = found.unionByName(verify(docs, rest, similarity, f"{folder}/rest-found"))
-    for name in ("candidates", "best", "open", "rest"):
+    rest = through_table(others.select("earlier", "later").unionByName(_all_before(sets, left_over, by_band, similarity, part, closest)).distinct(), f"{folder}/rest")
+    more = verify(docs, rest.filter("earlier is not null"), similarity, f"{folder}/rest-found")
+    found = found.unionByName(more)
+    again = through_table(rest.filter("earlier is null").select(F.col("later").alias("place"))
+                          .join(more.select(F.col("later").alias("place")).distinct(), "place", "left_anti"), f"{folder}/again")
+    if not again.isEmpty():
+        asks = through_table(left_over.join(again, "place", "left_semi").select(*_POSTING), f"{folder}/open-again")
+        all_ = through_table(_all_before(sets, asks, by_band, similarity, part, None).distinct().join(rest, ["earlier", "later"], "left_anti"), f"{folder}/all")
+        found = found.unionByName(verify(docs, all_, similarity, f"{folder}/all-found"))
+    for name in ("candidates", "best", "open", "rest", "again", "open-again", "all"):
         drop_table(docs.sparkSession, f"{folder}/{name}")
     return found
 
@@ -415,8 +424,9 @@ def _long_band_keys(by_word: np.ndarray, long: int):
     return keys
 
 
-def _all_before(sets: DataFrame, left_over: DataFrame, by_band: np.ndarray, similarity: float, part: int) -> DataFrame:
-    """Candidates (earlier, later) of the postings in ``left_over`` among all before them in their lists.
+def _all_before(sets: DataFrame, left_over: DataFrame, by_band: np.ndarray, similarity: float, part: int, closest: int | None) -> DataFrame:
+    """Candidates (earlier, later) of the postings in ``left_over`` among all before them in their lists; with ``closest``,
+    so many in each part, and (null, later) where there are more.
 
     Every posting of these lists stands in the part of its word, band and hash, those of ``left_over`` ask all parts of
     the bands they can meet.
@@ -453,7 +463,7 @@ def _all_before(sets: DataFrame, left_over: DataFrame, by_band: np.ndarray, simi
 
     both = (sets.select("doc_id", "line", "place", "size", "parity", "prefix").mapInArrow(members, _POSTINGS).withColumn("asks", F.lit(0))
             .unionByName(left_over.mapInArrow(ask, _POSTINGS).withColumn("asks", F.lit(1))))
-    return both.repartition("token").sortWithinPartitions("token", "asks").mapInArrow(_answer(similarity), "earlier bigint, later bigint")
+    return both.repartition("token").sortWithinPartitions("token", "asks").mapInArrow(_answer(similarity, closest), "earlier bigint, later bigint")
 
 
 def _counted(lengths: np.ndarray) -> np.ndarray:
@@ -461,9 +471,10 @@ def _counted(lengths: np.ndarray) -> np.ndarray:
     return (np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.uint64)
 
 
-def _answer(similarity: float, cells: int = 1 << 21):
+def _answer(similarity: float, closest: int | None, cells: int = 1 << 21):
     """Over postings in order of part and ``asks``: candidates (earlier, later) of those that ask among the others of
-    their part. Of the running part, the others are held; about ``cells`` pairs are compared at once."""
+    their part, at most ``closest`` each, those with the nearest sketches; (null, later) says that there are more. Of the
+    running part, the others are held; about ``cells`` pairs are compared at once."""
     def run(batches: Iterator[pa.RecordBatch]):
         held = None
         for batch in _joined(batches, 200_000):
@@ -474,7 +485,7 @@ def _answer(similarity: float, cells: int = 1 << 21):
             opens = group_starts(x["token"])
             ends = np.append(opens[1:], len(x["token"]))
             firsts = opens + np.add.reduceat(1 - x["asks"], opens)  # where those that ask begin
-            earlier, later = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            earlier, later, more = ([np.zeros(0, np.int64)] for _ in range(3))
             for g in np.flatnonzero((firsts > opens) & (ends > firsts)):
                 start, first = int(opens[g]), int(firsts[g])
                 step = max(1, cells // (first - start))
@@ -492,11 +503,20 @@ def _answer(similarity: float, cells: int = 1 << 21):
                     before = order[2][1] < order[2][0]
                     for a, b in (order[1], order[0]):
                         before = (b < a) | ((b == a) & before)
-                    earlier.append(x["place"][j[before]])
-                    later.append(x["place"][i[before]])
+                    i, j = i[before], j[before]
+                    if closest is not None and len(i):
+                        nearest = np.lexsort((np.bitwise_count((x["parity"][i] ^ x["parity"][j]).view(np.uint64)), i))
+                        i, j = i[nearest], j[nearest]
+                        begun = group_starts(i)
+                        rank = np.arange(len(i)) - np.repeat(begun, np.diff(np.append(begun, len(i))))
+                        more.append(x["place"][i[rank == closest]])
+                        i, j = i[rank < closest], j[rank < closest]
+                    earlier.append(x["place"][j])
+                    later.append(x["place"][i])
             last = slice(int(opens[-1]), int(firsts[-1]))
             held = {c: x[c][last] for c in x} if last.stop > last.start else None
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(earlier)), pa.array(np.concatenate(later))], ["earlier", "later"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(np.concatenate(earlier)), pa.nulls(sum(map(len, more)), pa.int64())]),
+                                              pa.array(np.concatenate([*later, *more]))], ["earlier", "later"])
 
     return run
 
