@@ -1,13 +1,15 @@
 """Exact similarity against reference banks, reduced to per-group maxima inside the tasks.
 
-Queries and bank are cut into blocks by a hash of their ids, so no label, year or slogan decides how much work a
-task gets. A task multiplies one query block with one bank block and returns only the best reference per query and
-group; the full similarity matrix never leaves a task.
+Queries are cut into blocks by a hash of their ids, so no label, year or slogan decides how much work a task gets. The
+bank passes by every block once, in order of its groups, so a task returns the final best reference per query and group,
+and neither the similarity matrix nor a partial maximum ever leaves it.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,10 @@ from pyspark.sql import functions as F
 from lotscope import settings as S
 from lotscope.plans.ranked import first_by, top_k
 
-BLOCK = 4096
+BLOCK = 32768  # queries of a task at most
+BLOCKS = 24  # query blocks, that is copies of the bank in the shuffle, until they would hold more than BLOCK queries
+CHUNK = 1024  # references that a task multiplies at a time
+STRIP = 256  # queries that a task multiplies at a time
 DIGITS = 12  # similarities are rounded, so that summation order can never decide a rank
 
 
@@ -37,24 +42,20 @@ def best_sims(queries: DataFrame, bank: DataFrame, groups: list[str], exclude_sa
     if "shift" not in bank.columns:
         bank = bank.withColumn("shift", F.lit(0.0))
     queries, bank = queries.where("embedding is not null"), bank.where("embedding is not null")
-    q_blocks = max(1, math.ceil((queries.count() if n_queries is None else n_queries) / block))
-    b_blocks = max(1, math.ceil(bank.count() / block))
+    n = queries.count() if n_queries is None else n_queries
+    blocks = max(1, math.ceil(n / block), min(BLOCKS, math.ceil(n / STRIP)))
     masks = [c for c in ("years", "wanted") if c in queries.columns]
-    span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select("q", "embedding", *masks, F.pmod(F.xxhash64("q"), F.lit(q_blocks)).cast("int").alias("qb"), span(b_blocks).alias("bb"))
-    b = bank.select("ref_id", *groups, *payload, "shift", "embedding", F.pmod(F.xxhash64("ref_id"), F.lit(b_blocks)).cast("int").alias("bb"),
-                    span(q_blocks).alias("qb"))
+    q = queries.select(F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("qb"), F.lit(False).alias("is_ref"), "q", "embedding", *masks)
+    b = bank.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"), F.lit(True).alias("is_ref"), "ref_id", *groups, *payload, "shift", "embedding")
     fields = [("q", queries), *((g, bank) for g in groups), ("sim", None), ("ref_id", bank), *((p, bank) for p in payload)]
     schema = ", ".join(f"{n} {df.schema[n].dataType.simpleString() if df else 'double'}" for n, df in fields)
 
-    def kernel(left, right):
-        return _segment_maxima(left, right, groups, payload, exclude_same)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _pass_by(batches, groups, payload, exclude_same, min(CHUNK, block)):
+            yield from table.to_batches(10_000)
 
-    parts = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInArrow(kernel, schema)
-    if b_blocks == 1:
-        return parts
-    best = parts.groupBy("q", *groups).agg(F.min(F.struct((-F.col("sim")).alias("low"), "ref_id", *payload)).alias("_b"))
-    return best.select("q", *groups, (-F.col("_b.low")).alias("sim"), "_b.ref_id", *(f"_b.{p}" for p in payload))
+    both = q.unionByName(b, allowMissingColumns=True).repartitionById(blocks, F.col("qb"))
+    return both.sortWithinPartitions("is_ref", *groups, "ref_id").mapInArrow(run, schema)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -62,62 +63,147 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return values.astype("float64").reshape(len(column), -1)
 
 
-def _segment_maxima(left: pa.Table, right: pa.Table, groups: list[str], payload: tuple[str, ...], exclude_same: bool, strip: int = 256) -> pa.Table:
-    """One query block times one bank block. The bank is ordered by group, so a group is a segment of columns and its
-    maximum one step of a segmented reduction over all queries; masks are applied to segments, not to pairs."""
-    names = ["q", *groups, "sim", "ref_id", *payload]
-    if left.num_rows and right.num_rows:
-        right = right.sort_by([(c, "ascending") for c in (*groups, "ref_id")])
-    n, m = left.num_rows, right.num_rows
-    change = np.zeros(max(m - 1, 0), bool)
+def _pass_by(batches: Iterator[pa.RecordBatch], groups: list[str], payload: tuple[str, ...], exclude_same: bool, size: int) -> Iterator[pa.Table]:
+    """Winners of one query block. Its queries come first, then the bank in order of groups and ids, ``size`` references
+    at a time: a group is a segment of columns, and one that goes on in the next chunk is carried there."""
+    names, refs = ["q", *groups, "sim", "ref_id", *payload], ["ref_id", *payload]
+    asking, held, n_held, block = [], [], 0, None
+
+    def chunks() -> Iterator[pa.Table]:
+        nonlocal held, n_held
+        for batch in batches:
+            n_queries = batch.num_rows - pc.sum(batch.column("is_ref")).as_py() if batch.num_rows else 0
+            if n_queries:
+                asking.append(batch.slice(0, n_queries))
+            for lo in range(n_queries, batch.num_rows, size):
+                held.append(batch.slice(lo, size))
+                n_held += held[-1].num_rows
+                if n_held >= size:
+                    yield pa.Table.from_batches(held).select([*groups, *refs, "shift", "embedding"])
+                    held, n_held = [], 0
+        if held:
+            yield pa.Table.from_batches(held).select([*groups, *refs, "shift", "embedding"])
+
+    open_head, open_best, open_refs = None, None, None  # the group that the last chunk ended in
+    for chunk in chunks():
+        if not asking:
+            return
+        if block is None:
+            left = pa.Table.from_batches(asking).combine_chunks()
+            block = left.column("q"), _matrix(left.column("embedding")), _allowed(left, groups)
+        q, vectors, allowed = block
+        starts = _segments(chunk, groups)
+        heads = list(zip(*(chunk.column(g).take(pa.array(starts)).to_pylist() for g in groups))) if groups else [()]
+        asked = [allowed(head) for head in heads]
+        best, first = _segment_maxima(q, vectors, chunk, starts, asked, exclude_same)
+        winners = chunk.select(refs)
+        if heads[0] == open_head:
+            kept = open_best >= best[0]
+            first[0] = np.where(kept, np.arange(len(q)), first[0] + len(q))
+            first[1:] += len(q)
+            best[0] = np.maximum(open_best, best[0])
+            winners = pa.concat_tables([open_refs, winners])
+        elif open_head is not None:
+            yield _won(q, [open_head], open_best[None], np.arange(len(q))[None], open_refs, groups, chunk.schema).select(names)
+        done = len(heads) - 1
+        if done:
+            yield _won(q, heads[:done], best[:done], first[:done], winners, groups, chunk.schema).select(names)
+        open_head, open_best, open_refs = heads[-1], best[-1], winners.take(pa.array(first[-1]))
+    if open_head is not None:
+        yield _won(q, [open_head], open_best[None], np.arange(len(q))[None], open_refs, groups, chunk.schema).select(names)
+
+
+def _segments(chunk: pa.Table, groups: list[str]) -> np.ndarray:
+    """Where a group begins among the rows of a chunk."""
+    change = np.zeros(chunk.num_rows - 1, bool)
     for g in groups:
-        col = right.column(g).combine_chunks()
-        change |= pc.fill_null(pc.not_equal(col.slice(1), col.slice(0, max(m - 1, 0))), True).to_numpy(zero_copy_only=False)
-    starts = np.concatenate([[0], np.flatnonzero(change) + 1]) if m else np.zeros(0, np.int64)
-    of, rows, segments, sims, refs = np.repeat(np.arange(len(starts)), np.diff([*starts, m])) if m else starts, [], [], [], []
-    heads = right.select(groups).take(pa.array(starts)) if m else right.select(groups)
-    allowed = _allowed(left, heads, groups)
-    if n and m:
-        a, b, shift = _matrix(left.column("embedding")), _matrix(right.column("embedding")).T, right.column("shift").to_numpy()
-        same = (left.column("q").to_numpy(), right.column("ref_id").to_numpy()) if exclude_same else None
-        for lo in range(0, n, strip):
-            at = slice(lo, min(lo + strip, n))
-            found = np.round(a[at] @ b + shift, DIGITS)
-            if same:
-                found[same[0][at][:, None] == same[1][None, :]] = -np.inf
-            best = np.maximum.reduceat(found, starts, axis=1)
-            first = np.minimum.reduceat(np.where(found == best[:, of], np.arange(m), m), starts, axis=1)
-            row, seg = np.nonzero(np.isfinite(best) & (allowed[at] if allowed is not None else True))
-            rows.append(row + lo), segments.append(seg), sims.append(best[row, seg]), refs.append(first[row, seg])
-    none = np.zeros(0, np.int64)
-    rows, segments, refs = (np.concatenate([none, *x]) for x in (rows, segments, refs))
-    columns = {"q": left.column("q").take(pa.array(rows)), "sim": pa.array(np.concatenate([np.zeros(0), *sims])),
-               **{c: right.column(c).take(pa.array(refs)) for c in ("ref_id", *payload)}, **{g: heads.column(g).take(pa.array(segments)) for g in groups}}
-    return pa.table({c: columns[c] for c in names})
-
-
-def _allowed(left: pa.Table, heads: pa.Table, groups: list[str]) -> np.ndarray | None:
-    """Which groups (``heads``, one row each) each query may match; None is all."""
-    out = None
+        col = chunk.column(g).combine_chunks()
+        a, b = col.slice(1), col.slice(0, chunk.num_rows - 1)
+        change |= pc.fill_null(pc.not_equal(a, b), pa.scalar(False)).to_numpy(zero_copy_only=False)
+        change |= pc.not_equal(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.flatnonzero(change) + 1])
+
+
+def _segment_maxima(q: pa.ChunkedArray, vectors: np.ndarray, chunk: pa.Table, starts: np.ndarray, asked: list[np.ndarray | None],
+                    exclude_same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rounded maximum of every segment and query (-inf: none) and the first row that reaches it. Only queries that ask
+    for a segment of the chunk are multiplied."""
+    n, ends = len(vectors), [*starts[1:], chunk.num_rows]
+    best, first = np.full((len(starts), n), -np.inf), np.zeros((len(starts), n), np.int32)
+    rows = np.arange(n) if any(a is None for a in asked) else np.flatnonzero(np.logical_or.reduce(asked))
+    bank, shift = _matrix(chunk.column("embedding")).T, chunk.column("shift").to_numpy()
+    own = _own_rows(q, chunk.column("ref_id")) if exclude_same else {}
+    for lo in range(0, len(rows), STRIP):
+        at = rows[lo:lo + STRIP]
+        found = vectors[at] @ bank
+        if shift.any():
+            found += shift
+        for k, row in enumerate(at):
+            if row in own:
+                found[k, own[row]] = -np.inf
+        for s, (a, b) in enumerate(zip(starts, ends)):
+            part = found[:, a:b]
+            top = np.round(part.max(axis=1), DIGITS)
+            near = (part >= (top - 2 * 10.0 ** -DIGITS)[:, None]).argmax(axis=1)
+            late = np.flatnonzero(np.round(part[np.arange(len(at)), near], DIGITS) != top)  # nearly as good, but not after rounding
+            if len(late):
+                near[late] = (np.round(part[late], DIGITS) == top[late, None]).argmax(axis=1)
+            best[s, at], first[s, at] = top, near + a
+    for s, mask in enumerate(asked):
+        if mask is not None:
+            best[s, ~mask] = -np.inf
+    return best, first
+
+
+def _own_rows(q: pa.ChunkedArray, ref_ids: pa.ChunkedArray) -> dict[int, list[int]]:
+    """Rows of a chunk that are a query's own vector, by the number of the query."""
+    place, own = defaultdict(list), defaultdict(list)
+    among = np.flatnonzero(pc.is_in(q, value_set=ref_ids.combine_chunks()).to_numpy())
+    for k, name in zip(among, q.take(pa.array(among)).to_pylist()):
+        place[name].append(k)
+    back = np.flatnonzero(pc.is_in(ref_ids, value_set=q.combine_chunks()).to_numpy())
+    for row, name in zip(back, ref_ids.take(pa.array(back)).to_pylist()):
+        for k in place[name]:
+            own[k].append(row)
+    return own
+
+
+def _won(q: pa.ChunkedArray, heads: list[tuple], best: np.ndarray, first: np.ndarray, winners: pa.Table, groups: list[str], schema: pa.Schema) -> pa.Table:
+    """One row per query and group that has a reference."""
+    segment, row = np.nonzero(np.isfinite(best))
+    columns = {"q": q.take(pa.array(row)), "sim": pa.array(best[segment, row])}
+    for g, values in zip(groups, zip(*heads)):
+        columns[g] = pa.array(values, schema.field(g).type).take(pa.array(segment))
+    taken = winners.take(pa.array(first[segment, row]))
+    return pa.table(columns | {c: taken.column(c) for c in winners.column_names})
+
+
+def _allowed(left: pa.Table, groups: list[str]) -> Callable[[tuple], np.ndarray | None]:
+    """Which queries may match a group, by the group's values; None is all."""
+    n, tests = left.num_rows, []
+
+    def rows_by(lists: pa.ListArray, names: list) -> dict:
+        places = defaultdict(list)
+        for name, row in zip(names, pc.list_parent_indices(lists).to_pylist()):
+            places[name].append(row)
+        return {name: np.array(rows) for name, rows in places.items()}
+
+    def test(places: dict, free: np.ndarray, of: Callable[[tuple], object]) -> Callable[[tuple], np.ndarray]:
+        def mask(head: tuple) -> np.ndarray:
+            out = free.copy()
+            out[places.get(of(head), np.zeros(0, np.int64))] = True
+            return out
+        return mask
+
     if "years" in left.column_names and "year" in groups:
-        asked = left.column("years").combine_chunks()
-        distinct, of = np.unique(heads.column("year").to_numpy(zero_copy_only=False), return_inverse=True)
-        year, row = asked.flatten().to_numpy(zero_copy_only=False), pc.list_parent_indices(asked).to_numpy()
-        known = np.isin(year, distinct)
-        grid = np.zeros((left.num_rows, len(distinct)), bool)
-        grid[row[known], np.searchsorted(distinct, year[known])] = True
-        grid[~asked.is_valid().to_numpy(zero_copy_only=False)] = True
-        out = grid[:, of]
+        lists, at = left.column("years").combine_chunks(), groups.index("year")
+        tests.append(test(rows_by(lists, lists.flatten().to_pylist()), ~lists.is_valid().to_numpy(zero_copy_only=False), lambda head: head[at]))
     if "wanted" in left.column_names:
-        place = {tuple(r.values()): i for i, r in enumerate(heads.to_pylist())}
-        grid = np.zeros((left.num_rows, heads.num_rows), bool)
-        for i, names in enumerate(left.column("wanted").to_pylist()):
-            for w in names or ():
-                j = place.get(tuple(w[g] for g in groups))
-                if j is not None:
-                    grid[i, j] = True
-        out = grid if out is None else out & grid
-    return out
+        lists = left.column("wanted").combine_chunks()
+        named = lists.flatten()
+        names = list(zip(*(named.field(g).to_pylist() for g in groups)))
+        tests.append(test(rows_by(lists, names), np.zeros(n, bool), lambda head: head))
+    return lambda head: np.logical_and.reduce([t(head) for t in tests]) if tests else None
 
 
 def asking(queries: DataFrame, wanted: DataFrame, groups: list[str]) -> DataFrame:

@@ -348,3 +348,19 @@ def test_most_shared(spark, rare, block):
     assert sorted(map(tuple, most_shared(df, df, 3, rare, block).collect())) == sorted(brute(pool, pool, 3))
     assert sorted(map(tuple, most_shared(df, made(asked), 4, rare, block).collect())) == sorted(brute(asked, pool, 4))
     assert most_shared(made([]), made(asked), 4, rare, block).count() == 0
+def test_a_bank_passes_every_query_block_once(spark):
+    """One shuffle and no partial maxima, however many references there are; a group without a name is one group."""
+    rnd = np.random.default_rng(3)
+    bank = [(i, None if i % 3 == 0 else i % 3, [float(x) for x in rnd.integers(-3, 4, 4)]) for i in range(3000)]
+    b = spark.createDataFrame(bank, "ref_id bigint, year int, embedding array<float>")
+    q = b.where("ref_id < 700").select(F.col("ref_id").alias("q"), "embedding")
+    out = vectors.best_sims(q, b, ["year"], exclude_same=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+    sims = np.array([v for *_, v in bank])[:700] @ np.array([v for *_, v in bank]).T
+    np.fill_diagonal(sims, -np.inf)
+    for r in (got := out.collect()):
+        place = [i for i in range(3000) if bank[i][1] == r.year]
+        best = sims[r.q, place]
+        assert (r.sim, r.ref_id) == (best.max(), place[int(best.argmax())])
+    assert len(got) == 2100
