@@ -73,10 +73,27 @@ def spacing_radius(marks: DataFrame, w: float, h: float) -> DataFrame:
 
 # --- bands and layout ----------------------------------------------------------------------------------------
 
-def banded(marks: DataFrame, col: str, name: str = "band") -> DataFrame:
+def _kind(marks: DataFrame) -> str:
+    return "job " + marks.schema["job"].dataType.simpleString()
+
+
+def _doubles(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.withColumns({n: F.col(n).cast("double") for n in names})
+
+
+def banded(marks: DataFrame, col: str, name: str = "band", small: int = spatial.SMALL) -> DataFrame:
     """Marks with the number of their band along a coordinate. A new band starts after a gap wider than 1.5 times
-    the job's median gap and 1.5 median radii. Equal coordinates are one place with a count, and places are ordered
-    in one-pixel blocks, so a crowded job spreads over many tasks."""
+    the job's median gap and 1.5 median radii. Ordinary pages are folded."""
+    few, large = spatial.split_pages(marks, small)
+    rows = few.select("job", *[c for c in few.columns if c != "job"])
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + f", {name} bigint"
+    out = folds.fold_pages(rows, [], folds.band(rows.columns.index(col), rows.columns.index("r")), schema)
+    return out if large is None else out.unionByName(_banded_large(marks.join(large, "job", "left_semi"), col, name))
+
+
+def _banded_large(marks: DataFrame, col: str, name: str) -> DataFrame:
+    """Equal coordinates are one place with a count, and places are ordered in one-pixel blocks, so a crowded job
+    spreads over many tasks."""
     places = marks.groupBy("job", F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     block = F.floor("v")
     steps = cut_lineage(running(places, ["job"], [F.asc("v")], block, {"prev": (F.col("v"), "max")}, inclusive=False)
@@ -98,12 +115,19 @@ def bands(marks: DataFrame, col: str) -> DataFrame:
 
 def gridded(marks: DataFrame) -> DataFrame:
     """Marks with their row and column band, materialised because several steps read them."""
-    return cut_lineage(banded(cut_lineage(banded(marks, "y", "row")), "x", "col"))
+    return cut_lineage(_banded_large(cut_lineage(_banded_large(marks, "y", "row")), "x", "col"))
+
 
+def layout(marks: DataFrame, small: int = spatial.SMALL) -> DataFrame:
+    """Rows, columns, share of marks near a grid crossing, and outliers. Ordinary pages are folded."""
+    few, large = spatial.split_pages(marks, small)
+    out = folds.fold_pages(_doubles(few.select("job", "x", "y", "r"), "x", "y", "r"), [], folds.layout,
+                           f"{_kind(marks)}, est_rows bigint, est_cols bigint, layout_conf double, outliers bigint")
+    return out if large is None else out.unionByName(_layout_large(marks.join(large, "job", "left_semi")))
 
-def layout(marks: DataFrame) -> DataFrame:
-    """Rows, columns, share of marks near a grid crossing, and outliers. The nearest band centre of a mark is that
-    of its own band or of a neighbour, so each mark meets three centres per axis."""
+
+def _layout_large(marks: DataFrame) -> DataFrame:
+    """The nearest band centre of a mark is that of its own band or of a neighbour, so each mark meets three centres per axis."""
     both = gridded(marks)
 
     def with_distance(df, band, col, out):
@@ -130,9 +154,16 @@ def reading_order(marks: DataFrame) -> DataFrame:
     return inside.join(before, ["job", "row"]).withColumn("position", F.col("_n") + F.col("_before")).drop("_n", "_before")
 
 
-def grid_holes(marks: DataFrame) -> DataFrame:
+def grid_holes(marks: DataFrame, small: int = spatial.SMALL) -> DataFrame:
     """Empty cells with marks on both sides in their row, on regular grids (every mark within half a median radius
-    of its column centre). Columns are the x bands, so each is occupied by some row."""
+    of its column centre). Columns are the x bands, so each is occupied by some row. Ordinary pages are folded."""
+    few, large = spatial.split_pages(marks, small)
+    out = folds.fold_pages(_doubles(few.select("job", "x", "y", "r"), "x", "y", "r"), [], folds.holes,
+                           f"{_kind(marks)}, row bigint, col bigint, cx double, cy double")
+    return out if large is None else out.unionByName(_holes_large(marks.join(large, "job", "left_semi")))
+
+
+def _holes_large(marks: DataFrame) -> DataFrame:
     grid = gridded(marks)
     cols = grid.groupBy("job", "col").agg(F.avg("x").alias("cx"))
     rows = grid.groupBy("job", "row").agg(F.avg("y").alias("cy"), F.min("col").alias("lo"), F.max("col").alias("hi"))
@@ -152,8 +183,24 @@ def associate(marks: DataFrame, readings: DataFrame) -> DataFrame:
     return linked.withColumn("anchored", geo.is_anchored(F.col("d"), F.col("r")))
 
 
-def covered(marks: DataFrame, readings: DataFrame, factor: float = 1.0) -> DataFrame:
-    """Links no longer than ``factor`` median radii; of any length on pages without a positive radius."""
+def _sides(marks: DataFrame, readings: DataFrame, *more: str) -> DataFrame:
+    """Marks (side 0) and readings (side 1) of the pages, as the folds read them."""
+    rows = [d.select("job", F.lit(k).alias("side"), F.col("i").cast("long").alias("i"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "r")], *more)
+            for k, d in enumerate((marks, readings))]
+    return rows[0].unionByName(rows[1])
+
+
+def covered(marks: DataFrame, readings: DataFrame, factor: float = 1.0, small: int = spatial.SMALL) -> DataFrame:
+    """Links no longer than ``factor`` median radii; of any length on pages without a positive radius. Ordinary pages
+    are folded."""
+    if "r" not in readings.columns:
+        readings = readings.withColumn("r", F.lit(None).cast("double"))
+    few, large = spatial.split_pages(_sides(marks, readings), small)
+    out = folds.fold_pages(few, [], folds.cover(factor), f"{_kind(marks)}, i bigint, j bigint, d double")
+    return out if large is None else out.unionByName(_covered_large(*[d.join(large, "job", "left_semi") for d in (marks, readings)], factor))
+
+
+def _covered_large(marks: DataFrame, readings: DataFrame, factor: float = 1.0) -> DataFrame:
     limit = median_radius(marks).where("median_r > 0").select("job", (F.col("median_r") * factor).alias("limit"))
     return spatial.match_points(marks, readings.withColumnRenamed("i", "j"), limit)
 
@@ -163,10 +210,18 @@ def matchable(marks: DataFrame, readings: DataFrame) -> DataFrame:
     return median_radius(marks).where("median_r > 0").select("job").join(readings.select("job").distinct(), "job", "left_semi")
 
 
-def reconcile(marks: DataFrame, readings: DataFrame) -> DataFrame:
+def reconcile(marks: DataFrame, readings: DataFrame, small: int = spatial.SMALL) -> DataFrame:
     """Plan per job: ``covered`` pairs; ``recovered`` readings, as many as marks are missing, farthest first;
-    unbacked off-mask marks ``dropped``, each ``swapped`` for a confident uncovered reading while there is one."""
-    links = cut_lineage(covered(marks, readings))
+    unbacked off-mask marks ``dropped``, each ``swapped`` for a confident uncovered reading while there is one.
+    Ordinary pages are folded."""
+    few, large = spatial.split_pages(_sides(marks, readings, "fill", "confidence"), small)
+    out = folds.fold_pages(few, [], folds.plan(S.SWAP_OFF_MASK, S.SWAP_MIN_CONFIDENCE),
+                           f"{_kind(marks)}, action string, i bigint, j bigint")
+    return out if large is None else out.unionByName(_reconcile_large(*[d.join(large, "job", "left_semi") for d in (marks, readings)]))
+
+
+def _reconcile_large(marks: DataFrame, readings: DataFrame) -> DataFrame:
+    links = cut_lineage(_covered_large(marks, readings))
     free_marks = marks.join(links, ["job", "i"], "left_anti")
     free = readings.join(links.select("job", F.col("j").alias("i")), ["job", "i"], "left_anti")
     away = spatial.nearest(free, marks)
@@ -292,6 +347,18 @@ def low_res_guard(marks: DataFrame) -> DataFrame:
     return marks.withColumn("guard", geo.low_res_guard(F.col("r")))
 
 
+def label_pages(marks: DataFrame, readings: DataFrame, part_size: int = 1000, small: int = spatial.SMALL) -> DataFrame:
+    """Label records of marks matched with readings (``build_labels`` over ``covered``). Ordinary pages are folded."""
+    few, large = spatial.split_pages(_sides(marks, readings.withColumn("source", F.lit(None).cast("string")), "source"), small)
+    circle = "struct<i: bigint, shape: string, x: int, y: int, r: int, source: string, reader_backed: boolean>"
+    out = folds.fold_pages(few, [], folds.label(part_size), f"{_kind(marks)}, part bigint, circles array<{circle}>")
+    out = out.select(F.lit(S.LABEL_SCHEMA).alias("schema"), "job", "part", label_name(F.col("job").cast("string")).alias("name"), "circles")
+    if large is None:
+        return out
+    of = [d.join(large, "job", "left_semi") for d in (marks, readings)]
+    return out.unionByName(build_labels(of[0], cut_lineage(_covered_large(*of)), of[1], part_size))
+
+
 def build_labels(marks: DataFrame, links: DataFrame, readings: DataFrame, part_size: int = 1000) -> DataFrame:
     """Label records: the marks of a job with shape, source and whether a reading backs them, in parts of at most
     ``part_size`` marks so that a crowded page never has to fit one task. The flag is NULL where matching could not

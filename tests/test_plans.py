@@ -364,3 +364,24 @@ def test_a_bank_passes_every_query_block_once(spark):
         best = sims[r.q, place]
         assert (r.sim, r.ref_id) == (best.max(), place[int(best.argmax())])
     assert len(got) == 2100
+
+
+def test_folded_pages_equal_those_on_many_tasks(spark):
+    """Bands, layout, holes, links, plans and labels of ordinary pages, folded in one stage, and as larger pages get them."""
+    rnd = random.Random(12)
+    rows = []
+    for job in range(30):
+        n = rnd.choice([0, 1, 2, 5, 9, 30])
+        grid = [(rnd.randint(0, 1) + 90.0 * (k % 4), 80.0 * (k // 4) + rnd.randint(0, 1)) for k in range(n) if rnd.random() < 0.8 or k % 4 in (0, 3)]
+        rows += [(job, i, x, y, 0.0 if job % 7 == 0 else 20.0 + rnd.random(), rnd.random(), rnd.random(), "s") for i, (x, y) in enumerate(grid)]
+    a = spark.createDataFrame(rows, "job bigint, i bigint, x double, y double, r double, fill double, confidence double, source string")
+    read = [(j, i, x + rnd.randint(-9, 9), y + rnd.randint(-30, 30), r, f, None if i % 5 == 0 else cf) for j, i, x, y, r, f, cf, _ in rows if rnd.random() < 0.7]
+    read += [(j, 100 + k, 500.0 * k, 5.0, 9.0, 0.1, 0.9) for j in (1, 2, 40) for k in range(4)]
+    b = spark.createDataFrame(read, "job bigint, i bigint, x double, y double, r double, fill double, confidence double")
+    r = lambda v: round(v, 9) if isinstance(v, float) else v
+    for run in (lambda n: mk.banded(a, "x", small=n), lambda n: mk.layout(a, small=n), lambda n: mk.grid_holes(a, small=n), lambda n: mk.covered(a, b, small=n),
+                lambda n: mk.reconcile(a, b, small=n).select("job", "action", "i", "j"), lambda n: mk.label_pages(a, b, 4, small=n)):
+        folded, spread = run(256), run(0)
+        assert folded.count() and sorted(folded.columns) == sorted(spread.columns)
+        got, want = [sorted((tuple(map(r, row)) for row in df.select(*folded.columns).collect()), key=str) for df in (folded, spread)]
+        assert got == want
