@@ -325,7 +325,5 @@ select 'detect_labels.v1' as schema, job, 0::bigint as part, 'pipeline/labels/'
   cast(trunc(x) as int) as x, cast(trunc(y) as int) as y, cast(trunc(r) as int) as r, status as source, case when known.job is not null then j is not null end as reader_backed
 from m left join pairs using (job, i) left join known using (job)"""))
 def s18(t):
-    from lotscope.plans.lineage import cut_lineage
-    links = cut_lineage(mk.covered(marks(t), readings(t)))
-    out = mk.build_labels(marks(t).withColumn("source", c("status")), links, readings(t))
+    out = mk.label_pages(marks(t).withColumn("source", c("status")), readings(t))
     return out.select("schema", "job", "part", "name", F.explode("circles").alias("m")).select("schema", "job", "part", "name", "m.*")
