@@ -27,11 +27,12 @@ def ranked_candidates(cands: DataFrame, keep: int = 10) -> DataFrame:
 
 
 def agreeing(ranked: DataFrame, readings: DataFrame) -> DataFrame:
-    """Candidates whose slogan is the one the second reader saw on the same crop."""
+    """Candidates whose slogan is the one the second reader saw on the same crop. Both sides are dealt by crop already,
+    and a crop has ten candidates at most, so the keys are compared after they met."""
     left = ranked.withColumn("key", tx.normalize_key(F.col("slogan")))
-    right = readings.select(*CROP, tx.normalize_key(F.col("slogan")).alias("key"), F.col("slogan").alias("reading"),
+    right = readings.select(*CROP, tx.normalize_key(F.col("slogan")).alias("_key"), F.col("slogan").alias("reading"),
                             "confidence", "flagged", "anchored", "printed_year")
-    return left.join(right, [*CROP, "key"])
+    return left.join(right, CROP).where("key = _key").drop("_key")
 
 
 def _gate() -> Column:
@@ -71,9 +72,24 @@ def resolve_pass2(agree: DataFrame, pass1: DataFrame) -> DataFrame:
     return per_crop.select(*CROP, pick.alias("pick"), "auto", source.alias("source")).select(*CROP, "pick.*", "auto", "source")
 
 
+def read_crops(cands: DataFrame, readings: DataFrame) -> DataFrame:
+    """Candidates that lead their crop (two) or that the second reader agrees with (``agrees``), written once: tops and
+    both passes read them, so that candidates and readings are dealt by crop a single time."""
+    ranked = ranked_candidates(cands).withColumn("key", tx.normalize_key(F.col("slogan")))
+    right = readings.select(*CROP, tx.normalize_key(F.col("slogan")).alias("_key"), "confidence", "flagged", "anchored", "printed_year")
+    met = ranked.join(right, CROP, "left").withColumn("agrees", F.coalesce(F.col("key") == F.col("_key"), F.lit(False)))
+    used = ["year", "slogan", "type", "overall", "rank", "game_year", "printed_year", "confidence", "flagged", "anchored", "agrees"]
+    return cut_lineage(met.where("agrees or rank <= 2").select(*CROP, *used))
+
+
 def resolve(cands: DataFrame, readings: DataFrame) -> DataFrame:
     """Both passes: one row per crop on which the two readers agree."""
-    agree = cut_lineage(agreeing(ranked_candidates(cands), readings))  # both passes read it, the second one three times
+    return resolve_read(read_crops(cands, readings))
+
+
+def resolve_read(rows: DataFrame) -> DataFrame:
+    """Both passes over the rows of :func:`read_crops`."""
+    agree = rows.where("agrees")
     first = resolve_pass1(agree)
     return first.unionByName(resolve_pass2(agree, first))
 
@@ -92,10 +108,14 @@ def resolve_telemetry(cands: DataFrame, readings: DataFrame) -> DataFrame:
 
 def crop_tops(cands: DataFrame) -> DataFrame:
     """Leading candidate of each crop and its lead over the second."""
-    two = top_k(cands, CROP, best_first(), 2)
+    return lead(top_k(cands, CROP, best_first(), 2))
+
+
+def lead(ranked: DataFrame) -> DataFrame:
+    """Leading candidate and lead of each crop from the first two ``ranked`` ones."""
     at = lambda i: F.max(F.when(F.col("rank") == i, F.col("overall")))
     lead = F.max(F.when(F.col("rank") == 1, F.struct("year", "slogan", "type", "overall")))
-    return two.groupBy(*CROP).agg(lead.alias("t"), (at(1) - at(2)).alias("gap")).select(*CROP, "t.*", "gap")
+    return ranked.where("rank <= 2").groupBy(*CROP).agg(lead.alias("t"), (at(1) - at(2)).alias("gap")).select(*CROP, "t.*", "gap")
 
 
 def classify(tops: DataFrame, resolution: DataFrame, reader_ok: Column) -> DataFrame:

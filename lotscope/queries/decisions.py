@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lotscope.functions import numbers as nm
 from lotscope.operators import decide, rules
+from lotscope.plans.lineage import cut_lineage
 from lotscope.queries.market import scan_records
 from lotscope.queries.registry import query
 from lotscope.queries.rules import FAMILIES, NAME, RULES, edition_name, registry, rule_table
@@ -56,8 +57,14 @@ def tops(t):
     return decide.crop_tops(t.view("v_cand"))
 
 
+def classed_and_resolved(t):
+    rows = decide.read_crops(t.view("v_cand"), t.view("v_reading"))
+    resolved = cut_lineage(decide.resolve_read(rows))  # one row per crop; staging reads it once more
+    return decide.classify(decide.lead(rows), resolved, c("job") % 5 != 0), resolved
+
+
 def classed(t):
-    return decide.classify(tops(t), resolution(t), c("job") % 5 != 0)
+    return classed_and_resolved(t)[0]
 
 
 R = ["job", "crop", "year", "slogan", "type", "matched_rank", "auto", "source"]
@@ -230,9 +237,14 @@ STAGED = CLASSED + """, real as (select job, crop from v_cand group by 1,2 havin
 staged as (select * from classed join real using (job, crop) where label='confirmed' and overall>=0.5 and exists (select 1 from res where res.job=classed.job and res.crop=classed.crop and res.auto))"""
 
 
+def staged(t):
+    classified, resolved = classed_and_resolved(t)
+    return decide.staging_candidates(classified, real_marks(t), resolved).select("job", "crop", "year", "slogan")
+
+
 @query("p12_staging_candidates", dec(STAGED + " select job, crop, year, slogan from staged"))
 def p12(t):
-    return decide.staging_candidates(classed(t), real_marks(t), resolution(t)).select("job", "crop", "year", "slogan")
+    return staged(t)
 
 
 @query("s20_promotion_manifest", on("v_cand", "v_reading", "v_catalogue", body="").rstrip() + STAGED + f""",
@@ -242,8 +254,7 @@ select job, crop, 'crops/' || job || '/' || crop || '.jpg' as source_name, coale
 from staged s left join ids on ids.year=s.year and ids.key={expr(KEY, 's.slogan')}""")
 def s20(t):
     cat = t.view("v_catalogue").withColumn("slogan", F.split_part("slogan", F.lit(" "), F.lit(2)))
-    staged = decide.staging_candidates(classed(t), real_marks(t), resolution(t)).select("job", "crop", "year", "slogan")
-    named = rules.entry_id(staged, cat).withColumn("source_name", F.concat(F.lit("crops/"), "job", F.lit("/"), "crop", F.lit(".jpg")))
+    named = rules.entry_id(staged(t), cat).withColumn("source_name", F.concat(F.lit("crops/"), "job", F.lit("/"), "crop", F.lit(".jpg")))
     return decide.promotion_manifest(named, 1700000000000).select("job", "crop", "source_name", "entry", "dest")
 
 

@@ -385,3 +385,17 @@ def test_folded_pages_equal_those_on_many_tasks(spark):
         assert folded.count() and sorted(folded.columns) == sorted(spread.columns)
         got, want = [sorted((tuple(map(r, row)) for row in df.select(*folded.columns).collect()), key=str) for df in (folded, spread)]
         assert got == want
+
+
+def test_crops_are_read_once_for_tops_and_resolution(spark):
+    import __spark_entry__ as entry
+    from lotscope.bindings import Tables
+    from lotscope.operators import decide
+    folder = "/root/testdata/sf0.001"
+    plan = entry.queries()["p12_staging_candidates"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "l_quantity" not in plan  # scores were read when the crops were written
+    t = Tables(spark, folder)
+    rows = decide.read_crops(t.view("v_cand"), t.view("v_reading"))
+    for got, want in ((decide.lead(rows), decide.crop_tops(t.view("v_cand"))), (rows.where("agrees").select("job", "crop", "rank"), decide.agreeing(
+            decide.ranked_candidates(t.view("v_cand")), t.view("v_reading")).select("job", "crop", "rank"))):
+        assert got.count() and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
