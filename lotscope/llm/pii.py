@@ -198,15 +198,26 @@ def places_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Number of different texts that hold each of ``terms`` (term, unique, and ``most``): term, n_texts; none for terms of
-    more than ``most`` texts.
+    more than ``most`` texts."""
+    held = tasks_counts(docs, terms).groupBy("term", "text_hash").agg(F.sum("n").alias("n"), F.bool_or("out").alias("out"))
+    counted = held.groupBy("term").agg(F.sum(F.when(F.col("text_hash").isNull(), F.col("n")).otherwise(1)).alias("n_texts"), F.bool_or("out").alias("out"))
+    return counted.filter(~F.col("out")).join(terms, "term").filter(F.col("n_texts") <= F.col("most")).select("term", "n_texts")
+
+
+def tasks_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """What tasks find of ``terms``: text_hash, term, n, out; ``n`` texts without copies, or the one that is named.
 
     Terms are told apart by the least of BOUNDS that is not below ``most``, with a filter each. A term that more different
-    texts hold among those that a task has at a time (HELD_TERMS) is passed on once, without a text, and is out.
+    texts hold among those that a task has at a time (HELD_TERMS) is passed on once and is out. Texts that stand in one row
+    are counted there, a row per term; only texts with copies are passed on by name, and those that the filter of copies
+    takes in by mistake.
     """
     bounds = np.array([*BOUNDS, np.inf])
     level = sum(((F.col("most") > b).cast("int") for b in BOUNDS), F.lit(0))
     places = terms.select(F.col("term").alias("place"), level.alias("level"))
     shared = docs.sparkSession.sparkContext.broadcast([wanted_filter(places.filter(F.col("level") == i)) for i in range(len(bounds))])
+    copied = docs.groupBy(F.col("text_hash").alias("place")).count().filter("count > 1").select("place")
+    copies = docs.sparkSession.sparkContext.broadcast(wanted_filter(copied))
 
     def levels(hashes: np.ndarray) -> np.ndarray:
         """Number of the last filter that a hash is in, or -1."""
@@ -222,11 +233,16 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (text[1:] != text[:-1])
         text, term = text[new], term[new]
-        some, first, counts = np.unique(term, return_index=True, return_counts=True)
-        frequent = np.repeat(counts > bounds[levels(some.view(np.uint64))], counts)
-        once = frequent & np.isin(np.arange(len(term)), first)
-        keep = ~frequent | once
-        return pa.RecordBatch.from_arrays([pa.array(text[keep], mask=once[keep]), pa.array(term[keep])], ["text_hash", "term"])
+        some, counts = np.unique(term, return_counts=True)
+        out = counts > bounds[levels(some.view(np.uint64))]
+        frequent = np.repeat(out, counts)
+        named = ~frequent & in_filter(copies.value, text.view(np.uint64))
+        alone = np.bincount(np.repeat(np.arange(len(some)), counts)[~frequent & ~named], minlength=len(some))
+        told = out | (alone > 0)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([np.zeros(int(told.sum()), np.int64), text[named]]), mask=np.repeat([True, False], [told.sum(), named.sum()])),
+             pa.array(np.concatenate([some[told], term[named]])), pa.array(np.concatenate([alone[told], np.ones(int(named.sum()), np.int64)])),
+             pa.array(np.concatenate([out[told], np.zeros(int(named.sum()), bool)]))], ["text_hash", "term", "n", "out"])
 
     def run(batches: Iterator[pa.RecordBatch]):
         texts, found, held = [], [], 0
@@ -241,9 +257,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 texts, found, held = [], [], 0
         yield flush(texts, found)
 
-    held = docs.select("text", "text_hash").mapInArrow(run, "text_hash bigint, term bigint").distinct()
-    counted = held.groupBy("term").agg(F.count("text_hash").alias("n_texts"), F.bool_or(F.col("text_hash").isNull()).alias("out"))
-    return counted.filter(~F.col("out")).join(terms, "term").filter(F.col("n_texts") <= F.col("most")).select("term", "n_texts")
+    return docs.select("text", "text_hash").mapInArrow(run, "text_hash bigint, term bigint, n bigint, out boolean")
 
 
 def disclosures(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, least_texts: int = LEAST_TEXTS) -> DataFrame:

@@ -132,3 +132,15 @@ def test_frequent_terms_are_left_out_wherever_they_are_counted(spark):
         lists = pii.terms_of(rows, rows.select("text_hash").distinct(), limit).collect()
         left = Counter(t for r in lists for t in r.terms)
         assert len(lists) == len(texts) and all(left[names[w]] == n for w, n in counts.items() if n <= limit)
+
+
+def test_texts_without_copies_are_counted_in_their_task(spark):
+    """A row per term and task, however many texts; a text with copies counts once wherever they stand."""
+    texts = [f"w{i} common{i % 5} of{i % 2}" for i in range(400)] + ["twin common1 of0"] * 6
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("text_hash", F.xxhash64("text")).repartition(4)
+    words = ["common0", "common1", "of0"]
+    names = dict(zip(words, pii._hashes(" ".join(words), [(0, 7), (8, 15), (16, 19)]).view("int64").tolist()))
+    terms = spark.createDataFrame([(h, 1e9) for h in names.values()], "term bigint, most double")
+    assert pii.tasks_counts(rows, terms).where("text_hash is null").count() <= 3 * 4
+    assert pii.tasks_counts(rows, terms).count() <= 3 * 4 + 2 * 6 + 12
+    assert {r.term: r.n_texts for r in pii.term_counts(rows, terms).collect()} == {names["common0"]: 80, names["common1"]: 81, names["of0"]: 201}
