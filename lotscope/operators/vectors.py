@@ -1,8 +1,10 @@
 """Exact similarity against reference banks, reduced to per-group maxima inside the tasks.
 
-Queries are cut into blocks by a hash of their ids, so no label, year or slogan decides how much work a task gets. The
-bank passes by every block once, in order of its groups, so a task returns the final best reference per query and group,
-and neither the similarity matrix nor a partial maximum ever leaves it.
+Queries are cut into blocks by a hash of their ids, the bank into parts that hold whole groups and are alike in size; a
+task has one block and one part. With few blocks and few parts a vector is copied a few times only; a bank that a large
+group keeps from being cut evenly has fewer parts and meets more blocks. The part passes by the block once, in order of
+its groups, so a task returns the final best reference per query and group, and neither the similarity matrix nor a
+partial maximum ever leaves it.
 """
 
 from __future__ import annotations
@@ -20,15 +22,19 @@ from pyspark.sql import functions as F
 from lotscope import settings as S
 from lotscope.plans.ranked import first_by, top_k
 
-BLOCK = 32768  # queries of a task at most
-BLOCKS = 24  # query blocks, that is copies of the bank in the shuffle, until they would hold more than BLOCK queries
+BLOCK = 1 << 18  # queries of a task at most
+TASKS = 24  # query blocks times parts of the bank, until blocks would hold more than BLOCK queries
+PARTS = (6, 4, 3, 2)  # parts of the bank, the first that cuts it evenly; there are TASKS / parts copies of the bank
+UNEVEN = 1.2  # the largest part of the bank, as a multiple of the mean
+HEAVY = 256  # groups that get their part by size, the others by hash
+CELLS = 1 << 23  # maxima (query and group) that a task holds at a time
 CHUNK = 1024  # references that a task multiplies at a time
 STRIP = 256  # queries that a task multiplies at a time
 DIGITS = 12  # similarities are rounded, so that summation order can never decide a rank
 
 
 def best_sims(queries: DataFrame, bank: DataFrame, groups: list[str], exclude_same: bool = False, block: int = BLOCK,
-              payload: tuple[str, ...] = (), n_queries: int | None = None) -> DataFrame:
+              payload: tuple[str, ...] = (), n_queries: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Best similarity per query and bank group, with the reference that reached it (lowest id on ties).
 
     ``queries``: (q, embedding, and optionally ``years`` or ``wanted``). ``bank``: (ref_id, *groups, embedding, the
@@ -37,16 +43,20 @@ def best_sims(queries: DataFrame, bank: DataFrame, groups: list[str], exclude_sa
 
     ``years`` (array<int>, null: all) restricts a query to groups of these years; ``wanted`` (an array of structs of the
     groups' columns) to the groups it names. Rows without a vector take no part. ``n_queries`` is how many queries there
-    are at most; without it they are counted.
+    are at most; without it they are counted. ``sizes`` may name a plainer table with the groups of the bank's rows, for
+    counting them; it decides about sizes of parts only.
     """
+    in_parts = part_of(bank if sizes is None else sizes, groups)
     if "shift" not in bank.columns:
         bank = bank.withColumn("shift", F.lit(0.0))
     queries, bank = queries.where("embedding is not null"), bank.where("embedding is not null")
     n = queries.count() if n_queries is None else n_queries
-    blocks = max(1, math.ceil(n / block), min(BLOCKS, math.ceil(n / STRIP)))
+    parts, part = in_parts
+    blocks = max(1, math.ceil(n / block), min(TASKS // parts, math.ceil(n / STRIP)))
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     masks = [c for c in ("years", "wanted") if c in queries.columns]
-    q = queries.select(F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("qb"), F.lit(False).alias("is_ref"), "q", "embedding", *masks)
-    b = bank.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"), F.lit(True).alias("is_ref"), "ref_id", *groups, *payload, "shift", "embedding")
+    q = queries.select(F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("qb"), each(parts).alias("part"), F.lit(False).alias("is_ref"), "q", "embedding", *masks)
+    b = bank.select(each(blocks).alias("qb"), part.alias("part"), F.lit(True).alias("is_ref"), "ref_id", *groups, *payload, "shift", "embedding")
     fields = [("q", queries), *((g, bank) for g in groups), ("sim", None), ("ref_id", bank), *((p, bank) for p in payload)]
     schema = ", ".join(f"{n} {df.schema[n].dataType.simpleString() if df else 'double'}" for n, df in fields)
 
@@ -54,10 +64,32 @@ def best_sims(queries: DataFrame, bank: DataFrame, groups: list[str], exclude_sa
         for table in _pass_by(batches, groups, payload, exclude_same, min(CHUNK, block)):
             yield from table.to_batches(10_000)
 
-    both = q.unionByName(b, allowMissingColumns=True).repartitionById(blocks, F.col("qb"))
+    both = q.unionByName(b, allowMissingColumns=True).repartitionById(blocks * parts, F.col("qb") * parts + F.col("part"))
     return both.sortWithinPartitions("is_ref", *groups, "ref_id").mapInArrow(run, schema)
 
 
+def part_of(bank: DataFrame, groups: list[str]) -> tuple[int, F.Column]:
+    """Into how many parts of whole groups a bank is cut, and the part of a row. The largest groups go to the emptiest
+    part one by one, the rest by hash; only the sizes of the HEAVY largest groups are looked at one by one."""
+    if not groups:
+        return 1, F.lit(0)
+    name = F.xxhash64(*groups)
+    counts = bank.groupBy(name.alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    largest = sorted(((r.n, r.g) for r in counts.orderBy(F.desc("n"), "g").limit(HEAVY).collect()), reverse=True)
+    rest = 0 if len(largest) < HEAVY else counts.agg(F.sum("n")).first()[0] - sum(n for n, _ in largest)
+    total = rest + sum(n for n, _ in largest)
+    for parts in PARTS:
+        held, where = [rest / parts] * parts, {}
+        for n, g in largest:
+            where[g] = held.index(min(held))
+            held[where[g]] += n
+        if max(held) * parts <= UNEVEN * total:
+            by_size = F.create_map(*[F.lit(x) for pair in where.items() for x in pair]) if where else None
+            by_hash = F.pmod(name, F.lit(parts)).cast("int")
+            return parts, by_hash if by_size is None else F.coalesce(by_size[name], by_hash)
+    return 1, F.lit(0)
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     values = pa.concat_arrays([chunk.flatten() for chunk in column.chunks]).to_numpy(zero_copy_only=False)
     return values.astype("float64").reshape(len(column), -1)
@@ -85,14 +117,11 @@ def _pass_by(batches: Iterator[pa.RecordBatch], groups: list[str], payload: tupl
             yield pa.Table.from_batches(held).select([*groups, *refs, "shift", "embedding"])
 
     open_head, open_best, open_refs = None, None, None  # the group that the last chunk ended in
-    for chunk in chunks():
-        if not asking:
-            return
+    for chunk, starts in ((piece, starts) for chunk in chunks() if asking for piece, starts in _pieces(chunk, groups, CELLS // sum(b.num_rows for b in asking))):
         if block is None:
             left = pa.Table.from_batches(asking).combine_chunks()
             block = left.column("q"), _matrix(left.column("embedding")), _allowed(left, groups)
         q, vectors, allowed = block
-        starts = _segments(chunk, groups)
         heads = list(zip(*(chunk.column(g).take(pa.array(starts)).to_pylist() for g in groups))) if groups else [()]
         asked = [allowed(head) for head in heads]
         best, first = _segment_maxima(q, vectors, chunk, starts, asked, exclude_same)
@@ -113,6 +142,15 @@ def _pass_by(batches: Iterator[pa.RecordBatch], groups: list[str], payload: tupl
         yield _won(q, [open_head], open_best[None], np.arange(len(q))[None], open_refs, groups, chunk.schema).select(names)
 
 
+def _pieces(chunk: pa.Table, groups: list[str], most: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """A chunk in pieces of so many groups at most, with where a group begins in each."""
+    starts, most = _segments(chunk, groups), max(1, most)
+    for lo in range(0, len(starts), most):
+        here = starts[lo:lo + most]
+        end = starts[lo + most] if lo + most < len(starts) else chunk.num_rows
+        yield chunk.slice(here[0], end - here[0]), here - here[0]
+
+
 def _segments(chunk: pa.Table, groups: list[str]) -> np.ndarray:
     """Where a group begins among the rows of a chunk."""
     change = np.zeros(chunk.num_rows - 1, bool)

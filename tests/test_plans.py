@@ -366,6 +366,34 @@ def test_a_bank_passes_every_query_block_once(spark):
     assert len(got) == 2100
 
 
+def test_vectors_are_copied_a_few_times(spark, monkeypatch):
+    """Copies of a bank and its queries in the shuffle: a few in banks of like groups, one part where a group is large."""
+    def copies(b):
+        q = spark.range(8000).select(F.col("id").alias("q"), F.array(F.lit(1.0)).alias("embedding"))
+        out = vectors.best_sims(q, b, ["year"])
+        parts, part = vectors.part_of(b, ["year"])
+        loads = sorted(r["count"] for r in b.groupBy(part.alias("p")).count().collect())
+        return parts, out.rdd.getNumPartitions(), loads
+
+    ref = lambda n: spark.range(n).select(F.col("id").alias("ref_id"), "id", F.array(F.lit(1.0)).alias("embedding"))
+    even, hot = ref(1200).withColumn("year", F.col("id") % 12), ref(1200).withColumn("year", F.greatest(F.col("id") - 900, F.lit(0)) % 7)
+    many = ref(3000).withColumn("year", F.when(F.col("id") % 50 != 0, F.col("id") % 900))
+    assert copies(even)[:2] == (6, 24) and copies(hot)[:2] == (1, 24)
+    parts, tasks, loads = copies(many)
+    assert tasks == 24 and parts > 1 and len(loads) == parts and sum(loads) == 3000 and loads[-1] < 2 * loads[0]
+    monkeypatch.setattr(vectors, "CELLS", 1)  # one group of a chunk at a time
+    q = many.where("ref_id % 10 = 0").select(F.col("ref_id").alias("q"), F.array(F.sin("ref_id")).alias("embedding"))
+    refs = many.withColumn("embedding", F.array(F.cos("ref_id")))
+    got = {(r.q, r.year): (r.sim, r.ref_id) for r in vectors.best_sims(q, refs, ["year"], exclude_same=True).collect()}
+    want = {}
+    for i in range(0, 3000, 10):
+        for k in range(3000):
+            g, s = (i, k % 900 if k % 50 else None), round(math.sin(i) * math.cos(k), vectors.DIGITS)
+            if k != i and (g not in want or s > want[g][0]):
+                want[g] = s, k
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+
+
 def test_folded_pages_equal_those_on_many_tasks(spark):
     """Bands, layout, holes, links, plans and labels of ordinary pages, folded in one stage, and as larger pages get them."""
     rnd = random.Random(12)
