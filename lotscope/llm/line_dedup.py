@@ -7,9 +7,12 @@ least ``similarity``, whether or not that one stays. The join is exact; hashes o
 * Words are ordered by rarity, counted over all documents in a table of fixed size. Any order that all lines share is
   right, so words that share a counter only cost time. A counter of one proves that no other line has the word.
 * Two similar sets share a word among the first few of each (prefix), those words stand at places that leave room for
-  the overlap (position), and their sizes are alike (length). A parity sketch of 64 bits bounds their difference.
+  the overlap (position), and their sizes are alike (length). A parity sketch of 64 bits, 256 for larger sets, bounds
+  their difference.
 * The first word that two sets share decides: what follows it in each must leave room for the overlap, so a word bounds
-  the size of the sets that its set can meet there.
+  the size of the sets that its set can meet there. Where a word is too common for a short list, the first two words that
+  they share decide, or three, or four: how many follows from the words alone, so both sets stand in the same list.
+  Sets of many words, of which there would be too many such runs, and those that can meet them, keep the shorter ones.
 * A set meets a few sets before it in the lists of its prefix words; only a set that had more to compare and found nothing
   similar asks all earlier ones. So a group of thousands of variants of one line costs a few comparisons each, not one
   per pair, and no link to an earlier line is lost. Long lists are cut by size and hash into parts of bounded length: a
@@ -27,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotscope.llm.words import Words, distinct, group_starts, hash_words, mix, slices
+from lotscope.llm.words import Words, as_text, distinct, group_starts, hash_words, mix, slices
 from lotscope.llm.tables import drop_table, through_table
 from lotscope.plans.lineage import new_folder
 
@@ -38,12 +42,20 @@ SIMILARITY = 0.8
 #: Counters of the rarity table (8 MiB), in segments that are summed apart, and bits of the filter of wanted lines (8 MiB).
 COUNTERS, SEGMENT, FILTER_BITS = 1 << 23, 1 << 13, 1 << 26
 #: A posting is compared with so many of the first in its list, until so many candidates are found; the rest comes later.
-REACH, ENOUGH = 512, 2
+REACH, ENOUGH = 1 << 11, 2
 #: Lists of more postings are cut by size; a part of one size is cut by hash to about so many postings.
 LONG, PART = 1 << 11, 1 << 13
 #: Of a part, a set is answered with so many of the closest candidates first; if none is similar, with all.
 CLOSEST = 4
-_LINES = 1 << 12  # lines sorted at once
+#: Words are joined by the next shared ones until a list is expected to have so many sets (its binary logarithm) or less,
+#: in sets of at most so many words: to two, to three, to four.
+SHORT, LARGEST = 11, (128, 48, 24)
+#: Sets of so many words or more have the long sketch.
+WIDE = 48
+#: Counts in one byte, exact up to 16: sixteen to an octave.
+_COUNTS = np.unique(np.round(2 ** (np.arange(640) / 16)).astype(np.int64))[:255]
+_COUNTS = np.concatenate([[0], _COUNTS])
+_LINES, _PAIRS = 1 << 11, 1 << 18  # lines sorted, pairs compared at once
 _TOKEN = np.uint64((1 << 48) - 1)
 _ANY_WORD = re.compile(r"[0-9A-Za-z_]|[^\x00-\x7f]")
 
@@ -62,13 +74,13 @@ def _line_of_words(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Level of every counter: the bit length of the number of words that fell on it, over all documents, up to 15."""
+    """Level of every counter: the bit length of the number of words that fell on it, over all documents, up to 31."""
     def count(batches: Iterator[pa.RecordBatch]):
         held = np.zeros(COUNTERS, np.uint32)
         for batch in slices(batches, text):
             words = hash_words(batch.column(text))
             np.add.at(held, (words.hashes & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
-        parts = np.minimum(held, 255).astype(np.uint8).reshape(-1, SEGMENT)
+        parts = (np.searchsorted(_COUNTS, held, "right") - 1).astype(np.uint8).reshape(-1, SEGMENT)
         some = np.flatnonzero(parts.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())],
                                          ["segment", "counts"])
@@ -77,9 +89,9 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for segment, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = held.setdefault(segment, np.zeros(SEGMENT, np.uint32))
-                part += np.frombuffer(counts, np.uint8)
-        levels = [np.minimum(15, np.frexp(p.astype(float))[1]).astype(np.uint8).tobytes() for p in held.values()]
+                part = held.setdefault(segment, np.zeros(SEGMENT, np.int64))
+                part += _COUNTS[np.frombuffer(counts, np.uint8)]
+        levels = [np.minimum(31, np.frexp(p.astype(float))[1]).astype(np.uint8).tobytes() for p in held.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(levels, pa.binary())], ["segment", "levels"])
 
     summed = (docs.select(text).mapInArrow(count, "segment int, counts binary").repartition("segment")
@@ -90,9 +102,9 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out.reshape(-1)
 
 
-def _sets(column: pa.Array, levels: np.ndarray | None, wanted=None):
+def _sets(column: pa.Array, levels: np.ndarray | None):
     """Sets of the lines of a batch, some lines at a time: row and number of each line, where each set starts, its words
-    in order of rarity (level, then hash). ``wanted(row, number)`` may choose lines."""
+    in order of rarity (level, then hash)."""
     words = hash_words(column)
     if not len(words.hashes):
         return
@@ -100,17 +112,14 @@ def _sets(column: pa.Array, levels: np.ndarray | None, wanted=None):
     tokens = words.hashes & _TOKEN
     level = levels[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) if levels is not None else np.uint64(0)
     rest = tokens | (level << np.uint64(48))
-    if wanted is not None:
-        keep = wanted(row, number)[line]
-        line, rest = line[keep], rest[keep]
     at = 0
     while at < len(line):
         end = int(np.searchsorted(line, line[at] + _LINES, "left"))
-        packed = distinct(rest[at:end] | ((line[at:end] - line[at]).astype(np.uint64) << np.uint64(52)))
-        own = (packed >> np.uint64(52)).astype(np.int64)
+        packed = distinct(rest[at:end] | ((line[at:end] - line[at]).astype(np.uint64) << np.uint64(53)))
+        own = (packed >> np.uint64(53)).astype(np.int64)
         starts = group_starts(own)
         lines = own[starts] + line[at]
-        yield row[lines], number[lines], starts, packed & np.uint64((1 << 52) - 1)
+        yield row[lines], number[lines], starts, packed & np.uint64((1 << 53) - 1)
         at = end
 
 
@@ -118,14 +127,51 @@ def _place(text_hash: np.ndarray, number: np.ndarray) -> np.ndarray:
     return mix(mix(text_hash) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def line_sets(docs: DataFrame, levels: np.ndarray, similarity: float) -> DataFrame:
-    """One row per line with words: its place, the key and size of its set, its parity sketch, and its prefix.
+def _keys(starts: np.ndarray, sizes: np.ndarray, packed: np.ndarray, similarity: float, top: int, short: int) -> tuple[np.ndarray, ...]:
+    """Lists that sets stand in, in order of sets: the set, the key of 48 bits, and how many words of the set that come
+    before are not shared.
 
-    A prefix word is its hash of 48 bits under its position of 16 (0xFFFF: too far to tell). Prefix words that no other
-    line has are left out.
+    A key is the word that may be the first one shared, or the first few. ``top`` is the level of a word of all lines; a
+    run of words is expected in as many lines as they have in common by chance.
+    """
+    need = np.ceil(similarity * sizes - 1e-9).astype(np.int64)
+    room = sizes - need
+    # one word more or less is the least that sets differ in: smaller ones are similar to themselves only
+    row = np.flatnonzero(sizes >= (similarity / (1 - similarity) - 1e-9 if similarity < 1 else np.inf))
+    last, key, expected = np.full(len(row), -1), np.zeros(len(row), np.uint64), np.full(len(row), top)
+    made = []
+    for depth, largest in enumerate((*LARGEST, 0), 1):
+        more = np.maximum(np.minimum(room[row] + depth, sizes[row]) - last - 1, 0)
+        at = np.repeat(last + 1, more) + _counted(more).astype(np.int64)
+        row, key, expected = np.repeat(row, more), np.repeat(key, more), np.repeat(expected, more)
+        word = packed[starts[row] + at]
+        level = (word >> np.uint64(48)).astype(np.int64)
+        some = np.flatnonzero(level > 1)  # no other line has the rest
+        row, at, word, key = row[some], at[some], word[some] & _TOKEN, key[some]
+        expected = expected[some] + level[some] - top
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + word) if depth > 1 else word
+        n = sizes[row]
+        on = (expected > short) & (n <= largest)
+        # lists that a larger set does not leave, or behind which no shared word need follow, are kept too
+        ends = ~on | (n >= similarity * largest - 1e-9) | (need[row] <= depth)
+        made.append((row[ends], key[ends] & _TOKEN, at[ends] - depth + 1))
+        row, last, key, expected = row[on], at[on], key[on], expected[on]
+    row, key, at = (np.concatenate(x) for x in zip(*made))
+    order = np.argsort(row, kind="stable")
+    return row[order], key[order], at[order]
+
+
+def line_sets(docs: DataFrame, levels: np.ndarray, similarity: float, short: int = SHORT) -> DataFrame:
+    """One row per line with words: its place, the key and size of its set, its parity sketch, and the keys of its lists.
+
+    The sketch is a word of 64 bits; for larger sets three of the four words of the long sketch follow, whose sum without
+    carry the first one is. An entry of ``prefix`` is a key of 48 bits under a position of 16 (0xFFFF: too far to tell).
+    Words that no other line has are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    schema = "doc_id bigint, text_hash bigint, line int, place bigint, k1 bigint, k2 bigint, size int, parity bigint, prefix array<bigint>"
+    top = int(levels.max())
+    schema = ("doc_id bigint, text_hash bigint, line int, place bigint, k1 bigint, k2 bigint, size int, parity array<bigint>, "
+              "prefix array<bigint>")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in slices(batches, "text"):
@@ -136,21 +182,18 @@ def line_sets(docs: DataFrame, levels: np.ndarray, similarity: float) -> DataFra
                 tokens = packed & _TOKEN
                 a, b = mix(tokens + np.uint64(1)), mix(tokens ^ np.uint64(0x5851F42D4C957F2D))
                 bit = np.uint64(1) << (a & np.uint64(63))
-                lengths = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
-                # one word more or less is the least that sets differ in: smaller ones are similar to themselves only
-                lengths[sizes < (similarity / (1 - similarity) - 1e-9 if similarity < 1 else np.inf)] = 0
-                ends = np.cumsum(lengths)
-                index = np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)
-                at = np.minimum(index - np.repeat(starts, lengths), 0xFFFF).astype(np.uint64)
-                shared_word = packed[index] >> np.uint64(48) > 1
-                prefix = (tokens[index] | (at << np.uint64(48)))[shared_word].view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(shared_word)])[np.concatenate([[0], ends])]
+                quarter = (a >> np.uint64(6)) & np.uint64(3)
+                sketch = np.stack([np.bitwise_xor.reduceat(bit if q == 0 else np.where(quarter == np.uint64(q), bit, np.uint64(0)), starts)
+                                   for q in range(4)], axis=1)
+                width = np.where(sizes >= WIDE, 4, 1)
+                own, key, at = _keys(starts, sizes, packed, similarity, top, short)
+                prefix = key | (np.minimum(at, 0xFFFF).astype(np.uint64) << np.uint64(48))
                 col = lambda x: pa.array(x.view(np.int64))
+                lists = lambda lengths, x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), col(x))
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(row)), col(text_hash[row]), pa.array(number.astype(np.int32)), col(_place(text_hash[row], number)),
                      col(np.add.reduceat(a, starts)), col(np.add.reduceat(b, starts)), pa.array(sizes.astype(np.int32)),
-                     col(np.bitwise_xor.reduceat(bit, starts)),
-                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(prefix))],
+                     lists(width, sketch[np.arange(4) < width[:, None]]), lists(np.bincount(own, minlength=len(sizes)), prefix)],
                     ["doc_id", "text_hash", "line", "place", "k1", "k2", "size", "parity", "prefix"])
 
     return docs.select("doc_id", "text", "text_hash").mapInArrow(run, schema)
@@ -162,6 +205,11 @@ def _may_match(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, similarit
     need = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9).astype(np.int64)
     p, q = x["at"][i].astype(np.int64), x["at"][j].astype(np.int64)
     differ = np.bitwise_count((x["parity"][i] ^ x["parity"][j]).view(np.uint64)).astype(np.int64)
+    if _WORDS[0] in x:
+        both = np.flatnonzero((np.minimum(n, m) >= WIDE) & (differ <= n + m - 2 * need))
+        words = [(x[c][i[both]] ^ x[c][j[both]]).view(np.uint64) for c in ("parity", *_WORDS)]
+        words[0] = words[0] ^ words[1] ^ words[2] ^ words[3]
+        differ[both] = sum(np.bitwise_count(w).astype(np.int64) for w in words)
     return ((np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (differ <= n + m - 2 * need)
             & ((n - p >= need) | (p == 0xFFFF)) & ((m - q >= need) | (q == 0xFFFF)))
 
@@ -188,12 +236,15 @@ def _words_of(docs: DataFrame, places: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         table = shared.value
         for batch in slices(batches, "text"):
-            text_hash = batch.column("text_hash").to_numpy().view(np.uint64)
-            chosen = lambda row, number: in_filter(table, _place(text_hash[row], number))
-            for row, number, starts, packed in _sets(batch.column("text"), None, chosen):
+            lines = pc.split_pattern(as_text(batch.column("text")), "\n")
+            lengths = np.diff(lines.offsets.to_numpy())
+            text_hash = np.repeat(batch.column("text_hash").to_numpy().view(np.uint64), lengths)
+            place = _place(text_hash, _counted(lengths))
+            some = np.flatnonzero(in_filter(table, place))
+            for row, _, starts, packed in _sets(lines.flatten().take(pa.array(some)), None):
                 ends = np.append(starts[1:], len(packed))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_place(text_hash[row], number).view(np.int64)),
+                    [pa.array(place[some[row]].view(np.int64)),
                      pa.array([packed[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())], ["place", "words"])
 
     made = docs.select("text", "text_hash").mapInArrow(run, "place bigint, words binary")
@@ -220,14 +271,15 @@ def verify(docs: DataFrame, pairs: DataFrame, similarity: float, path: str) -> D
     return found
 
 
-_POSTING = ("token", "doc_id", "line", "place", "size", "at", "parity")
-_POSTINGS = "token bigint, doc_id bigint, line int, place bigint, size int, at int, parity bigint"
+_WORDS = ("parity1", "parity2", "parity3")
+_POSTING = ("token", "doc_id", "line", "place", "size", "at", "parity", *_WORDS)
+_POSTINGS = "token bigint, doc_id bigint, line int, place bigint, size int, at int, parity bigint, parity1 bigint, parity2 bigint, parity3 bigint"
 
 
 def _levels(df: DataFrame, keys, n: int) -> np.ndarray:
     """Bit length of the number of keys on each of a table of counters, whose size follows the number ``n`` of sets, up
     to COUNTERS. ``keys`` yields the keys of a batch."""
-    counters = min(COUNTERS, max(SEGMENT, 1 << int(2 * n).bit_length()))
+    counters = min(COUNTERS, max(SEGMENT, 1 << int(n // 2).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]):
         held = np.zeros(counters, np.uint32)
@@ -278,7 +330,7 @@ def _salts(level: np.ndarray, part: int) -> np.ndarray:
 
 
 def _exploded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch of sets: the row, word and position of every prefix word."""
+    """Of a batch of sets: the row, key and position of every list it stands in."""
     lists = batch.column("prefix")
     word = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
@@ -288,6 +340,15 @@ def _exploded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def _posting_batch(batch: pa.RecordBatch, row: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     where = pa.array(row)
     made = {"token": pa.array(key.view(np.int64)), "at": pa.array(at)}
+    if pa.types.is_list(batch.schema.field("parity").type):
+        sketch = batch.column("parity")
+        starts, flat = sketch.offsets.to_numpy(), sketch.values.to_numpy()
+        wide = np.diff(starts) > 1
+        for k, c in enumerate(("parity", *_WORDS)):
+            word = np.zeros(batch.num_rows, np.int64)
+            some = wide if k else slice(None)
+            word[some] = flat[starts[:-1][some] + k]
+            made[c] = pa.array(word[row])
     return pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c).take(where) for c in _POSTING], list(_POSTING))
 
 
@@ -296,11 +357,12 @@ def _cut_keys(token: np.ndarray, size: np.ndarray, place: np.ndarray, by_band: n
     return _part(token, band, mix(place.view(np.uint64)) % _salts(_level(by_band, _band_key(token, band)), part))
 
 
-def _postings(sets: DataFrame, by_word: np.ndarray, by_band: np.ndarray, long: int, part: int) -> DataFrame:
-    """One row per set and prefix word: the word alone in lists of at most ``long``, else with the set's part of the list."""
+def _postings(sets: DataFrame, by_word: np.ndarray, by_band: np.ndarray, long: int, part: int, bins: int) -> DataFrame:
+    """Postings of the sets, one per list they stand in, packed by bin: the key of the list alone in lists of at most
+    ``long``, else with the set's part of the list. A list or part lies in one of the ``bins``."""
     shared = sets.sparkSession.sparkContext.broadcast((by_word, by_band))
 
-    def run(batches: Iterator[pa.RecordBatch]):
+    def rows(batches: Iterator[pa.RecordBatch]):
         by_word, by_band = shared.value
         for batch in batches:
             row, token, at = _exploded(batch)
@@ -313,11 +375,67 @@ def _postings(sets: DataFrame, by_word: np.ndarray, by_band: np.ndarray, long: i
             key[cut] = _cut_keys(token[cut], size, place, by_band, part)
             yield _posting_batch(batch, row, key, at)
 
-    return sets.select("doc_id", "line", "place", "size", "parity", "prefix").mapInArrow(run, _POSTINGS)
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in _joined(rows(batches), _PACKED):
+            bin_ = (mix(batch.column("token").to_numpy().view(np.uint64)) % np.uint64(bins)).astype(np.int32)
+            order = np.argsort(bin_, kind="stable")
+            bin_ = bin_[order]
+            packed = np.empty(batch.num_rows, _RECORD)
+            for c in ("token", "place", "size", "at", "parity"):
+                packed[c] = batch.column(c).to_numpy()[order]
+            ids = batch.column("doc_id")
+            packed["doc_id"] = ids.fill_null(np.iinfo(np.int64).min).to_numpy()[order]
+            line = batch.column("line").to_numpy()
+            # rows without an id come first, also before the least id
+            packed["line"] = np.where(ids.is_null().to_numpy(zero_copy_only=False), line + np.iinfo(np.int32).min, line)[order]
+            wide = np.stack([batch.column(c).to_numpy()[order] for c in _WORDS], axis=1)
+            has = packed["size"] >= WIDE
+            starts = group_starts(bin_)
+            ends = np.append(starts[1:], len(bin_))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bin_[starts]), pa.array([_planes(packed[i:j]) for i, j in zip(starts, ends)], pa.binary()),
+                 pa.array([wide[i:j][has[i:j]].tobytes() for i, j in zip(starts, ends)], pa.binary())], ["bin", "postings", "wide"])
+
+    return sets.select("doc_id", "line", "place", "size", "parity", "prefix").mapInArrow(run, "bin int, postings binary, wide binary")
+
+
+#: A posting without the words of its long sketch.
+_RECORD = np.dtype([("token", "<i8"), ("doc_id", "<i8"), ("place", "<i8"), ("parity", "<i8"), ("size", "<i4"), ("line", "<i4"), ("at", "<i4")])
+_PACKED = 1 << 20  # postings packed at once
+
+
+def _planes(packed: np.ndarray) -> bytes:
+    """Records byte by byte: all first bytes, all second ones and so on, most of which are zeros that compress away."""
+    return np.ascontiguousarray(packed.view(np.uint8).reshape(len(packed), -1).T).tobytes()
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over packed postings in order of bins: each bin's postings in order of list and place."""
+    def bin_of(records: list[np.ndarray], wides: list[bytes]) -> pa.RecordBatch:
+        x, words = np.concatenate(records), np.zeros((sum(map(len, records)), len(_WORDS)), np.int64)
+        words[x["size"] >= WIDE] = np.frombuffer(b"".join(wides), np.int64).reshape(-1, len(_WORDS))
+        order = np.lexsort((x["place"], x["line"], x["doc_id"], x["token"]))
+        x, words = x[order], words[order]
+        without = x["line"] < 0
+        line = np.where(without, x["line"] - np.iinfo(np.int32).min, x["line"]).astype(np.int32)
+        made = {"doc_id": pa.array(x["doc_id"], mask=without), "line": pa.array(line), **{c: pa.array(words[:, k]) for k, c in enumerate(_WORDS)}}
+        return pa.RecordBatch.from_arrays([made[c] if c in made else pa.array(np.ascontiguousarray(x[c])) for c in _POSTING], list(_POSTING))
+
+    width, now, records, wides = _RECORD.itemsize, None, [], []
+    for batch in batches:
+        for bin_, postings, wide in zip(*(c.to_pylist() for c in batch.columns)):
+            if bin_ != now and records:
+                yield bin_of(records, wides)
+                records, wides = [], []
+            now = bin_
+            records.append(np.ascontiguousarray(np.frombuffer(postings, np.uint8).reshape(width, -1).T).view(_RECORD)[:, 0])
+            wides.append(wide)
+    if records:
+        yield bin_of(records, wides)
 
 
-def _columns(batch: pa.RecordBatch, names=("token", "place", "size", "at", "parity")) -> dict[str, np.ndarray]:
-    return {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+def _columns(batch: pa.RecordBatch, names=("token", "place", "size", "at", "parity", *_WORDS)) -> dict[str, np.ndarray]:
+    return {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names if c in batch.schema.names}
 
 
 def _joined(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -357,15 +475,40 @@ def _compare_lists(similarity: float, reach: int = REACH, enough: int = ENOUGH):
                 ranks[begun == 0] += length - old
             mine = np.arange(old, total)
             found = np.zeros(total, np.int64)
-            earlier, later, open_ = [], [], mine
-            for r in range(reach):
-                open_ = open_[(ranks[open_] > r) & (found[open_] < enough)]
+            earlier, later = [], []
+            least, most = np.ceil(similarity * x["size"] - 1e-9), np.floor(x["size"] / similarity + 1e-9)
+            differ = np.floor(x["size"] * (1 - similarity) / similarity + 1e-6)  # from the largest set it can meet
+            least, most, differ = (v.astype(x["size"].dtype) for v in (least, most, differ))
+            sketch = x["parity"].view(np.uint64)
+            near = 0
+            while near < reach and len(mine):
+                far = min(max(64, 4 * near), reach)
+                open_ = mine[(ranks[mine] > near) & (found[mine] < enough)]
                 if not len(open_):
                     break
-                good = open_[_may_match(x, open_, begun[open_] + r, similarity)]
-                earlier.append(x["place"][begun[good] + r])
-                later.append(x["place"][good])
-                found[good] += 1
+                count = np.minimum(ranks[open_], far) - near
+                bounds = np.cumsum(count)
+                at = 0
+                while at < len(open_):
+                    end = max(at + 1, int(np.searchsorted(bounds, bounds[at] - count[at] + _PAIRS, "right")))
+                    i = np.repeat(open_[at:end], count[at:end])
+                    j = np.repeat(begun[open_[at:end]] + near, count[at:end]) + _counted(count[at:end]).astype(np.int64)
+                    size = x["size"][j]
+                    some = np.flatnonzero((size >= least[i]) & (size <= most[i]))
+                    i, j = i[some], j[some]
+                    some = np.flatnonzero(np.bitwise_count(sketch[i] ^ sketch[j]) <= differ[i])
+                    i, j = i[some], j[some]
+                    some = np.flatnonzero(_may_match(x, i, j, similarity))
+                    i, j = i[some], j[some]
+                    if len(i):
+                        first = group_starts(i)
+                        lengths = np.diff(np.append(first, len(i)))
+                        some = np.arange(len(i)) - np.repeat(first, lengths) + found[i] < enough
+                        found[i[first]] += lengths
+                        earlier.append(x["place"][j[some]])
+                        later.append(x["place"][i[some]])
+                    at = end
+                near = far
             left = mine[(found[mine] >= enough) | (ranks[mine] > reach) | (x["token"][mine].view(np.uint64) > _TOKEN)]
             head = begun[-1]
             held = {c: x[c][head:head + reach] for c in x}
@@ -387,9 +530,12 @@ def near_matches(docs: DataFrame, sets: DataFrame, similarity: float, reach: int
     folder = new_folder(docs.sparkSession, "line-near")
     n = sets.count()
     by_word = _levels(sets.select("prefix"), lambda batch: _exploded(batch)[1], n)
-    by_band = _levels(sets.select("size", "prefix"), _long_band_keys(by_word, long), n)
-    lists = _postings(sets, by_word, by_band, long, part).repartition("token").sortWithinPartitions("token", "doc_id", "line", "place")
-    made = through_table(lists.mapInArrow(_compare_lists(similarity, reach, enough), f"earlier bigint, later bigint, {_POSTINGS}"),
+    by_band = np.zeros(SEGMENT, np.uint8)
+    if (by_word >= long.bit_length()).any():
+        by_band = _levels(sets.select("size", "prefix"), _long_band_keys(by_word, long), n)
+    lists = _postings(sets, by_word, by_band, long, part, 1 << max(10, (n >> 14).bit_length())).repartition("bin").sortWithinPartitions("bin")
+    compare = _compare_lists(similarity, reach, enough)
+    made = through_table(lists.mapInArrow(lambda batches: compare(_unpacked(batches)), f"earlier bigint, later bigint, {_POSTINGS}"),
                          f"{folder}/candidates")
     # the candidate that most words of a set agree on is verified first; of most sets that have one it is a match
     pairs = made.filter("earlier is not null").groupBy("later", "earlier").agg(F.count("*").alias("n"))

@@ -11,14 +11,16 @@ def through_table(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as Parquet to a path in the shared folder and read it back.
 
     This cuts the lineage: later steps survive lost executors without repeating this one. The shuffle files of the step
-    are of no more use; collecting garbage on the driver lets Spark delete them now rather than at some later time.
+    are of no more use; collecting garbage on the driver lets Spark delete them now rather than at some later time. What
+    Python no longer holds leaves the JVM with the next call into it, so the table is opened before.
     """
     spark = df.sparkSession
     df.write.parquet(path)
     del df
     gc.collect()
+    made = spark.read.parquet(path)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.parquet(path)
+    return made
 
 
 def drop_table(spark, path: str) -> None:

@@ -136,3 +136,35 @@ def test_short_lines_at_lower_similarities(spark):
     assert kept(0.7) == {1: "a b c d\nx y", 2: "x", 3: "x y z\np q"}
     assert kept(0.5) == {1: "a b c d\nx y", 2: "", 3: "p q"}
     assert kept(0.8) == {r.doc_id: r.text for r in rows.collect()}
+
+
+def test_runs_of_common_words_lose_nothing(spark):
+    rows = random_rows(3) + [(None, "\n".join(variants(20, 30, 1, 2)))]
+    narrow = docs(spark, *rows).selectExpr("doc_id", "text", "xxhash64(text) as text_hash")
+    from pyspark.sql import functions as F
+
+    fields = ("doc_id", "line", "place", "text_hash", "size", "parity", "prefix")
+    levels = L.rarity(narrow)
+    for similarity in (0.8, 0.5):
+        found, longest = [], []
+        for short in (99, 1, -9):  # single words, runs of some, runs of four
+            sets = L.line_sets(narrow, levels, similarity, short).groupBy("k1", "k2").agg(F.min(F.struct(*fields)).alias("r")).select("r.*").persist()
+            found.append({r.later for r in L.near_matches(narrow, sets, similarity, 10 ** 6, 10 ** 6).collect()})
+            keys = np.unique([k & (1 << 48) - 1 for r in sets.collect() for k in r.prefix], return_counts=True)[1]
+            longest.append(int(keys.max()))
+        assert found[0] == found[1] == found[2] and found[0]
+        assert similarity < 0.8 or longest[2] < longest[0]
+
+
+def test_unlike_sets_of_many_words_are_told_apart_by_sketch(spark):
+    rng = random.Random(5)
+    some = [f"w{i}" for i in range(600)]
+    near = [f"w{i}" for i in range(200)]
+    lines = [" ".join(rng.sample(some, 150)) for _ in range(60)] + [" ".join(near), " ".join([*near[:190], *some[590:]])]
+    narrow = docs(spark, (1, "\n".join(lines))).selectExpr("doc_id", "text", "xxhash64(text) as text_hash")
+    batch = L.line_sets(narrow, L.rarity(narrow), 0.8).orderBy("line").toArrow().combine_chunks().to_batches()[0]
+    first = np.arange(batch.num_rows)
+    x = L._columns(L._posting_batch(batch, first, first.astype(np.uint64), np.zeros(len(first), np.int32)))
+    i, j = np.triu_indices(batch.num_rows, 1)
+    pairs = {(int(a), int(b)) for a, b in zip(i, j) if L._may_match(x, np.array([a]), np.array([b]), 0.8)[0]}
+    assert pairs == {(60, 61)}
