@@ -80,7 +80,9 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
         for batch in slices(batches, text):
             words = hash_words(batch.column(text))
             np.add.at(held, (words.hashes & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
-        parts = (np.searchsorted(_COUNTS, held, "right") - 1).astype(np.uint8).reshape(-1, SEGMENT)
+        parts = np.empty((COUNTERS // SEGMENT, SEGMENT), np.uint8)
+        for part, counts in zip(parts, held.reshape(parts.shape)):  # a segment at a time: positions take eight bytes each
+            part[:] = np.searchsorted(_COUNTS, counts, "right") - 1
         some = np.flatnonzero(parts.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())],
                                          ["segment", "counts"])

@@ -168,3 +168,13 @@ def test_unlike_sets_of_many_words_are_told_apart_by_sketch(spark):
     i, j = np.triu_indices(batch.num_rows, 1)
     pairs = {(int(a), int(b)) for a, b in zip(i, j) if L._may_match(x, np.array([a]), np.array([b]), 0.8)[0]}
     assert pairs == {(60, 61)}
+
+
+def test_rarity_keeps_small_counts_exact(spark):
+    from lotscope.llm.words import hash_words
+
+    times = [1, 2, 3, 16, 5000]
+    narrow = docs(spark, *((d, " ".join(f"word{n}" for n in times if d < n)) for d in range(max(times)))).repartition(3)
+    at = (hash_words(pa.array([" ".join(f"word{n}" for n in times)])).hashes & np.uint64(L.COUNTERS - 1)).astype(np.int64)
+    levels = L.rarity(narrow)
+    assert levels[at].tolist() == [1, 2, 2, 5, 13] and np.count_nonzero(levels) == len(times)
