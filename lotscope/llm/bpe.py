@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotscope.llm.tables import small_batches
 from lotscope.llm.words import as_text, slices
 
 # Fixed value: how this family of tokenizers cuts text into pieces.
@@ -35,7 +36,7 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: A vocabulary travels to every worker, so its file may not be larger than this.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Runs, and pieces, remembered by a worker; a memory is emptied when full, which changes no result.
+#: Runs, and pieces, remembered by a task; a memory is emptied when full, which changes no result.
 REMEMBERED = 300_000
 
 
@@ -121,6 +122,11 @@ class Vocabulary:
             known = self._pairs[left, right] = not self._crossed(left, right, float("inf"))
         return known
 
+    def forget(self) -> None:
+        """Empty the memories; what comes after in the same worker has the space."""
+        for memory in (self._pairs, self._runs, self._pieces):
+            memory.clear()
+
     def encode_piece(self, piece: str) -> list[int]:
         """Encode one piece by backtracking over longest matches."""
         data = piece.encode().decode("latin-1")
@@ -223,19 +229,24 @@ def load_vocabulary(path: str) -> str:
     return text
 
 
-def _append(df: DataFrame, source: str, columns: dict[str, str], fill) -> DataFrame:
-    """Add columns that ``fill(batch)`` makes from a column of texts or ids, under the same row order."""
+def _append(df: DataFrame, source: str, columns: dict[str, str], vocabulary_text: str, fill) -> DataFrame:
+    """Add columns that ``fill(vocabulary, batch)`` makes from a column of texts or ids, under the same row order."""
+    small_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary_text)
     taken = [c for c in df.columns if c not in columns]
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in taken),
                         *(f"`{c}` {kind}" for c, kind in columns.items())])
-
     is_text = df.schema[source].dataType.simpleString() == "string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, source) if is_text else batches:
-            if batch.num_rows:
-                made = fill(batch)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in taken), *made], [*taken, *columns])
+        table = vocabulary(shared.value)
+        try:
+            for batch in slices(batches, source) if is_text else batches:
+                if batch.num_rows:
+                    made = fill(table, batch)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in taken), *made], [*taken, *columns])
+        finally:
+            table.forget()
 
     return df.mapInArrow(run, schema)
 
@@ -245,16 +256,13 @@ def encode(df: DataFrame, vocabulary_text: str, text: str = "text", ids: str = "
 
     A column of ``df`` that is named like the new one is replaced. Rows, repeated ones too, and all other columns stay.
     """
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary_text)
-
-    def fill(batch):
-        table = vocabulary(shared.value)
+    def fill(table, batch):
         rows = [table.encode(t) for t in as_text(batch.column(text)).to_pylist()]
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
         flat = np.fromiter((i for r in rows for i in r), np.int32, count=int(offsets[-1]))
         return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
 
-    return _append(df, text, {ids: "array<int>"}, fill)
+    return _append(df, text, {ids: "array<int>"}, vocabulary_text, fill)
 
 
 def decode(df: DataFrame, vocabulary_text: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -262,16 +270,13 @@ def decode(df: DataFrame, vocabulary_text: str, ids: str = "ids", text: str = "d
 
     Bytes that form no character are shown as U+FFFD. A column named like the new one is replaced.
     """
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary_text)
-
-    def fill(batch):
-        table = vocabulary(shared.value)
+    def fill(table, batch):
         lists = batch.column(ids)
         flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(zero_copy_only=False)
         valid = lists.is_valid().to_numpy(zero_copy_only=False)
         return [pa.array([table.decode(flat[a:b].astype(np.int64)) if v else "" for a, b, v in zip(offsets, offsets[1:], valid)])]
 
-    return _append(df, ids, {text: "string"}, fill)
+    return _append(df, ids, {text: "string"}, vocabulary_text, fill)
 
 
 def round_trip(df: DataFrame, vocabulary_text: str, text: str = "text") -> DataFrame:
@@ -288,11 +293,9 @@ def digest(df: DataFrame, vocabulary_text: str, text: str = "text") -> DataFrame
     """
     import hashlib
 
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary_text)
     sha = lambda data: hashlib.sha256(data).hexdigest()
 
-    def fill(batch):
-        table = vocabulary(shared.value)
+    def fill(table, batch):
         counts, coded, decoded = [], [], []
         for t in as_text(batch.column(text)).to_pylist():
             ids = table.encode(t)
@@ -301,4 +304,4 @@ def digest(df: DataFrame, vocabulary_text: str, text: str = "text") -> DataFrame
             decoded.append(sha(table.decode(np.array(ids, np.int64)).encode()))
         return [pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
 
-    return _append(df, text, {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}, fill)
+    return _append(df, text, {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}, vocabulary_text, fill)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotscope.llm.tables import small_batches
 from lotscope.llm.words import hash_words, mix, slices
 
 WINDOW, SIMILARITY = 13, 0.8
@@ -155,6 +156,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-total * 5 // (4 * block_words)))
     spark = docs.sparkSession
+    small_batches(spark)
     kept = [c for c in docs.columns if c != "overlaps"]
     out = docs.select(*kept).withColumn("overlaps", F.expr(
         "cast(array() as array<struct<item_id:bigint,first_word:int,last_word:int,share:double>>)"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotscope.llm.words import Words, as_text, distinct, group_starts, hash_words, mix, slices
-from lotscope.llm.tables import drop_table, through_table
+from lotscope.llm.tables import drop_table, small_batches, through_table
 from lotscope.plans.lineage import new_folder
 
 SIMILARITY = 0.8
@@ -403,7 +403,7 @@ def _postings(sets: DataFrame, by_word: np.ndarray, by_band: np.ndarray, long: i
 
 #: A posting without the words of its long sketch.
 _RECORD = np.dtype([("token", "<i8"), ("doc_id", "<i8"), ("place", "<i8"), ("parity", "<i8"), ("size", "<i4"), ("line", "<i4"), ("at", "<i4")])
-_PACKED = 1 << 20  # postings packed at once
+_PACKED = 1 << 17  # postings packed at once, some hundred bytes each with their copies
 
 
 def _planes(packed: np.ndarray) -> bytes:
@@ -676,6 +676,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     replaced; a null text stays null.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     added = ["n_lines", "n_removed", "lost_all"]
     docs = docs.drop("text_hash", "kept", *added)
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))

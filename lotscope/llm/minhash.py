@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lotscope.llm.components import components
 from lotscope.llm.line_dedup import in_filter, wanted_filter
 from lotscope.llm.words import Words, distinct, group_starts, hash_words, mix, shingle_hashes, slices
-from lotscope.llm.tables import drop_table, through_table
+from lotscope.llm.tables import drop_table, small_batches, through_table
 from lotscope.plans.lineage import new_folder
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -195,6 +195,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     true for one row of each class, by doc_id and node (repeated rows share it). Null and empty texts, texts without
     words, and rows without an id are classes of their own. A text of fewer words than a shingle has one shingle.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("node", F.xxhash64("doc_id", "text"))
     folder = new_folder(docs.sparkSession, "near")
     known = docs.filter("doc_id is not null and text is not null")

@@ -1,4 +1,4 @@
-"""Tables between the steps of a job."""
+"""Tables between the steps of a job, and the batches that Spark hands to its tasks."""
 
 from __future__ import annotations
 
@@ -6,6 +6,20 @@ import gc
 
 from pyspark.sql import DataFrame
 
+from lotscope.llm.words import BATCH_BYTES
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark) -> None:
+    """Let Spark hand batches of about two slices to Python, whatever the size of a row; a session that names a size keeps it.
+
+    By default a batch has ten thousand rows or 64 MiB, which the JVM holds while it writes them and a worker while it
+    cuts them, once a running task each.
+    """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(2 * BATCH_BYTES))
+
 
 def through_table(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as Parquet to a path in the shared folder and read it back.

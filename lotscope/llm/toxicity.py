@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotscope.llm.tables import small_batches
 from lotscope.llm.words import as_text, buffers, group_starts, hash_words, mix, prefix_hashes, shingle_hashes, slices
 
 #: Bound of the training sample in labelled rows, and of the signs a category may have.
@@ -136,6 +137,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], fo
     values are left out; without labelled rows of both kinds a category gets a model that answers zero.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sample_rows(docs, labels, categories, max_rows).write.parquet(folder)
     sample = spark.read.parquet(folder)
     names = list(categories)
@@ -244,6 +246,7 @@ def score(docs: DataFrame, links: list[Link], threshold: float = 0.5, text: str
     The boolean is true where the last probability reaches ``threshold``. A null text counts as empty; an empty text
     shows no signs. Columns of ``docs`` with the new names are replaced; rows and other columns stay.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(links)
     names = [f"p_{link.name}" for link in links]
     last = links[-1].name

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -65,3 +66,15 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert [g[1] for g in got] == [[64, 275], [], [], []] and [g[2] for g in got] == ["a b", "", "", ""]
     assert bpe.round_trip(rows.limit(0), text).count() == 0
     assert bpe.decode(rows.selectExpr("doc_id", "cast(null as array<int>) as ids"), text).first().decoded == ""
+
+
+def test_workers_forget_what_a_task_remembered(spark):
+    text = bpe.load_vocabulary(PATH)
+    bpe.digest(docs(spark, *((i, f"some words of number {i}") for i in range(64))).repartition(16), text).collect()
+
+    def left(batches):
+        table = bpe.vocabulary(text)
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(table._runs) + len(table._pieces) + len(table._pairs)])], ["n"])
+
+    assert {r.n for r in spark.range(64).repartition(32).mapInArrow(left, "n long").collect()} == {0}

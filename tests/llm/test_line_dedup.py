@@ -178,3 +178,11 @@ def test_rarity_keeps_small_counts_exact(spark):
     at = (hash_words(pa.array([" ".join(f"word{n}" for n in times)])).hashes & np.uint64(L.COUNTERS - 1)).astype(np.int64)
     levels = L.rarity(narrow)
     assert levels[at].tolist() == [1, 2, 2, 5, 13] and np.count_nonzero(levels) == len(times)
+
+
+def test_postings_are_packed_in_pieces(spark):
+    sets = (spark.range(40_000, numPartitions=1).selectExpr("id as doc_id", "0 as line", "id as place", "20 as size", "array(id) as parity",
+                                                            "transform(sequence(1, 15), i -> cast(id * 15 + i as bigint)) as prefix"))
+    packed = L._postings(sets, np.full(1 << 13, 2, np.uint8), np.zeros(1 << 13, np.uint8), L.LONG, L.PART, 1)
+    sizes = [r.n for r in packed.selectExpr("length(postings) as n").collect()]
+    assert sum(sizes) == 600_000 * L._RECORD.itemsize and max(sizes) <= 200_000 * L._RECORD.itemsize

@@ -1,6 +1,8 @@
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -59,6 +61,21 @@ def test_stages_on_odd_tables(spark):
         assert {r.doc_id for r in stage(spark, rows, "/root/testdata/sf0.001").collect()} >= {1, 2}, name
 
 
+@pytest.mark.parametrize("name", dict(P.STAGES))
+def test_tasks_get_texts_in_small_batches(spark, name):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(20, numPartitions=1).selectExpr("id as doc_id", "repeat('some words ', 100000) as text")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    try:
+        for own in (None, "2097152"):
+            spark.conf.set(key, own) if own else spark.conf.unset(key)
+            dict(P.STAGES)[name](spark, table(spark, "documents").limit(0), "/root/testdata/sf0.001")
+            taken = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+            assert sum(taken) > 20e6 and max(taken) < (4 if own else 6) * 1e6
+    finally:
+        spark.conf.unset(key)
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
