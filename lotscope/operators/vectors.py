@@ -4,7 +4,8 @@ Queries are cut into blocks by a hash of their ids, the bank into parts that hol
 task has one block and one part. With few blocks and few parts a vector is copied a few times only; a bank that a large
 group keeps from being cut evenly has fewer parts and meets more blocks. The part passes by the block once, in order of
 its groups, so a task returns the final best reference per query and group, and neither the similarity matrix nor a
-partial maximum ever leaves it.
+partial maximum ever leaves it. Products are made in single precision first; only references that its error leaves a
+chance, a few for a query and group, are multiplied again in doubles, and those decide.
 """
 
 from __future__ import annotations
@@ -28,9 +29,12 @@ PARTS = (6, 4, 3, 2)  # parts of the bank, the first that cuts it evenly; there
 UNEVEN = 1.2  # the largest part of the bank, as a multiple of the mean
 HEAVY = 256  # groups that get their part by size, the others by hash
 CELLS = 1 << 23  # maxima (query and group) that a task holds at a time
-CHUNK = 1024  # references that a task multiplies at a time
+CHUNK = 2048  # references that a task multiplies at a time
 STRIP = 256  # queries that a task multiplies at a time
 DIGITS = 12  # similarities are rounded, so that summation order can never decide a rank
+UNIT = 2.0 ** -24  # relative error of a single-precision operation
+LONG = 1e30  # products of longer vectors are made in doubles from the start
+DENSE = 16  # from one in so many pairs on, all pairs of a query are multiplied again
 
 
 def best_sims(queries: DataFrame, bank: DataFrame, groups: list[str], exclude_same: bool = False, block: int = BLOCK,
@@ -92,7 +96,7 @@ def part_of(bank: DataFrame, groups: list[str]) -> tuple[int, F.Column]:
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     values = pa.concat_arrays([chunk.flatten() for chunk in column.chunks]).to_numpy(zero_copy_only=False)
-    return values.astype("float64").reshape(len(column), -1)
+    return (values if values.dtype == np.float32 else values.astype("float64")).reshape(len(column), -1)
 
 
 def _pass_by(batches: Iterator[pa.RecordBatch], groups: list[str], payload: tuple[str, ...], exclude_same: bool, size: int) -> Iterator[pa.Table]:
@@ -124,7 +128,7 @@ def _pass_by(batches: Iterator[pa.RecordBatch], groups: list[str], payload: tupl
         q, vectors, allowed = block
         heads = list(zip(*(chunk.column(g).take(pa.array(starts)).to_pylist() for g in groups))) if groups else [()]
         asked = [allowed(head) for head in heads]
-        best, first = _segment_maxima(q, vectors, chunk, starts, asked, exclude_same)
+        best, first = _segment_maxima(q, vectors, chunk, starts, asked, exclude_same, open_best if heads[0] == open_head else None)
         winners = chunk.select(refs)
         if heads[0] == open_head:
             kept = open_best >= best[0]
@@ -163,47 +167,84 @@ def _segments(chunk: pa.Table, groups: list[str]) -> np.ndarray:
 
 
 def _segment_maxima(q: pa.ChunkedArray, vectors: np.ndarray, chunk: pa.Table, starts: np.ndarray, asked: list[np.ndarray | None],
-                    exclude_same: bool) -> tuple[np.ndarray, np.ndarray]:
+                    exclude_same: bool, reached: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Rounded maximum of every segment and query (-inf: none) and the first row that reaches it. Only queries that ask
-    for a segment of the chunk are multiplied."""
-    n, ends = len(vectors), [*starts[1:], chunk.num_rows]
+    for a segment of the chunk are multiplied. A maximum of the first segment that stays below what a query has
+    ``reached`` in that group before may be left out."""
+    n, sizes = len(vectors), np.diff([*starts, chunk.num_rows])
     best, first = np.full((len(starts), n), -np.inf), np.zeros((len(starts), n), np.int32)
     rows = np.arange(n) if any(a is None for a in asked) else np.flatnonzero(np.logical_or.reduce(asked))
-    bank, shift = _matrix(chunk.column("embedding")).T, chunk.column("shift").to_numpy()
-    own = _own_rows(q, chunk.column("ref_id")) if exclude_same else {}
+    bank, shift, segment = _matrix(chunk.column("embedding")), chunk.column("shift").to_numpy(), np.repeat(np.arange(len(starts)), sizes)
+    lengths = _lengths(vectors) * _lengths(bank).max()
+    error = UNIT * ((bank.shape[1] + 16) * lengths + 3 * np.abs(shift).max())
+    slack = 2.1 * error + 4 * 10.0 ** -DIGITS
+    single = bool((lengths < LONG).all()) and np.abs(shift).max() < LONG
+    kind = np.float32 if single else np.float64
+    across, added = np.ascontiguousarray(bank.T, kind), shift.astype(kind)
+    own, own_refs = _own_rows(q, chunk.column("ref_id")) if exclude_same else (np.zeros(0, int),) * 2
+    place = np.searchsorted(rows, own)
+    here = place < len(rows)
+    here[here] = rows[place[here]] == own[here]
+    place, own_refs = place[here], own_refs[here]
     for lo in range(0, len(rows), STRIP):
         at = rows[lo:lo + STRIP]
-        found = vectors[at] @ bank
+        found = vectors[at].astype(kind, copy=False) @ across
         if shift.any():
-            found += shift
-        for k, row in enumerate(at):
-            if row in own:
-                found[k, own[row]] = -np.inf
-        for s, (a, b) in enumerate(zip(starts, ends)):
-            part = found[:, a:b]
-            top = np.round(part.max(axis=1), DIGITS)
-            near = (part >= (top - 2 * 10.0 ** -DIGITS)[:, None]).argmax(axis=1)
-            late = np.flatnonzero(np.round(part[np.arange(len(at)), near], DIGITS) != top)  # nearly as good, but not after rounding
-            if len(late):
-                near[late] = (np.round(part[late], DIGITS) == top[late, None]).argmax(axis=1)
-            best[s, at], first[s, at] = top, near + a
-    for s, mask in enumerate(asked):
-        if mask is not None:
-            best[s, ~mask] = -np.inf
+            found += added
+        mine = slice(*np.searchsorted(place, [lo, lo + STRIP]))
+        found[place[mine] - lo, own_refs[mine]] = -np.inf
+        top = np.maximum.reduceat(found, starts, axis=1)
+        best[:, at] = np.where(np.isnan(top), np.nan, -np.inf).T
+        least = top - slack[at, None]
+        open_ = np.isfinite(top)
+        for s, mask in enumerate(asked):
+            if mask is not None:
+                open_[:, s] &= mask[at]
+        if reached is not None:
+            open_[:, 0] &= top[:, 0] >= reached[at] - slack[at]
+        least[~open_] = np.inf
+        some = np.flatnonzero(open_.any(axis=1))
+        pair, ref = _at_least(found[some], np.repeat(least[some].astype(kind), sizes, axis=1))
+        if not len(pair):
+            continue
+        query = at[some[pair]]
+        if len(pair) * DENSE > len(some) * chunk.num_rows:
+            sims = (vectors[at[some]].astype("float64") @ bank.T.astype("float64"))[pair, ref]
+        else:
+            sims = np.einsum("ij,ij->i", vectors[query].astype("float64"), bank[ref].astype("float64"))
+        sims = np.round(sims + shift[ref], DIGITS)
+        name = pair * len(starts) + segment[ref]
+        begins = np.flatnonzero(np.diff(name, prepend=-1))
+        reach = np.flatnonzero(sims == np.repeat(np.maximum.reduceat(sims, begins), np.diff([*begins, len(name)])))
+        reach = reach[np.unique(name[reach], return_index=True)[1]]
+        best[segment[ref[reach]], query[reach]], first[segment[ref[reach]], query[reach]] = sims[reach], ref[reach]
     return best, first
 
 
-def _own_rows(q: pa.ChunkedArray, ref_ids: pa.ChunkedArray) -> dict[int, list[int]]:
-    """Rows of a chunk that are a query's own vector, by the number of the query."""
-    place, own = defaultdict(list), defaultdict(list)
+def _at_least(values: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the few values that reach their limits, in order. Eight comparisons are looked at together."""
+    width = -(-values.shape[1] // 8) * 8
+    marks = np.zeros((len(values), width), bool)
+    np.greater_equal(values, limits, out=marks[:, :values.shape[1]])
+    words = np.flatnonzero(marks.view(np.uint64))
+    word, byte = np.nonzero(marks.reshape(-1, 8)[words])
+    return np.divmod(words[word] * 8 + byte, width)
+
+
+def _lengths(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype="float64"))
+
+
+def _own_rows(q: pa.ChunkedArray, ref_ids: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a chunk that are a query's own vector: the numbers of the queries, in order, and the rows."""
+    place, own = defaultdict(list), []
     among = np.flatnonzero(pc.is_in(q, value_set=ref_ids.combine_chunks()).to_numpy())
     for k, name in zip(among, q.take(pa.array(among)).to_pylist()):
         place[name].append(k)
     back = np.flatnonzero(pc.is_in(ref_ids, value_set=q.combine_chunks()).to_numpy())
     for row, name in zip(back, ref_ids.take(pa.array(back)).to_pylist()):
-        for k in place[name]:
-            own[k].append(row)
-    return own
+        own += [(k, row) for k in place[name]]
+    return tuple(np.array(sorted(own), int).reshape(-1, 2).T)
 
 
 def _won(q: pa.ChunkedArray, heads: list[tuple], best: np.ndarray, first: np.ndarray, winners: pa.Table, groups: list[str], schema: pa.Schema) -> pa.Table:
@@ -220,27 +261,32 @@ def _allowed(left: pa.Table, groups: list[str]) -> Callable[[tuple], np.ndarray
     """Which queries may match a group, by the group's values; None is all."""
     n, tests = left.num_rows, []
 
-    def rows_by(lists: pa.ListArray, names: list) -> dict:
-        places = defaultdict(list)
-        for name, row in zip(names, pc.list_parent_indices(lists).to_pylist()):
-            places[name].append(row)
-        return {name: np.array(rows) for name, rows in places.items()}
+    def test(lists: pa.ListArray, named: list[pa.Array], free: np.ndarray, places: list[int]) -> Callable[[tuple], np.ndarray]:
+        """Names are numbered and their queries sorted by number, so that a name finds its queries in one run."""
+        numbers, known = np.zeros(len(named[0]), np.int64), []
+        for values in named:
+            coded = values.dictionary_encode(null_encoding="encode")
+            known.append({v: k for k, v in enumerate(coded.dictionary.to_pylist())})
+            numbers = numbers * len(known[-1]) + coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(numbers, kind="stable")
+        numbers, rows = numbers[order], pc.list_parent_indices(lists).to_numpy()[order]
 
-    def test(places: dict, free: np.ndarray, of: Callable[[tuple], object]) -> Callable[[tuple], np.ndarray]:
         def mask(head: tuple) -> np.ndarray:
-            out = free.copy()
-            out[places.get(of(head), np.zeros(0, np.int64))] = True
+            out, number = free.copy(), 0
+            for at, codes in zip(places, known):
+                if head[at] not in codes:
+                    return out
+                number = number * len(codes) + codes[head[at]]
+            out[rows[slice(*np.searchsorted(numbers, [number, number + 1]))]] = True
             return out
         return mask
 
     if "years" in left.column_names and "year" in groups:
-        lists, at = left.column("years").combine_chunks(), groups.index("year")
-        tests.append(test(rows_by(lists, lists.flatten().to_pylist()), ~lists.is_valid().to_numpy(zero_copy_only=False), lambda head: head[at]))
+        lists = left.column("years").combine_chunks()
+        tests.append(test(lists, [lists.flatten()], ~lists.is_valid().to_numpy(zero_copy_only=False), [groups.index("year")]))
     if "wanted" in left.column_names:
         lists = left.column("wanted").combine_chunks()
-        named = lists.flatten()
-        names = list(zip(*(named.field(g).to_pylist() for g in groups)))
-        tests.append(test(rows_by(lists, names), np.zeros(n, bool), lambda head: head))
+        tests.append(test(lists, [lists.flatten().field(g) for g in groups], np.zeros(n, bool), list(range(len(groups)))))
     return lambda head: np.logical_and.reduce([t(head) for t in tests]) if tests else None
 
 

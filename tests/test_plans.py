@@ -427,3 +427,32 @@ def test_crops_are_read_once_for_tops_and_resolution(spark):
     for got, want in ((decide.lead(rows), decide.crop_tops(t.view("v_cand"))), (rows.where("agrees").select("job", "crop", "rank"), decide.agreeing(
             decide.ranked_candidates(t.view("v_cand")), t.view("v_reading")).select("job", "crop", "rank"))):
         assert got.count() and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_rerank_multiplies_the_image_bank_twice(spark, monkeypatch):
+    """Once for all years, once for the entities that candidates ask for; the third pass is the text bank's."""
+    from lotscope.queries import load
+
+    banks, plain = [], vectors.best_sims
+    monkeypatch.setattr(vectors, "best_sims", lambda q, bank, *a, **b: banks.append(bank.columns) or plain(q, bank, *a, **b))
+    load()[0]["w6_rerank"](spark, "/root/testdata/sf0.001")
+    assert ["key" in b for b in banks].count(True) == 2 and len(banks) == 3
+
+
+@pytest.mark.parametrize("length, block", [(1.0, 4096), (1.0, 16), (1e20, 4096), (1e-3, 4096)])
+def test_rivals_closer_than_single_precision(spark, length, block):
+    """References that differ in the tenth digit, copies, shifts, and vectors too long for single precision."""
+    rnd = np.random.default_rng(21)
+    base = rnd.normal(size=(6, 7))
+    bank = length * np.concatenate([base[rnd.integers(0, 6, 150)] + 1e-9 * rnd.normal(size=(150, 7)), base, base])
+    asked, shift = np.concatenate([base, rnd.normal(size=(20, 7))]) * (1.0 if length > 1 else 1.0 / length), np.where(np.arange(162) % 5 == 0, 1e-10, 0.0)
+    b = spark.createDataFrame([(i, i % 3, float(shift[i]), [float(x) for x in v]) for i, v in enumerate(bank)], "ref_id bigint, year int, shift double, embedding array<double>")
+    q = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(asked)], "q bigint, embedding array<double>")
+    sims = np.round(np.array([[np.einsum("i,i->", v, r) for r in bank] for v in asked]) + shift, vectors.DIGITS)
+    got = {(r.q, r.year): (r.sim, r.ref_id) for r in vectors.best_sims(q, b, ["year"], block=block).collect()}
+    assert len(got) == 26 * 3
+    for (i, y), (sim, ref) in got.items():
+        best = max(range(y, 162, 3), key=lambda k: (sims[i, k], -k))
+        assert sim == pytest.approx(sims[i, best], rel=1e-14, abs=2e-12) and sims[i, ref] == pytest.approx(sims[i, best], rel=1e-14, abs=2e-12)
+        if length <= 1:
+            assert ref == best
