@@ -22,8 +22,8 @@ def label_name(job: Column, suffix: str = ".json") -> Column:
 
 
 def append_scan_log(records: DataFrame, path: str) -> None:
-    """Append records as JSON lines."""
-    records.write.mode("append").json(path)
+    """Append records as JSON lines, each file compressed: field names and matches repeat, so a log is mostly repetition."""
+    records.write.mode("append").option("zlib.compress.level", "BEST_SPEED").json(path, compression="gzip")
 
 
 def to_flat_master(master: DataFrame) -> DataFrame:

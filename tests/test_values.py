@@ -242,3 +242,16 @@ def test_twins_by_another_name(spark):
     fams = rules.twin_registry(cat.withColumn("slogan", name))
     rows = spark.createDataFrame([("GO STATE", "a"), ("go state", "b"), (None, "a")], "slogan string, type string")
     assert [r.is_twin for r in rules.twin_guard(rows, fams, name).orderBy("type", "slogan").collect()] == [False, True, False]
+
+
+def test_a_log_is_compressed_and_goes_on_from_a_plain_one(spark):
+    path = new_folder(spark, "log")
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("item_id"), F.lit("Lot of 12 pins").alias("title"), F.lit(2.5).alias("asking"),
+                                    F.expr("array(named_struct('year', '1979', 'slogan', 'Beat ' || id, 'overall', id / 7.0D))").alias("top_matches"))
+    rows.where("item_id < 5").write.json(path)
+    sinks.append_scan_log(rows.where("item_id >= 5"), path)
+    sinks.append_scan_log(logs.read_scan_log(spark, path), path)
+    log = logs.read_scan_log(spark, path).select(F.to_json(F.struct("*")).alias("line"))
+    assert log.count() == 4000 and log.groupBy("line").count().where("count = 2").count() == 2000
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    assert size * 4 < log.select(F.sum(F.length("line"))).first()[0]
