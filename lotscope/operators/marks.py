@@ -50,25 +50,42 @@ def median_radius(marks: DataFrame) -> DataFrame:
     return st.median(marks.where("r > 0"), ["job"], F.col("r"), "median_r").select("job", "median_r")
 
 
-def mark_set_score(marks: DataFrame, w: float, h: float) -> DataFrame:
-    """Quality of a mark set in [0, 1]: fill, even spacing, even radii, plausible coverage."""
+def mark_set_score(marks: DataFrame, w: float, h: float, small: int = spatial.SMALL) -> DataFrame:
+    """Quality of a mark set in [0, 1]: fill, even spacing, even radii, plausible coverage. Ordinary pages are folded."""
+    few, large = spatial.split_pages(marks, small)
+    both = folds.fold_pages(_doubles(few.select("job", "x", "y", "r", "fill"), "x", "y", "r", "fill"), [], folds.quality,
+                            f"{_kind(marks)}, n bigint, fill double, r_mean double, r_sd double, nn_mean double, nn_sd double, median_r double")
+    if large is not None:
+        both = both.unionByName(_quality_large(marks.join(large, "job", "left_semi")))
     one_less_cv = lambda sd, mean: F.greatest(F.lit(0.0), 1.0 - F.when(F.col(mean) > 0, F.col(sd) / F.col(mean)).otherwise(1.0))
-    base = marks.groupBy("job").agg(F.count(F.lit(1)).alias("n"), F.avg("fill").alias("fill"), F.avg("r").alias("r_mean"), F.stddev_pop("r").alias("r_sd"))
-    nn = spatial.nearest(marks, marks, self_join=True).groupBy("job").agg(F.avg("nn").alias("nn_mean"), F.stddev_pop("nn").alias("nn_sd"))
-    both = base.join(nn, "job", "left").join(median_radius(marks), "job")
     cover = F.col("n") * math.pi * F.col("median_r") * F.col("median_r") / (w * h)
     tent = F.when(cover <= 0.40, cover / 0.40).otherwise(F.greatest(F.lit(0.0), 1.0 - (cover - 0.40) / 0.60))
     spacing = F.when(F.col("n") >= 2, one_less_cv("nn_sd", "nn_mean")).otherwise(0.5)
     return both.select("job", "n", (0.40 * F.col("fill") + 0.30 * spacing + 0.20 * one_less_cv("r_sd", "r_mean") + 0.10 * tent).alias("score"))
 
 
-def spacing_radius(marks: DataFrame, w: float, h: float) -> DataFrame:
-    """Radius from spacing: half the median nearest distance, held near the radius that would tile the frame."""
-    counts = marks.groupBy("job").agg(F.count(F.lit(1)).alias("n"))
-    nn = st.median(spatial.nearest(marks, marks, self_join=True), ["job"], F.col("nn"), "nn").select("job", "nn")
+def _quality_large(marks: DataFrame) -> DataFrame:
+    base = marks.groupBy("job").agg(F.count(F.lit(1)).alias("n"), F.avg("fill").alias("fill"), F.avg("r").alias("r_mean"), F.stddev_pop("r").alias("r_sd"))
+    nn = spatial.nearest(marks, marks, self_join=True).groupBy("job").agg(F.avg("nn").alias("nn_mean"), F.stddev_pop("nn").alias("nn_sd"))
+    return base.join(nn, "job", "left").join(median_radius(marks), "job")
+
+
+def spacing_radius(marks: DataFrame, w: float, h: float, small: int = spatial.SMALL) -> DataFrame:
+    """Radius from spacing: half the median nearest distance, held near the radius that would tile the frame. Ordinary
+    pages are folded."""
+    few, large = spatial.split_pages(marks, small)
+    both = folds.fold_pages(_doubles(few.select("job", "x", "y"), "x", "y"), [], folds.spacing, f"{_kind(marks)}, n bigint, nn double")
+    if large is not None:
+        both = both.unionByName(_spacing_large(marks.join(large, "job", "left_semi")))
     tile = F.sqrt(F.lit(w * h) / F.col("n")) * 0.42
     near = F.greatest(tile * 0.6, F.least(0.5 * F.col("nn"), tile * 1.8))
-    return counts.join(nn, "job", "left").select("job", F.when(F.col("nn").isNotNull(), near).otherwise(tile).alias("radius"))
+    return both.select("job", F.when(F.col("nn").isNotNull(), near).otherwise(tile).alias("radius"))
+
+
+def _spacing_large(marks: DataFrame) -> DataFrame:
+    counts = marks.groupBy("job").agg(F.count(F.lit(1)).alias("n"))
+    nn = st.median(spatial.nearest(marks, marks, self_join=True), ["job"], F.col("nn"), "nn").select("job", "nn")
+    return counts.join(nn, "job", "left")
 
 
 # --- bands and layout ----------------------------------------------------------------------------------------

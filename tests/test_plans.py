@@ -456,3 +456,37 @@ def test_rivals_closer_than_single_precision(spark, length, block):
         assert sim == pytest.approx(sims[i, best], rel=1e-14, abs=2e-12) and sims[i, ref] == pytest.approx(sims[i, best], rel=1e-14, abs=2e-12)
         if length <= 1:
             assert ref == best
+
+
+def test_quality_and_spacing_of_folded_pages(spark):
+    """One shuffle for ordinary pages; the same values as by brute force and as larger pages get them."""
+    rows = [r for seed, n, grid in ((31, 1, 0), (32, 2, 0), (33, 60, 0), (34, 60, 25)) for r in cloud(seed, jobs=1, n=n, grid=grid)]
+    rows = [(job, i, *rest) for job, page in enumerate((rows[:1], rows[1:3], rows[3:63], rows[63:])) for i, (_, _, *rest) in enumerate(page)]
+    rows += [(7, 0, None, 1.0, 10.0, 0.5, 0.1), (7, 1, 5.0, 1.0, 12.0, None, 0.1), (8, 0, 1.0, 1.0, 10.0, None, 0.1), (9, 0, 1.0, 1.0, 0.0, 0.5, 0.1),
+             (9, 1, 9.0, 1.0, None, 0.5, 0.1)]
+    df, (w, h) = spark.createDataFrame(rows, COLS), (800.0, 600.0)
+    score, radius = mk.mark_set_score(df, w, h), mk.spacing_radius(df, w, h)
+    for out in (score, radius):
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want_score, want_radius = {}, {}
+    for job in range(10):
+        page = [r for r in rows if r[0] == job]
+        if not page:
+            continue
+        at = [(r[2], r[3]) for r in page if r[2] is not None]
+        nn = [min(math.hypot(x - u, y - v) for j, (u, v) in enumerate(at) if j != i) for i, (x, y) in enumerate(at)] if len(at) > 1 else []
+        tile = math.sqrt(w * h / len(page)) * 0.42
+        want_radius[job] = max(tile * 0.6, min(0.5 * statistics.median(nn), tile * 1.8)) if nn else tile
+        sizes, fills = [r[4] for r in page if r[4]], [r[5] for r in page if r[5] is not None]
+        if not sizes:
+            continue
+        even = lambda v: max(0.0, 1.0 - statistics.pstdev(v) / statistics.fmean(v)) if v and statistics.fmean(v) > 0 else 0.0
+        cover = len(page) * math.pi * statistics.median(sizes) ** 2 / (w * h)
+        tent = cover / 0.4 if cover <= 0.4 else max(0.0, 1.0 - (cover - 0.4) / 0.6)
+        want_score[job] = (len(page), 0.4 * statistics.fmean(fills) + 0.3 * (even(nn) if len(page) > 1 else 0.5) + 0.2 * even(sizes) + 0.1 * tent if fills else None)
+    values = lambda got: {job: pytest.approx(v, abs=1e-9) for job, v in got.items()}
+    for small in (256, 4, 1):
+        got = {r.job: (r.n, r.score) for r in mk.mark_set_score(df, w, h, small).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want_score.items()}
+        assert {k: v[1] for k, v in got.items()} == values({k: v[1] for k, v in want_score.items()})
+        assert {r.job: r.radius for r in mk.spacing_radius(df, w, h, small).collect()} == values(want_radius)
